@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from . import quality
+from . import mixing, quality, sharding
 
-MODULES = [quality]
+MODULES = [sharding, quality, mixing]
