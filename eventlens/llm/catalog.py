@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from . import mixing, quality, sharding
+from . import chat, mixing, quality, sharding
 
-MODULES = [sharding, quality, mixing]
+MODULES = [sharding, quality, mixing, chat]
