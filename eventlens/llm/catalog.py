@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from . import chat, mixing, quality, sharding
+from . import chat, mixing, quality, sharding, simhash
 
-MODULES = [sharding, quality, mixing, chat]
+MODULES = [sharding, simhash, quality, mixing, chat]
