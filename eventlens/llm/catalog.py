@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from . import chat, mixing, quality, sharding, simhash
+from . import chat, mixing, passages, quality, sharding, simhash
 
-MODULES = [sharding, simhash, quality, mixing, chat]
+MODULES = [sharding, simhash, passages, quality, mixing, chat]
