@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,9 +46,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The table outlives any executor, is columnar and compressed, and later
-    steps read only the columns they need.
+    steps read only the columns they need. Once it is written nobody needs the
+    shuffle files of its making, so they are removed with the query.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/eventlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
