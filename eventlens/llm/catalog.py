@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from . import chat, mixing, passages, quality, sharding, simhash
+from . import chat, mixing, passages, quality, sharding, simhash, substrings
 
-MODULES = [sharding, simhash, passages, quality, mixing, chat]
+MODULES = [sharding, simhash, substrings, passages, quality, mixing, chat]
