@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from . import chat, decontaminate, licences, mixing, passages, quality, sharding, simhash, substrings
+from . import chat, decontaminate, licences, mixing, pages, passages, quality, sharding, simhash, substrings
 
-MODULES = [sharding, simhash, substrings, decontaminate, licences, passages, quality, mixing, chat]
+MODULES = [sharding, simhash, substrings, pages, decontaminate, licences, passages, quality, mixing, chat]

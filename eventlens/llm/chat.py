@@ -32,7 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from .common import table
 
@@ -130,7 +130,7 @@ def _apply(mapping: Mapping, record: Column) -> Column:
     return F.array_compact(F.array(*turns)).cast(f"array<{TURN}>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fingerprint_of(records: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         try:
