@@ -57,7 +57,9 @@ def targets(sizes: DataFrame) -> DataFrame:
             by_need.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(everything))
         .withColumn("level", (F.col("total") - F.col("before")) / F.col("weight_left"))
-        .withColumn("final", F.min(F.when(F.col("level") <= F.col("need"), F.col("level"))).over(everything))
+        # The first that isn't capped says what the rest are given.
+        .withColumn("final", F.min(F.when(F.col("level") <= F.col("need"), F.struct("need", "place", "level"))).over(
+            everything)["level"])
     )
     goal = F.when(F.col("need") <= F.col("final"), F.col("source_size") * F.lit(float(CAP))).otherwise(
         F.col("final") * F.col("weight"))
@@ -82,9 +84,9 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
     goals = cut(targets(df.select(F.col(source).alias("source"), F.col(size).alias("size"))), "mix-targets")
     kept = df.withColumn("__class", size_class(F.col(size))).withColumn(
         "__slice", (spread.cast("int") % SLICES))
-    counts = kept.groupBy(F.col(source).alias("__source"), "__class", "__slice").count()
-    ahead = Window.partitionBy("__source").orderBy("__class", "__slice").rowsBetween(
-        Window.unboundedPreceding, -1)
+    counts = kept.groupBy(
+        F.col(source).alias("__of"), F.col("__class").alias("__at"), F.col("__slice").alias("__in")).count()
+    ahead = Window.partitionBy("__of").orderBy("__at", "__in").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn(
         "__before", F.coalesce(F.sum("count").over(ahead), F.lit(0).cast("long"))).drop("count")
     within = Window.partitionBy(source, "__class", "__slice").orderBy(F.col(size), F.col(key).asc_nulls_first())
@@ -94,14 +96,13 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
     # The place of a row in its slice needs no join; its slice's start does,
     # on the columns by which the rows already lie.
     rows = kept.withColumn("__place", F.row_number().over(within).cast("long"))
-    same = (rows[source].eqNullSafe(starts["__source"])
-            & (rows["__class"] == starts["__class"]) & (rows["__slice"] == starts["__slice"]))
-    placed = rows.join(starts, same).drop(starts["__source"]).drop(starts["__class"]).drop(starts["__slice"])
+    same = F.col(source).eqNullSafe(F.col("__of")) & F.expr("__class = __at AND __slice = __in")
+    placed = rows.join(starts, same).drop("__of", "__at", "__in")
     done = F.col("__before") + F.col("__place")
     copies = (F.floor(F.col("offset") + F.col("rate") * done)
               - F.floor(F.col("offset") + F.col("rate") * (done - 1)))
     return (
-        placed.join(named, F.col(source).eqNullSafe(named["__source"]))
+        placed.join(named, F.col(source).eqNullSafe(F.col("__source")))
         .withColumn("copies", F.least(copies.cast("long"), F.lit(CAP).cast("long")))
         .drop("__source", "__class", "__slice", "__before", "__place", "rate", "offset"))
 
@@ -140,7 +141,7 @@ WITH d AS (
       / (sum(weight) OVER (ORDER BY need, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level
   FROM n
 ), f AS (
-  SELECT *, min(CASE WHEN level <= need THEN level END) OVER () AS final FROM l
+  SELECT *, (SELECT level FROM l WHERE level <= need ORDER BY need, place LIMIT 1) AS final FROM l
 ), t AS (
   SELECT source, source_size,
     CASE WHEN need <= final THEN CAST(source_size AS DOUBLE) * 3 ELSE final * weight END AS target,
