@@ -1,4 +1,68 @@
-"""The corpus pipeline; its stages are added as their operators are written."""
+"""The corpus pipeline: from all documents to documents on shards.
 
-QUERIES: dict = {}
+Each stage reads what the one before it kept, as a table, and returns a table
+with the columns of ``documents``; the last adds the shard. Documents that a
+stage rejects are gone for the stages after it.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventlens.llm import common, decontaminate, mixing, near, quality, sharding
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy of quality rules keeps."""
+    return quality.apply_policy(quality.ledger(docs), "v1", "__kept").where("__kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, with the least doc_id."""
+    return near.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    found = decontaminate.leaks(spark, common.table(spark, sf_dir, "benchmark"), F.col("text"))
+    return docs.where(F.size(found) == 0)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources; a document stands in it as often as it is taken."""
+    sized = docs.withColumn("__size", common.word_count(F.col("text")))
+    return mixing.take(sized, size="__size").select(*docs.columns)
+
+
+def shard_placement(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its slot and shard."""
+    return sharding.place(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("source mixing", source_mixing),
+    ("sharding", shard_placement),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written as Parquet and read by the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    folder = f"{common.shared_dir(spark)}/eventlens/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: SimHash groups and edit distances have no SQL; brute force tests stand in.
+ORACLE_SQL = None
+
+QUERIES = {"pipeline": run}
 ORACLES: dict = {}
