@@ -201,8 +201,10 @@ def link(df: DataFrame, size: int = 3, key: str = "doc_id", text: str = "text")
     by_group = cut(named.join(groups, named["fp"] == groups["node"]).select("fp", "component", "first_id"), "simhash-groups")
     ids = by_group.groupBy("component").agg(F.min("first_id").alias("group_id"))
     linked = by_group.join(ids, "component").select("fp", "group_id")
-    final = named.join(linked, "fp", "left").select(
-        "fp", F.coalesce("group_id", "first_id").alias("component_id"))
+    # A table of its own, so that the join below is dealt out on both sides and
+    # a fingerprint that very many documents share can be split.
+    final = cut(named.join(linked, "fp", "left").select(
+        "fp", F.coalesce("group_id", "first_id").alias("component_id")), "simhash-components")
     return own.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
