@@ -39,7 +39,7 @@ WINDOW = 50
 #: Words of the gram that stands for a window.
 GRAM = 12
 #: Words worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 RUN = "doc long, print long, start int, count int, gram long, run long, prior long, next long"
 KEY = ["doc", "print"]
@@ -55,8 +55,8 @@ class _WordHashes(dict):
         return value
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def split(text: bytes | None) -> list[bytes]:
+    return (text or b"").split()
 
 
 def pieces(lengths: list[int], chunk: int, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -177,7 +177,7 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, print, text): null keys last; rows of one key and text alike."""
     return df.select(
         F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.xxhash64(F.col(text)).alias("print"), F.col(text).cast("string").alias("text"),
+        F.xxhash64(F.col(text)).alias("print"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"),
         F.col(key).cast("long").alias("doc_id"))
 
 
@@ -213,14 +213,15 @@ def remove_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                                    np.array([r["count"] for r in found], np.int64), WINDOW, len(words))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if found else b" ".join(words)
-                out.append((len(words), [{"from": a, "to": b} for a, b in edge.reshape(-1, 2).tolist()], kept.decode("utf-8", "surrogatepass")))
+                out.append((len(words), [{"from": a, "to": b} for a, b in edge.reshape(-1, 2).tolist()], kept))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([o[0] for o in out], pa.int64()),
                 pa.array([o[1] for o in out], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
-                pa.array([o[2] for o in out], pa.string())], ["doc_id", "n_words", "spans", "kept"])
+                pa.array([o[2] for o in out], pa.binary())], ["doc_id", "n_words", "spans", "kept"])
 
     return docs.join(listed, KEY, "left").select("doc_id", "text", "runs").mapInArrow(
-        each, "doc_id long, n_words long, spans array<struct<from:long,to:long>>, kept string")
+        each, "doc_id long, n_words long, spans array<struct<from:long,to:long>>, kept binary",
+    ).withColumn("kept", F.col("kept").cast("string"))
 
 
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

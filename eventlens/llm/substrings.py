@@ -42,8 +42,8 @@ from .windows import Spans, covered, runs, scramble
 WINDOW = 50
 GRAM = 25
 #: Bytes worked on at a time, and suffixes that a task gathers before it sends.
-CHUNK = 1 << 20
-GATHER = 1 << 20
+CHUNK = 1 << 18
+GATHER = 1 << 18
 #: Buckets for each shuffle partition.
 BUCKETS = 4
 
