@@ -44,6 +44,8 @@ BAND = 32
 #: Characters of benchmark in one index, and of documents worked on at a time.
 BLOCK_CHARS = 4_000_000
 CHUNK = 1 << 20
+#: Regions aligned together.
+ALIGN_AT_ONCE = 256
 
 _SLOT_BITS = 22
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -123,20 +125,49 @@ class Index:
         at, which = at[keep], which[keep]
         count = self.first[which + 1] - self.first[which]
         post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.first[which], count)
-        diagonal = np.repeat(at, count) - self.place[post] + PIECE  # never negative
+        place = self.place[post]
+        diagonal = np.repeat(at, count) - place + PIECE  # never negative
         piece = self.piece[post]
         bands = np.concatenate([diagonal // BAND * 2, (diagonal + BAND // 2) // BAND * 2 + 1])
         keys, shared = np.unique(np.concatenate([piece, piece]) << 40 | bands, return_counts=True)
+        keys = keys[shared >= self.needed[keys >> 40]]
+        keys = keys[self._narrow(keys, piece, place, diagonal)] if len(keys) else keys
         piece, band = keys >> 40, keys & ((1 << 40) - 1)
-        enough = shared >= self.needed[piece]
         start = band // 2 * BAND - band % 2 * (BAND // 2) - PIECE
-        return np.stack([piece[enough], start[enough]], axis=1) if enough.any() else none
+        return np.stack([piece, start], axis=1)
+
+    def _narrow(self, keys: np.ndarray, piece: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Which bands also share enough where it must be: the q-grams of an
+        occurrence lie on diagonals no further apart than its edits, and at
+        different places of the piece."""
+        keep = np.zeros(len(keys), bool)
+        order = np.lexsort((diagonal, piece))
+        piece, place, diagonal = piece[order], place[order], diagonal[order]
+        first = np.searchsorted(piece, keys >> 40)
+        last = np.searchsorted(piece, keys >> 40, "right")
+        for i, (key, a, b) in enumerate(zip(keys.tolist(), first.tolist(), last.tolist(), strict=True)):
+            own, band = key >> 40, key & ((1 << 40) - 1)
+            low = band // 2 * BAND - band % 2 * (BAND // 2)
+            a, b = a + np.searchsorted(diagonal[a:b], [low, low + BAND])
+            own_edits, needed = budget(len(self.pieces[own])), int(self.needed[own])
+            until = np.searchsorted(diagonal[a:b], diagonal[a:b] + own_edits, "right")
+            dense = np.flatnonzero(until - np.arange(b - a) >= needed)
+            keep[i] = any(len(np.unique(place[a + j: a + until[j]])) >= needed for j in dense.tolist())
+        return keep
 
     def find(self, texts: list[str]) -> list[dict[int | None, tuple[int, int, int]]]:
         """For each normal text: item -> (edits, start, end)."""
         joined = "\0".join(texts)
         ends = np.cumsum([len(t) + 1 for t in texts])
         found: list[dict] = [{} for _ in texts]
+        wanted: dict[int, list[tuple[int, int, int, str]]] = {}  # by length of the piece
+
+        def put(row: int, piece: int, at: int, best: tuple[int, int, int] | None) -> None:
+            if best is not None:
+                item, begin = self.items[piece], int(ends[row]) - len(texts[row]) - 1
+                hit = (best[0], best[1] + at - begin, best[2] + at - begin)
+                found[row][item] = min(found[row].get(item, hit), hit)
+
         for piece, start in self.regions(_codes(joined)).tolist():
             body = self.pieces[piece]
             edits = budget(len(body))
@@ -147,46 +178,50 @@ class Index:
                 if begin >= high:
                     break
                 a, b = max(low, begin), min(high, int(ends[row]) - 1)
-                best = align(body, joined[a:b], edits)
-                if best is not None:
-                    hit = (best[0], best[1] + a - begin, best[2] + a - begin)
-                    item = self.items[piece]
-                    found[row][item] = min(found[row].get(item, hit), hit)
+                exact = joined.find(body, a, b)
+                if exact >= 0:
+                    put(row, piece, a, (0, exact - a, exact - a + len(body)))
+                else:
+                    wanted.setdefault(len(body), []).append((row, piece, a, joined[a:b]))
+        for length, group in wanted.items():
+            for k in range(0, len(group), ALIGN_AT_ONCE):
+                part = group[k: k + ALIGN_AT_ONCE]
+                best = align([self.pieces[g[1]] for g in part], [g[3] for g in part], budget(length))
+                for (row, piece, at, _), one in zip(part, best, strict=True):
+                    put(row, piece, at, one)
         return found
 
 
-def align(piece: str, region: str, edits: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best occurrence, if it has few enough.
+def align(pieces: list[str], regions: list[str], edits: int) -> list[tuple[int, int, int] | None]:
+    """(edits, start, end) of the best occurrence of each piece in its region,
+    if it has few enough; the pieces are of one length.
 
     Cell d of row i is the least number of edits that turn the first i
-    characters of the piece into a stretch of the region ending at i + d;
-    start holds where that stretch begins.
+    characters of the piece into a stretch of the region that ends at i + d,
+    less the budget; with it goes where that stretch begins.
     """
-    exact = region.find(piece)
-    if exact >= 0:
-        return 0, exact, exact + len(piece)
-    p, r = _wide(piece), _wide(region)
-    width = len(r) - len(p) + 2 * edits + 1  # diagonals from -edits
-    if width <= 0:
-        return None
-    places = np.arange(width)
-    far = len(p) + len(r) + 1
-    padded = np.full(len(p) + width, -1, np.int64)
-    padded[edits: edits + len(r)] = r
+    length = len(pieces[0])
+    p, size = np.stack([_wide(x) for x in pieces]), np.array([len(r) for r in regions])[:, None]
+    width = max(int(size.max()) - length + 2 * edits + 1, 1)
+    padded = np.full((len(pieces), length + width), -1, np.int64)
+    for line, region in zip(padded, regions, strict=True):
+        line[edits: edits + len(region)] = _wide(region)[: length + width - edits]
     # Cost and start in one number, so that a least cost carries its start.
     scale = 1 << 20
-    own = places - edits
-    row = np.where((own >= 0) & (own <= len(r)), own, far * scale)
-    for i, c in enumerate(p):
-        same = row + np.where(padded[i: i + width] == c, 0, scale)
-        drop = np.append(row[1:], far * scale) + scale
-        row = np.minimum(same, drop)
-        row = np.minimum.accumulate(row - places * scale) + places * scale
-    end = places - edits + len(p)
-    row = np.where((end >= 0) & (end <= len(r)), row, far * scale)
-    best = int(np.argmin(row))
-    cost, start = divmod(int(row[best]), scale)
-    return (cost, start, int(end[best])) if cost <= edits else None
+    places, never = np.arange(width), (length + int(size.max()) + 1) * scale
+    begin = places - edits
+    row = np.where((begin >= 0) & (begin <= size), begin, never)
+    edge = np.full((len(pieces), 1), never)
+    for i in range(length):
+        same = row + np.where(padded[:, i: i + width] == p[:, i, None], 0, scale)
+        row = np.minimum(same, np.concatenate([row[:, 1:], edge], axis=1) + scale)
+        row = np.minimum.accumulate(row - places * scale, axis=1) + places * scale
+    end = places - edits + length
+    row = np.where((end >= 0) & (end <= size), row, never)
+    best = row.argmin(axis=1)
+    cost, start = np.divmod(row[np.arange(len(row)), best], scale)
+    return [(c, s, e) if c <= edits else None
+            for c, s, e in zip(cost.tolist(), start.tolist(), end[best].tolist(), strict=True)]
 
 
 def _wide(text: str) -> np.ndarray:
