@@ -90,7 +90,8 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
     starts = counts.withColumn(
         "__before", F.coalesce(F.sum("count").over(ahead), F.lit(0).cast("long"))).drop("count")
     within = Window.partitionBy(source, "__class", "__slice").orderBy(F.col(size), F.col(key).asc_nulls_first())
-    named = goals.withColumnRenamed("source", "__source")
+    named = goals.select(F.col("source").alias("__source"), "source_size", "target",
+                         F.col("rate").alias("__rate"), F.col("offset").alias("__offset"))
     if goals.count() <= BROADCAST_SOURCES:
         named = F.broadcast(named)
     # The place of a row in its slice needs no join; its slice's start does,
@@ -99,19 +100,20 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
     same = F.col(source).eqNullSafe(F.col("__of")) & F.expr("__class = __at AND __slice = __in")
     placed = rows.join(starts, same).drop("__of", "__at", "__in")
     done = F.col("__before") + F.col("__place")
-    copies = (F.floor(F.col("offset") + F.col("rate") * done)
-              - F.floor(F.col("offset") + F.col("rate") * (done - 1)))
+    copies = (F.floor(F.col("__offset") + F.col("__rate") * done)
+              - F.floor(F.col("__offset") + F.col("__rate") * (done - 1)))
     return (
         placed.join(named, F.col(source).eqNullSafe(F.col("__source")))
         .withColumn("copies", F.least(copies.cast("long"), F.lit(CAP).cast("long")))
-        .drop("__source", "__class", "__slice", "__before", "__place", "rate", "offset"))
+        .drop("__source", "__class", "__slice", "__before", "__place", "__rate", "__offset"))
 
 
-def take(df: DataFrame, **names: str) -> DataFrame:
-    """The mix itself: each row as often as it is taken, in its own columns."""
-    columns = df.columns
-    return mix(df, **names).withColumn(
-        "__copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))))).select(*columns)
+def take(df: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The mix itself: each row as often as it is taken, with its own columns."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(own.alias("row"), *[F.col(c).alias(n) for c, n in ((size, "n"), (source, "origin"), (key, "id"))])
+    taken = mix(rows, "n", "origin", "id").where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, print, text): null keys last; rows of one key and text alike."""
     return df.select(
         F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.xxhash64(F.col(text)).alias("print"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"),
+        F.xxhash64(F.col(text)).alias("print"), F.col(text).cast("string").cast("binary").alias("text"),
         F.col(key).cast("long").alias("doc_id"))
 
 

@@ -62,7 +62,7 @@ def place(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None, s
     entries = spark.createDataFrame(list(enumerate(owners)), "slot int, shard int")
     slotted = df.drop("slot", "shard").withColumn(
         "slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
-    return slotted.join(F.broadcast(entries), "slot").select(*[c for c in slotted.columns], "shard")
+    return slotted.join(F.broadcast(entries), "slot").select(*[F.col(f"`{c}`") for c in slotted.columns], "shard")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,7 +273,7 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     repeats = df.select(doc.alias("doc")).groupBy("doc").count().where("count > 1").take(1)
     return df.select(
         doc.alias("doc"), (F.xxhash64(F.col(text)) if repeats else F.lit(0).cast("long")).alias("print"),
-        F.col(key).cast("long").alias("doc_id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("body"))
+        F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body"))
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
