@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import DATA, same
+from helpers import DATA, same
 
 from eventlens.plans import catalog
 
@@ -21,7 +21,7 @@ def test_query_without_sql_gives_rows(spark, name):
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
+    from pathlib import Path
 
-    from conftest import Path
     root = Path(__file__).resolve().parent.parent
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=root, check=True, timeout=120)
