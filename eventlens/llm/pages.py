@@ -53,6 +53,8 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 NEVER = set("nav aside footer form script style noscript iframe template textarea title head button select input object "
             "svg canvas video audio dialog menu map xmp".split())
 PARAGRAPHS = set("p pre td blockquote li dd figcaption".split())
+#: Siblings of a container that belong with it unless they are links.
+SIBLINGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure table tr td th".split())
 CONTAINERS = set("article main section div td body blockquote pre".split())
 #: Words of a class, id or role.
 BAD_WORDS = set("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted "
@@ -210,8 +212,8 @@ def _kept(root: Node) -> list[Node]:
         if not isinstance(other, Node) or other.out:
             continue
         density = other.linked / other.chars if other.chars else 1.0
-        alike = other.points and _score(other) >= max(10, 0.2 * most)
-        prose = other.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "figure", "table") and density < 0.25
+        alike = other.points and _score(other) >= 0.2 * most
+        prose = other.tag in SIBLINGS and density < 0.25
         if other is best or alike or prose:
             kept.append(other)
     return kept
