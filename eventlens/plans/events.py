@@ -385,7 +385,23 @@ def exit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.end_codes(_flow(spark, sf_dir), last=True)
 
 
-@query("behavior_outliers")
+@query("behavior_outliers", _STEPS + """, cp AS (SELECT code, count(*) AS n, count(DISTINCT uid) AS users, round(count(DISTINCT uid) / (SELECT n FROM tu), 4) AS user_rate,
+  round(count(*) / count(DISTINCT uid), 2) AS epu FROM fw GROUP BY code ORDER BY n DESC, users DESC, code LIMIT 20),
+lp AS (SELECT * FROM tr WHERE from_code = to_code ORDER BY user_count DESC, count DESC, from_code LIMIT 8),
+wn AS (SELECT a.uid, a.code, a.ts, count(*) AS n FROM (SELECT DISTINCT uid, code, ts FROM fw) a JOIN fw b ON b.uid = a.uid AND b.code = a.code
+  AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 DAY GROUP BY a.uid, a.code, a.ts HAVING count(*) >= 3),
+sr AS (SELECT code, count(DISTINCT uid) AS users, count(*) AS w, max(n) AS most FROM wn GROUP BY code ORDER BY users DESC, w DESC, most DESC, code LIMIT 12),
+ex AS (SELECT code, count(*) AS users, round(count(*) / (SELECT n FROM tu), 4) AS user_rate FROM (SELECT uid, arg_max(code, ix) AS code FROM fw GROUP BY uid)
+  GROUP BY code ORDER BY users DESC, code LIMIT 8),
+ot AS (
+  SELECT 'high_repeat_common' AS kind, code, NULL AS to_code, user_rate, CAST(epu AS DOUBLE) AS metric FROM cp WHERE user_rate >= 0.7::DOUBLE AND epu >= 8
+  UNION ALL SELECT 'minority_heavy', code, NULL, user_rate, n FROM cp WHERE user_rate <= 0.35::DOUBLE AND n >= greatest(5, users)
+  UNION ALL SELECT 'loop_pattern', from_code, to_code, user_rate, count FROM lp WHERE user_rate >= 0.4::DOUBLE OR count >= greatest(5, user_count)
+  UNION ALL SELECT 'short_interval_repeat', code, NULL, round(users / (SELECT n FROM tu), 4), most FROM sr
+  UNION ALL SELECT 'stop_point', code, NULL, user_rate, users FROM ex WHERE user_rate >= 0.6::DOUBLE
+  UNION ALL SELECT 'dominant_transition', from_code, to_code, user_rate, transition_rate FROM tr
+    WHERE from_user_count >= greatest(2, (SELECT n FROM tu) // 2) AND transition_rate >= 0.8::DOUBLE)
+SELECT * FROM ot ORDER BY user_rate DESC, metric DESC, kind, code, to_code NULLS FIRST LIMIT 12""")
 def behavior_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.outliers(_flow(spark, sf_dir), window_seconds=86_400)
 
@@ -457,18 +473,32 @@ def issue_board_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.board_totals(diagnosis.content_issues(metrics.content_facts(EV(spark, sf_dir))))
 
 
-@query("revenue_diagnosis")
+_REVENUE = _PRIOR[len(WITH):] + _PAID[len(WITH):] + """, tt AS (SELECT coalesce(sum(amount) FILTER (WHERE event_type = 'purchase'), 0) AS total FROM ev),
+bp AS (SELECT product, round(sum(amount), 2) AS revenue FROM ev WHERE event_type = 'purchase' AND product IS NOT NULL GROUP BY product ORDER BY 2 DESC, 1 LIMIT 1),
+tg AS (SELECT content_group FROM pr WHERE content_group <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+wh AS (SELECT round(max(revenue) / sum(revenue), 4) AS share FROM pd),
+rv AS (
+  SELECT 'revenue_missing' AS issue_type, 'revenue' AS subject, '주의' AS severity, 0.8::DOUBLE AS impact, 0.8::DOUBLE AS evidence, 0.5::DOUBLE AS sufficiency FROM tt WHERE total <= 0
+  UNION ALL SELECT 'whale_concentration', 'users', '주의', share, 0.7::DOUBLE, 0.75::DOUBLE FROM wh, tt WHERE share >= 0.35::DOUBLE AND total > 0
+  UNION ALL SELECT 'product_concentration', product, '주의', revenue / total, 0.75::DOUBLE, 0.75::DOUBLE FROM bp, tt WHERE total > 0 AND revenue / total >= 0.5::DOUBLE
+  UNION ALL SELECT 'content_to_purchase_context', content_group, '정보', 0.55::DOUBLE, 0.65::DOUBLE, 0.65::DOUBLE FROM tg, tt WHERE total > 0)
+"""
+_CONFIDENT = "round(impact, 4) AS impact, evidence, sufficiency, round(impact * 0.4::DOUBLE + evidence * 0.4::DOUBLE + sufficiency * 0.2::DOUBLE, 3) AS confidence"
+
+
+@query("revenue_diagnosis", WITH + _REVENUE + f"SELECT issue_type, subject, severity, {_CONFIDENT} FROM rv")
 def revenue_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = EV(spark, sf_dir)
-    return diagnosis.revenue_issues(ordered, facts.prior_events(ordered, minutes=DAY))
+    return diagnosis.revenue_issues(ordered, facts.prior_events(ordered, minutes=DAY)).withColumn("impact", F.round("impact", 4))
 
 
-@query("alerts")
+@query("alerts", _ISSUES + _REVENUE + f""", al AS (SELECT issue_type, subject, severity, {_CONFIDENT} FROM (SELECT * FROM iss UNION ALL SELECT * FROM rv))
+SELECT * FROM al ORDER BY CASE severity WHEN '위험' THEN 0 WHEN '주의' THEN 1 ELSE 2 END, confidence DESC, issue_type, subject LIMIT 5""")
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = EV(spark, sf_dir)
     found = diagnosis.content_issues(metrics.content_facts(ordered)).unionByName(
         diagnosis.revenue_issues(ordered, facts.prior_events(ordered, minutes=DAY)))
-    return diagnosis.alerts(found)
+    return diagnosis.alerts(found).withColumn("impact", F.round("impact", 4))
 
 
 @query("content_risk", _CONTENT + """, rk AS (SELECT "group", failure_rate * 0.5::DOUBLE + least(coalesce(avg_wait_sec, 0) / 60, 1.0::DOUBLE) * 0.32::DOUBLE

@@ -58,8 +58,8 @@ def standardize(raw: DataFrame, roles: Roles, language: Language) -> DataFrame:
     events = _dictionary(spark, language.events, ("label", "event_type", "group"), "event_raw").withColumn("known", F.lit(True))
     contents = _dictionary(spark, language.contents, ("label", "type"), "content_id")
     products = _dictionary(spark, language.products, ("label", "category"), "product_id")
-    joined = rows.join(F.broadcast(events), "event_raw", "left").join(F.broadcast(contents), "content_id", "left").join(
-        F.broadcast(products), "product_id", "left")
+    # Their sizes are known to Spark, which broadcasts them if they are small.
+    joined = rows.join(events, "event_raw", "left").join(contents, "content_id", "left").join(products, "product_id", "left")
     known, code = F.coalesce("known", F.lit(False)), F.col("event_raw")
     plain_group = F.when(known, F.col("d_event_raw_group")).otherwise(F.coalesce(lexicon.group_of(code), F.col("content_id")))
     meant = joined.withColumns({

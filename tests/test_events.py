@@ -99,3 +99,9 @@ def test_windows_of_a_user_share_one_shuffle(spark):
     e = events(spark, ("u", "10:00:00", "a", None, None, 0))
     plan = facts.user_journeys(sessionize(e))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_concentration_of_many_payers_needs_no_whole_sort(spark):
+    paid = spark.range(3000).select(
+        F.col("id").cast("string").alias("uid"), ((F.col("id") * 7919) % 3001).cast("double").alias("amount"), F.lit("purchase").alias("event_type"))
+    assert metrics.revenue_concentration(paid, at_once=100).collect() == metrics.revenue_concentration(paid).collect()
