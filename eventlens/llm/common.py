@@ -30,6 +30,10 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+#: Folders made for sessions that name none, by application.
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
@@ -37,8 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _MADE:
+            _MADE[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        found = _MADE[app]
     return found.rstrip("/")
 
 
