@@ -184,14 +184,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, print, start, count): windows that an earlier document has."""
     found = cut(word_runs(docs), "passage-runs")
     known = cut(classes(found), "passage-classes")
-    compact = paths(known.where("first < last"))
+    # Small tables of their own, so that the joins below are dealt out on both
+    # sides and a run or window that very many documents share can be split.
+    compact = cut(paths(known.where("first < last")), "passage-paths")
     whole = found.join(compact, ["gram", "run"]).where("doc > first").select(
         *KEY, "start", F.col("windows").alias("count"))
     first = known.where("mixed").select("gram", "run", F.col("first").alias("doc"))
     edges = found.join(first, ["gram", "run", "doc"]).select(*KEY, "start", "count", "gram")
     single = cut(windows_of(docs, edges), "passage-windows")
     least = single.groupBy("gram", "id").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    parts = single.join(least.drop("last"), ["gram", "id"]).where("doc > first").select(
+    shared = cut(least.drop("last"), "passage-shared")
+    parts = single.join(shared, ["gram", "id"]).where("doc > first").select(
         *KEY, F.col("at").alias("start"), F.lit(1).alias("count"))
     return whole.unionByName(parts)
 
