@@ -105,3 +105,18 @@ def test_concentration_of_many_payers_needs_no_whole_sort(spark):
     paid = spark.range(3000).select(
         F.col("id").cast("string").alias("uid"), ((F.col("id") * 7919) % 3001).cast("double").alias("amount"), F.lit("purchase").alias("event_type"))
     assert metrics.revenue_concentration(paid, at_once=100).collect() == metrics.revenue_concentration(paid).collect()
+
+
+def test_stream_closes_sessions_behind_the_watermark(spark, tmp_path):
+    from eventlens.streaming.sessions import session_stream
+
+    e = events(spark, ("u", "10:00:00", "login", None, None, 0), ("u", "10:10:00", "purchase", "shop", "p", 7), ("u", "11:00:00", "login", None, None, 0),
+               ("v", "14:00:00", "login", None, None, 0), ("v", None, "login", None, None, 0))
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    run = session_stream(stream).writeStream.format("memory").queryName("closed").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = sorted((r.uid, str(r.start.time()), r.event_count, r.revenue) for r in spark.table("closed").collect())
+    assert got == [("u", "10:00:00", 2, 7.0), ("u", "11:00:00", 1, 0.0)]
+    assert session_stream(e).count() == 3
