@@ -1,18 +1,21 @@
 """Groups of near-duplicate texts by wide SimHash fingerprints.
 
-Texts of which 0.8 or more of the different five-word shingles agree differ in
-about an eighth of their fingerprint's bits, too many for the anchors of one
-code over all of it. The fingerprint here has 253 bits, eleven blocks of the
-Golay code, and anchors are laid in each block on its own: fingerprints that
-differ in two bits of a block, half of it on either side, meet at an anchor of
-that block. Those that meet are linked if they differ in ``MOST_BITS`` of all
-bits. Of a pair at similarity 0.8 about five in six are linked, at 0.85
-nineteen in twenty, at 0.9 nearly all; of pairs at 0.6 one in a hundred.
+Two texts are linked if of their different five-word shingles 0.8 or more agree
+(Jaccard similarity, by 64 bits of hash of each shingle). Fingerprints only find
+the pairs to look at. Similar texts differ in about an eighth of their
+fingerprint's bits, too many for the anchors of one code over all of it. The
+fingerprint here has 253 bits, eleven blocks of the Golay code, and anchors are
+laid in each block on its own: fingerprints that differ in two bits of a block,
+half of it on either side, meet at an anchor of that block. Those that meet are
+candidates if they differ in ``MOST_BITS`` of all bits.
 
 Fingerprints go to their anchors packed, many to a row. At an anchor they are
-compared in tiles, and only links that join two groups are sent on, fewer than
-there are fingerprints, however large a group of copies is. Texts with equal
-fingerprints are one from the start.
+compared in tiles, and only candidates that join two groups are sent on, fewer
+than there are fingerprints, however large a group of copies is. The groups so
+found hold every candidate pair. Then each text of a group goes to its group
+once, or, where a group is larger than ``PART``, to the pairs of parts that its
+part stands in; there all pairs are compared by their shingles, and those that
+agree enough are linked. Texts with equal shingles are one from the start.
 
 Defined results: see ``simhash``; texts without words are one group; where
 rows repeat, one is kept; a null doc_id comes after all others; an empty table
@@ -36,8 +39,12 @@ from .windows import scramble
 
 SHINGLE = 5
 BLOCKS = 11
+#: Shingles of a pair that agree, of all that either has, for a link.
+LEAST_ALIKE = 0.8
 #: Of 253 bits; 38 are expected to differ at similarity 0.8, give or take 6.
-MOST_BITS = 44
+MOST_BITS = 60
+#: Texts of a group that are compared with as many others in one place.
+PART = 256
 #: Fingerprints a task places at a time, and the side of a tile of comparisons.
 GATHER = 1 << 14
 TILE = 1 << 11
@@ -45,27 +52,33 @@ TILE = 1 << 11
 PRINT = ["f0", "f1", "f2", "f3"]
 
 
-def wide_print(text: str | None) -> np.ndarray:
-    """Four words of 64 bits, by the different shingles of a text."""
-    found = set(shingles(text, SHINGLE))
-    if not found:
-        return np.zeros(4, np.uint64)
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of the different shingles of a text."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, SEED) for x in found], np.uint64)
+    return np.array([digest(x, SEED) for x in set(shingles(text, SHINGLE))], np.uint64)
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """Four words of 64 bits, by the hashes of a text's shingles."""
+    if not len(hashes):
+        return np.zeros(4, np.uint64)
     bits = np.concatenate([majority(scramble(hashes + np.uint64(i))) for i in range(4)])
     return np.packbits(bits, bitorder="little").view("<u8")
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """(doc, print, f0..f3) of every row of (doc, print, text)."""
+    """(doc, print, own, f0..f3) of every row of (doc, print, text); own tells
+    sets of shingles apart."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([wide_print(t) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, 4)
-            words = [pa.array(np.ascontiguousarray(own[:, i]).view(np.int64)) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words], ["doc", "print", *PRINT])
+            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+            prints = np.array([wide_print(x) for x in sets], np.uint64).reshape(-1, 4)
+            own = np.array([np.add.reduce(scramble(x + np.uint64(4))) if len(x) else 0 for x in sets], np.uint64)
+            words = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (own, *prints.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words], ["doc", "print", "own", *PRINT])
 
     return docs.select("doc", "print", "text").mapInArrow(
-        each, "doc long, print long, f0 long, f1 long, f2 long, f3 long")
+        each, "doc long, print long, own long, f0 long, f1 long, f2 long, f3 long")
 
 
 def block_anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +118,7 @@ def _packed(prints: DataFrame) -> DataFrame:
 
 
 def forest(nodes: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
-    """Links between near fingerprints, as few as join the same groups."""
+    """Candidates among near fingerprints, as few as join the same groups."""
     group = list(range(len(nodes)))
     links = []
 
@@ -132,8 +145,8 @@ def forest(nodes: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """(a, b): linked nodes of (node, f0..f3)."""
+def candidates(prints: DataFrame) -> DataFrame:
+    """(a, b): nodes of (node, f0..f3) to compare, as few as join the same groups."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, parts = None, []
 
@@ -156,6 +169,65 @@ def near_links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(each, "a long, b long")
 
 
+def alike(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets that agree enough, as few as join the same groups."""
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    group, links = np.arange(len(nodes)), []
+    held = np.zeros(len(ids), bool)
+    for i in range(len(nodes) - 1):
+        if (group[i + 1:] == group[i]).all():
+            continue
+        mine = ids[starts[i]: starts[i] + sizes[i]]
+        held[mine] = True
+        both = np.add.reduceat(held[ids[starts[i + 1]:]], starts[i + 1:] - starts[i + 1], dtype=np.int64)
+        held[mine] = False
+        # Whole numbers, so that a pair at the very limit is linked.
+        near = 100 * both >= round(100 * LEAST_ALIKE) * (sizes[i] + sizes[i + 1:] - both)
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                links.append((nodes[i], nodes[j]))
+    return links
+
+
+def _in_parts(groups: DataFrame) -> DataFrame:
+    """(node, component, left, right): the pairs of parts a node stands in."""
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64(F.lit(SEED), "node"), "parts").cast("int")
+    pair = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    return groups.join(sizes, "component").select("node", "component", own.alias("own"), pair.alias("other")).select(
+        "node", "component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
+
+
+def near_links(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): linked nodes of (node, text), of those in one group of (node,
+    component)."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, nodes, sets = None, [], []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            found = alike(nodes, sets) if len(nodes) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            for component, left, right, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (component, left, right) != own:
+                    yield from settle()
+                    own, nodes, sets = (component, left, right), [], []
+                found = shingle_set(text)
+                if len(found):  # a text without words is like no other
+                    nodes.append(node)
+                    sets.append(found)
+        yield from settle()
+
+    place = ["component", "left", "right"]
+    dealt = _in_parts(groups).join(texts, "node").select(*place, "node", "text").repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(each, "a long, b long")
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """``df`` with __doc and __print, by which its rows are told apart."""
     return df.withColumns({"__doc": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)),
@@ -167,9 +239,14 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows = keyed(df, key, text)
     own = cut(wide_prints(rows.select(F.col("__doc").alias("doc"), F.col("__print").alias("print"),
                                       F.col(text).cast("string").alias("text"))), "near-prints")
-    nodes = cut(own.groupBy(*PRINT).agg(F.min(F.struct("doc", "print")).alias("first")).withColumn(
-        "node", F.xxhash64(*PRINT)), "near-nodes")
-    groups = components(near_links(nodes))
+    nodes = cut(own.groupBy("own", *PRINT).agg(F.min(F.struct("doc", "print")).alias("first")).withColumn(
+        "node", F.xxhash64("own", *PRINT)), "near-nodes")
+    loose = cut(components(candidates(nodes)), "near-loose")
+    first = nodes.join(loose, "node", "left_semi").select("node", F.col("first.doc").alias("__doc"), F.col("first.print").alias("__print"))
+    # Rows that repeat a text are one; they go no further than their task.
+    texts = cut(rows.select("__doc", "__print", F.col(text).cast("string").alias("text")).join(first, ["__doc", "__print"]).groupBy("node").agg(
+        F.first("text").alias("text")), "near-texts")
+    groups = components(near_links(texts, loose))
     named = nodes.select("node", "first").join(groups, "node", "left")
     kept = named.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first")).select(
         F.col("first.doc").alias("__doc"), F.col("first.print").alias("__print"))

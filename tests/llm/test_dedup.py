@@ -152,6 +152,38 @@ def test_near_groups_keep_one_of_each(spark, no_docs):
     assert len(set(close) & set(kept)) <= 0.05 * len(close)
 
 
+def test_near_groups_equal_brute_force_at_the_limit(spark, no_docs, monkeypatch):
+    monkeypatch.setattr(near, "PART", 16, raising=False)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts, seen = {}, {"under": 0, "over": 0}
+    for k in range(120):
+        base = [word() for _ in range(200)]
+        # A run of changed words takes as many shingles and four more.
+        run = rng.randint(6, 40)
+        other = base[:100] + [word() for _ in range(run)] + base[100 + run:]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(other)
+        j = jaccard(texts[2 * k], texts[2 * k + 1])
+        seen["over"] += 0.8 <= j < 0.9
+        seen["under"] += 0.6 <= j < 0.8
+    assert min(seen.values()) > 20
+    # Many texts that look alike to the fingerprints, of which none is near another.
+    base = [word() for _ in range(300)]
+    for k in range(1000, 1050):
+        texts[k] = " ".join(base[:255] + [word() for _ in range(45)])
+    texts[1050] = texts[1000] + " " + " ".join(word() for _ in range(10))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], no_docs.schema)
+    kept = {r.doc_id for r in near.keep_one(docs).collect()}
+    group = {i: i for i in texts}
+    pairs = [(2 * k, 2 * k + 1) for k in range(120)] + [(i, j) for i in range(1000, 1051) for j in range(i + 1, 1051)]
+    for i, j in pairs:
+        if jaccard(texts[i], texts[j]) >= 0.8:
+            low, high = sorted((group[i], group[j]))
+            group = {x: low if g == high else g for x, g in group.items()}
+    want = {i for i in texts if group[i] == i}
+    assert kept == want
+
+
 def test_forest_joins_the_same_groups_with_few_links():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, (3, 4)).astype(np.uint64)
