@@ -1,8 +1,14 @@
 """Benchmark passages in documents, found by the q-gram lemma.
 
-Texts are compared in lower case with runs of white space as one space. Each
-benchmark item is laid out in overlapping pieces; a document is contaminated
-if a piece occurs in it with no more edits than the piece's budget.
+Texts are compared in lower case with runs of white space as one space. A
+document is contaminated if it holds any ``PIECE`` characters in a row of an
+item, wherever in the item they begin, or the whole of a shorter item, with no
+more edits than the budget for that length.
+
+Each item is laid out in overlapping pieces, which find whole items and long
+parts of them. Items that no piece finds in a document are then searched in
+windows at every place of the item: its q-grams are indexed once by their
+place, and windows that share enough in a band of diagonals are verified.
 
 By the q-gram lemma a piece of p characters and its occurrence with k edits
 share at least p - q + 1 - k q of their q-grams, all on diagonals (place in the
@@ -17,8 +23,8 @@ documents. Documents are never shuffled.
 
 Defined results: null and empty documents, and items of fewer characters than
 a q-gram, match nothing; items with equal text are each reported; a document
-that holds an item several times is reported once for it, at its best and then
-first place; rows that repeat are each reported; an empty table, or an empty
+that holds an item several times is reported once for it, at the best and then
+first place of a piece, or of a window where no piece occurs; rows that repeat are each reported; an empty table, or an empty
 benchmark, gives an empty result.
 """
 
@@ -46,6 +52,8 @@ BLOCK_CHARS = 4_000_000
 CHUNK = 1 << 20
 #: Regions aligned together.
 ALIGN_AT_ONCE = 256
+#: Windows that wait for it.
+PUT_OFF = 1 << 14
 
 _SLOT_BITS = 22
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,14 +89,22 @@ class Index:
     place: np.ndarray
     slots: np.ndarray  # whether any gram falls into a slot
     reach: int  # longest occurrence
+    owners: list[int | None]  # items longer than a piece
+    bodies: list[str]
+    first_whole: np.ndarray  # postings of gram i in those
+    owner: np.ndarray
+    at_place: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> Index:
-        items, pieces = [], []
+        items, pieces, owners, bodies = [], [], [], []
         for item, text in rows:
             body = normal(text)
             if len(body) < Q:
                 continue
+            if len(body) > PIECE:
+                owners.append(item)
+                bodies.append(body)
             starts = [0] if len(body) <= PIECE else [*range(0, len(body) - PIECE, STRIDE), len(body) - PIECE]
             for at in starts:
                 items.append(item)
@@ -101,15 +117,21 @@ class Index:
         keys, first = np.unique(grams[order], return_index=True)
         slots = np.zeros(1 << _SLOT_BITS, bool)
         slots[(keys * _SPREAD) >> np.uint64(64 - _SLOT_BITS)] = True
+        whole = [_grams(_codes(b)) for b in bodies]
+        # The pieces of an item have all of its q-grams.
+        key = np.searchsorted(keys, np.concatenate(whole)) if whole else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(bodies)), [len(g) for g in whole])
+        at_place = np.concatenate([np.arange(len(g)) for g in whole]) if whole else np.zeros(0, np.int64)
+        by_key = np.argsort(key, kind="stable")
         needed = np.array([len(p) - Q + 1 - budget(len(p)) * Q for p in pieces], np.int64)
         return cls(items, pieces, needed, keys, np.append(first, len(grams)), piece[order], place[order], slots,
-                   max((len(p) + budget(len(p)) for p in pieces), default=0))
+                   max((len(p) + budget(len(p)) for p in pieces), default=0), owners, bodies,
+                   np.searchsorted(key[by_key], np.arange(len(keys) + 1)), owner[by_key], at_place[by_key])
 
-    def regions(self, codes: np.ndarray) -> np.ndarray:
-        """(piece, first diagonal of the band) of bands that share enough."""
-        none = np.zeros((0, 2), np.int64)
+    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, gram) of the q-grams that lie close enough to count."""
         if len(codes) < Q or not self.pieces:
-            return none
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         grams = _grams(codes)
         at = np.flatnonzero(self.slots[(grams * _SPREAD) >> np.uint64(64 - _SLOT_BITS)])
         which = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
@@ -122,7 +144,10 @@ class Index:
         np.add.at(mark, dense, 1)
         np.add.at(mark, until[dense], -1)
         keep = np.cumsum(mark[:-1]) > 0
-        at, which = at[keep], which[keep]
+        return at[keep], which[keep]
+
+    def regions(self, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """(piece, first diagonal of the band) of bands that share enough."""
         count = self.first[which + 1] - self.first[which]
         post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.first[which], count)
         place = self.place[post]
@@ -155,40 +180,96 @@ class Index:
             keep[i] = any(len(np.unique(place[a + j: a + until[j]])) >= needed for j in dense.tolist())
         return keep
 
+    def windows(self, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(owner, first diagonal of the band, windows of the item that share
+        enough in it, by where they begin)."""
+        needed, last = PIECE - Q + 1 - budget(PIECE) * Q, PIECE - Q
+        count = self.first_whole[which + 1] - self.first_whole[which]
+        post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.first_whole[which], count)
+        place, owner = self.at_place[post], self.owner[post]
+        longest = max(map(len, self.bodies), default=0)
+        diagonal = np.repeat(at, count) - place + longest  # never negative
+        bands = np.concatenate([diagonal // BAND * 2, (diagonal + BAND // 2) // BAND * 2 + 1])
+        keys, which_key, shared = np.unique(np.concatenate([owner, owner]) << 40 | bands, return_inverse=True, return_counts=True)
+        enough = shared >= needed
+        keep = np.flatnonzero(enough[which_key])
+        # By key and place; a place counts once.
+        both = np.unique(np.stack([which_key[keep], np.concatenate([place, place])[keep]], axis=1), axis=0)
+        ends = np.searchsorted(both[:, 0], np.arange(len(keys)), "right")
+        for k in np.flatnonzero(enough).tolist():
+            places = both[ends[k - 1] if k else 0: ends[k], 1]
+            if len(places) < needed:
+                continue
+            low, high = places[: len(places) - needed + 1], places[needed - 1:]
+            own, band = int(keys[k]) >> 40, int(keys[k]) & ((1 << 40) - 1)
+            most = len(self.bodies[own]) - PIECE
+            mark = np.zeros(most + 2, np.int64)
+            begin, end = np.maximum(high - last, 0), np.minimum(low, most)
+            real = begin <= end
+            np.add.at(mark, begin[real], 1)
+            np.add.at(mark, end[real] + 1, -1)
+            starts = np.flatnonzero(np.cumsum(mark)[: most + 1] > 0)
+            if len(starts):
+                yield own, band // 2 * BAND - band % 2 * (BAND // 2) - longest, starts
+
     def find(self, texts: list[str]) -> list[dict[int | None, tuple[int, int, int]]]:
         """For each normal text: item -> (edits, start, end)."""
         joined = "\0".join(texts)
         ends = np.cumsum([len(t) + 1 for t in texts])
         found: list[dict] = [{} for _ in texts]
-        wanted: dict[int, list[tuple[int, int, int, str]]] = {}  # by length of the piece
+        wanted: dict[int, list[tuple[int, int | None, int, str, str]]] = {}  # by length of the piece
 
-        def put(row: int, piece: int, at: int, best: tuple[int, int, int] | None) -> None:
+        def put(row: int, item: int | None, at: int, best: tuple[int, int, int] | None) -> None:
             if best is not None:
-                item, begin = self.items[piece], int(ends[row]) - len(texts[row]) - 1
+                begin = int(ends[row]) - len(texts[row]) - 1
                 hit = (best[0], best[1] + at - begin, best[2] + at - begin)
                 found[row][item] = min(found[row].get(item, hit), hit)
 
-        for piece, start in self.regions(_codes(joined)).tolist():
-            body = self.pieces[piece]
+        def look(item: int | None, body: str, start: int, rows: list[int] | None = None) -> None:
+            """Search a band's occurrences of ``body``, or put that off."""
             edits = budget(len(body))
-            # The texts that the band's occurrences may lie in.
             low, high = max(start - edits, 0), start + BAND + len(body) + edits
-            for row in range(int(np.searchsorted(ends, low, "right")), len(texts)):
-                begin = int(ends[row]) - len(texts[row]) - 1
-                if begin >= high:
-                    break
-                a, b = max(low, begin), min(high, int(ends[row]) - 1)
+            for row in near(low, high) if rows is None else rows:
+                a, b = max(low, int(ends[row]) - len(texts[row]) - 1), min(high, int(ends[row]) - 1)
+                if a >= b:
+                    continue
                 exact = joined.find(body, a, b)
                 if exact >= 0:
-                    put(row, piece, a, (0, exact - a, exact - a + len(body)))
+                    put(row, item, a, (0, exact - a, exact - a + len(body)))
                 else:
-                    wanted.setdefault(len(body), []).append((row, piece, a, joined[a:b]))
-        for length, group in wanted.items():
-            for k in range(0, len(group), ALIGN_AT_ONCE):
-                part = group[k: k + ALIGN_AT_ONCE]
-                best = align([self.pieces[g[1]] for g in part], [g[3] for g in part], budget(length))
-                for (row, piece, at, _), one in zip(part, best, strict=True):
-                    put(row, piece, at, one)
+                    wanted.setdefault(len(body), []).append((row, item, a, body, joined[a:b]))
+
+        def near(low: int, high: int) -> Iterator[int]:
+            """The texts that lie between two places."""
+            for row in range(int(np.searchsorted(ends, low, "right")), len(texts)):
+                if int(ends[row]) - len(texts[row]) - 1 >= high:
+                    break
+                yield row
+
+        def settle() -> None:
+            for length, group in wanted.items():
+                for k in range(0, len(group), ALIGN_AT_ONCE):
+                    part = group[k: k + ALIGN_AT_ONCE]
+                    best = align([g[3] for g in part], [g[4] for g in part], budget(length))
+                    for (row, item, at, _, _), one in zip(part, best, strict=True):
+                        put(row, item, at, one)
+            wanted.clear()
+
+        at, which = self.shared(_codes(joined))
+        for piece, start in self.regions(at, which).tolist():
+            look(self.items[piece], self.pieces[piece], start)
+        settle()
+        held = [set(hits) for hits in found]
+        for own, start, begins in self.windows(at, which):
+            item, body = self.owners[own], self.bodies[own]
+            edits = budget(PIECE)
+            reach = start + int(begins[0]) - edits, start + int(begins[-1]) + BAND + PIECE + edits
+            rows = [row for row in near(max(reach[0], 0), reach[1]) if item not in held[row]]
+            for begin in begins.tolist() if rows else ():
+                look(item, body[begin: begin + PIECE], start + begin, rows)
+            if sum(map(len, wanted.values())) >= PUT_OFF:
+                settle()
+        settle()
         return found
 
 

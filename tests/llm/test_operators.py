@@ -186,6 +186,28 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and len(want) > 12
 
 
+def test_parts_of_items_are_found_wherever_they_begin():
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n)).replace("  ", " a").strip().ljust(n, "z")
+    items = [(1, text(260)), (2, text(150)), (3, text(60))]
+    index = decontaminate.Index.of(items)
+    whole = decontaminate.PIECE
+    for item, body in items[:2]:
+        assert decontaminate.normal(body) == body
+        for length in (whole, 100, 110):
+            docs = ["~" * 50 + body[at: at + length] + "~" * 50 for at in range(len(body) - length + 1)]
+            assert all(item in hits for hits in index.find(docs))
+            assert all(item in index.find([d])[0] for d in docs[::17])
+    # Changed windows, and shorter ones, against all windows of an item.
+    docs = ["~" * 30 + changed(rng, items[1][1][at: at + whole + extra], k) + "~" * 30
+            for at in (0, 20, 41) for extra in (-10, 0, 4) for k in (0, 7, 16)]
+    got = index.find(docs)
+    for doc, hits in zip(docs, got, strict=True):
+        least = min(edits(items[1][1][at: at + whole], doc) for at in range(0, 150 - whole + 1))
+        assert (2 in hits) == (least <= decontaminate.budget(whole))
+    assert 5 < sum(2 in h for h in got) < len(docs) - 5 and not any(3 in h for h in got)
+
+
 def test_benchmark_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)
     items = [(i, f"passage number {i} " + "abcdefgh" * i + " with an end of its own") for i in range(1, 6)]
