@@ -9,7 +9,10 @@ element is the container, since an article may be laid out in sections.
 
 Elements that are never part of an article (menus, headers and footers of the
 page, asides, forms, scripts, styles, adverts, notices, reader comments) are
-taken out before, by tag and by the words of their class, id and role.
+taken out before, by tag and by the words of their class, id and role. Names
+don't decide alone: an element that holds the page's best article or main
+element, or the greater part of its paragraphs' points with few links, stays
+and is left to the score. One named after comments needs a good name as well.
 
 Pages are independent: each is one row in one task, and nothing is shuffled.
 
@@ -63,18 +66,20 @@ BAD_WORDS = set("ad ads adbox adslot advert adverts advertisement advertising ba
                 "newsletter subscribe subscription signup share sharing social related recommended recommendations pager pagination "
                 "toolbar widget widgets outbrain taboola skip search login alert complementary contentinfo tags".split())
 GOOD_WORDS = set("article content entry main post body text story hentry blog page articlebody".split())
+COMMENT_WORDS = set("comment comments commentlist discussion disqus reply replies respond".split())
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "words", "points", "chars", "linked", "out")
+    __slots__ = ("tag", "parent", "children", "words", "points", "chars", "linked", "out", "weight", "holds")
 
     def __init__(self, tag: str, parent: Node | None, words: frozenset[str] = frozenset(), out: bool = False) -> None:
         self.tag, self.parent, self.words, self.out = tag, parent, words, out
         self.children: list[Node | str] = []
-        self.points = 0.0
+        self.points = self.weight = 0.0
         self.chars = self.linked = 0
+        self.holds = False
 
 
 def _named(rest: str) -> tuple[frozenset[str], bool]:
@@ -140,21 +145,48 @@ def parse(page: str) -> Node:
     return root
 
 
-def _outside(node: Node, in_article: bool) -> bool:
-    """Whether an element is no part of an article."""
-    if node.out or node.tag in NEVER:
-        return True
+def _never(node: Node, in_article: bool) -> bool:
+    """Whether an element is no part of an article by what it is."""
+    return node.out or node.tag in NEVER or (node.tag == "header" and not in_article)
+
+
+def _misnamed(node: Node) -> bool:
+    """Whether an element's names say that it is no part of an article."""
     if node.tag == "header":
-        return not in_article
+        return False
     if node.tag in ("article", "main", "body", "html"):
         return bool(node.words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo"})
     bad = node.words & BAD_WORDS
     return bool(bad) and not node.words & {"article", "articlebody", "hentry"} or "comment" in bad or "comments" in bad
 
 
-def _measure(node: Node, in_link: bool, in_article: bool) -> None:
+def _spare(root: Node) -> None:
+    """Mark the elements that stay whatever their names are. The whole page
+    has been measured without a look at names."""
+    best, stack = None, [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main") and not _misnamed(node) and node.weight and (best is None or node.weight > best.weight):
+            best = node
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.out)
+    up = best
+    while up is not None:
+        up.holds = not up.words & COMMENT_WORDS or bool(up.words & GOOD_WORDS)
+        up = up.parent
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if 2 * node.weight > root.weight and 3 * node.linked < node.chars and (
+                not node.words & COMMENT_WORDS or node.words & GOOD_WORDS):
+            node.holds = True
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.out and 2 * c.weight > root.weight)
+
+
+def _measure(node: Node, in_link: bool, in_article: bool, names: bool) -> None:
     """Lengths and links of every element, and the points of paragraphs."""
     commas = own = 0
+    node.points = node.weight = 0.0
+    node.chars = node.linked = 0
     in_article = in_article or node.tag in ("article", "main")
     for child in node.children:
         if isinstance(child, str):
@@ -165,10 +197,11 @@ def _measure(node: Node, in_link: bool, in_article: bool) -> None:
             if in_link:
                 node.linked += len(text)
             continue
-        if _outside(child, in_article):
+        if _never(child, in_article) or (names and not child.holds and _misnamed(child)):
             child.out = True
             continue
-        _measure(child, in_link or child.tag == "a", in_article)
+        _measure(child, in_link or child.tag == "a", in_article, names)
+        node.weight += child.weight
         node.chars += child.chars
         node.linked += child.linked
         if child.tag in INLINE:
@@ -176,6 +209,7 @@ def _measure(node: Node, in_link: bool, in_article: bool) -> None:
             own += child.chars
     if node.tag in PARAGRAPHS or (own > 0 and node.tag in CONTAINERS):
         points = 1 + commas + min(own / 100, 3)
+        node.weight += points
         up, share = node if node.tag in CONTAINERS else node.parent, 1.0
         while up is not None and share > 0.1:
             up.points += points * share
@@ -238,7 +272,9 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     _flatten(root)
-    _measure(root, False, False)
+    _measure(root, False, False, names=False)
+    _spare(root)
+    _measure(root, False, False, names=True)
     out: list[str] = []
     for node in _kept(root):
         _text(node, out)

@@ -256,6 +256,16 @@ def test_pages(page, text):
     assert pages.main_text(page) == text
 
 
+@pytest.mark.parametrize("start", [
+    "<div class='content has-sidebar'>", "<div class='content-sidebar-wrap'>", "<section id='main-with-menu'>", "<div class='post no-comments'>",
+    "<div class='content has-sidebar'><article>", "<div class='page-widget'><main>"])
+def test_names_alone_do_not_lose_the_article(start):
+    page = ("<div class='sidebar'><p>other, things</p></div>" + start + "<p>One, two, three and more of the text.<p>Four, five, six of it."
+            "<div class='ad'>buy</div></article></main></div></section><div class='post-sidebar'><a href=x>link</a></div>"
+            "<div class='comments'><p>first, reply</p></div>")
+    assert pages.main_text(page) == "One, two, three and more of the text. Four, five, six of it."
+
+
 def test_pages_of_any_size_and_depth(spark, no_docs):
     body = " ".join(f"w{i}" for i in range(50_000))
     assert pages.main_text(f"<article><p>{body}</p></article>") == body
