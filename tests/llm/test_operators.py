@@ -12,7 +12,7 @@ import pytest
 from helpers import DATA, same
 from pyspark.sql import functions as F
 
-from eventlens.llm import catalog, chat, decontaminate, licences, mixing, pages, quality, sharding
+from eventlens.llm import catalog, chat, decontaminate, mixing, pages, quality, sharding
 
 ORACLES = {name: (module, sql) for module in catalog.MODULES for name, sql in module.ORACLES.items()}
 
@@ -58,7 +58,7 @@ def test_policies_and_ablation(spark, odd_docs, no_docs):
 def test_quality_runs_no_python(spark):
     plan = quality.op8_quality_rules(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
-    assert not re.search("Python|Arrow|Exchange", licences.op6_licence_scan(spark, DATA)._jdf.queryExecution().executedPlan().toString())
+
 
 
 # --- mixing --------------------------------------------------------------------
@@ -218,27 +218,6 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     assert bench.select(F.size(decontaminate.leaks(spark, none, F.col("text"))).alias("n")).agg(F.sum("n")).first()[0] == 0
 
 
-# --- licences --------------------------------------------------------------------
-
-MIT = ("MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software. "
-       "The above copyright notice and this permission notice shall be included in all copies. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY.")
-BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain the notice. "
-       "Redistributions in binary form must reproduce the notice. ")
-
-
-@pytest.mark.parametrize(("text", "licence", "all_of"), [
-    ("prose\nLicensed under the Apache Licence, Version 2.0.", "Apache-2.0", "Apache-2.0"),
-    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", "GPL-3.0"),
-    ("under the GNU General Public License version 3, or (at your option) any later version.", "GPL-3.0-or-later", "GPL-3.0-or-later"),
-    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC", "CC-BY-NC"), ("Released under the MIT License.", "MIT", "MIT"), (MIT, "MIT", "MIT"),
-    (BSD + "Neither the name of the author may be used to endorse products.", "BSD-3-Clause", "BSD-3-Clause"), (BSD, "BSD-2-Clause", "BSD-2-Clause"),
-    ("Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "CC-BY-NC", "CC-BY-NC,MIT"), ("You need a licence to fish.", "UNKNOWN", ""),
-    ("Nothing of the kind.", "NONE", ""), ("", "NONE", ""), (None, "NONE", "")])
-def test_licences(spark, text, licence, all_of):
-    r = licences.recognise(spark.createDataFrame([(1, text, "clash")], "doc_id long, text string, licence string")).first()
-    assert (r.licence, r.licences) == (licence, all_of)
-
-
 # --- pages -----------------------------------------------------------------------
 
 
