@@ -271,29 +271,65 @@ def test_any_text_comes_back(spark):
     rows = [(1, 0, "user", EVIL), (1, 1, "assistant", EVIL * 3), (1, 1, "assistant", EVIL * 3), (1, None, None, None), (2, 0, "ro\nle", ""),
             (None, 0, "assistant", "a"), (3, 0, "assistant", "ünï"), (3, 1, "assistant", ""), (3, 2, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
-    done = chat.format_turns(chat.turns_of_rows(df))
-    got = {r.conv_id: r for r in done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("back"),
+    done = chat.format_turns(chat.turns_of_table(df))
+    got = {r.conv_id: r for r in done.select("conv_id", "formatted", "loss_spans", chat.read_back(F.col("formatted")).alias("back"),
                                              chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
     assert [tuple(t) for t in got[1].back] == [("", ""), ("user", EVIL), ("assistant", EVIL * 3), ("assistant", EVIL * 3)]
     assert got[1].loss == EVIL * 6 and got[3].loss == "ünïb" and got[None].loss == "a" and [tuple(t) for t in got[2].back] == [("ro\nle", "")]
     assert got[1].formatted.count("<|im_start|>") == 4 and "[INST]" not in got[1].formatted
+    assert [got[3].formatted[s.start: s.end] for s in got[3].loss_spans] == ["ünï", "", "b"]
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise(
+        "assistant").alias("role"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"))
+    done = chat.format_turns(chat.turns_of_table(df))
+    r = done.select("formatted", "loss_spans", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    want = [f"é{i}" for i in range(1, n, 2)]
+    assert r.loss == "".join(want) and [r.formatted[s.start: s.end] for s in r.loss_spans] == want
 
 
 def test_layouts_are_chosen_by_fingerprint(spark):
     records = [
-        {"prompt": "p", "completion": "c"}, {"completion": "c", "prompt": "p", "id": 7}, {"instruction": "do", "output": "o"},
-        {"instruction": "do", "input": "it", "output": "o"}, {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]},
+        {"prompt": "p", "completion": "c"}, {"completion": "c", "prompt": "p", "id": 7, "meta": {"source": "web"}}, {"instruction": "do", "output": "o"},
+        {"instruction": "do", "input": "it", "output": "o"},
+        {"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": "a"}], "source": "x"},
         {"conversations": [{"from": "human", "value": "u"}, {"from": "gpt", "value": "a"}]}, {"system": "s", "prompt": "p", "response": "r"},
-        {"data": {"prompt": "p", "response": "r"}}, {"what": "ever"}]
-    texts = [*map(json.dumps, records), "not json", "[1]", None]
-    got = [r for r in chat.turns_of_records(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, record string")).orderBy("i").collect()]
+        {"data": {"prompt": "p", "response": "r"}}, {"messages": []}, {"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]},
+        {"data": {"messages": [{"role": "user", "content": None}]}}, {"what": "ever"}, {"prompt": "p", "answer": "a"}, {"messages": "no list"}]
+    texts = [*map(json.dumps, records), "not json", "[1]", "7", "", None]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "i int, record string, layout string")
+    got = chat.turns_of_records(df).orderBy("i").collect()
     turns = [None if r.turns is None else [tuple(t) for t in r.turns] for r in got]
     assert turns[0] == turns[1] == [("user", "p"), ("assistant", "c")] and turns[2] == [("user", "do"), ("assistant", "o")]
     assert turns[3] == [("user", "do\n\nit"), ("assistant", "o")] and turns[4] == turns[5] == [("user", "u"), ("assistant", "a")]
     assert turns[6] == [("system", "s"), ("user", "p"), ("assistant", "r")] and turns[7] == [("user", "p"), ("assistant", "r")]
-    assert turns[8:] == [None] * 4 and got[8].layout is None and got[8].layout_fingerprint is not None
-    with pytest.raises(ValueError, match="mapping"):
-        chat.turns_of_rows(spark.range(1))
+    assert turns[8] == [] and turns[9] == [("user", ""), ("assistant", "a")] and turns[10] == [("user", "")] and turns[11:] == [None] * 8
+    assert got[11].layout is None and got[11].layout_fingerprint is not None and got[14].layout_fingerprint is None
+    assert got[0].layout_fingerprint == chat.fingerprint(["prompt", "completion", "other"]) and got[4].layout == "messages"
+    plan = chat.turns_of_records(df)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
+def test_tables_of_all_layouts_give_the_same_turns(spark):
+    want = [("user", "u"), ("assistant", "a")]
+    rows = [("c", 0, "user", "u"), ("c", 1, "assistant", "a")]
+    flat = spark.createDataFrame(rows, "c string, i int, r string, t string")
+    tables = [
+        flat.toDF("conv_id", "turn", "role", "text"), flat.toDF("conversation_id", "position", "from", "value").withColumn("extra", F.lit(1)),
+        flat.select(F.struct(F.col("c").alias("id"), F.col("i").alias("index")).alias("thread"), F.struct(F.col("r").alias("role")).alias("author"),
+                    F.col("t").alias("body")),
+        spark.createDataFrame([("u", "a", 1)], "prompt string, completion string, score int"),
+        spark.createDataFrame([([("human", "u"), ("gpt", "a")],)], "conversations array<struct<`from`:string,value:string>>"),
+        spark.createDataFrame([(([("user", "u"), ("assistant", "a")],),)], "data struct<messages:array<struct<role:string,content:string>>>")]
+    assert len({chat.mapping_of(t).name for t in tables}) == len(tables)
+    for t in tables:
+        (r,) = chat.turns_of_table(t).collect()
+        assert [tuple(x) for x in r.turns] == want and r.conv_id in ("c", None)
+    for bad in (spark.range(1), flat.toDF("conv_id", "turn", "role", "body")):
+        with pytest.raises(ValueError, match="mapping"):
+            chat.turns_of_table(bad)
 
 
 def test_no_conversations(spark, as_table):
