@@ -1,24 +1,30 @@
-"""Removal of repeated byte strings by refining buckets of suffixes.
+"""Removal of repeated byte strings by bucket-pointer refinement of suffixes.
 
 Of all suffixes only those at pivots are kept, one for each run of 50-byte
 strings (see ``windows``): every 50-byte string holds the pivot that stands
 for it, so no match is missed.
 
-* Initial buckets: pivots are dealt out by the identifier of the q-gram they
-  start with.
-* Refinement: a bucket is sorted by the identifiers of what lies at the later
-  offsets of its suffixes, up to all bytes under the run. Suffixes that stay
-  together hold the same strings; all but those of the first document go.
-* The update is used again: a bucket that split, over several documents, has
-  matches that begin or end inside its runs. The first suffix of each part
-  goes one level down, to its single 50-byte strings, which are dealt into
-  buckets by the bucket they come from and their own identifier, and sorted
-  once more. 25 bytes refined by 25 later bytes are the 50 of the contract.
+* Initial buckets: a suffix points at the bucket of the 25-byte gram at its
+  pivot. Buckets have the same identifiers in all tasks, by the gram's hash.
+* Refinement: a bucket is sorted by the bucket identifiers at other offsets of
+  its suffixes, first that of the last gram under the run, which lies behind
+  the pivot, then that of the first. Each pass splits the buckets that the
+  pass before left, and its new bucket numbers are what the next one sorts
+  within. Three grams cover a run, so suffixes that stay together hold the same
+  strings; all but those of the first document go.
+* Recursion: a bucket that split over several documents has matches that begin
+  or end inside its runs. The first suffix of each part goes one level down,
+  to its single strings; these start in the bucket they come from and are
+  refined in the same way, by the bucket identifiers at their own offsets, 25
+  bytes and the 25 after them. Those are the 50 of the contract.
 
 Suffixes travel packed, many to a row. Before they do, each task settles what
 it can among its own: of equal suffixes it sends on only those of its first
-document. A passage that a third of all documents share thus reaches its
-bucket once per million suffixes of input, not once per document.
+document, so a passage that a third of all documents share reaches its bucket
+once per ``GATHER`` suffixes of input. A gram that is followed by very many
+different things (a label, a signature) is seen by the tasks that meet it:
+they send its suffixes straight to the single strings, which are dealt out by
+their own identifiers, and only tell its bucket that they did.
 
 Defined results: a null text is empty and keeps nothing; texts under 50 bytes
 keep everything; rows that repeat a doc_id never remove from each other; a
@@ -44,19 +50,26 @@ GRAM = 25
 #: Bytes worked on at a time, and suffixes that a task gathers before it sends.
 CHUNK = 1 << 18
 GATHER = 1 << 18
-#: Buckets for each shuffle partition.
+#: Buckets for each shuffle partition, and bytes of text for a bucket at most.
 BUCKETS = 4
+BUCKET_BYTES = 1 << 24
+#: Different suffixes of one gram in a gather from which they are split up.
+HOT = 1 << 10
 
 _TOKENS = scramble(np.arange(1, 257, dtype=np.uint64))
-#: Identifiers travel as 48 bits; a bucket and a refinement make up 96.
+#: Bucket identifiers travel as 48 bits.
 _KEEP = np.uint64(16)
+#: The document of a row that only says that its bucket was split elsewhere.
+_NOBODY = (1 << 63) - 1
 
 
 class Suffixes(NamedTuple):
-    """Places in texts, by what they start with (bucket, later)."""
+    """Places in texts: the bucket they point at, and the bucket identifiers
+    at the offsets by which it is refined, in the order of the passes."""
 
     bucket: np.ndarray
-    later: np.ndarray
+    behind: np.ndarray
+    front: np.ndarray
     doc: np.ndarray
     print: np.ndarray
     start: np.ndarray
@@ -82,10 +95,13 @@ def _numbers(data: bytes, size: int) -> np.ndarray:
     return out.view("<i8")[:, 0]
 
 
-PACKED = "bucket int, settled boolean, keys binary, docs binary, prints binary, starts binary, counts binary"
+#: What a packed row holds: suffixes to compare, ones to remove, or ones to
+#: compare as single strings.
+OPEN, GONE, SPLIT = 0, 1, 2
+PACKED = "bucket int, state int, keys binary, docs binary, prints binary, starts binary, counts binary"
 
 
-def _pack(x: Suffixes, bucket: np.ndarray, settled: bool) -> pa.RecordBatch:
+def _pack(x: Suffixes, bucket: np.ndarray, state: int) -> pa.RecordBatch:
     """A row for each bucket."""
     order = np.lexsort((x.start, x.doc, bucket))
     x, bucket = x.take(order), bucket[order]
@@ -93,42 +109,78 @@ def _pack(x: Suffixes, bucket: np.ndarray, settled: bool) -> pa.RecordBatch:
     out: list[list] = [[], [], [], [], [], [], []]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         gaps = np.diff(x.doc[a:b], prepend=0)
-        row = (int(bucket[a]), settled, b"" if settled else _planes(x.bucket[a:b], 6) + _planes(x.later[a:b], 6),
-               _planes(gaps, 8), _planes(x.print[a:b], 8), _planes(x.start[a:b], 5), _planes(x.count[a:b], 4))
+        keys = (b"" if state == GONE else _planes(x.bucket[a:b], 6) if state == SPLIT
+                else _planes(x.bucket[a:b], 6) + _planes(x.behind[a:b], 6) + _planes(x.front[a:b], 6))
+        row = (int(bucket[a]), state, keys, _planes(gaps, 8), _planes(x.print[a:b], 8), _planes(x.start[a:b], 5), _planes(x.count[a:b], 4))
         for column, value in zip(out, row, strict=True):
             column.append(value)
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                                      ["bucket", "settled", "keys", "docs", "prints", "starts", "counts"])
+                                      ["bucket", "state", "keys", "docs", "prints", "starts", "counts"])
 
 
 def _unpack(row: dict) -> Suffixes:
     docs = np.cumsum(_numbers(row["docs"], 8))
-    keys = row["keys"]
+    keys = [_numbers(row["keys"][i * 6 * len(docs): (i + 1) * 6 * len(docs)], 6) for i in range(len(row["keys"]) // (6 * len(docs)))]
     none = np.zeros(len(docs), np.int64)
-    half = len(keys) // 2
-    return Suffixes(_numbers(keys[:half], 6) if keys else none, _numbers(keys[half:], 6) if keys else none, docs,
+    return Suffixes(*keys, *[none] * (3 - len(keys)), docs,
                     _numbers(row["prints"], 8), _numbers(row["starts"], 5), _numbers(row["counts"], 4))
 
 
-def _refine(x: Suffixes) -> tuple[Suffixes, np.ndarray]:
-    """Sort by bucket and refinement; the first document of each part."""
-    x = x.take(np.lexsort((x.doc, x.later, x.bucket)))
-    opens = np.ones(len(x.doc), bool)
-    opens[1:] = (x.bucket[1:] != x.bucket[:-1]) | (x.later[1:] != x.later[:-1])
-    return x, x.doc[opens][np.cumsum(opens) - 1]
+def _opens(*keys: np.ndarray) -> np.ndarray:
+    """Where, in sorted rows, a new group of equal keys begins."""
+    opens = np.ones(len(keys[0]), bool)
+    opens[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return opens
 
 
-def _send(parts: list[Suffixes], buckets: int) -> Iterator[pa.RecordBatch]:
+def _refine(x: Suffixes) -> tuple[Suffixes, np.ndarray]:
+    """Sort the suffixes of each bucket by the bucket identifiers at their
+    offsets; with the first document of each bucket that is left."""
+    x = x.take(np.argsort(x.bucket, kind="stable"))
+    pointer = np.cumsum(_opens(x.bucket))
+    for at in ("behind", "front"):
+        key = getattr(x, at)
+        order = np.lexsort((key, pointer))
+        x, key, pointer = x.take(order), key[order], pointer[order]
+        # The new numbers are the pointers that the next pass sorts within.
+        pointer = np.cumsum(_opens(pointer, key))
+    x = x.take(np.lexsort((x.doc, pointer)))  # pointers are in order by now
+    return x, x.doc[_opens(pointer)][pointer - 1] if len(pointer) else x.doc
+
+
+def _spread(x: Suffixes, buckets: int) -> np.ndarray:
+    """Where rows go that need not meet others: by document."""
+    return (x.doc.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
+def _send(parts: list[Suffixes], buckets: int, hot_from: int | None) -> Iterator[pa.RecordBatch]:
     """Rows for the shuffle, after what the task can settle itself."""
     if not parts:
         return
     x, first = _refine(_together(parts))
     later = x.doc > first
-    yield _pack(x.take(~later), (x.bucket[~later] % buckets).astype(np.int64), settled=False)
     if later.any():
-        done = x.take(later)
-        yield _pack(done, (done.doc.astype(np.uint64) % np.uint64(buckets)).astype(np.int64), settled=True)
+        gone = x.take(later)
+        yield _pack(gone, _spread(gone, buckets), GONE)
+    rest = x.take(~later)
+    if hot_from is not None:
+        which = np.cumsum(_opens(rest.bucket)) - 1
+        hot = (np.bincount(which) > hot_from)[which]
+        if hot.any():
+            split = rest.take(hot)
+            yield _pack(split, _spread(split, buckets), SPLIT)
+            told = split.take(np.flatnonzero(_opens(split.bucket)))
+            none = np.zeros(len(told.doc), np.int64)
+            told = told._replace(doc=none + _NOBODY, print=none, start=none, count=none)
+            rest = _together([rest.take(~hot), told])
+    yield _pack(rest, _dealt(rest, hot_from is not None) % buckets, OPEN)
+
+
+def _dealt(x: Suffixes, descend: bool) -> np.ndarray:
+    """What deals suffixes out: their bucket, for single strings told apart by
+    the identifier of the string itself."""
+    return x.bucket if descend else (x.bucket ^ (scramble(x.behind.astype(np.uint64)) >> _KEEP).astype(np.int64) ^ x.front)
 
 
 FOUND = "doc long, print long, starts array<long>, counts array<int>, buckets array<long>"
@@ -137,9 +189,7 @@ FOUND = "doc long, print long, starts array<long>, counts array<int>, buckets ar
 def _found(x: Suffixes, mixed: bool) -> pa.RecordBatch:
     """A row for each document, with its places."""
     x = x.take(np.lexsort((x.start, x.print, x.doc)))
-    opens = np.ones(len(x.doc), bool)
-    opens[1:] = (x.doc[1:] != x.doc[:-1]) | (x.print[1:] != x.print[:-1])
-    at = np.flatnonzero(opens)
+    at = np.flatnonzero(_opens(x.doc, x.print))
     ends = pa.array(np.append(at, len(x.doc)).astype(np.int32))
 
     def lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -156,18 +206,18 @@ def _settle(parts: list[Suffixes], descend: bool) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     x, first = _refine(_together(parts))
-    later = x.doc > first
+    real = x.count > 0
+    later = (x.doc > first) & real
     if later.any():
         yield _found(x.take(later), mixed=False)
     if not descend:
         return
     rest = x.take(~later)
-    opens = np.ones(len(rest.doc), bool)
-    opens[1:] = rest.bucket[1:] != rest.bucket[:-1]
+    opens = _opens(rest.bucket)
     at, which = np.flatnonzero(opens), np.cumsum(opens) - 1
-    least = np.minimum.reduceat(rest.doc, at)
-    most = np.maximum.reduceat(rest.doc, at)
-    split = (least < most)[which]  # several first documents: several parts
+    # Several first documents, or parts elsewhere, make several parts.
+    split = (np.minimum.reduceat(rest.doc, at) < np.maximum.reduceat(rest.doc, at)) | (np.minimum.reduceat(rest.count, at) == 0)
+    split = split[which] & (rest.count > 0)
     if split.any():
         yield _found(rest.take(split), mixed=True)
 
@@ -178,8 +228,8 @@ def _deal(packed: DataFrame, descend: bool) -> DataFrame:
         own, parts = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["settled"]:
-                    yield _found(_unpack(row), mixed=False)
+                if row["state"] != OPEN:
+                    yield _found(_unpack(row), mixed=row["state"] == SPLIT)
                     continue
                 if row["bucket"] != own:
                     yield from _settle(parts, descend)
@@ -190,15 +240,15 @@ def _deal(packed: DataFrame, descend: bool) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, FOUND)
 
 
-def _gathered(makers: Iterator[Suffixes], buckets: int) -> Iterator[pa.RecordBatch]:
+def _gathered(makers: Iterator[Suffixes], buckets: int, gather: int, hot_from: int | None = None) -> Iterator[pa.RecordBatch]:
     parts, size = [], 0
     for made in makers:
         parts.append(made)
         size += len(made.doc)
-        if size >= GATHER:
-            yield from _send(parts, buckets)
+        if size >= gather:
+            yield from _send(parts, buckets, hot_from)
             parts, size = [], 0
-    yield from _send(parts, buckets)
+    yield from _send(parts, buckets, hot_from)
 
 
 def _pieces(lengths: list[int]) -> Iterator[list[tuple[int, int, int]]]:
@@ -216,7 +266,7 @@ def _pieces(lengths: list[int]) -> Iterator[list[tuple[int, int, int]]]:
         yield group
 
 
-def suffixes(docs: DataFrame, buckets: int) -> DataFrame:
+def suffixes(docs: DataFrame, buckets: int, gather: int = GATHER, hot_from: int = HOT) -> DataFrame:
     """The packed suffixes at the pivots of all texts."""
     def makers(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
         for batch in batches:
@@ -225,17 +275,18 @@ def suffixes(docs: DataFrame, buckets: int) -> DataFrame:
             for group in _pieces(list(map(len, texts))):
                 data = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in group), np.uint8)
                 bounds = np.cumsum([0, *(b - a for _, a, b in group)])
-                got, _ = runs(_TOKENS[data], bounds, WINDOW, GRAM)
+                got, grams = runs(_TOKENS[data], bounds, WINDOW, GRAM)
                 piece = np.searchsorted(bounds, got.start, "right") - 1
                 row = np.array([i for i, _, _ in group])[piece]
                 start = got.start - bounds[piece] + np.array([a for _, a, _ in group])[piece]
-                yield Suffixes((got.pivot >> _KEEP).astype(np.int64), (got.content >> _KEEP).astype(np.int64),
+                last = got.start + got.count + (WINDOW - 1 - GRAM)
+                yield Suffixes(*((x >> _KEEP).astype(np.int64) for x in (got.pivot, grams[last], grams[got.start])),
                                ids[row], prints[row], start, got.count)
 
-    return docs.select("doc", "print", "body").mapInArrow(lambda b: _gathered(makers(b), buckets), PACKED)
+    return docs.select("doc", "print", "body").mapInArrow(lambda b: _gathered(makers(b), buckets, gather, hot_from), PACKED)
 
 
-def single_strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+def single_strings(docs: DataFrame, wanted: DataFrame, buckets: int, gather: int = GATHER) -> DataFrame:
     """The packed 50-byte strings of the suffixes in split buckets."""
     listed = wanted.groupBy("doc", "print").agg(
         *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "counts", "buckets")])
@@ -250,17 +301,15 @@ def single_strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFram
                     yield _strings(row, start[a: a + (1 << 14)], count[a: a + (1 << 14)], own[a: a + (1 << 14)])
 
     joined = docs.join(listed, ["doc", "print"]).select("doc", "print", "body", "starts", "counts", "buckets")
-    return joined.mapInArrow(lambda b: _gathered(makers(b), buckets), PACKED)
+    return joined.mapInArrow(lambda b: _gathered(makers(b), buckets, gather), PACKED)
 
 
 def _strings(row: dict, start: np.ndarray, count: np.ndarray, own: np.ndarray) -> Suffixes:
     low, high = start[0], (start + count).max() + WINDOW - 1
-    spans = Spans(_TOKENS[np.frombuffer(row["body"][low:high], np.uint8)])
+    grams = (Spans(_TOKENS[np.frombuffer(row["body"][low:high], np.uint8)]).all(GRAM) >> _KEEP).astype(np.int64)
     # Every start of every run: a ramp from each run's first.
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - start, count)
-    ids = (spans.at(at - low, at - low + WINDOW) >> _KEEP).astype(np.int64)
-    # The bucket of a string is the one it comes from, told apart by its id.
-    return Suffixes(np.repeat(own, count) ^ ids, ids, np.full(len(at), row["doc"]), np.full(len(at), row["print"]),
+    return Suffixes(np.repeat(own, count), grams[at - low + GRAM], grams[at - low], np.full(len(at), row["doc"]), np.full(len(at), row["print"]),
                     at, np.ones(len(at), np.int64))
 
 
@@ -276,18 +325,19 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body"))
 
 
-def repeated_strings(docs: DataFrame) -> DataFrame:
+def repeated_strings(docs: DataFrame, gather: int = GATHER, hot_from: int = HOT) -> DataFrame:
     """(doc, print, starts, counts): strings that start in an earlier document."""
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    level = cut(_deal(suffixes(docs, buckets), descend=True), "suffix-runs")
-    strings = cut(_deal(single_strings(docs, level.where("buckets is not null"), buckets), descend=False), "suffix-strings")
+    size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    level = cut(_deal(suffixes(docs, buckets, gather, hot_from), descend=True), "suffix-runs")
+    strings = cut(_deal(single_strings(docs, level.where("buckets is not null"), buckets, gather), descend=False), "suffix-strings")
     return level.where("buckets is null").unionByName(strings).select("doc", "print", "starts", "counts")
 
 
-def remove_substrings(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", gather: int = GATHER, hot_from: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): removed byte ranges and the bytes kept."""
     docs = keyed(df, key, text)
-    listed = repeated_strings(docs).groupBy("doc", "print").agg(
+    listed = repeated_strings(docs, gather, hot_from).groupBy("doc", "print").agg(
         *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "counts")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,8 +71,9 @@ class Runs(NamedTuple):
     content: np.ndarray  # identifier of all tokens and the pivot's place
 
 
-def runs(tokens: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[Runs, Spans]:
-    """Runs of the windows of texts that lie end to end in ``tokens``.
+def runs(tokens: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[Runs, np.ndarray]:
+    """Runs of the windows of texts that lie end to end in ``tokens``, and the
+    identifiers of the grams at all places.
 
     Text i is tokens[bounds[i]:bounds[i + 1]]; no window crosses a bound.
     """
@@ -80,7 +81,7 @@ def runs(tokens: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tupl
     none = np.zeros(0, np.int64)
     n = len(tokens) - window + 1
     if n <= 0:
-        return Runs(none, none, none.astype(np.uint64), none.astype(np.uint64)), spans
+        return Runs(none, none, none.astype(np.uint64), none.astype(np.uint64)), none.astype(np.uint64)
     grams = spans.all(gram)
     places = np.arange(len(grams), dtype=np.uint64)
     least = (grams & np.uint64(_WORD ^ 0xFFFFFFFF)) | places
@@ -104,7 +105,7 @@ def runs(tokens: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tupl
     count = ends - start
     pivot = chosen[start]
     content = spans.at(start, start + count + window - 1) ^ scramble((pivot - start).astype(np.uint64))
-    return Runs(start, count, grams[pivot], content), spans
+    return Runs(start, count, grams[pivot], content), grams
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, window: int, length: int) -> np.ndarray:

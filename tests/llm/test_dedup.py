@@ -50,6 +50,34 @@ def test_substrings_equal_brute_force(spark, odd_rows, odd_docs):
     assert got == want and any(n for _, _, n, _ in got)
 
 
+def test_a_hot_gram_is_split_up_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 500)
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    label, tails = text(60), [text(40) for _ in range(5)]
+    rows = [(i, text(rng.randint(0, 60)) + label + rng.choice(tails) + text(rng.randint(0, 60))) for i in range(150)]
+    rows += [(200 + i, label[i:] + text(30)) for i in range(40)] + [(None, label), (3, label + tails[0]), (300, " " * 300), (301, " " * 400)]
+    want = sorted((str(i), bytes(b for b, x in zip(s, g, strict=True) if not x)) for (i, *_), (s, g) in zip(
+        rows, spans_removed(rows, lambda t: t.encode(), 50), strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for gather, hot in ((40, 3), (400, 8), (1 << 18, 1 << 10)):
+        done = substrings.remove_substrings(df, gather=gather, hot_from=hot)
+        assert sorted((str(r.doc_id), bytes(r.kept)) for r in done.collect()) == want
+    docs = substrings.keyed(df)
+    states = {r.state for r in substrings.suffixes(docs, 16, 400, 8).select("state").distinct().collect()}
+    assert states == {substrings.OPEN, substrings.GONE, substrings.SPLIT}
+
+
+def test_refinement_sorts_by_later_buckets_within_earlier_ones():
+    rng = np.random.default_rng(3)
+    x = substrings.Suffixes(*rng.integers(0, 4, (3, 400)), rng.integers(0, 50, 400), *np.zeros((2, 400), np.int64), np.ones(400, np.int64))
+    got, first = substrings._refine(x)
+    keys = list(zip(got.bucket, got.behind, got.front, got.doc, strict=True))
+    assert keys == sorted(keys)
+    least = {k: min(d for *j, d in keys if tuple(j) == k) for k in {tuple(k[:3]) for k in keys}}
+    assert [least[tuple(k[:3])] for k in keys] == list(first)
+
+
 def test_long_texts_are_cut_into_pieces_without_loss(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK", 300)
     monkeypatch.setattr(passages, "CHUNK", 60)
@@ -65,7 +93,8 @@ def test_long_texts_are_cut_into_pieces_without_loss(spark, monkeypatch):
 def test_runs_cover_every_window_once(values, window):
     tokens = windows.scramble(np.array(values, np.uint64) + np.uint64(1))
     half = len(tokens) // 2
-    got, spans = windows.runs(tokens, np.array([0, half, len(tokens)]), window, 2)
+    got, _ = windows.runs(tokens, np.array([0, half, len(tokens)]), window, 2)
+    spans = windows.Spans(tokens)
     covered = sorted(i for s, c in zip(got.start, got.count, strict=True) for i in range(s, s + c))
     assert covered == [i for a, b in ((0, half), (half, len(tokens))) for i in range(a, b - window + 1)]
     ids = {}
