@@ -1,32 +1,38 @@
 """Main text of web pages by scoring the tree of elements.
 
-A page becomes a tree. Paragraphs score for their length and commas and pass
-the points to their ancestors, less to each further one; a container's points
-are discounted by the share of its text that is links, and weighed by what its
-name and class say. The best container is kept, with those of its siblings
-that score like it. Where it lies in an ``article`` or ``main`` element, that
-element is the container, since an article may be laid out in sections.
+A page becomes a tree, by the tokens of HTML. Paragraphs score for their
+length and commas and pass the points to their ancestors, less to each further
+one; a container's points are discounted by the share of its text that is
+links, and weighed by what its tag, name and class say. The best container is
+kept, with those of its siblings that score like it, its other prose and the
+text that lies beside it. Where the best container lies in an ``article`` or
+``main`` element, that element is the container, since an article may be laid
+out in sections; further articles beside it are kept too.
 
 Elements that are never part of an article (menus, headers and footers of the
 page, asides, forms, scripts, styles, adverts, notices, reader comments) are
-taken out before, by tag and by the words of their class, id and role. Names
-don't decide alone: an element that holds the page's best article or main
-element, or the greater part of its paragraphs' points with few links, stays
-and is left to the score. One named after comments needs a good name as well.
+taken out before, by tag and by the names in their class, id and role. A name
+counts as a whole: ``share-buttons`` says what an element is, and
+``post-share-analysis`` does not. Names don't decide alone: an element that
+holds the page's best article or main element, or several paragraphs with the
+greater part of the page's points and few links, stays and is left to the score. One named
+after comments needs a good name as well.
 
 Pages are independent: each is one row in one task, and nothing is shuffled.
 
 Defined results: a null, empty or text-free page gives an empty text; mark-up
-that is cut short or not closed ends where the page ends; repeated rows are
-extracted one by one; other columns pass through ``extract`` and are ignored by
-the query, a column named ``main_text`` is replaced; an empty table gives an
-empty result. Texts are whole, whatever their length.
+that is cut short or not closed ends where the page ends; the slash of ``/>``
+says nothing, as in HTML; repeated rows are extracted one by one; other
+columns pass through ``extract`` and are ignored by the query, a column named
+``main_text`` is replaced; an empty table gives an empty result. Texts are
+whole, and elements are treated alike, whatever their length and depth.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +41,16 @@ from pyspark.sql.types import StringType
 
 from .common import table
 
+#: A value ends with its quote if it starts with one, else at a blank or ">";
+#: quotes anywhere else are characters like others.
+_VALUE = r"\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-hidden|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")}
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))"
+    r"|<(?:[!?]|/[^a-zA-Z>])[^>]*+(?:>|\Z)|</>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|={_VALUE})*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
+_NAMING = re.compile(r"\b(?:class|id|role|itemprop|aria-hidden|style|hidden)\b", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 
 # Tags by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,256 +63,259 @@ SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 #: Elements beyond which an omitted end tag isn't looked for.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
           "option": {"select"}}
+#: Elements that other end tags don't close from within.
+BARRIERS = {"td", "th", "table", "caption", "template"}
 NEVER = set("nav aside footer form script style noscript iframe template textarea title head button select input object "
             "svg canvas video audio dialog menu map xmp".split())
 PARAGRAPHS = set("p pre td blockquote li dd figcaption".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Siblings of a container that belong with it unless they are links.
-SIBLINGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure table tr td th".split())
+SIBLINGS = HEADINGS | set("p blockquote pre ul ol dl figure table tr td th".split())
 CONTAINERS = set("article main section div td body blockquote pre".split())
-#: Words of a class, id or role.
+#: Words of a class, id or role; and those that may stand beside them in one name.
 BAD_WORDS = set("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted "
                 "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist "
                 "discussion disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay "
                 "newsletter subscribe subscription signup share sharing social related recommended recommendations pager pagination "
                 "toolbar widget widgets outbrain taboola skip search login alert complementary contentinfo tags".split())
+BESIDE = set("site page post posts entry article blog user reader main top bottom left right first last primary secondary side sticky fixed global "
+             "mobile desktop inline box bar area section block list item items link links button buttons icons container wrapper wrap inner outer "
+             "holder slot unit row col column panel form thread region group module bottombar google dfp js id".split())
 GOOD_WORDS = set("article content entry main post body text story hentry blog page articlebody".split())
 COMMENT_WORDS = set("comment comments commentlist discussion disqus reply replies respond".split())
+AD_WORDS = set("ad ads advert adverts advertisement sponsored".split())
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "words", "points", "chars", "linked", "out", "weight", "holds")
+    __slots__ = ("tag", "parent", "children", "names", "points", "weight", "chars", "linked", "own", "commas", "hidden", "out", "holds", "within", "scored")
 
-    def __init__(self, tag: str, parent: Node | None, words: frozenset[str] = frozenset(), out: bool = False) -> None:
-        self.tag, self.parent, self.words, self.out = tag, parent, words, out
+    def __init__(self, tag: str, parent: Node | None, names: tuple[frozenset[str], ...] = (), hidden: bool = False) -> None:
+        self.tag, self.parent, self.names, self.hidden = tag, parent, names, hidden
         self.children: list[Node | str] = []
         self.points = self.weight = 0.0
-        self.chars = self.linked = 0
-        self.holds = False
+        self.chars = self.linked = self.own = self.commas = self.scored = 0
+        self.out = self.holds = False
+        self.within = ""
 
+    @property
+    def words(self) -> frozenset[str]:
+        return frozenset().union(*self.names)
 
-def _named(rest: str) -> tuple[frozenset[str], bool]:
-    """Words of an element's names, and whether it is hidden."""
-    words, hidden = set(), False
+    @property
+    def density(self) -> float:
+        return self.linked / self.chars if self.chars else 1.0
+
+
+def _named(rest: str) -> tuple[tuple[frozenset[str], ...], bool]:
+    """The names of an element, each as its words, and whether it is hidden."""
+    names, hidden = set(), False
     for name, *values in _ATTRIBUTE.findall(rest):
-        value = next((v for v in values if v), "")
-        name = name.lower()
+        value, name = next((v for v in values if v), ""), name.lower()
         if name == "hidden":
             hidden = True
         elif name == "aria-hidden":
             hidden |= value.lower() == "true"
         elif name == "style":
-            hidden |= "display:none" in value.replace(" ", "").lower()
-        else:
-            words.update(_WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
-    return frozenset(words), hidden
+            hidden |= "display:none" in "".join(value.split()).lower()
+        elif name in ("class", "id", "role", "itemprop"):
+            names.update(frozenset(_WORDS.findall(_CAMEL.sub(r"\1 \2", n).lower())) for n in value.split())
+    return tuple(n for n in names if n), hidden
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; end tags that are left out are put in."""
+def parse(page: str) -> list[Node]:
+    """The elements of a page in order, the root first; end tags that are left
+    out are put in."""
     root = top = Node("body", None)
-    at, text_from = 0, 0
-    while True:
-        found = _TOKEN.search(page, at)
-        if found is None:
-            break
-        if found.start() > text_from:
-            top.children.append(references.unescape(page[text_from: found.start()]))
-        at = text_from = found.end()
+    nodes, opened = [root], defaultdict(int)
+    at = 0
+
+    def close(node: Node) -> Node:
+        """Close everything up to and with ``node``."""
+        inner = top
+        while True:
+            opened[inner.tag] -= 1
+            if inner is node:
+                return node.parent
+            inner = inner.parent
+
+    while (found := _TOKEN.search(page, at)) is not None:
+        if found.start() > at:
+            top.children.append(references.unescape(page[at: found.start()]))
+        at = found.end()
         tag = (found[2] or "").lower()
         if not tag or tag in ("html", "body"):
             continue
         if found[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if opened[tag]:
+                node, inline = top, tag in INLINE
+                while node is not root and node.tag != tag and not (inline and node.tag not in INLINE) and (
+                        node.tag not in BARRIERS or tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "template", "caption")):
+                    node = node.parent
+                if node.tag == tag and node is not root:
+                    top = close(node)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             node = top
             while node.tag in INLINE and node is not root:
                 node = node.parent
             if node.tag == "p":
-                top = node.parent
-        if tag in SAME_CLOSES:
+                top = close(node)
+        if tag in SAME_CLOSES and any(opened[t] for t in SAME_CLOSES[tag]):
             node = top
             while node is not root and node.tag not in SAME_CLOSES[tag] and node.tag not in SCOPES[tag]:
                 node = node.parent
             if node.tag in SAME_CLOSES[tag]:
-                top = node.parent
-        words, hidden = _named(found[3]) if found[3] else (frozenset(), False)
-        child = Node(tag, top, words, hidden)
+                top = close(node)
+        rest = found[3]
+        names, hidden = _named(rest) if rest and _NAMING.search(rest) else ((), False)
+        child = Node(tag, top, names, hidden)
         top.children.append(child)
+        nodes.append(child)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
-            at = text_from = end.end() if end else len(page)
-        elif tag not in VOID and not found[3].endswith("/"):
+            at = end.end() if end else len(page)
+        elif tag not in VOID:
+            opened[tag] += 1
             top = child
-    if text_from < len(page):
-        top.children.append(references.unescape(page[text_from:]))
-    return root
-
-
-def _never(node: Node, in_article: bool) -> bool:
-    """Whether an element is no part of an article by what it is."""
-    return node.out or node.tag in NEVER or (node.tag == "header" and not in_article)
+    if at < len(page):
+        top.children.append(references.unescape(page[at:]))
+    return nodes
 
 
 def _misnamed(node: Node) -> bool:
     """Whether an element's names say that it is no part of an article."""
-    if node.tag == "header":
+    if node.tag == "header" or not node.names:
         return False
-    if node.tag in ("article", "main", "body", "html"):
-        return bool(node.words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo"})
-    bad = node.words & BAD_WORDS
-    return bool(bad) and not node.words & {"article", "articlebody", "hentry"} or "comment" in bad or "comments" in bad
-
-
-def _spare(root: Node) -> None:
+    if node.tag in ("article", "main"):
+        return any(n <= BESIDE | COMMENT_WORDS | AD_WORDS | {"promo"} and n & (COMMENT_WORDS | AD_WORDS | {"promo"}) for n in node.names)
+    bad = [n for n in node.names if n & BAD_WORDS and (n <= BAD_WORDS | BESIDE or n & AD_WORDS)]
+    if not bad:
+        return "header" not in node.within and any("header" in n and n <= BESIDE | {"header"} for n in node.names)
+    return not node.words & {"articlebody", "hentry"} or any(n & COMMENT_WORDS for n in bad)
+
+
+def _measure(nodes: list[Node], names: bool) -> None:
+    """Which elements are out, and of the others lengths, links and points."""
+    for node in nodes:
+        up = node.parent
+        # Where an element lies: in a link, and where a header isn't the page's.
+        node.within = (up.within if up else "") + ("" if node.tag != "a" or (up and "link" in up.within) else " link")
+        if "header" not in node.within and (node.tag in ("article", "main") or node.words & {"content", "entry", "article", "post"}):
+            node.within += " header"
+        inside = up is not None and "header" in up.within
+        node.out = up is not None and (up.out or node.hidden or node.tag in NEVER or (node.tag == "header" and not inside)
+                                       or (names and not node.holds and _misnamed(node)))
+        texts = [" ".join(c.split()) for c in node.children if isinstance(c, str)] if not node.out else []
+        node.chars = node.own = sum(map(len, texts))
+        node.commas = sum(t.count(",") for t in texts)
+        node.linked = node.chars if "link" in node.within else 0
+        node.points, node.weight, node.scored = 0.0, 0.0, 0
+    for node in reversed(nodes):
+        up = node.parent
+        if node.out:
+            continue
+        if node.tag in PARAGRAPHS or (node.own > 0 and node.tag in CONTAINERS):
+            points = 1 + node.commas + min(node.own / 100, 3)
+            node.weight += points
+            node.scored += 1
+            to, share = node if node.tag in CONTAINERS else up, 1.0
+            while to is not None and share > 0.1:
+                to.points += points * share
+                to, share = to.parent, share / 2
+        if up is not None:
+            up.weight += node.weight
+            up.scored += node.scored
+            up.chars += node.chars
+            up.linked += node.linked
+            if node.tag in INLINE:
+                up.own += node.own
+                up.commas += node.commas
+
+
+def _spare(nodes: list[Node]) -> None:
     """Mark the elements that stay whatever their names are. The whole page
     has been measured without a look at names."""
-    best, stack = None, [root]
-    while stack:
-        node = stack.pop()
-        if node.tag in ("article", "main") and not _misnamed(node) and node.weight and (best is None or node.weight > best.weight):
-            best = node
-        stack.extend(c for c in node.children if isinstance(c, Node) and not c.out)
-    up = best
-    while up is not None:
-        up.holds = not up.words & COMMENT_WORDS or bool(up.words & GOOD_WORDS)
-        up = up.parent
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if 2 * node.weight > root.weight and 3 * node.linked < node.chars and (
-                not node.words & COMMENT_WORDS or node.words & GOOD_WORDS):
-            node.holds = True
-        stack.extend(c for c in node.children if isinstance(c, Node) and not c.out and 2 * c.weight > root.weight)
-
-
-def _measure(node: Node, in_link: bool, in_article: bool, names: bool) -> None:
-    """Lengths and links of every element, and the points of paragraphs."""
-    commas = own = 0
-    node.points = node.weight = 0.0
-    node.chars = node.linked = 0
-    in_article = in_article or node.tag in ("article", "main")
-    for child in node.children:
-        if isinstance(child, str):
-            text = " ".join(child.split())
-            node.chars += len(text)
-            own += len(text)
-            commas += text.count(",")
-            if in_link:
-                node.linked += len(text)
+    root, best = nodes[0], None
+    for node in nodes:
+        if node.out:
             continue
-        if _never(child, in_article) or (names and not child.holds and _misnamed(child)):
-            child.out = True
-            continue
-        _measure(child, in_link or child.tag == "a", in_article, names)
-        node.weight += child.weight
-        node.chars += child.chars
-        node.linked += child.linked
-        if child.tag in INLINE:
-            commas += sum(c.count(",") for c in child.children if isinstance(c, str))
-            own += child.chars
-    if node.tag in PARAGRAPHS or (own > 0 and node.tag in CONTAINERS):
-        points = 1 + commas + min(own / 100, 3)
-        node.weight += points
-        up, share = node if node.tag in CONTAINERS else node.parent, 1.0
-        while up is not None and share > 0.1:
-            up.points += points * share
-            up, share = up.parent, share / 2
+        good = not node.words & COMMENT_WORDS or bool(node.words & GOOD_WORDS)
+        if 2 * node.weight > root.weight and node.scored > 1 and 3 * node.linked < node.chars and good:
+            node.holds = True
+        if node.tag in ("article", "main") and node.weight and not _misnamed(node) and (best is None or node.weight > best.weight):
+            best = node
+    while best is not None:
+        best.holds = not best.words & COMMENT_WORDS or bool(best.words & GOOD_WORDS)
+        best = best.parent
 
 
 def _score(node: Node) -> float:
-    density = node.linked / node.chars if node.chars else 1.0
     weight = 25 * bool(node.words & GOOD_WORDS) + (30 if node.tag == "article" else 20 if node.tag == "main" else 0)
-    return (node.points + (weight if node.points else 0)) * (1 - density)
-
-
-def _kept(root: Node) -> list[Node]:
-    """The best container and the siblings that belong with it."""
-    best, most, stack = root, _score(root) / 2, [root]
-    while stack:
-        node = stack.pop()
-        for child in reversed(node.children):
-            if isinstance(child, Node) and not child.out:
-                stack.append(child)
-        if node.tag in CONTAINERS and node.points and _score(node) > most:
+    return (node.points + (weight if node.points else 0)) * (1 - node.density)
+
+
+def _is_prose(text: str) -> bool:
+    return len(text) >= 40 or text.endswith((".", "!", "?"))
+
+
+def _kept(nodes: list[Node]) -> list[Node | str]:
+    """The best container and what lies beside it and belongs with it."""
+    best, most = nodes[0], _score(nodes[0]) / 2
+    for node in nodes:
+        if not node.out and node.tag in CONTAINERS and node.points and _score(node) > most:
             best, most = node, _score(node)
     up, article = best, None
     while up is not None:
         if up.tag == "article" or (up.tag == "main" and article is None):
             article = up
         up = up.parent
-    if article is not None:
-        return [article]
+    best = article or best
     if best.parent is None:
         return [best]
-    kept = []
+    page = best.parent.parent is None
+    kept: list[Node | str] = []
     for other in best.parent.children:
-        if not isinstance(other, Node) or other.out:
-            continue
-        density = other.linked / other.chars if other.chars else 1.0
-        alike = other.points and _score(other) >= 0.2 * most
-        prose = other.tag in SIBLINGS and density < 0.25
-        if other is best or alike or prose:
+        if isinstance(other, str):
+            take = bool(other.strip()) and (not page or _is_prose(other.strip()))
+        elif other.out:
+            take = False
+        elif other.tag in INLINE:
+            take = other.density < 0.25 and not page
+        else:
+            alike = other.points and _score(other) >= 0.2 * most
+            prose = other.tag in (HEADINGS if page and article else SIBLINGS) and other.density < 0.25
+            also = article and other.tag == best.tag and other.density < 0.5
+            take = other is best or alike or prose or also
+        if take:
             kept.append(other)
     return kept
 
 
-def _text(node: Node, out: list[str]) -> None:
-    block = node.tag not in INLINE
-    if block:
-        out.append(" ")
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(child)
-        elif not child.out:
-            _text(child, out)
-    if block:
-        out.append(" ")
+def _text(kept: list[Node | str]) -> str:
+    out, todo = [], list(reversed(kept))
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif not item.out:
+            if item.tag not in INLINE:
+                out.append(" ")
+                todo.append(" ")
+            todo.extend(reversed(item.children))
+    return " ".join("".join(out).split())
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by one space."""
     if not page:
         return ""
-    root = parse(page)
-    _flatten(root)
-    _measure(root, False, False, names=False)
-    _spare(root)
-    _measure(root, False, False, names=True)
-    out: list[str] = []
-    for node in _kept(root):
-        _text(node, out)
-    return " ".join("".join(out).split())
-
-
-#: Elements nested deeper than this lie flat at this depth.
-DEEPEST = 400
-
-
-def _flatten(root: Node) -> None:
-    """Bound the depth of a tree, in page order, for the walks that recurse."""
-    stack = [(root, 0)]
-    while stack:
-        node, depth = stack.pop()
-        if depth >= DEEPEST:
-            flat, todo = [], list(reversed(node.children))
-            while todo:
-                child = todo.pop()
-                if isinstance(child, Node) and child.tag not in NEVER and not child.out:
-                    flat.append(" " if child.tag not in INLINE else "")
-                    todo.append(" ")
-                    todo.extend(reversed(child.children))
-                elif isinstance(child, str):
-                    flat.append(child)
-            node.children = flat
-            continue
-        stack.extend((child, depth + 1) for child in node.children if isinstance(child, Node))
+    nodes = parse(page)
+    _measure(nodes, names=False)
+    _spare(nodes)
+    _measure(nodes, names=True)
+    return _text(_kept(nodes))
 
 
 @F.pandas_udf(StringType())

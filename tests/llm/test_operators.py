@@ -254,12 +254,47 @@ def test_pages_of_any_size_and_depth(spark, no_docs):
     assert pages.extract(df.where("false")).count() == 0
 
 
-def test_articles_of_all_pages_are_found(duck):
+@pytest.mark.parametrize(("page", "text"), [
+    ("<div id=main><p title=don't>It's the text, of it.</p><p class=x>Second one, here.</p></div>", "It's the text, of it. Second one, here."),
+    ("<article><p>Main one.</p></article><article><p>Main two, longer than it.</p></article><aside><p>no, no</p></aside>", "Main one. Main two, longer than it."),
+    ("<article><p>One.</p><section class='post-share-analysis'><p>Two, of it.</p></section><div class='tags-intro'><p>Three.</p></div>"
+     "<div id=comment-policy><p>Four.</p></div><div class='share-buttons'>share</div><ul class=tags><li>t</ul></article>", "One. Two, of it. Three. Four."),
+    ("<div id=content><p>Text, with it. <a href=http://x/>A link of theirs</a> and, more.</p></div><div><a href=http://y/>All, links, here, only, links</a></div>",
+     "Text, with it. A link of theirs and, more."),
+    ("<div><div id=content><p>Text, of, the, container.</p></div>bare text beside the container <b>and bold</b></div><nav>x</nav>",
+     "Text, of, the, container. bare text beside the container and bold"),
+    ("<article><span>One <p>two</span> three, four.</p></article>", "One two three, four."),
+    ("<div id=content><table><tr><td>a, cell</div> more</td><td>next</td></tr></table><p>After, it.</p></div>", "a, cell more next After, it."),
+    ("<div class=site-header><p>Name, of the site</p></div><p>Text, of the page, right here.</p><p>More, of it.</p>", "Text, of the page, right here. More, of it."),
+    ("<div class='entry-content'><div class='entry-header'><h1>Title</h1></div><p>Text, of it.</p></div>", "Title Text, of it."),
+    ("<p>a<br/>b</p><p/>c <img src=x/> d", "a b c d"), ("a < b & c <3 d </> e <!-- x > y --> f", "a < b & c <3 d e f"),
+    ("<article><p>x</p><div data-a='>' class=\"ad\">buy</div><p>y = \"z\"</p></article>", 'x y = "z"')])
+def test_tokens_and_siblings(page, text):
+    assert pages.main_text(page) == text
+
+
+def test_depth_changes_nothing():
+    for depth in (2, 406, 3000):
+        page = "<div>" * depth + "<p>Text, of it.</p><div class=advert><p>buy, buy, buy</p></div><nav>x</nav><div id=comments><p>a, b</p></div>" + "</div>" * depth
+        assert pages.main_text(page) == "Text, of it."
+
+
+def articles(duck):
     import html
-    for (page,) in duck.sql("SELECT html FROM pages").fetchall():
+    for (page,) in duck.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
         inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
-        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
-        assert pages.main_text(page) == want
+        yield page, " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
+
+
+def test_articles_of_all_pages_are_found(duck):
+    assert all(pages.main_text(page) == want for page, want in articles(duck))
+
+
+@pytest.mark.parametrize("tag", ["div", "div class=content", "section id=story", "div class='post has-sidebar'"])
+def test_the_score_finds_them_without_their_tags(duck, tag):
+    for page, want in articles(duck):
+        plain = page.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+        assert pages.main_text(plain) == want
 
 
 # --- chat ------------------------------------------------------------------------
