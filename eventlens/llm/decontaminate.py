@@ -17,15 +17,21 @@ counted in bands of diagonals that overlap by more than the largest budget,
 bands that reach the piece's count are kept, and each is verified by
 alignment within the band.
 
-The index of a block of pieces is bounded by ``BLOCK_CHARS`` and is broadcast;
-a larger benchmark takes several blocks, each one more pass over the
-documents. Documents are never shuffled.
-
-Defined results: null and empty documents, and items of fewer characters than
-a q-gram, match nothing; items with equal text are each reported; a document
-that holds an item several times is reported once for it, at the best and then
-first place of a piece, or of a window where no piece occurs; rows that repeat are each reported; an empty table, or an empty
-benchmark, gives an empty result.
+Work is bounded: shared q-grams are counted in stretches of a document that
+overlap by the longest occurrence and are cut so that no more than ``POSTINGS``
+pairs of places are held, and very long texts are searched in parts that
+overlap likewise. The benchmark is dealt out in blocks of at most
+``BLOCK_CHARS`` characters; an item longer than ``SEGMENT`` is laid out in
+segments that overlap by a piece. One block's index at a time is built and
+broadcast, and the documents are passed over once a block; they are never
+shuffled.
+
+Defined results: null and empty documents and items match nothing; an item of
+fewer characters than a q-gram is found where it stands as whole words; items
+with equal text are each reported; a document that holds an item several times
+is reported once for it, at the best and then first place of a piece, or of a
+window where no piece occurs; rows that repeat are each reported; other columns
+pass through; an empty table, or an empty benchmark, gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,13 +39,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 Q = 8
 #: Edits allowed for each character of a piece.
@@ -47,9 +55,12 @@ ERRORS = 0.1
 PIECE, STRIDE = 96, 48
 #: Width of a band of diagonals; every second band starts half a width later.
 BAND = 32
-#: Characters of benchmark in one index, and of documents worked on at a time.
+#: Characters of benchmark in one index, and of an item in one row of it.
 BLOCK_CHARS = 4_000_000
+SEGMENT = STRIDE * 4096
+#: Characters of documents worked on at a time, and pairs of equal q-grams.
 CHUNK = 1 << 20
+POSTINGS = 1 << 20
 #: Regions aligned together.
 ALIGN_AT_ONCE = 256
 #: Windows that wait for it.
@@ -94,13 +105,17 @@ class Index:
     first_whole: np.ndarray  # postings of gram i in those
     owner: np.ndarray
     at_place: np.ndarray
+    short: object  # finds items of fewer characters than a q-gram
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> Index:
         items, pieces, owners, bodies = [], [], [], []
+        short: dict[str, list[int | None]] = {}
         for item, text in rows:
             body = normal(text)
             if len(body) < Q:
+                if body:
+                    short.setdefault(body, []).append(item)
                 continue
             if len(body) > PIECE:
                 owners.append(item)
@@ -126,7 +141,18 @@ class Index:
         needed = np.array([len(p) - Q + 1 - budget(len(p)) * Q for p in pieces], np.int64)
         return cls(items, pieces, needed, keys, np.append(first, len(grams)), piece[order], place[order], slots,
                    max((len(p) + budget(len(p)) for p in pieces), default=0), owners, bodies,
-                   np.searchsorted(key[by_key], np.arange(len(keys) + 1)), owner[by_key], at_place[by_key])
+                   np.searchsorted(key[by_key], np.arange(len(keys) + 1)), owner[by_key], at_place[by_key], cls._words(short))
+
+    @staticmethod
+    def _words(short: dict[str, list[int | None]]) -> object:
+        """An automaton for items that must stand as whole words."""
+        if not short:
+            return None
+        found = ahocorasick.Automaton()
+        for body, items in short.items():
+            found.add_word(f" {body} ", (len(body), items))
+        found.make_automaton()
+        return found
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, gram) of the q-grams that lie close enough to count."""
@@ -146,20 +172,45 @@ class Index:
         keep = np.cumsum(mark[:-1]) > 0
         return at[keep], which[keep]
 
-    def regions(self, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """(piece, first diagonal of the band) of bands that share enough."""
-        count = self.first[which + 1] - self.first[which]
-        post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.first[which], count)
-        place = self.place[post]
-        diagonal = np.repeat(at, count) - place + PIECE  # never negative
-        piece = self.piece[post]
+    def stretches(self, at: np.ndarray, which: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the document, piece, place in the piece) of equal q-grams,
+        or the same for whole items, a bounded number at a time.
+
+        Stretches of the document overlap by the longest occurrence, so every
+        occurrence lies within one. One stretch that has more pairs yet is taken
+        a range of pieces at a time.
+        """
+        first, piece, place = (self.first_whole, self.owner, self.at_place) if whole else (self.first, self.piece, self.place)
+        low, high = first[which], first[which + 1]
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        n, begin = len(self.bodies if whole else self.pieces), 0
+        while begin < len(at):
+            end = max(int(np.searchsorted(total, total[begin] + POSTINGS, "right")) - 1, int(np.searchsorted(at, at[begin] + 2 * self.reach)))
+            parts = -(-int(total[end] - total[begin]) // POSTINGS)
+            edges = np.linspace(0, n, max(min(parts, n), 1) + 1).astype(np.int64)
+            a, b = low[begin:end], high[begin:end]
+            for p, q in zip(edges[:-1], edges[1:], strict=True):
+                # The postings of a gram lie in order of their pieces.
+                c, d = (a, b) if len(edges) == 2 else (_within(piece, a, b, p), _within(piece, a, b, q))
+                count = d - c
+                post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - c, count)
+                if len(post):
+                    yield np.repeat(at[begin:end], count), piece[post], place[post]
+            if end >= len(at):
+                break
+            begin = int(np.searchsorted(at, at[end] - self.reach))
+
+    def regions(self, at: np.ndarray, piece: np.ndarray, place: np.ndarray, wanted) -> np.ndarray:
+        """(piece, first diagonal of the band) of bands that share enough, of
+        those that are wanted."""
+        diagonal = at - place + PIECE  # never negative
         bands = np.concatenate([diagonal // BAND * 2, (diagonal + BAND // 2) // BAND * 2 + 1])
-        keys, shared = np.unique(np.concatenate([piece, piece]) << 40 | bands, return_counts=True)
+        keys, shared = _counts(np.concatenate([piece, piece]), bands)
         keys = keys[shared >= self.needed[keys >> 40]]
+        starts = _first_diagonal(keys) - PIECE
+        keys = keys[[wanted(int(k) >> 40, s) for k, s in zip(keys.tolist(), starts.tolist(), strict=True)]] if len(keys) else keys
         keys = keys[self._narrow(keys, piece, place, diagonal)] if len(keys) else keys
-        piece, band = keys >> 40, keys & ((1 << 40) - 1)
-        start = band // 2 * BAND - band % 2 * (BAND // 2) - PIECE
-        return np.stack([piece, start], axis=1)
+        return np.stack([keys >> 40, _first_diagonal(keys) - PIECE], axis=1)
 
     def _narrow(self, keys: np.ndarray, piece: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
         """Which bands also share enough where it must be: the q-grams of an
@@ -180,28 +231,31 @@ class Index:
             keep[i] = any(len(np.unique(place[a + j: a + until[j]])) >= needed for j in dense.tolist())
         return keep
 
-    def windows(self, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    def windows(self, at: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(owner, first diagonal of the band, windows of the item that share
         enough in it, by where they begin)."""
         needed, last = PIECE - Q + 1 - budget(PIECE) * Q, PIECE - Q
-        count = self.first_whole[which + 1] - self.first_whole[which]
-        post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.first_whole[which], count)
-        place, owner = self.at_place[post], self.owner[post]
         longest = max(map(len, self.bodies), default=0)
-        diagonal = np.repeat(at, count) - place + longest  # never negative
+        diagonal = at - place + longest  # never negative
         bands = np.concatenate([diagonal // BAND * 2, (diagonal + BAND // 2) // BAND * 2 + 1])
-        keys, which_key, shared = np.unique(np.concatenate([owner, owner]) << 40 | bands, return_inverse=True, return_counts=True)
-        enough = shared >= needed
-        keep = np.flatnonzero(enough[which_key])
+        owner, place = np.concatenate([owner, owner]), np.concatenate([place, place])
+        keys, shared = _counts(owner, bands)
+        keys = keys[shared >= needed]
+        if not len(keys):
+            return
+        own = owner << 40 | bands
+        which = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        keep = keys[which] == own
         # By key and place; a place counts once.
-        both = np.unique(np.stack([which_key[keep], np.concatenate([place, place])[keep]], axis=1), axis=0)
-        ends = np.searchsorted(both[:, 0], np.arange(len(keys)), "right")
-        for k in np.flatnonzero(enough).tolist():
-            places = both[ends[k - 1] if k else 0: ends[k], 1]
+        both = np.unique(which[keep] * (longest + 1) + place[keep])
+        key, place = np.divmod(both, longest + 1)
+        ends = np.searchsorted(key, np.arange(len(keys)), "right")
+        for k, start in enumerate((_first_diagonal(keys) - longest).tolist()):
+            places = place[ends[k - 1] if k else 0: ends[k]]
             if len(places) < needed:
                 continue
             low, high = places[: len(places) - needed + 1], places[needed - 1:]
-            own, band = int(keys[k]) >> 40, int(keys[k]) & ((1 << 40) - 1)
+            own = int(keys[k]) >> 40
             most = len(self.bodies[own]) - PIECE
             mark = np.zeros(most + 2, np.int64)
             begin, end = np.maximum(high - last, 0), np.minimum(low, most)
@@ -210,7 +264,16 @@ class Index:
             np.add.at(mark, end[real] + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark)[: most + 1] > 0)
             if len(starts):
-                yield own, band // 2 * BAND - band % 2 * (BAND // 2) - longest, starts
+                yield own, start, starts
+
+    def search(self, text: str) -> dict[int | None, tuple[int, int, int]]:
+        """``find`` for one text of any length, in parts that overlap."""
+        over, hits = 4 * (self.reach + BAND + PIECE), {}
+        for a in range(0, max(len(text) - over, 1), CHUNK):
+            for item, (edits, start, end) in self.find([text[a: a + CHUNK + over]])[0].items():
+                hit = (edits, start + a, end + a)
+                hits[item] = min(hits.get(item, hit), hit)
+        return hits
 
     def find(self, texts: list[str]) -> list[dict[int | None, tuple[int, int, int]]]:
         """For each normal text: item -> (edits, start, end)."""
@@ -255,24 +318,76 @@ class Index:
                         put(row, item, at, one)
             wanted.clear()
 
+        def open_band(piece: int, start: int) -> bool:
+            """Whether a band may hold a better or earlier place."""
+            edits = budget(len(self.pieces[piece]))
+            low, high = max(start - edits, 0), start + BAND + len(self.pieces[piece]) + edits
+            for row in near(low, high):
+                hit = found[row].get(self.items[piece])
+                if hit is None or hit[0] or hit[1] + int(ends[row]) - len(texts[row]) - 1 > low:
+                    return True
+            return False
+
         at, which = self.shared(_codes(joined))
-        for piece, start in self.regions(at, which).tolist():
-            look(self.items[piece], self.pieces[piece], start)
-        settle()
+        for stretch in self.stretches(at, which, whole=False):
+            for piece, start in self.regions(*stretch, open_band).tolist():
+                if open_band(piece, start):
+                    look(self.items[piece], self.pieces[piece], start)
+            settle()
+        if self.short is not None:
+            for row, text in enumerate(texts):
+                for end, (size, items) in self.short.iter(f" {text} "):
+                    for item in items:
+                        hit = (0, end - size - 1, end - 1)
+                        found[row][item] = min(found[row].get(item, hit), hit)
         held = [set(hits) for hits in found]
-        for own, start, begins in self.windows(at, which):
-            item, body = self.owners[own], self.bodies[own]
-            edits = budget(PIECE)
-            reach = start + int(begins[0]) - edits, start + int(begins[-1]) + BAND + PIECE + edits
-            rows = [row for row in near(max(reach[0], 0), reach[1]) if item not in held[row]]
-            for begin in begins.tolist() if rows else ():
-                look(item, body[begin: begin + PIECE], start + begin, rows)
-            if sum(map(len, wanted.values())) >= PUT_OFF:
-                settle()
+        n = len(self.owners)
+        closed = np.array([row * n + o for row, items in enumerate(held) for o, item in enumerate(self.owners) if item in items] if any(held) else [], np.int64)
+        for places, owner, place in self.stretches(at, which, whole=True):
+            real = ~np.isin(np.searchsorted(ends, places, "right") * n + owner, closed)
+            for own, start, begins in self.windows(places[real], owner[real], place[real]):
+                item, body = self.owners[own], self.bodies[own]
+                edits = budget(PIECE)
+                reach = start + int(begins[0]) - edits, start + int(begins[-1]) + BAND + PIECE + edits
+                rows = [row for row in near(max(reach[0], 0), reach[1]) if item not in held[row]]
+                for begin in begins.tolist() if rows else ():
+                    look(item, body[begin: begin + PIECE], start + begin, rows)
+                    if sum(map(len, wanted.values())) >= PUT_OFF:
+                        settle()
         settle()
         return found
 
 
+def _first_diagonal(keys: np.ndarray) -> np.ndarray:
+    """Where the band of a key begins."""
+    band = keys & ((1 << 40) - 1)
+    return band // 2 * BAND - band % 2 * (BAND // 2)
+
+
+def _counts(owner: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys (owner, band), in order, and how often each occurs."""
+    if not len(owner):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, width = int(bands.min()), int(bands.max() - bands.min()) + 1
+    base = int(owner.min())
+    if (int(owner.max()) - base + 1) * width > 4 * len(owner):
+        return np.unique(owner << 40 | bands, return_counts=True)
+    count = np.bincount((owner - base) * width + bands - least)
+    at = np.flatnonzero(count)
+    return (at // width + base) << 40 | (at % width + least), count[at]
+
+
+def _within(piece: np.ndarray, low: np.ndarray, high: np.ndarray, bound: int) -> np.ndarray:
+    """For each range of ``piece``, which is in order, where ``bound`` begins."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        less = open_ & (piece[np.minimum(middle, len(piece) - 1)] < bound)
+        low = np.where(less, middle + 1, low)
+        high = np.where(open_ & ~less, middle, high)
+    return low
+
+
 def align(pieces: list[str], regions: list[str], edits: int) -> list[tuple[int, int, int] | None]:
     """(edits, start, end) of the best occurrence of each piece in its region,
     if it has few enough; the pieces are of one length.
@@ -312,9 +427,34 @@ def _wide(text: str) -> np.ndarray:
 HIT = "struct<item_id:long,edits:int,start:long,end:long>"
 
 
-def _blocks(benchmark: DataFrame) -> int:
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    return -(-chars // BLOCK_CHARS) or 1
+def _laid_out(benchmark: DataFrame) -> DataFrame:
+    """(item_id, body) in normal form, long items in segments."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(item, body[a: a + SEGMENT + PIECE]) for item, body in zip(
+                batch.column(0).to_pylist(), map(normal, batch.column(1).to_pylist()), strict=True)
+                    for a in range(0, max(len(body) - PIECE, 1), SEGMENT) if body]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.string())], ["item_id", "body"])
+
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "item_id long, body string")
+
+
+def blocks(benchmark: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """The benchmark in parts of at most ``BLOCK_CHARS`` characters each.
+
+    Rows are dealt out by where they lie, not by what they hold, so that equal
+    or null ids are spread like others; if a part is too large yet, there are
+    twice as many.
+    """
+    most = most or BLOCK_CHARS
+    laid = cut(_laid_out(benchmark), "benchmark")
+    n = 1
+    while True:
+        placed = laid.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
+        largest = placed.groupBy("block").agg(F.sum(F.length("body")).alias("n")).agg(F.max("n"), F.max("block")).first()
+        if (largest[0] or 0) <= max(most, SEGMENT + PIECE):
+            return [placed.where(F.col("block") == i).select("item_id", "body") for i in range(n)] if largest[0] else []
+        n *= 2
 
 
 def _finder(index: Broadcast):
@@ -324,7 +464,8 @@ def _finder(index: Broadcast):
         for batch in batches:
             out: list[list[dict]] = []
             for group in _groups([normal(t) for t in batch]):
-                for hits in index.value.find(group):
+                long = len(group) == 1 and len(group[0]) > 2 * CHUNK
+                for hits in [index.value.search(group[0])] if long else index.value.find(group):
                     ordered = sorted(hits.items(), key=lambda h: (h[0] is None, h[0] or 0))
                     out.append([{"item_id": i, "edits": e, "start": a, "end": b} for i, (e, a, b) in ordered])
             yield pd.Series(out, dtype=object)
@@ -332,22 +473,44 @@ def _finder(index: Broadcast):
     return each
 
 
-def leaks(spark: SparkSession, benchmark: DataFrame, text: Column) -> Column:
-    """An array of the benchmark items that ``text`` holds."""
-    n = _blocks(benchmark)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    found = []
-    for block in range(n):
-        rows = benchmark.where(part == block).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-        index = spark.sparkContext.broadcast(Index.of([tuple(r) for r in rows.toLocalIterator()]))
+def _index(block: DataFrame) -> Broadcast:
+    """The index of one block, which has a bounded size."""
+    return block.sparkSession.sparkContext.broadcast(Index.of([tuple(r) for r in block.toLocalIterator()]))
 
-        found.append(_finder(index)(text))
-    return F.concat(*found)
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
+    """A row for each document and item that it holds: all columns of ``docs``,
+    and ``hit`` of (item_id, edits, start, end)."""
+    docs, parts = docs.drop("hit"), blocks(benchmark, most)
+    found = None
+    for part in parts:
+        index = _index(part)
+        one = docs.withColumn("hit", F.explode(_finder(index)(F.col(text))))
+        if len(parts) > 1:
+            one = cut(one, "leaks")
+            index.destroy()
+        found = one if found is None else found.unionByName(one)
+    return docs.where("false").withColumn("hit", F.lit(None).cast(HIT)) if found is None else found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
+    """The documents that hold no item."""
+    parts = blocks(benchmark, most)
+    for part in parts:
+        index = _index(part)
+        docs = docs.where(F.size(_finder(index)(F.col(text))) == 0)
+        if len(parts) > 1:
+            docs = cut(docs, "without-leaks")
+            index.destroy()
+    return docs
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
+        if group and len(text) > CHUNK:  # a long text is worked on alone
+            yield group
+            group, size = [], 0
         group.append(text)
         size += len(text)
         if size >= CHUNK:
@@ -359,9 +522,8 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
-    docs = table(spark, sf_dir, "documents")
-    hits = docs.select("doc_id", F.explode(leaks(spark, table(spark, sf_dir, "benchmark"), F.col("text"))).alias("hit"))
-    return hits.select("doc_id", "hit.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "hit.*")
 
 
 QUERIES = {"op5_decontamination": op5_decontamination}

@@ -165,10 +165,10 @@ def test_leaks_equal_brute_force(spark):
     items = [(1, text(30)), (2, text(8)), (3, text(19)), (4, ""), (5, None), (6, "tiny"), (7, text(30).upper())]
     docs = [(i, text(20) + "\n" + changed(rng, item, k) + "  " + text(10)) for i, (item, k) in enumerate(
         [(t, k) for _, t in items if t and len(t) > 10 for k in (0, 2, 5, 12, 30)])]
-    docs += [(900, text(200)), (901, None), (902, ""), (903, items[0][1] + " " + items[0][1]), (904, text(60000) + items[2][1])]
+    docs += [(900, text(200)), (901, None), (902, ""), (903, items[0][1] + " " + items[0][1]), (904, text(60000) + items[2][1]), (905, "a tinyish thing"), (906, "so\nTiny, not tiny it"), (900, text(200))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_id, r.item_id): r.edits for r in frame.select("doc_id", F.explode(decontaminate.leaks(spark, bench, F.col("text"))).alias("h")).select("doc_id", "h.*").collect()}
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.leaks(frame.withColumn("hit", F.lit("clash")), bench).select("doc_id", "hit.*").collect()}
     want = {}
     for i, t in docs:
         if i == 904:
@@ -177,6 +177,8 @@ def test_leaks_equal_brute_force(spark):
         for item, body in items:
             b = decontaminate.normal(body)
             if len(b) < decontaminate.Q:
+                if b and f" {b} " in f" {decontaminate.normal(t)} ":
+                    want[i, item] = 0
                 continue
             starts = [0] if len(b) <= 96 else [*range(0, len(b) - 96, 48), len(b) - 96]
             pieces = [b[a: a + 96] for a in starts]
@@ -209,13 +211,43 @@ def test_parts_of_items_are_found_wherever_they_begin():
 
 
 def test_benchmark_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)
-    items = [(i, f"passage number {i} " + "abcdefgh" * i + " with an end of its own") for i in range(1, 6)]
+    monkeypatch.setattr(decontaminate, "SEGMENT", 96)
+    items = [(i % 3 or None, f"passage number {i} " + "abcdefgh" * i + " with an end of its own") for i in range(1, 16)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = bench.select("item_id", decontaminate.leaks(spark, bench, F.concat(F.lit("before it, "), "text")).alias("h")).collect()
-    assert all(r.item_id in [h.item_id for h in r.h] for r in found)
+    parts = decontaminate.blocks(bench, 600)
+    assert len(parts) > 2 and all(sum(len(r.body) for r in p.collect()) <= 600 for p in parts)
+    docs = bench.select("item_id", F.concat(F.lit("before it, "), "text").alias("text"))
+    found = {(r.item_id, r.text, r.hit.item_id) for r in decontaminate.leaks(docs, bench, most=600).collect()}
+    assert all((i, "before it, " + t, i) in found for i, t in items)
+    clean = docs.unionByName(spark.createDataFrame([(7, "of another kind")] * 2, docs.schema))
+    assert [tuple(r) for r in decontaminate.without_leaks(clean, bench, most=600).collect()] == [(7, "of another kind")] * 2
     none = spark.createDataFrame([], "item_id long, text string")
-    assert bench.select(F.size(decontaminate.leaks(spark, none, F.col("text"))).alias("n")).agg(F.sum("n")).first()[0] == 0
+    assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.leaks(none.toDF("a", "text"), bench).count() == 0
+    assert decontaminate.without_leaks(docs, none).count() == len(items)
+
+
+def test_long_repetitive_texts_take_bounded_memory():
+    import tracemalloc
+
+    index = decontaminate.Index.of([(1, "a" * 200), (2, "ab" * 100), (3, "abc" * 60)])
+    tracemalloc.start()
+    for text in ("a" * 1_000_000, "ab" * 50_000, "x" * 1_500_000 + "abc" * 60 + "y" * 1_500_000):
+        hits = index.search(text)
+        assert min(hits.values())[0] == 0
+    assert hits == {3: (0, 1_500_000, 1_500_096)} and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_stretches_hold_every_occurrence(monkeypatch):
+    rng = random.Random(4)
+    items = [(i, "".join(rng.choice("abc") for _ in range(rng.choice([60, 130, 250])))) for i in range(20)]
+    index = decontaminate.Index.of(items)
+    texts = ["".join(rng.choice("abc") for _ in range(100)) + changed(rng, items[i][1][:100], i % 9) + "b" * 50 for i in range(20)]
+    want = index.find(texts)
+    monkeypatch.setattr(decontaminate, "POSTINGS", 300)
+    assert index.find(texts) == want and sum(map(len, want)) >= 15
+    monkeypatch.setattr(decontaminate, "CHUNK", 200)
+    assert [index.search(t) for t in texts] == want
 
 
 # --- pages -----------------------------------------------------------------------
