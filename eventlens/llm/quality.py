@@ -1,16 +1,19 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document. The ledger keeps the measurements
-and one bit per failed rule, so that a policy (a named set of rules) is a mask
-and changing it never reads the text again. Ablations come from the bits:
-which documents a rule rejects, and which it alone rejects.
+and one bit per failed rule, and is stored without the texts, so that a policy
+(a versioned set of rules) is a mask and changing it never reads a text again.
+Ablations come from the stored bits alone: which documents a rule rejects, and
+which it alone rejects. The bits are counted by value first, and there are few
+values, so an ablation is an aggregation over a small table.
 
 Only DataFrame functions run here; the text never leaves the JVM.
 
 Defined results: a null, empty or blank text has no words and every count is
-0, so it fails the base rules. Rows that repeat are judged one by one. Other
-columns pass through ``ledger`` untouched, except that a column with the name
-of a measurement is replaced. An empty table gives an empty ledger.
+0, so it fails the base rules and ``no_words``. Rows that repeat are judged
+one by one. Other columns pass through ``ledger`` untouched, except that a
+column with the name of a measurement is replaced. An empty table gives an
+empty ledger, and an ablation that counts nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import SPACES, cut, table, words
 
 #: A window of this many words is compared with the others of its text.
 REPEAT_WINDOW = 8
@@ -35,6 +38,9 @@ class Rule:
     fails: str
 
 
+# The most frequent function words of four languages, for ``few_stop_words``.
+STOP_WORDS = ("the be to of and that have with le la les de et un une des que der die und in den von zu das mit el los y en").split()
+
 #: The position of a rule is its bit; new rules are added at the end.
 RULES = (
     Rule("too_few_words", "n_words < 20"),
@@ -43,13 +49,34 @@ RULES = (
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 25 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
+    Rule("stuttering", "100 * n_stutter_words > 30 * n_words"),
+    Rule("few_letters", "10 * n_letter_words < 7 * n_words"),
+    Rule("bullet_lines", "10 * n_bullet_lines > 9 * n_lines"),
+    Rule("ellipsis_lines", "10 * n_ellipsis_lines > 3 * n_lines"),
+    Rule("no_words", "n_words = 0"),
+    Rule("too_many_words", "n_words > 100000"),
+    Rule("mean_word_length", "word_chars < 3 * n_words OR word_chars > 10 * n_words"),
+    Rule("few_stop_words", "n_stop_words < 2"),
+    Rule("open_lines", "100 * n_closed_lines <= 12 * n_lines"),
+    Rule("short_lines", "100 * n_short_lines >= 67 * n_lines"),
+    Rule("braces", "n_braces > 0"),
+    Rule("placeholder", "n_placeholders > 0"),
 )
 
+_FIRST = tuple(rule.name for rule in RULES[:6])
+_SECOND = (*_FIRST, "stuttering", "few_letters", "bullet_lines", "ellipsis_lines")
+
 #: Policies by version: the rules that reject a document.
 POLICIES = {
     "base": ("too_few_words", "repeated_words"),
-    "v1": tuple(rule.name for rule in RULES),
+    "v1": _FIRST,
+    "v2": _SECOND,
+    # Short documents are no worse than others; only empty ones go.
+    "corpus": (*_SECOND[1:], "no_words"),
+    "strict": tuple(rule.name for rule in RULES),
 }
+#: What ``op8`` and the corpus pipeline decide by.
+CURRENT, CORPUS = "v2", "corpus"
 
 
 def mask(policy: str) -> int:
@@ -111,24 +138,39 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+SYMBOLS, BRACES = "#*$%&|<>", "{}"
+#: Ends of a line that close a sentence; a short line has fewer characters.
+CLOSED, SHORT_LINE = r'[.!?"\x{201d}\x{3002}]$', 30
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter_words", "n_letter_words", "n_stop_words",
+            "n_bullet_lines", "n_ellipsis_lines", "n_closed_lines", "n_short_lines", "n_braces", "n_placeholders")
+
+
+def _occurrences(text: Column, characters: str) -> Column:
+    """How many of the characters a text has."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements of each text to its row."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    tokens = F.col("__words")
+    tokens, whole, trimmed = F.col("__words"), F.col("__lines"), F.col("__trimmed")
+    count_if = lambda values, test: F.size(F.filter(values, test))
+    found = {
+        "n_words": F.size(tokens), "word_chars": F.length(F.array_join(tokens, "")), "n_symbols": _occurrences(body, SYMBOLS),
+        "n_lines": F.size(whole), "n_dup_lines": F.size(whole) - F.size(F.array_distinct(whole)), "n_repeat_words": repeated_words(tokens),
+        "n_stutter_words": count_if(tokens, lambda w, i: (i > 0) & (w == F.get(tokens, i - 1))),
+        "n_letter_words": count_if(tokens, lambda w: w.rlike("\\p{L}")),
+        "n_stop_words": F.size(F.array_intersect(F.transform(tokens, F.lower), F.array(*[F.lit(w) for w in STOP_WORDS]))),
+        "n_bullet_lines": count_if(trimmed, lambda x: x.rlike("^[-*\\x{2022}]")),
+        "n_ellipsis_lines": count_if(trimmed, lambda x: x.endswith("...") | x.endswith("\u2026")),
+        "n_closed_lines": count_if(trimmed, lambda x: x.rlike(CLOSED)), "n_short_lines": count_if(trimmed, lambda x: F.length(x) < SHORT_LINE),
+        "n_braces": _occurrences(body, BRACES), "n_placeholders": F.contains(F.lower(body), F.lit("lorem ipsum")).cast("long")}
     return (
-        df.withColumn("__words", words(F.col(text)))
-        .withColumn("__lines", lines)
-        .withColumns({
-            "n_words": F.size(tokens).cast("long"),
-            "word_chars": F.length(F.array_join(tokens, "")).cast("long"),
-            "n_symbols": F.size(F.regexp_extract_all(body, F.lit("[#*$%&|<>]"), F.lit(0))).cast("long"),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": repeated_words(tokens),
-        })
-        .drop("__words", "__lines")
-    )
+        df.withColumn("__words", words(F.col(text))).withColumn("__lines", lines)
+        .withColumn("__trimmed", F.transform("__lines", lambda x: F.btrim(x, F.lit(SPACES))))
+        .withColumns({name: found[name].cast("long") for name in MEASURES})
+        .drop("__words", "__lines", "__trimmed"))
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
@@ -139,42 +181,52 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
         "failures", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
-def apply_policy(book: DataFrame, policy: str = "v1", column: str = "kept") -> DataFrame:
+def store(book: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger as a stored table of its own, without the texts."""
+    return cut(book.select(F.col(key), *MEASURES, "failures") if key in book.columns else book.drop(text), "quality-ledger")
+
+
+def apply_policy(book: DataFrame, policy: str = CURRENT, column: str = "kept") -> DataFrame:
     """Add whether ``policy`` keeps each document of a ledger."""
     return book.withColumn(column, F.col("failures").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
-def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
-    """One row per rule of ``policy``: documents it rejects, and alone rejects.
+def kept(df: DataFrame, policy: str, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``policy`` keeps, with their own columns."""
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(text).alias("__text"))
+    return apply_policy(ledger(own, "__text"), policy, "__kept").where("__kept").select("__row.*")
+
 
-    ``together`` has the bits of all rules that ever fail along with it.
+def ablation(book: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """One row per policy and rule: documents it rejects, and alone rejects.
+
+    ``together`` has the bits of all rules of the policy that ever fail along
+    with it. Reads the bits of a ledger and nothing else.
     """
-    used = [(i, rule) for i, rule in enumerate(RULES) if rule.name in POLICIES[policy]]
-    failed = F.col("failures").bitwiseAND(F.lit(mask(policy)))
-    totals = book.select(failed.alias("f")).agg(*[
-        agg for i, _ in used for agg in (
-            F.count_if(F.col("f").bitwiseAND(F.lit(1 << i)) != 0).alias(f"rejected_{i}"),
-            F.count_if(F.col("f") == (1 << i)).alias(f"alone_{i}"),
-            F.bit_or(F.when(F.col("f").bitwiseAND(F.lit(1 << i)) != 0, F.col("f"))).alias(f"together_{i}"))])
-    return totals.select(F.explode(F.array(*[
-        F.struct(F.lit(rule.name).alias("rule"), F.lit(1 << i).cast("long").alias("bit"),
-                 F.col(f"rejected_{i}").alias("rejected"), F.col(f"alone_{i}").alias("rejected_alone"),
-                 F.coalesce(F.col(f"together_{i}"), F.lit(0)).cast("long").alias("together"))
-        for i, rule in used])).alias("r")).select("r.*")
+    values = book.groupBy("failures").agg(F.count("*").alias("n"))
+    wanted = [(p, name, 1 << i, mask(p)) for p in policies for i, name in enumerate(r.name for r in RULES) if name in POLICIES[p]]
+    rules = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(name).alias("rule"), F.lit(bit).cast("long").alias("bit"), F.lit(m).cast("long").alias("mask"))
+                      for p, name, bit, m in wanted])
+    nothing = book.sparkSession.range(1).select(F.lit(0).cast("long").alias("failures"), F.lit(0).cast("long").alias("n"))
+    each = values.unionByName(nothing).withColumn("r", F.explode(rules)).select(
+        "r.policy", "r.rule", "r.bit", F.col("failures").bitwiseAND(F.col("r.mask")).alias("f"), "n")
+    fails = F.col("f").bitwiseAND(F.col("bit")) != 0
+    return each.groupBy("policy", "rule", "bit").agg(
+        F.coalesce(F.sum(F.when(fails, F.col("n"))), F.lit(0)).alias("rejected"),
+        F.coalesce(F.sum(F.when(F.col("f") == F.col("bit"), F.col("n"))), F.lit(0)).alias("rejected_alone"),
+        F.coalesce(F.bit_or(F.when(fails, F.col("f"))), F.lit(0)).cast("long").alias("together"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its measurements, failure bits and verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    book = apply_policy(apply_policy(ledger(docs), "base", "__base"), "v1")
-    return book.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~F.col("__base")).alias("base_failed"), "kept", "failures")
+    book = apply_policy(apply_policy(ledger(docs), "base", "__base"))
+    return book.select("doc_id", *MEASURES, (~F.col("__base")).alias("base_failed"), "kept", "failures")
 
 
 def op8_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule of the current policy rejects, together and alone."""
-    return ablation(ledger(table(spark, sf_dir, "documents").select("text")))
+    """What each rule of each policy rejects, together and alone."""
+    return ablation(store(ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 _LEDGER_SQL = r"""
@@ -194,39 +246,39 @@ WITH d AS (
 ), c AS (
   SELECT doc_id, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n_repeat_words FROM (
     SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM r) GROUP BY doc_id
+), v AS (
+  SELECT *, list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS trimmed FROM w
 ), m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(lines) AS BIGINT) AS n_lines,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-    coalesce(c.n_repeat_words, 0) AS n_repeat_words
-  FROM w LEFT JOIN c ON w.doc_id IS NOT DISTINCT FROM c.doc_id
-), f AS (
-  SELECT *, CAST(
-    (CASE WHEN n_words < 20 THEN 1 ELSE 0 END)
-    + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
-    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
-    + (CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END)
-    + (CASE WHEN word_chars > 25 * n_words THEN 16 ELSE 0 END)
-    + (CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END) AS BIGINT) AS failures
-  FROM m
-)
-"""
+    coalesce(c.n_repeat_words, 0) AS n_repeat_words,
+    CAST(len(list_filter(ws, lambda x, i: i > 1 AND x = ws[i - 1])) AS BIGINT) AS n_stutter_words,
+    CAST(len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) AS BIGINT) AS n_letter_words,
+    CAST(len(list_intersect(list_transform(ws, lambda x: lower(x)), string_split('STOP', ' '))) AS BIGINT) AS n_stop_words,
+    CAST(len(list_filter(trimmed, lambda x: regexp_matches(x, '^[-*\x{2022}]'))) AS BIGINT) AS n_bullet_lines,
+    CAST(len(list_filter(trimmed, lambda x: ends_with(x, '...') OR ends_with(x, chr(8230)))) AS BIGINT) AS n_ellipsis_lines,
+    CAST(len(list_filter(trimmed, lambda x: regexp_matches(x, '[.!?"\x{201d}\x{3002}]$'))) AS BIGINT) AS n_closed_lines,
+    CAST(len(list_filter(trimmed, lambda x: length(x) < 30)) AS BIGINT) AS n_short_lines,
+    CAST(len(regexp_extract_all(body, '[{}]')) AS BIGINT) AS n_braces, CAST(contains(lower(body), 'lorem ipsum') AS BIGINT) AS n_placeholders
+  FROM v AS w LEFT JOIN c ON w.doc_id IS NOT DISTINCT FROM c.doc_id
+), f AS (SELECT *, CAST(BITS AS BIGINT) AS failures FROM m)
+""".replace("STOP", " ".join(STOP_WORDS)).replace("BITS", " + ".join(f"(CASE WHEN {rule.fails} THEN {1 << i} ELSE 0 END)" for i, rule in enumerate(RULES)))
 
 QUERIES = {"op8_quality_rules": op8_quality_rules, "op8_rule_ablation": op8_rule_ablation}
 ORACLES = {
-    "op8_quality_rules": _LEDGER_SQL + """
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+    "op8_quality_rules": _LEDGER_SQL + f"""
+SELECT doc_id, {", ".join(MEASURES)}, (failures & {mask("base")}) <> 0 AS base_failed, (failures & {mask(CURRENT)}) = 0 AS kept, failures FROM f
 """,
-    "op8_rule_ablation": _LEDGER_SQL + """
-, b AS (SELECT * FROM (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbol_heavy', 4),
-  ('short_words', 8), ('long_words', 16), ('repeated_lines', 32)) AS t(rule, bit))
-SELECT rule, CAST(bit AS BIGINT) AS bit,
+    "op8_rule_ablation": _LEDGER_SQL + f"""
+, b AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{r.name}', {1 << i}, {mask(p)})" for p in POLICIES for i, r in enumerate(RULES) if r.name in POLICIES[p])})
+  AS t(policy, rule, bit, mask))
+SELECT policy, rule, CAST(bit AS BIGINT) AS bit,
   CAST(count(*) FILTER (WHERE (failures & bit) <> 0) AS BIGINT) AS rejected,
-  CAST(count(*) FILTER (WHERE failures = bit) AS BIGINT) AS rejected_alone,
-  coalesce(bit_or(failures) FILTER (WHERE (failures & bit) <> 0), 0) AS together
-FROM b CROSS JOIN f GROUP BY rule, bit
+  CAST(count(*) FILTER (WHERE (failures & mask) = bit) AS BIGINT) AS rejected_alone,
+  coalesce(bit_or(failures & mask) FILTER (WHERE (failures & bit) <> 0), 0) AS together
+FROM b CROSS JOIN f GROUP BY policy, rule, bit
 """,
 }

@@ -45,14 +45,33 @@ def test_quality_equals_brute_force(spark, odd_rows, odd_docs):
     assert sorted((str(r[0]), *r[1:]) for r in rows) == sorted(want)
 
 
+def test_other_measures(spark):
+    text = "the the cat cat (1) 42 la\n- item {x}\n* more...\nLorem Ipsum.\n  \nA line that is long enough to be no short one,"
+    r = quality.ledger(spark.createDataFrame([(1, text, "clash")], "doc_id long, text string, failures string")).first()
+    assert (r.n_lines, r.n_stutter_words, r.n_letter_words, r.n_bullet_lines, r.n_ellipsis_lines, r.n_closed_lines, r.n_short_lines) == (5, 2, 21, 2, 1, 2, 4)
+    assert (r.n_stop_words, r.n_braces, r.n_placeholders) == (5, 2, 1)
+    failed = {rule.name for i, rule in enumerate(quality.RULES) if r.failures >> i & 1}
+    assert failed == {"short_lines", "braces", "placeholder"}
+
+
 def test_policies_and_ablation(spark, odd_docs, no_docs):
-    book = quality.ledger(odd_docs)
-    rows = {r.rule: r for r in quality.ablation(book).collect()}
+    book = quality.store(quality.ledger(odd_docs))
+    assert "text" not in book.columns
+    rows = {(r.policy, r.rule): r for r in quality.ablation(book).collect()}
     bits = [r.failures for r in book.select("failures").collect()]
-    for i, rule in enumerate(quality.RULES):
-        assert rows[rule.name].rejected == sum(bool(b >> i & 1) for b in bits)
-        assert rows[rule.name].rejected_alone == sum(b == 1 << i for b in bits)
-    assert quality.ledger(no_docs).count() == 0 and quality.ablation(quality.ledger(no_docs)).count() == len(quality.RULES)
+    assert len(bits) == odd_docs.count()
+    for policy, names in quality.POLICIES.items():
+        for i, rule in enumerate(quality.RULES):
+            if rule.name in names:
+                r, m = rows[policy, rule.name], quality.mask(policy)
+                assert r.rejected == sum(bool(b >> i & 1) for b in bits) and r.rejected_alone == sum(b & m == 1 << i for b in bits)
+                together = 0
+                for b in bits:
+                    together |= b & m if b >> i & 1 else 0
+                assert r.together == together
+    assert len(rows) == sum(map(len, quality.POLICIES.values()))
+    empty = quality.ledger(no_docs)
+    assert empty.count() == 0 and {r.rejected for r in quality.ablation(empty).collect()} == {0}
 
 
 def test_quality_runs_no_python(spark):

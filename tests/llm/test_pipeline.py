@@ -28,7 +28,7 @@ def test_every_stage_takes_odd_and_empty_tables(spark, odd_docs, no_docs):
 
 def test_quality_stage_keeps_what_its_policy_keeps(spark, odd_docs):
     kept = BY_NAME["quality rules"](spark, odd_docs, DATA)
-    want = quality.apply_policy(quality.ledger(odd_docs)).where("kept").count()
+    want = quality.apply_policy(quality.ledger(odd_docs), "corpus").where("kept").count()
     assert 0 < kept.count() == want < odd_docs.count()
 
 
