@@ -16,8 +16,8 @@ from eventlens.llm import common, decontaminate, mixing, near, quality, sharding
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy of quality rules keeps."""
-    return quality.apply_policy(quality.ledger(docs), "v1", "__kept").where("__kept").select(*docs.columns)
+    """Documents that the policy of the corpus keeps."""
+    return quality.kept(docs, quality.CORPUS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
