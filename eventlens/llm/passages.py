@@ -9,11 +9,14 @@ places are one run of the graph. The rest goes by joins:
 * runs that are repeated and whose occurrences all have the same next and
   previous run form nonbranching paths, which are compacted to one: all its
   runs occur equally often, in the same documents;
-* a path that an earlier document has too is removed at once, by the source
-  coordinates of its first run;
 * where runs of different content share a gram, a repeat begins or ends
   inside them; there, and only for the first occurrence of each, windows are
-  compared one by one.
+  compared one by one, and those that follow one another in both documents
+  are one span;
+* a span that an earlier document seems to have too, a path or such windows,
+  carries the source coordinates of that document. The words there are read
+  once for each different source span, and a span goes only if its own words
+  are the same. Hashes thus find repeats, and words decide.
 
 Defined results: a null or blank text has no words and nothing removed; a text
 shorter than a window keeps everything; rows that repeat a doc_id never remove
@@ -130,12 +133,12 @@ def classes(found: DataFrame) -> DataFrame:
 
 
 def paths(repeated: DataFrame) -> DataFrame:
-    """Nonbranching paths of repeated runs: (gram, run, first, windows).
+    """Nonbranching paths of repeated runs: (gram, run, source, windows).
 
     A run continues the one before it if every occurrence of either has the
     other beside it. All runs of a path then also stand side by side in its
-    first document, where the path is read off: (gram, run) is its first run
-    and ``windows`` the number of all its windows.
+    first document, where the path is read off: (gram, run) is its first run,
+    ``source`` its place there and ``windows`` the number of all its windows.
     """
     along = Window.partitionBy("source.doc", "source.print").orderBy("source.start")
     heads = repeated.join(
@@ -144,9 +147,8 @@ def paths(repeated: DataFrame) -> DataFrame:
     return (
         heads.withColumn("path", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(along))
         .groupBy("source.doc", "source.print", "path")
-        .agg(F.min_by(F.struct("gram", "run"), "source.start").alias("head"), F.min("first").alias("first"),
-             F.sum("count").cast("int").alias("windows"))
-        .select("head.gram", "head.run", "first", "windows"))
+        .agg(F.min_by(F.struct("gram", "run", "source"), "source.start").alias("head"), F.sum("count").cast("int").alias("windows"))
+        .select("head.gram", "head.run", "head.source", "windows"))
 
 
 def windows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -181,28 +183,66 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, print, start, count): windows that an earlier document has."""
+    """(doc, print, start, count, source): windows that an earlier document
+    seems to have, and where; ``source`` is (doc, print, start)."""
     found = cut(word_runs(docs), "passage-runs")
     known = cut(classes(found), "passage-classes")
     # Small tables of their own, so that the joins below are dealt out on both
     # sides and a run or window that very many documents share can be split.
     compact = cut(paths(known.where("first < last")), "passage-paths")
-    whole = found.join(compact, ["gram", "run"]).where("doc > first").select(
-        *KEY, "start", F.col("windows").alias("count"))
+    whole = found.join(compact, ["gram", "run"]).where("doc > source.doc").select(
+        *KEY, "start", F.col("windows").alias("count"), "source")
     first = known.where("mixed").select("gram", "run", F.col("first").alias("doc"))
     edges = found.join(first, ["gram", "run", "doc"]).select(*KEY, "start", "count", "gram")
     single = cut(windows_of(docs, edges), "passage-windows")
-    least = single.groupBy("gram", "id").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    shared = cut(least.drop("last"), "passage-shared")
-    parts = single.join(shared, ["gram", "id"]).where("doc > first").select(
-        *KEY, F.col("at").alias("start"), F.lit(1).alias("count"))
-    return whole.unionByName(parts)
+    least = single.groupBy("gram", "id").agg(F.min(F.struct("doc", "print", F.col("at").alias("start"))).alias("source"), F.max("doc").alias("last"))
+    shared = cut(least.where("source.doc < last").drop("last"), "passage-shared")
+    parts = single.join(shared, ["gram", "id"]).where("doc > source.doc").select(*KEY, F.col("at").alias("start"), "source")
+    return cut(whole.unionByName(joined_up(parts)), "passage-spans")
+
+
+def joined_up(parts: DataFrame) -> DataFrame:
+    """Windows that follow one another in a document and in its source as one
+    span."""
+    shift = F.col("start") - F.col("source.start")
+    along = Window.partitionBy(*KEY).orderBy("source.doc", "source.print", shift, "start")
+    same = [F.lag(c).over(along) == c for c in (F.col("source.doc"), F.col("source.print"), shift)]
+    goes_on = same[0] & same[1] & same[2] & (F.lag("start").over(along) == F.col("start") - 1)
+    opens = F.when(goes_on, 0).otherwise(1)
+    numbered = parts.withColumn("opens", opens).withColumn("span", F.sum("opens").over(along))
+    return numbered.groupBy(*KEY, "span").agg(
+        F.min("start").alias("start"), F.count("*").cast("int").alias("count"), F.min("source").alias("source")).drop("span")
+
+
+def source_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(source, count, words): the words at each different source span."""
+    wanted = spans.select("source", "count").distinct().groupBy(F.col("source.doc").alias("doc"), F.col("source.print").alias("print")).agg(
+        F.collect_list(F.struct(F.col("source.start").alias("start"), "count")).alias("spans"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, mark, text, rows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = split(text)
+                for at in range(0, len(rows), 1000):
+                    part = rows[at: at + 1000]
+                    out = [b" ".join(words[r["start"]: r["start"] + r["count"] + WINDOW - 1]) for r in part]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([doc] * len(part), pa.int64()), pa.array([mark] * len(part), pa.int64()),
+                        pa.array([r["start"] for r in part], pa.int32()), pa.array([r["count"] for r in part], pa.int32()),
+                        pa.array(out, pa.binary())], ["doc", "print", "start", "count", "words"])
+
+    read = docs.join(wanted, KEY).select("doc", "print", "text", "spans").mapInArrow(
+        each, "doc long, print long, start int, count int, words binary")
+    return read.select(F.struct("doc", "print", "start").alias("source"), "count", "words")
 
 
 def remove_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, spans, kept): removed word ranges and the kept text."""
     docs = keyed(df, key, text)
-    listed = repeated_spans(docs).groupBy(*KEY).agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    spans = repeated_spans(docs)
+    # A table of its own, so that a source that very many spans have can be split.
+    sources = cut(source_words(docs, spans), "passage-sources")
+    listed = spans.join(sources, ["source", "count"]).groupBy(*KEY).agg(F.collect_list(F.struct("start", "count", "words")).alias("runs"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +250,7 @@ def remove_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             for body, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = split(body)
                 gone = np.zeros(len(words), bool)
+                found = [r for r in found or () if b" ".join(words[r["start"]: r["start"] + r["count"] + WINDOW - 1]) == r["words"]]
                 if found:
                     gone = covered(np.array([r["start"] for r in found], np.int64),
                                    np.array([r["count"] for r in found], np.int64), WINDOW, len(words))

@@ -42,6 +42,20 @@ def test_passages_equal_brute_force(spark, odd_rows, odd_docs):
     assert got == want and any(n for _, _, n, _ in got)
 
 
+def test_words_at_the_source_decide(spark, odd_docs, monkeypatch):
+    """Spans that hashes only seem to match are kept."""
+    true = passages.repeated_spans
+
+    def lying(docs):
+        spans = true(docs)
+        wrong = spans.withColumn("source", F.struct("source.doc", "source.print", (F.col("source.start") + 1).alias("start")))
+        return wrong
+
+    monkeypatch.setattr(passages, "repeated_spans", lying)
+    done = passages.remove_passages(odd_docs).collect()
+    assert len(done) == odd_docs.count() and not any(r.spans for r in done)
+
+
 def test_substrings_equal_brute_force(spark, odd_rows, odd_docs):
     want = sorted((str(i), len(s), sum(g), bytes(b for b, x in zip(s, g, strict=True) if not x))
                   for (i, *_), (s, g) in zip(odd_rows, spans_removed(odd_rows, lambda t: (t or "").encode(), 50), strict=True))
