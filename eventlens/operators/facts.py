@@ -115,10 +115,16 @@ def purchase_examples(ordered: DataFrame, limit: int = 10, **past: float) -> Dat
 
 
 def revenue_after_content(ordered: DataFrame) -> DataFrame:
-    """Each purchase shared by the groups its session has seen so far."""
-    so_far = Window.partitionBy("uid", "session_index").orderBy(AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Each purchase shared by the groups its session has seen so far.
+
+    A session's groups are gathered once, with the place where each began;
+    purchases meet them on the partitioning by user that both have already.
+    """
+    groups = ordered.where(F.col("group") != "").groupBy("uid", "session_index", "group").agg(F.min(AT).alias("first")).groupBy(
+        "uid", "session_index").agg(F.collect_list(F.struct("first", "group")).alias("groups"))
+    bought = ordered.where(is_purchase()).select("uid", "session_index", AT, "amount")
+    seen = F.filter("groups", lambda g: g["first"] <= F.col(AT))
     return (
-        ordered.withColumn("seen", F.collect_set(F.when(F.col("group") != "", F.col("group"))).over(so_far))
-        .where(is_purchase()).select((F.coalesce("amount", F.lit(0.0)) / F.nullif(F.size("seen"), F.lit(0))).alias("share"),
-                                   F.explode("seen").alias("group"))
+        bought.join(groups, ["uid", "session_index"]).withColumn("seen", seen).where(F.size("seen") > 0)
+        .select((F.coalesce("amount", F.lit(0.0)) / F.size("seen")).alias("share"), F.explode("seen.group").alias("group"))
         .groupBy("group").agg(F.sum("share").alias("revenue_after_content")))

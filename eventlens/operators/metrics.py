@@ -9,10 +9,6 @@ from ..functions.values import ratio
 from .facts import failure_contexts, is_failure, is_purchase, product_contexts, revenue_after_content
 
 
-def _paid() -> Column:
-    return F.coalesce(F.sum(F.when(is_purchase(), F.col("amount")).otherwise(0.0)), F.lit(0.0))
-
-
 def _rates(df: DataFrame) -> DataFrame:
     return df.select(
         *[c for c in ("date",) if c in df.columns], "active_users", "events",
@@ -20,12 +16,16 @@ def _rates(df: DataFrame) -> DataFrame:
         F.round(F.coalesce("avg_session_duration_sec", F.lit(0.0)), 2).alias("avg_session_duration_sec"),
         F.round("revenue", 2).alias("revenue"), "paying_users",
         ratio(F.col("paying_users"), F.col("active_users"), 4).alias("conversion_rate"),
-        ratio(F.round("revenue", 6), F.col("paying_users"), 2).alias("arppu"))
+        ratio(F.col("revenue"), F.col("paying_users"), 2).alias("arppu"))
 
 
-def _events(df: DataFrame, *keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("events"), F.count_distinct("uid").alias("active_users"),
-                                 F.count_distinct(F.when(is_purchase(), F.col("uid"))).alias("paying_users"), _paid().alias("revenue"))
+def _events(df: DataFrame, *keys: str) -> DataFrame:
+    """Counts by the keys; users are counted by a first grouping with them,
+    so that no event is expanded once for each distinct count."""
+    by_user = df.groupBy(*keys, "uid").agg(F.count("*").alias("n"), F.max(is_purchase()).alias("paid"),
+                                           F.sum(F.when(is_purchase(), F.col("amount"))).alias("amount"))
+    return by_user.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count("uid").alias("active_users"),
+                                      F.count_if("paid").alias("paying_users"), F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 6).alias("revenue"))
 
 
 def run_summary(ordered: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -36,24 +36,28 @@ def run_summary(ordered: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def daily_summary(ordered: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row per day that has events; sessions count on their first day."""
-    day = F.to_date("ts").cast("string").alias("date")
+    day = F.to_date("ts").cast("string")
     starts = sessions.where("start is not null").groupBy(F.to_date("start").cast("string").alias("date")).agg(
         F.count("*").alias("sessions"), F.avg("duration_sec").alias("avg_session_duration_sec"))
-    return _rates(_events(ordered.where("ts is not null"), day).join(starts, "date", "left"))
+    return _rates(_events(ordered.where("ts is not null").withColumn("date", day), "date").join(starts, "date", "left"))
 
 
 def content_facts(ordered: DataFrame) -> DataFrame:
-    """Health of every content group: one aggregation, joined with shares."""
+    """Health of every content group, from what each user did in it."""
     waits = (F.col("event_type") == "match_issue") | (F.coalesce("wait_time_sec", F.lit(0.0)) > 0)
-    user_if = lambda kind: F.count_distinct(F.when(F.col("event_type") == kind, F.col("uid")))
-    base = ordered.where("group is not null").groupBy("group").agg(
-        F.count_distinct("uid").alias("participant_users"), F.count("*").alias("event_count"),
-        F.avg(F.nullif("duration_sec", F.lit(0.0))).alias("avg_duration"),
-        F.count_if(F.col("event_type") == "content_success").alias("success_events"), F.count_if(is_failure()).alias("fail_events"),
-        user_if("reward_claim").alias("reward_users"), user_if("content_success").alias("success_users"),
-        F.avg(F.when(waits, F.nullif("wait_time_sec", F.lit(0.0)))).alias("wait"),
-        F.count_if(F.col("wait_time_sec") > 0).alias("waited"),
-        F.avg(F.when(waits, F.nullif("duration_sec", F.lit(0.0)))).alias("wait_duration"))
+    spent, waited = F.nullif("duration_sec", F.lit(0.0)), F.nullif("wait_time_sec", F.lit(0.0))
+    sums = {"spent": spent, "wait": F.when(waits, waited), "held": F.when(waits, spent)}
+    counts = {"success_events": F.col("event_type") == "content_success", "fail_events": is_failure(), "rewards": F.col("event_type") == "reward_claim",
+              "waited": F.col("wait_time_sec") > 0}
+    by_user = ordered.where("group is not null").groupBy("group", "uid").agg(
+        F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()],
+        *[f for k, c in sums.items() for f in (F.sum(c).alias(k), F.count(c).alias(f"{k}_n"))])
+    mean = lambda k: F.sum(k) / F.nullif(F.sum(f"{k}_n"), F.lit(0))
+    base = by_user.groupBy("group").agg(
+        F.count("*").alias("participant_users"), F.sum("n").alias("event_count"), mean("spent").alias("avg_duration"),
+        F.sum("success_events").alias("success_events"), F.sum("fail_events").alias("fail_events"),
+        F.count_if(F.col("rewards") > 0).alias("reward_users"), F.count_if(F.col("success_events") > 0).alias("success_users"),
+        mean("wait").alias("wait"), F.sum("waited").alias("waited"), mean("held").alias("wait_duration"))
     active = ordered.agg(F.count_distinct("uid").alias("active_users"))
     return (
         base.crossJoin(active).join(revenue_after_content(ordered), "group", "left")

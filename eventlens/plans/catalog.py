@@ -99,7 +99,7 @@ r AS (SELECT range AS id, TIMESTAMP '2026-05-28 00:00:00' + INTERVAL 1 SECOND *
 SELECT event_name, count(*) AS events, count(DISTINCT id % 10000) AS users, CAST(sum(amount) AS BIGINT) AS amount,
   strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first_time, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last_time FROM r JOIN p ON p.i = r.id % 11 GROUP BY event_name""",
     "stream_sessions": f"""WITH {events.STD}, l AS (SELECT *, lag(ts) OVER (PARTITION BY uid ORDER BY ts, src) AS before FROM std),
-s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY ts, src) AS n FROM l)
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR date_diff('second', before, ts) > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY ts, src) AS n FROM l)
 SELECT uid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS event_count, count(*) FILTER (WHERE event_type = 'purchase') AS purchase_count,
   round(coalesce(sum(amount) FILTER (WHERE event_type = 'purchase'), 0), 4) AS revenue FROM s GROUP BY uid, n""",
     "customer_concentration": """WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS uid, sum(o_totalprice) AS revenue,

@@ -36,7 +36,7 @@ def _day(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT count(*) AS events, count(DISTINCT uid) AS active_users,
   count(DISTINCT CASE WHEN event_type = 'purchase' THEN uid END) AS paying_users, sum(amount) AS revenue FROM ev)
 SELECT active_users, events, (SELECT count(*) FROM ses) AS sessions,
-  round((SELECT avg(duration_sec) FROM ses), 2) AS avg_session_duration_sec, round(revenue, 2) AS revenue, paying_users,
+  round((SELECT avg(duration_sec) FROM ses), 2) AS avg_session_duration_sec, round(round(revenue, 6), 2) AS revenue, paying_users,
   round(paying_users / active_users, 4) AS conversion_rate, round(round(revenue, 6) / paying_users, 2) AS arppu FROM e""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = EV(spark, sf_dir)
@@ -48,8 +48,8 @@ e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS events, coun
   count(DISTINCT CASE WHEN event_type = 'purchase' THEN uid END) AS paying_users, sum(amount) AS revenue FROM ev GROUP BY 1),
 s AS (SELECT CAST(CAST(start AS DATE) AS VARCHAR) AS date, count(*) AS sessions, avg(duration_sec) AS d FROM ses GROUP BY 1)
 SELECT date, active_users, events, coalesce(sessions, 0) AS sessions, round(coalesce(d, 0), 2) AS avg_session_duration_sec,
-  round(revenue, 2) AS revenue, paying_users, round(paying_users / active_users, 4) AS conversion_rate,
-  CASE WHEN paying_users = 0 THEN 0 ELSE round(revenue / paying_users, 2) END AS arppu FROM e LEFT JOIN s USING (date)""")
+  round(round(revenue, 6), 2) AS revenue, paying_users, round(paying_users / active_users, 4) AS conversion_rate,
+  CASE WHEN paying_users = 0 THEN 0 ELSE round(round(revenue, 6) / paying_users, 2) END AS arppu FROM e LEFT JOIN s USING (date)""")
 def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = EV(spark, sf_dir)
     return metrics.daily_summary(ordered, facts.session_facts(ordered))

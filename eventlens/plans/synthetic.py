@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 # Fixed values: (event, content, product, amount, duration, wait, result) of the cycle.
 PATTERNS = (
-    ("login", "", "", 0, 0, 0, ""),
-    ("tutorial_step_05_drop", "tutorial", "", 0, 40, 0, "fail"),
-    ("arena_enter", "arena", "", 0, 0, 0, ""),
-    ("arena_match_wait_timeout", "arena", "", 0, 0, 52, "timeout"),
-    ("arena_lose", "arena", "", 0, 180, 0, "fail"),
-    ("raid_enter", "raid", "", 0, 0, 0, ""),
-    ("raid_clear_fail", "raid", "", 0, 600, 0, "fail"),
-    ("shop_view", "", "starter_pack", 0, 3, 0, ""),
+    ("login", "", "", 0, 0, 0, "success"),
+    ("arena_enter", "arena", "", 0, 120, 8, "start"),
+    ("arena_match_wait_timeout", "arena", "", 0, 0, 54, "fail"),
+    ("arena_win", "arena", "", 0, 210, 0, "success"),
+    ("raid_enter", "raid", "", 0, 180, 0, "start"),
+    ("raid_clear_fail", "raid", "", 0, 360, 0, "fail"),
+    ("raid_clear", "raid", "", 0, 420, 0, "success"),
+    ("shop_view", "", "", 0, 30, 0, "view"),
     ("pkg_starter_buy", "", "starter_pack", 9900, 0, 0, "success"),
-    ("raid_clear_success", "raid", "", 0, 540, 0, "success"),
-    ("reward_claim", "", "", 0, 0, 0, ""),
+    ("pkg_raid_buy", "", "raid_pack", 55000, 0, 0, "success"),
+    ("reward_claim", "raid", "", 0, 15, 0, "success"),
 )
 
 

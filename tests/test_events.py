@@ -120,3 +120,13 @@ def test_stream_closes_sessions_behind_the_watermark(spark, tmp_path):
     got = sorted((r.uid, str(r.start.time()), r.event_count, r.revenue) for r in spark.table("closed").collect())
     assert got == [("u", "10:00:00", 2, 7.0), ("u", "11:00:00", 1, 0.0)]
     assert session_stream(e).count() == 3
+
+
+def test_stream_and_table_agree_below_a_second(spark):
+    from eventlens.streaming.sessions import session_stream
+
+    e = events(spark, ("u", "10:00:00.100", "a", None, None, 0), ("u", "10:30:00.900", "a", None, None, 0), ("v", "10:00:00.900", "a", None, None, 0),
+               ("v", "10:30:01.100", "a", None, None, 0), ("w", "10:00:00", "a", None, None, 0), ("w", "10:30:00", "a", None, None, 0))
+    table = {r.uid: r.n for r in sessionize(e).groupBy("uid").agg(F.count_distinct("session_id").alias("n")).collect()}
+    stream = {r.uid: r.n for r in session_stream(e).groupBy("uid").agg(F.count("*").alias("n")).collect()}
+    assert stream == table == {"u": 1, "v": 2, "w": 1}

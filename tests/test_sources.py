@@ -100,3 +100,5 @@ def test_compare_and_plain():
 def test_synthetic_log(spark):
     log = synthetic.synthetic_log(spark, 120, 12)
     assert log.count() == 120 and log.select("uid").distinct().count() == 12
+    r = log.where("_src = 30").first()
+    assert (r.uid, r.event_time, r.event_name, r.product_id, r.amount) == ("u000006", "2026-05-28 00:00:15", "pkg_starter_buy", "starter_pack", 9900)
