@@ -9,6 +9,8 @@ from ..config import BURST_EVENTS, BURST_SECONDS
 from ..functions.values import filled, ratio, seconds
 
 AT = "user_event_index"
+#: Codes listed for each sampled user or session.
+TOP_CODES = 5
 
 
 def coded(ordered: DataFrame) -> DataFrame:
@@ -130,9 +132,12 @@ def sequences(flow: DataFrame, key: str = "uid", users: int = 8, steps: int = 24
     words = F.transform(F.slice("runs", 1, steps), lambda r: F.when(
         r["count"] > 1, F.concat(r["label"], F.lit(" x"), r["count"].cast("string"))).otherwise(r["label"]))
     more = F.when(F.size("runs") > steps, F.concat(F.lit(" -> ... +"), (F.size("runs") - steps).cast("string"), F.lit(" more"))).otherwise("")
-    return top.join(listed, key).select(
+    kinds = flow.join(F.broadcast(top.select(key)), key, "left_semi").groupBy(key, "code").agg(F.min("label").alias("label"), F.count("*").alias("count"))
+    codes = kinds.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "code", "label", "count"))), 1, TOP_CODES),
+                                               lambda x: F.struct(x["code"].alias("code"), x["label"].alias("label"), x["count"].alias("count"))).alias("top_codes"))
+    return top.join(listed, key).join(codes, key).select(
         key, "event_count", F.coalesce(seconds(F.col("last_ts")) - seconds(F.col("first_ts")), F.lit(0)).alias("duration_sec"),
-        F.size("runs").cast("long").alias("run_count"), F.concat(F.array_join(words, " -> "), more).alias("sequence"))
+        F.size("runs").cast("long").alias("run_count"), F.concat(F.array_join(words, " -> "), more).alias("sequence"), "top_codes")
 
 
 def outliers(flow: DataFrame, limit: int = 12, **burst: int) -> DataFrame:

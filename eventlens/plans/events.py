@@ -411,19 +411,25 @@ def _sequence_sql(key: str) -> str:
   ORDER BY event_count DESC, {key} LIMIT 8),
 lg AS (SELECT *, CASE WHEN lag(code) OVER (PARTITION BY {key} ORDER BY ix) = code THEN 0 ELSE 1 END AS opens FROM fw WHERE {key} IN (SELECT {key} FROM tp)),
 rn AS (SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY ix) - 1 AS run FROM lg),
-cr AS (SELECT {key}, run, arg_min(label, ix) AS label, count(*) AS n FROM rn GROUP BY {key}, run)
-SELECT {key}, event_count, duration_sec, count(*) AS run_count, string_agg(label || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, ' -> ' ORDER BY run) FILTER (WHERE run < 24)
-  || CASE WHEN count(*) > 24 THEN ' -> ... +' || (count(*) - 24) || ' more' ELSE '' END AS sequence FROM tp JOIN cr USING ({key}) GROUP BY ALL"""
+cr AS (SELECT {key}, run, arg_min(label, ix) AS label, count(*) AS n FROM rn GROUP BY {key}, run),
+kc AS (SELECT {key}, string_agg(code || ':' || n, '|' ORDER BY n DESC, code) AS top_codes FROM (
+  SELECT {key}, code, count(*) AS n, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, code) AS place FROM fw GROUP BY {key}, code) WHERE place <= 5 GROUP BY {key})
+SELECT {key}, top_codes, event_count, duration_sec, count(*) AS run_count, string_agg(label || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, ' -> ' ORDER BY run) FILTER (WHERE run < 24)
+  || CASE WHEN count(*) > 24 THEN ' -> ... +' || (count(*) - 24) || ' more' ELSE '' END AS sequence FROM tp JOIN cr USING ({key}) JOIN kc USING ({key}) GROUP BY ALL"""
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return df.withColumn("top_codes", F.array_join(F.transform("top_codes", lambda c: F.concat_ws(":", c["code"], c["count"].cast("string"))), "|"))
 
 
 @query("user_sequence_samples", _sequence_sql("uid"))
 def user_sequence_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.sequences(_flow(spark, sf_dir))
+    return _told(flow.sequences(_flow(spark, sf_dir)))
 
 
 @query("session_sequence_samples", _sequence_sql("session_id"))
 def session_sequence_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.sequences(_flow(spark, sf_dir), key="session_id")
+    return _told(flow.sequences(_flow(spark, sf_dir), key="session_id"))
 
 
 @query("language_suggestions", f"""WITH {STD} SELECT event_raw, event_label, event_type, coalesce(grp, '') AS "group", language_source, count(*) AS count,
@@ -501,6 +507,58 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.alerts(found).withColumn("impact", F.round("impact", 4))
 
 
+_PERCENT = "printf('%.1f%%', round({} * 100, 1))"
+_RETRIED = f"'실패 후 재도전율 ' || {_PERCENT.format('retry_after_failure_rate')}"
+
+
+@query("issue_texts", _CONTENT + f""", md AS (SELECT median(participant_rate) AS m FROM ct)
+SELECT "group" || ' 대기/매칭 지연 의심' AS title, concat_ws('|', '평균 대기시간 ' || printf('%.1f', round(avg_wait_sec, 1)) || '초', {_RETRIED},
+  '참여율 ' || {_PERCENT.format('participant_rate')}) AS evidence FROM ct WHERE avg_wait_sec >= 30
+UNION ALL SELECT "group" || ' 실패율 높음', concat_ws('|', '실패율 ' || {_PERCENT.format('failure_rate')}, {_RETRIED}, '참여 유저 ' || participant_users || '명')
+  FROM ct WHERE failure_rate >= 0.4
+UNION ALL SELECT "group" || ' 이용률 낮지만 매출 연결 있음', concat_ws('|', '참여율 ' || {_PERCENT.format('participant_rate')},
+  '콘텐츠 이후 연결 매출 ' || format('{{:,}}', CAST(round(revenue_after_content, 0) AS BIGINT)), '전체 콘텐츠 참여율 중앙값 ' || {_PERCENT.format('md.m')})
+  FROM ct, md WHERE participant_rate < md.m * 0.55::DOUBLE AND revenue_after_content > 0""")
+def issue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diagnosis.described_content(metrics.content_facts(EV(spark, sf_dir)))
+    return found.select("title", F.array_join("said", "|").alias("evidence"))
+
+
+@query("issue_board", _ISSUES + "SELECT issue_type, subject, severity, round(impact, 4) AS impact FROM iss WHERE severity = '위험'")
+def issue_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diagnosis.content_issues(metrics.content_facts(EV(spark, sf_dir)))
+    return diagnosis.sorted_issues(found, "severity", dangers_only=True).select("issue_type", "subject", "severity", F.round("impact", 4).alias("impact"))
+
+
+@query("log_mapping_issue", f"""WITH {STD}, g AS (SELECT event_raw, count(*) AS n FROM std GROUP BY event_raw, event_label, event_type, grp)
+SELECT '추론 처리 행 ' || format('{{:,}}', (SELECT count(*) FROM std)) || '건' AS inferred, '미확인 로그 ' || (SELECT count(*) FROM g) || '개' AS codes""")
+def log_mapping_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = std_events(spark, sf_dir).withColumn("language_source", F.lit("inferred"))
+    rows = events.count()
+    found = diagnosis.mapping_issues(metrics.data_quality(rows, 0, events), diagnosis.language_suggestions(events))
+    return found.select(F.get("said", F.lit(1)).alias("inferred"), F.get("said", F.lit(0)).alias("codes"))
+
+
+@query("language_rows", f"""WITH {STD} SELECT event_raw, event_type, coalesce(grp, '') AS "group", count(*) AS count, language_source <> 'dictionary' OR event_type = 'event' AS needs_confirmation
+FROM std GROUP BY event_raw, event_label, event_type, grp, language_source ORDER BY needs_confirmation DESC, count DESC, event_raw, event_type, grp NULLS FIRST LIMIT 40""")
+def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.language_rows(diagnosis.language_suggestions(std_events(spark, sf_dir))).select(
+        "event_raw", "event_type", F.coalesce("group", F.lit("")).alias("group"), "count", "needs_confirmation")
+
+
+@query("codes_in_texts", """WITH k AS (SELECT list(DISTINCT event_type || '_' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 4)) AS known FROM events),
+t AS (SELECT event_id, event_type || '_1 then view_2, seen 2024-01-02 by ' || event_type || '_3 and u_9' AS said FROM events)
+SELECT event_id, array_to_string(list_filter(regexp_extract_all(said, '[A-Za-z0-9_:-]{3,}'), lambda x, i: list_contains(known, x)
+  AND list_position(regexp_extract_all(said, '[A-Za-z0-9_:-]{3,}'), x) = i), ',') AS codes FROM t, k""")
+def codes_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    code = F.concat_ws("_", "event_type", (F.get_json_object("props", "$.k").cast("int") % 4).cast("string"))
+    known = events.agg(F.collect_set(code).alias("known"))
+    said = F.concat("event_type", F.lit("_1 then view_2, seen 2024-01-02 by "), "event_type", F.lit("_3 and u_9"))
+    return events.select("event_id", said.alias("said")).crossJoin(F.broadcast(known)).select(
+        "event_id", F.array_join(diagnosis.codes_in(F.col("said"), F.col("known")), ",").alias("codes"))
+
+
 @query("content_risk", _CONTENT + """, rk AS (SELECT "group", failure_rate * 0.5::DOUBLE + least(coalesce(avg_wait_sec, 0) / 60, 1.0::DOUBLE) * 0.32::DOUBLE
   + (1 - retry_after_failure_rate) * 0.18::DOUBLE AS r, revenue_after_content AS v, max(revenue_after_content) OVER () AS mx FROM ct WHERE "group" <> '상품')
 SELECT "group", round(r, 4) AS risk, CASE WHEN r >= 0.62::DOUBLE THEN 'danger' WHEN r >= 0.4::DOUBLE THEN 'warning' ELSE 'normal' END AS level,
