@@ -39,7 +39,7 @@ def main(args: list[str] | None = None) -> int:
         made = synthetic.timed(lambda: synthetic.synthetic_log(spark, given.rows, given.users).drop("_src").coalesce(1).write.csv(
             f"{folder}/log", header=True))
         log = next(Path(folder, "log").glob("*.csv"))
-        spent = synthetic.timed(lambda: pipeline.run_pipeline(spark, [log], f"{folder}/out", store=f"{folder}/store"))
+        spent = synthetic.timed(lambda: pipeline.run_pipeline(spark, [log.as_uri()], f"{folder}/out", store=f"{folder}/store"))
         print(json.dumps({"rows": given.rows, "input_size_mb": round(log.stat().st_size / 1e6, 3), "generate_sec": made,
                           "pipeline_sec": spent, "total_sec": round(made + spent, 3)}))
     return 0

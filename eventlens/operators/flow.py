@@ -137,7 +137,7 @@ def sequences(flow: DataFrame, key: str = "uid", users: int = 8, steps: int = 24
                                                lambda x: F.struct(x["code"].alias("code"), x["label"].alias("label"), x["count"].alias("count"))).alias("top_codes"))
     return top.join(listed, key).join(codes, key).select(
         key, "event_count", F.coalesce(seconds(F.col("last_ts")) - seconds(F.col("first_ts")), F.lit(0)).alias("duration_sec"),
-        F.size("runs").cast("long").alias("run_count"), F.concat(F.array_join(words, " -> "), more).alias("sequence"), "top_codes")
+        F.size("runs").cast("long").alias("run_count"), F.concat(F.array_join(words, " -> "), more).alias("sequence"), "top_codes").orderBy(F.col("event_count").desc(), key)
 
 
 def outliers(flow: DataFrame, limit: int = 12, **burst: int) -> DataFrame:

@@ -1,10 +1,17 @@
-"""The whole analysis of raw logs: facts, issues, files and warehouse."""
+"""The whole analysis of raw logs: facts, issues, files and warehouse.
+
+The ordered events are written once, in buckets by user, and everything else
+reads them from there: what groups or orders by user needs no shuffle of
+events any more. Results of any length are written by Spark as lists of their
+own; the JSON document holds at most ``LISTED`` rows of each, in the order
+that matters most, beside its total.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,60 +23,87 @@ from ..sources import exports, files, roles, warehouse
 from .standardize import standardize, with_user
 
 SPLIT = ("summary", "issues", "journeys_sample", "sessions_sample", "behavior_flow", "content_health", "product_performance", "purchase_contexts")
+#: Rows of a list that the JSON document holds; the whole list is beside it.
+LISTED = 1000
+
 
+def load_language(spark: SparkSession, path: object | None) -> Language:
+    """The dictionary at a path, or an empty one."""
+    if path is None:
+        return Language()
+    text = "\n".join(r.value for r in spark.read.text(str(path), wholetext=True).collect())
+    return Language(json.loads(text.removeprefix("\ufeff")))
 
-def standard_events(spark: SparkSession, inputs: Iterable[str | Path], language: Language) -> tuple[DataFrame, list[dict]]:
+
+def standard_events(spark: SparkSession, inputs: Iterable[object], language: Language) -> tuple[DataFrame, list[dict]]:
     """Standard events of all inputs, and how each was understood."""
     whole, reports = None, []
-    for table in files.ingest(spark, inputs):
-        columns = [c for c in table.columns if not c.startswith("_s")]
-        sample = table.select(*[F.col(f"`{c}`") for c in columns]).limit(roles.SAMPLE_ROWS).toPandas()
-        found = roles.infer(sample, language)
-        part = standardize(table, found, language)
+    for place, table in enumerate(files.ingest(spark, inputs)):
+        columns = [c for c in table.columns if c not in ("_src", "_source_file", "_source_sheet")]
+        first = table.select(*[F.col(f"`{c}`") for c in columns], *[c for c in ("_source_file", "_source_sheet") if c in table.columns]).limit(
+            roles.SAMPLE_ROWS).toPandas()
+        found = roles.infer(first[columns], language)
+        part = standardize(table, found, language).withColumn("table_place", F.lit(place))
         whole = part if whole is None else whole.unionByName(part)
-        reports.append({"columns": columns, "fields": found.as_dict(), "execution_engine": "spark"})
+        at = lambda c: str(first[c].iloc[0]) if c in first and len(first) else None  # noqa: E731, B023
+        reports.append({"source_file": at("_source_file"), "source_sheet": at("_source_sheet"), "columns": columns, "fields": found.whole(),
+                        "execution_engine": "spark"})
     return whole, reports
 
 
-def analyse(spark: SparkSession, inputs: Iterable[str | Path], dictionary: str | Path | None = None, sample: int = 20,
-            progress: Callable[[float, str, str], None] | None = None) -> tuple[dict, dict[str, DataFrame]]:
-    """The analysis as a nested result, and its tables."""
+def by_user(ordered: DataFrame, folder: str) -> tuple[DataFrame, str]:
+    """The events written once, in buckets by user; and the table's name."""
+    spark, name = ordered.sparkSession, f"eventlens_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid", "user_event_index").option("path", f"{folder}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
+def analyse(spark: SparkSession, inputs: Iterable[object], work: str, dictionary: object | None = None, sample: int = 20,
+            progress: Callable[[float, str, str], None] | None = None) -> tuple[dict, dict[str, DataFrame], str]:
+    """The analysis as a nested result, its tables and lists, and the name of
+    the table of events that they read; ``work`` is a folder for it."""
     say = progress or (lambda *_: None)
     say(0.08, "config", "reading the dictionary")
-    language = Language.load(dictionary)
+    language = load_language(spark, dictionary)
     say(0.28, "normalize", "standardising events")
     every, reports = standard_events(spark, inputs, language)
-    every = every.persist()
-    try:
-        return _analysed(spark, every, reports, language, sample, say)
-    finally:
-        every.unpersist()
+    counts = {r.table_place: r for r in every.groupBy("table_place").agg(
+        F.count("*").alias("rows"), F.count_if(F.trim("uid") == "").alias("missing")).collect()}
+    for place, report in enumerate(reports):
+        found = counts.get(place)
+        report |= {"rows": found.rows if found else 0, "missing_uid_rows": found.missing if found else 0}
+    events, name = by_user(sessionize(with_user(every.drop("table_place")), language.session_gap_minutes), work)
+    return *_analysed(spark, events, reports, sample, say), name
 
 
-def _analysed(spark: SparkSession, every: DataFrame, reports: list[dict], language: Language, sample: int, say) -> tuple[dict, dict]:
-    input_rows, missing_uid = every.agg(F.count("*"), F.count_if(F.trim("uid") == "")).first()
-    events = with_user(every)
-    ordered = sessionize(events, language.session_gap_minutes)
+def _analysed(spark: SparkSession, ordered: DataFrame, reports: list[dict], sample: int, say) -> tuple[dict, dict]:
+    input_rows, missing_uid = (sum(r[k] for r in reports) for k in ("rows", "missing_uid_rows"))
     sessions, journeys = facts.session_facts(ordered), facts.user_journeys(ordered)
     failures, prior = facts.failure_contexts(ordered), facts.prior_events(ordered)
     content, products = metrics.content_facts(ordered), metrics.product_performance(ordered, prior)
-    moved = flow.coded(ordered)
-    quality, suggestions = metrics.data_quality(input_rows, missing_uid, events), diagnosis.language_suggestions(events)
+    moved, daily = flow.coded(ordered), metrics.daily_summary(ordered, sessions)
+    quality, suggestions = metrics.data_quality(input_rows, missing_uid, ordered), diagnosis.language_suggestions(ordered)
     say(0.6, "facts", "working out facts")
-    rows = exports.records
+    rows, totals = exports.records, {}
+
+    def listed(name: str, df: DataFrame, *order) -> list[dict]:
+        totals[name] = df.count()
+        return rows(df.orderBy(*order).limit(LISTED))
+
     payload: dict = {
         "run_id": uuid.uuid4().hex,
         "summary": rows(metrics.run_summary(ordered, sessions))[0],
-        "summary_by_date": {"dates": rows(metrics.daily_summary(ordered, sessions).orderBy("date")),
-                            "unknown_timestamp_events": ordered.where("ts is null").count()},
+        "summary_by_date": {"dates": listed("dates", daily, F.col("date").desc())[::-1], "unknown_timestamp_events": ordered.where("ts is null").count()},
         "data_quality": rows(quality)[0] | {"files": reports},
-        "language_suggestions": rows(suggestions.orderBy(F.col("language_source").desc(), F.col("count").desc(), "event_raw").limit(200)),
-        "content_health": rows(content.orderBy("participant_rate", F.col("revenue_after_content").desc(), "group")),
-        "product_performance": rows(products.orderBy(F.col("revenue").desc(), "product").limit(200)),
-        "failure_contexts": rows(failures.orderBy(F.col("failure_events").desc(), "group").limit(200)),
+        "language_suggestions": listed("language_suggestions", suggestions, *diagnosis.language_order()),
+        "content_health": listed("content_health", content, "participant_rate", F.col("revenue_after_content").desc(), "group"),
+        "product_performance": listed("product_performance", products, F.col("revenue").desc(), "product"),
+        "failure_contexts": listed("failure_contexts", failures, F.col("failure_events").desc(), "group"),
         "purchase_contexts": {
             "top_preceding_events": rows(facts.top_prior(prior, "event_label")), "top_preceding_groups": rows(facts.top_prior(prior, "content_group")),
-            "product_contexts": rows(facts.product_contexts(prior).orderBy("product", "place").limit(500)), "examples": rows(facts.purchase_examples(ordered))},
+            "product_contexts": listed("product_contexts", facts.product_contexts(prior), F.col("count").desc(), "product", "place"),
+            "examples": rows(facts.purchase_examples(ordered))},
         "segments": {"sizes": rows(metrics.segment_sizes(ordered)), "group_rates": rows(metrics.segment_group_rates(ordered).orderBy("segment", "place"))},
         "revenue_concentration": rows(metrics.revenue_concentration(ordered))[0] | {"top_users": rows(metrics.top_spenders(ordered))},
         "behavior_flow": {
@@ -82,32 +116,51 @@ def _analysed(spark: SparkSession, every: DataFrame, reports: list[dict], langua
         "sessions_sample": {"total": sessions.count(), "rows": rows(sessions.orderBy("session_id").limit(sample))},
     }
     say(0.78, "diagnosis", "looking for issues")
-    content_issues, revenue_issues = diagnosis.content_issues(content), diagnosis.revenue_issues(ordered, prior)
-    found = content_issues.unionByName(revenue_issues)
-    by_confidence = [F.col("confidence").desc(), "issue_type", "subject"]
-    payload["issues"] = {"content": [*rows(diagnosis.mapping_issues(quality, suggestions)), *rows(content_issues.orderBy(*by_confidence))],
-                         "revenue": rows(revenue_issues.orderBy(*by_confidence))}
-    payload["alerts"] = rows(diagnosis.alerts(found))
+    content_issues, revenue_issues = diagnosis.described_content(content), diagnosis.described_revenue(ordered, prior)
+    issues = content_issues.unionByName(revenue_issues)
+    by_confidence = [F.col("confidence").desc(), "type", "title"]
+    payload["issues"] = {
+        "content": [*rows(diagnosis.as_told(diagnosis.mapping_issues(quality, suggestions))), *listed("issues", diagnosis.as_told(content_issues), *by_confidence)],
+        "revenue": rows(diagnosis.as_told(revenue_issues).orderBy(*by_confidence))}
+    payload["alerts"] = rows(diagnosis.told_alerts(issues))
+    payload["ai_context"] = {"briefing_rules": list(diagnosis.BRIEFING_RULES), "top_alerts": payload["alerts"]}
+    payload["totals"] = totals
     tables = {"standard_events": ordered.drop("src"), "session_facts": sessions, "user_journeys": journeys, "failure_contexts": failures,
-              "purchase_prior_events": prior, "content_facts": content, "product_facts": products}
-    payload["_ordered"] = ordered
+              "purchase_prior_events": prior, "content_facts": content, "product_facts": products, "daily_summaries": daily,
+              "language_suggestions": suggestions, "product_contexts": facts.product_contexts(prior), "issues": diagnosis.as_told(issues)}
     return payload, tables
 
 
-def run_pipeline(spark: SparkSession, inputs: Iterable[str | Path], out: str | Path, dictionary: str | Path | None = None,
+#: Results of any length that a run writes as lists of their own.
+LISTS = {"language_suggestions": "language_suggestions", "product_facts": "product_performance", "failure_contexts": "failure_contexts",
+         "product_contexts": "product_contexts", "content_facts": "content_health", "daily_summaries": "summary_by_date", "issues": "issues"}
+
+
+def run_pipeline(spark: SparkSession, inputs: Iterable[object], out: object, dictionary: object | None = None,
                  run_id: str | None = None, store: str | None = None, sample: int = 20,
                  progress: Callable[[float, str, str], None] | None = None) -> dict:
-    """Analyse logs and write the result: JSON, CSV, and the warehouse."""
-    inputs = [Path(i) for i in inputs]
-    payload, tables = analyse(spark, inputs, dictionary, sample, progress)
-    ordered = payload.pop("_ordered")
-    payload["run_id"] = run_id or payload["run_id"]
-    folder = Path(out)
-    if store:
-        payload["warehouse"] = {"inserted_rows": warehouse.store_run(
-            spark, store, payload["run_id"], tables, payload["summary"], [p.name for p in files.discover(inputs)])}
-    exports.write_events_csv(ordered, str(folder / "normalized_events"))
-    exports.write_json(folder / "analysis.json", payload)
-    for name in SPLIT:
-        exports.write_json(folder / f"{name}.json", payload[name])
+    """Analyse logs and write the result: JSON, lists, CSV, and the warehouse.
+
+    All paths may be of any file system that Spark reads and writes.
+    """
+    inputs, folder = [str(i) for i in inputs], str(out).rstrip("/")
+    payload, tables, name = analyse(spark, inputs, f"{folder}/work", dictionary, sample, progress)
+    try:
+        payload["run_id"] = run_id or payload["run_id"]
+        for table, label in LISTS.items():
+            exports.write_list(tables[table], f"{folder}/lists/{label}")
+        exports.write_events_csv(spark.table(name), f"{folder}/normalized_events")
+        if store:
+            reports = payload["data_quality"]["files"]
+            stored = {t: tables[t] for t in warehouse.TABLES if t in tables} | {
+                "raw_files": warehouse.raw_files(spark, reports),
+                "run_artifacts": warehouse.artifacts(spark, {k: payload[k] for k in (*SPLIT, "alerts", "ai_context", "data_quality")})}
+            payload["warehouse"] = {"inserted_rows": warehouse.store_run(
+                spark, str(store), payload["run_id"], stored, payload["summary"], [files.name_of(p) for p in files.discover(spark, inputs)])}
+        exports.write_json(spark, f"{folder}/analysis.json", payload)
+        for part in SPLIT:
+            exports.write_json(spark, f"{folder}/{part}.json", payload[part])
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        exports.remove(spark, f"{folder}/work")
     return payload

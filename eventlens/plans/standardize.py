@@ -34,7 +34,7 @@ def row_shape_type() -> Column:
 def _dictionary(spark: SparkSession, rows: dict[str, dict], names: tuple[str, ...], key: str) -> DataFrame:
     """A dictionary as a table; it is as small as the file it was read from."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (key, *(f"d_{key}_{n}" for n in names))])
-    return spark.createDataFrame([(k.strip(), *(v.get(n) for n in names)) for k, v in rows.items()], schema).dropDuplicates([key])
+    return spark.createDataFrame(Language.as_rows(rows, names), schema).dropDuplicates([key])
 
 
 def standardize(raw: DataFrame, roles: Roles, language: Language) -> DataFrame:
@@ -47,7 +47,7 @@ def standardize(raw: DataFrame, roles: Roles, language: Language) -> DataFrame:
     spark = raw.sparkSession
 
     def of(role: str) -> Column:
-        name = getattr(roles, role)
+        name = roles.get(role)
         return F.col("`" + name.replace("`", "``") + "`") if name else F.lit(None).cast("string")
 
     rows = raw.select(

@@ -5,9 +5,8 @@ from __future__ import annotations
 import json
 import math
 from datetime import date, datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,9 +30,25 @@ def records(df: DataFrame) -> list[dict]:
     return [plain(r) for r in df.collect()]
 
 
-def write_json(path: Path, payload: object) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(plain(payload), ensure_ascii=False, indent=2), encoding="utf-8")
+def write_json(spark: SparkSession, path: str, payload: object) -> None:
+    """One JSON document, on any file system that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps(plain(payload), ensure_ascii=False, indent=2).encode("utf-8")))
+    finally:
+        out.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of one's own."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_list(df: DataFrame, folder: str) -> None:
+    """A list of any length as JSON lines, written in parallel."""
+    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").json(folder)
 
 
 def write_events_csv(ordered: DataFrame, folder: str) -> None:

@@ -1,18 +1,19 @@
 """Raw log files as DataFrames of text columns.
 
-Every frame has ``_src``, a row's place in the order of files and within its
-file, and ``_source_file``.
+Inputs are paths of any file system that Spark reads. Every frame has ``_src``,
+a row's place in the order of files and within its file, and ``_source_file``.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
-from pathlib import Path
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -20,15 +21,30 @@ from pyspark.sql.types import ArrayType, StructType
 SUFFIXES = (".csv", ".tsv", ".txt", ".json", ".jsonl", ".xlsx", ".xls")
 
 
-def discover(inputs: Iterable[str | Path]) -> list[Path]:
+def name_of(path: str) -> str:
+    return str(path).rstrip("/").rsplit("/", 1)[-1]
+
+
+def suffix(path: str) -> str:
+    name = name_of(path)
+    return name[name.rfind("."):].lower() if "." in name else ""
+
+
+def discover(spark: SparkSession, inputs: Iterable[object]) -> list[str]:
     """The log files among files and folders; folders are searched in order."""
-    found: list[Path] = []
-    for item in map(Path, inputs):
-        if item.is_dir():
-            found += sorted(p for p in item.rglob("*") if p.is_file() and p.suffix.lower() in SUFFIXES)
-        elif not item.exists():
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: list[str] = []
+    for item in map(str, inputs):
+        path = jvm.org.apache.hadoop.fs.Path(item)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
             raise FileNotFoundError(f"no such input: {item}")
-        elif item.suffix.lower() not in SUFFIXES:
+        if fs.getFileStatus(path).isDirectory():
+            inside, files = [], fs.listFiles(path, True)
+            while files.hasNext():
+                inside.append(files.next().getPath().toString())
+            found += sorted(f for f in inside if suffix(f) in SUFFIXES)
+        elif suffix(item) not in SUFFIXES:
             raise ValueError(f"unsupported input: {item}")
         else:
             found.append(item)
@@ -37,33 +53,48 @@ def discover(inputs: Iterable[str | Path]) -> list[Path]:
     return found
 
 
-def separator(path: Path) -> str:
-    if path.suffix.lower() != ".txt":
-        return "\t" if path.suffix.lower() == ".tsv" else ","
-    with path.open(encoding="utf-8-sig", errors="replace") as f:
-        head = f.read(64 << 10)
+def _lines(spark: SparkSession, path: str, n: int = 50) -> list[str]:
+    """The first lines of a file."""
+    lines = [r.value for r in spark.read.text(path).limit(n).collect()]
+    return [lines[0].removeprefix("\ufeff"), *lines[1:]] if lines else []
+
+
+def separator(path: str, lines: list[str]) -> str:
+    if suffix(path) != ".txt":
+        return "\t" if suffix(path) == ".tsv" else ","
     try:
-        return csv.Sniffer().sniff(head, delimiters=",\t;|").delimiter
+        return csv.Sniffer().sniff("\n".join(lines), delimiters=",\t;|").delimiter
     except csv.Error:
         return ","
 
 
-def read_delimited(spark: SparkSession, path: Path) -> DataFrame:
+def quotes_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether any line has an odd number of quotes, by a plain scan."""
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    return bool(spark.read.text(path).where(odd).take(1))
+
+
+def read_delimited(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """A delimited file; the header's names are kept as they are written.
 
-    Fields are split in parallel where no quoted field spans lines; names that
-    repeat but for case are numbered.
+    A file is split over tasks unless quoted fields span lines, for then it
+    has to be read from its start; whether they do is found by a scan of the
+    lines, or said by ``multiline``. Names that repeat but for case are
+    numbered.
     """
-    sep = separator(path)
-    with path.open(encoding="utf-8-sig", errors="replace", newline="") as f:
-        header = next(csv.reader(f, delimiter=sep), [])
+    lines = _lines(spark, path)
+    sep = separator(path, lines)
+    header = next(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep), [])
     names, seen = [], {}
     for name in (h.strip() or f"column{i}" for i, h in enumerate(header)):
         n = seen[name.lower()] = seen.get(name.lower(), -1) + 1
         names.append(name if not n else f"{name}_{n}")
     schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    return spark.read.csv(str(path), schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=True,
-                          enforceSchema=True, mode="PERMISSIVE", encoding="UTF-8") if names else spark.createDataFrame([], "empty string")
+    if not names:
+        return spark.createDataFrame([], "empty string")
+    whole = quotes_span_lines(spark, path) if multiline is None else multiline
+    return spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=whole,
+                          enforceSchema=True, mode="PERMISSIVE", encoding="UTF-8")
 
 
 def flat(schema: StructType, at: tuple[str, ...] = ()) -> list[Column]:
@@ -79,9 +110,12 @@ def flat(schema: StructType, at: tuple[str, ...] = ()) -> list[Column]:
     return out
 
 
-def read_json(spark: SparkSession, path: Path) -> DataFrame:
-    """JSON lines, or one JSON document; nested objects become dotted columns."""
-    found = spark.read.option("multiLine", path.suffix.lower() == ".json").json(str(path))
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines, or one JSON document; nested objects become dotted columns.
+
+    One document is read by one task; large logs should be JSON lines.
+    """
+    found = spark.read.option("multiLine", suffix(path) == ".json").json(path)
     return found.select(*flat(found.schema))
 
 
@@ -97,9 +131,9 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheets(path: Path) -> dict[str, list[list[str | None]]]:
+def sheets(content: bytes) -> dict[str, list[list[str | None]]]:
     """Rows of every sheet of an .xlsx workbook, as text."""
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
@@ -132,39 +166,47 @@ def sheets(path: Path) -> dict[str, list[list[str | None]]]:
         return out
 
 
-def read_workbook(spark: SparkSession, path: Path) -> list[DataFrame]:
-    """A frame for every sheet; a workbook is no larger than a driver can open."""
-    if path.suffix.lower() == ".xls":
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for content in batch["content"]:
+            for order, (sheet, rows) in enumerate(sheets(content).items()):
+                yield pd.DataFrame({"place": order, "sheet": sheet, "row": range(len(rows)), "cells": rows})
+
+
+def read_workbook(spark: SparkSession, path: str) -> list[DataFrame]:
+    """A frame for every sheet. The workbook is opened in a task, and only the
+    headers of its sheets come to the driver."""
+    if suffix(path) == ".xls":
         raise ValueError(f"the old .xls format isn't supported: {path}")
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(
+        _cells, "place int, sheet string, row long, cells array<string>")
     out = []
-    for name, rows in sheets(path).items():
-        if rows:
-            head = [h or f"column{i}" for i, h in enumerate(rows[0])]
-            body = [tuple((*r, *[None] * len(head))[: len(head)]) for r in rows[1:]]
-            schema = ", ".join("`" + h.replace("`", "``") + "` string" for h in head)
-            out.append(spark.createDataFrame(body, schema).withColumn("_source_sheet", F.lit(name)))
+    for head in rows.where("row = 0").orderBy("place").collect():
+        names = [h or f"column{i}" for i, h in enumerate(head.cells)]
+        body = rows.where((F.col("place") == head.place) & (F.col("row") > 0))
+        out.append(body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], F.col("sheet").alias("_source_sheet")))
     return out
 
 
-def read_tables(spark: SparkSession, path: Path) -> list[DataFrame]:
-    kind = path.suffix.lower()
+def read_tables(spark: SparkSession, path: str) -> list[DataFrame]:
+    kind = suffix(path)
     if kind in (".xlsx", ".xls"):
         return read_workbook(spark, path)
     return [read_json(spark, path) if kind in (".json", ".jsonl") else read_delimited(spark, path)]
 
 
-def ingest(spark: SparkSession, inputs: Iterable[str | Path]) -> list[DataFrame]:
+def ingest(spark: SparkSession, inputs: Iterable[object]) -> list[DataFrame]:
     """The raw tables of all inputs, with their order and source."""
     out = []
-    for path in discover(inputs):
+    for path in discover(spark, inputs):
         for table in read_tables(spark, path):
             # Ids rise with a file's blocks and rows; the ordinal is the file's.
             place = F.monotonically_increasing_id()
             out.append(table.withColumn("_src", F.struct(F.lit(len(out)).alias("file"), place.alias("row"))).withColumn(
-                "_source_file", F.lit(path.name)))
+                "_source_file", F.lit(name_of(path))))
     return out
 
 
 def described(table: DataFrame) -> dict:
-    columns = [c for c in table.columns if not c.startswith("_s")]
+    columns = [c for c in table.columns if c not in ("_src", "_source_file", "_source_sheet")]
     return {"rows": table.count(), "columns": columns}

@@ -12,6 +12,12 @@ SAMPLE_ROWS = 1000
 #: Least score for a role to be given by values, in the order they are tried.
 LEAST = {"timestamp": 0.7, "result": 0.45, "uid": 0.55, "event": 0.45, "amount": 0.25}
 
+# Names of columns that hold parts of dates, or name something, and so hold no amounts.
+DATE_PARTS = ("year", "yyyy", "yy", "month", "mm", "day", "dd", "dt", "date")
+DATE_WORDS = ("date", "time")
+NAMING = ("game", "logtype")
+NAMING_ENDS = ("id", "code", "type")
+
 
 def simple(name: object) -> str:
     return re.sub(r"[^a-z0-9가-힣]+", "", str(name).lower())
@@ -67,8 +73,8 @@ class Sample:
             if self.numeric > 0.8 or self.dated > 0.2 or self.texts.nunique() < 2 or self.unique > 0.55:
                 return 0.0
             return self.wordy * (1 - abs(self.unique - 0.08))
-        date_part = self.name in ("year", "yyyy", "yy", "month", "mm", "day", "dd", "dt", "date") or "date" in self.name or "time" in self.name
-        names_something = self.name in ("game", "logtype") or self.name.endswith(("id", "code", "type"))
+        date_part = self.name in DATE_PARTS or any(p in self.name for p in DATE_WORDS)
+        names_something = self.name in NAMING or self.name.endswith(NAMING_ENDS)
         found = self.numbers.dropna()
         return 0.0 if date_part or names_something or not len(found) else self.numeric * float((found > 0).mean())
 
@@ -81,13 +87,14 @@ def infer(sample: pd.DataFrame, language: Language | None = None) -> Roles:
     """
     columns = [str(c) for c in sample.columns]
     set_by_hand = (language or Language()).roles
-    roles = Roles(**{role: getattr(set_by_hand, role) if getattr(set_by_hand, role) in columns else by_name(columns, names)
-                     for role, names in ROLE_NAMES.items()})
+    roles = Roles({role: set_by_hand[role] if set_by_hand.get(role) in columns else by_name(columns, names)
+                   for role, names in ROLE_NAMES.items()})
     if not len(sample):
         return roles
     for role, least in LEAST.items():
-        if getattr(roles, role) is None:
-            free = [c for c in columns if c not in roles.as_dict().values()]
+        if role not in roles:
+            free = [c for c in columns if c not in roles.values()]
             scored = [(s, c) for c in free if (s := Sample(c, sample[c]).score(role)) >= least]
-            setattr(roles, role, max(scored)[1] if scored else None)
+            if scored:
+                roles[role] = max(scored)[1]
     return roles

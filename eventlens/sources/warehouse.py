@@ -15,16 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from .exports import plain
 
-TABLES = ("standard_events", "session_facts", "user_journeys", "failure_contexts", "purchase_prior_events", "content_facts",
-          "product_facts")
+TABLES = ("raw_files", "standard_events", "session_facts", "user_journeys", "failure_contexts", "purchase_prior_events", "content_facts",
+          "product_facts", "daily_summaries", "run_artifacts")
 #: How far a stored figure may lie from one worked out again.
 TOLERANCE = {"avg_session_duration_sec": 0.01, "revenue": 0.01, "arppu": 0.01, "conversion_rate": 0.0001}
 RECORD = "run_id string, version string, stored_at string, summary string, source_files string, counts string"
 
 
 def store_run(spark: SparkSession, folder: str, run_id: str, tables: dict[str, DataFrame], summary: dict, sources: list[str]) -> dict[str, int]:
-    """Write all tables of a run; return their row counts."""
+    """Write all tables of a run; return their row counts.
+
+    Tables that were not made are counted as empty, and read as missing.
+    """
     version = uuid.uuid4().hex
     counts = {}
     for name, df in tables.items():
@@ -48,6 +52,24 @@ def _record(spark: SparkSession, folder: str, run_id: str):
         raise
 
 
+def count_rows(spark: SparkSession, folder: str, run_id: str, name: str) -> int:
+    """Rows of a table of a run; none where there is no such run or table."""
+    found = _record(spark, folder, run_id)
+    return json.loads(found.counts).get(name, 0) if found is not None else 0
+
+
+def raw_files(spark: SparkSession, reports: list[dict]) -> DataFrame:
+    """A row for each raw table: its file, sheet, rows and columns."""
+    rows = [(r["source_file"], r.get("source_sheet"), r["rows"], json.dumps(r["columns"], ensure_ascii=False)) for r in reports]
+    return spark.createDataFrame(rows, "source_file string, source_sheet string, row_count long, columns_json string")
+
+
+def artifacts(spark: SparkSession, parts: dict[str, object]) -> DataFrame:
+    """A row for each part of a result, as JSON."""
+    rows = [(name, json.dumps(plain(part), ensure_ascii=False)) for name, part in parts.items()]
+    return spark.createDataFrame(rows, "artifact_type string, payload_json string")
+
+
 def read_run(spark: SparkSession, folder: str, run_id: str, name: str) -> DataFrame:
     """One table of a stored run; only its own files are read."""
     found = _record(spark, folder, run_id)

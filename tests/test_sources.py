@@ -15,14 +15,15 @@ from eventlens.sources import exports, files, roles, warehouse
 HEAD = "uid,event_time,event_name,content_id,product_id,amount,duration_sec,wait_time_sec,result\n"
 
 
-def test_discover(tmp_path):
+def test_discover(spark, tmp_path):
     (tmp_path / "b.csv").write_text("a\n1\n")
     (tmp_path / "a.JSONL").write_text("{}")
     (tmp_path / "x.md").write_text("")
-    assert [p.name for p in files.discover([tmp_path])] == ["a.JSONL", "b.csv"]
+    assert [files.name_of(p) for p in files.discover(spark, [tmp_path])] == ["a.JSONL", "b.csv"]
+    assert len(files.discover(spark, [f"file://{tmp_path}/b.csv"])) == 1
     for bad, error in ((tmp_path / "x.md", ValueError), (tmp_path / "none.csv", FileNotFoundError)):
         with pytest.raises(error):
-            files.discover([bad])
+            files.discover(spark, [bad])
 
 
 def test_delimited_files(spark, tmp_path):
@@ -33,9 +34,25 @@ def test_delimited_files(spark, tmp_path):
     assert [(r.uid, r.n) for r in b.orderBy("_src").collect()] == [("u", "1"), ("v", "2")]
 
 
+def test_logs_are_split_unless_quotes_span_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("uid,n\n" + "\n".join(f'u{i},"{i}, of it"' for i in range(20_000)))
+    (tmp_path / "b.csv").write_text('uid,n\nu,"one\ntwo"\nv,2\n')
+    assert not files.quotes_span_lines(spark, str(tmp_path / "a.csv")) and files.quotes_span_lines(spark, str(tmp_path / "b.csv"))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        (a,) = files.ingest(spark, [tmp_path / "a.csv"])
+        assert a.rdd.getNumPartitions() > 4 and a.count() == 20_000
+        assert [r.uid for r in a.orderBy("_src").take(3)] == ["u0", "u1", "u2"] and a.where("n = '7, of it'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    (b,) = files.ingest(spark, [tmp_path / "b.csv"])
+    assert [(r.uid, r.n) for r in b.orderBy("_src").collect()] == [("u", "one\ntwo"), ("v", "2")]
+
+
 def test_json_is_flattened(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"uid": "u", "x": {"y": {"z": 1}}, "l": [1, 2]}]')
-    r = files.read_json(spark, tmp_path / "a.json").first().asDict()
+    r = files.read_json(spark, str(tmp_path / "a.json")).first().asDict()
     assert r == {"uid": "u", "x.y.z": "1", "l": "[1,2]"}
 
 
@@ -51,20 +68,20 @@ def _workbook(path, rows):
 
 def test_workbook(spark, tmp_path):
     _workbook(tmp_path / "log.xlsx", [["e_code", "user_id"], ["a", "1"], ["b", "2"]])
-    (table,) = files.read_tables(spark, tmp_path / "log.xlsx")
+    (table,) = files.read_tables(spark, str(tmp_path / "log.xlsx"))
     assert [(r.e_code, r.user_id, r._source_sheet) for r in table.collect()] == [("a", "1", "log"), ("b", "2", "log")]
     with pytest.raises(ValueError, match="xls"):
-        files.read_tables(spark, tmp_path / "old.xls")
+        files.read_tables(spark, str(tmp_path / "old.xls"))
 
 
 def test_roles_by_name_and_value():
     found = roles.infer(pd.DataFrame({c: ["x"] for c in ("acct", "log_at", "content", "sku", "krw", "queue_seconds", "state")}))
-    assert (found.uid, found.timestamp, found.content_id, found.product_id, found.amount, found.result, found.event) == (
+    assert tuple(found.whole()[r] for r in ("uid", "timestamp", "content_id", "product_id", "amount", "result", "event")) == (
         "acct", "log_at", "content", "sku", "krw", "state", None)
     n = 40
     by_value = roles.infer(pd.DataFrame({
         "c1": [f"user-{i}" for i in range(n)], "c2": ["2026-05-28 10:00:00"] * n, "c3": ["go_in", "go_out"] * (n // 2), "c4": ["fail", "success"] * (n // 2), "c5": [str(i) for i in range(n)]}))
-    assert (by_value.uid, by_value.timestamp, by_value.event, by_value.result, by_value.amount) == ("c1", "c2", "c3", "c4", "c5")
+    assert tuple(by_value[r] for r in ("uid", "timestamp", "event", "result", "amount")) == ("c1", "c2", "c3", "c4", "c5")
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
@@ -75,7 +92,7 @@ def test_pipeline_end_to_end(spark, tmp_path):
     language = Language()
     language.put_event("login", "접속", "session_start", None)
     language.contents["arena"] = {"label": "아레나", "type": "pvp"}
-    language.save(words)
+    words.write_text("\ufeff" + json.dumps(language.stored()), encoding="utf-8")
     steps = []
     got = pipeline.run_pipeline(spark, [log], tmp_path / "out", words, run_id="r1", store=str(tmp_path / "store"), progress=lambda p, s, m: steps.append(p))
     s, q = got["summary"], got["data_quality"]
@@ -85,6 +102,19 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert got["summary_by_date"]["unknown_timestamp_events"] == 1 and steps == sorted(steps)
     assert json.loads((tmp_path / "out/summary.json").read_text())["revenue"] == 9900.0
     assert warehouse.snapshot(spark, str(tmp_path / "store"), "r1")["validation"] == {"status": "match", "differences": []}
+    store = str(tmp_path / "store")
+    assert warehouse.count_rows(spark, store, "r1", "raw_files") == 1 and warehouse.count_rows(spark, store, "none", "raw_files") == 0
+    assert warehouse.read_run(spark, store, "r1", "daily_summaries").count() == 2
+    parts = {r.artifact_type: json.loads(r.payload_json) for r in warehouse.read_run(spark, store, "r1", "run_artifacts").collect()}
+    assert parts["summary"]["revenue"] == 9900.0 and len(parts["ai_context"]["briefing_rules"]) == 4
+    report = q["files"][0]
+    assert (report["source_file"], report["rows"], report["missing_uid_rows"], report["fields"]["uid"]) == ("log.csv", 7, 1, "uid")
+    issue = next(i for i in got["issues"]["content"] if i["type"] == "content_friction")
+    assert issue["title"] == "아레나 대기/매칭 지연 의심" and issue["evidence"][0] == "평균 대기시간 45.0초" and issue["confidence_label"] == "유력"
+    assert got["alerts"][0]["top_evidence"] and got["totals"]["content_health"] == len(got["content_health"])
+    assert got["behavior_flow"]["user_samples"][0]["top_codes"][0] == {"code": "login", "label": "접속", "count": 2}
+    assert spark.read.json(str(tmp_path / "out/lists/language_suggestions")).count() == got["totals"]["language_suggestions"]
+    assert not (tmp_path / "out/work").exists()
     pipeline.run_pipeline(spark, [log], tmp_path / "out", words, run_id="r1", store=str(tmp_path / "store"))
     assert warehouse.read_run(spark, str(tmp_path / "store"), "r1", "standard_events").count() == 6
     assert warehouse.snapshot(spark, str(tmp_path / "store"), "none")["status"] == "missing"
