@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 #: More rounds than any graph that fits a cluster needs; each halves its depth.
 MAX_ROUNDS = 60
@@ -29,19 +29,27 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
 
 
+def _settled(links: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The links as a table, and what tells them from others."""
+    seen = Observation()
+    table = cut(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), name)
+    return table, (seen.get["n"], seen.get["sum"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b).
 
     A component is named by its least node. Each round hangs larger
     neighbours, then smaller ones, on the least neighbour, until the links are
     stars; a round is a few aggregations and joins on links, and no node's
-    neighbours are ever gathered in one place.
+    neighbours are ever gathered in one place. The table of a round is removed
+    when the next one is written.
     """
-    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
+    links, before = _settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(MAX_ROUNDS):
-        links = cut(_star(_star(links, larger=True), larger=False), "stars")
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after, state = _settled(_star(_star(links, larger=True), larger=False), "stars")
+        discard(links)
+        links = after
         if state == before:
             break
         before = state

@@ -10,12 +10,19 @@ half of it on either side, meet at an anchor of that block. Those that meet are
 candidates if they differ in ``MOST_BITS`` of all bits.
 
 Fingerprints go to their anchors packed, many to a row. At an anchor they are
-compared in tiles, and only candidates that join two groups are sent on, fewer
-than there are fingerprints, however large a group of copies is. The groups so
-found hold every candidate pair. Then each text of a group goes to its group
-once, or, where a group is larger than ``PART``, to the pairs of parts that its
-part stands in; there all pairs are compared by their shingles, and those that
-agree enough are linked. Texts with equal shingles are one from the start.
+compared in tiles. What is sent on are candidates that join two groups, fewer
+than there are fingerprints however large a group of copies is, and for each
+fingerprint the nearest one. The groups so found hold every candidate pair;
+which of their pairs are links is then found by the shingles themselves:
+
+* each text is first compared with its nearest one and others that have the
+  same nearest, ``PART`` at a time, which links nearly all of a group of copies
+  of one text at a cost in proportion to their number;
+* texts of a group that are not linked with the greater part of it by then are
+  compared with all others of the group, in pairs of parts. Pairs within what
+  is linked already are not looked at again.
+
+Texts with equal shingles are one from the start.
 
 Defined results: see ``simhash``; texts without words are one group; where
 rows repeat, one is kept; a null doc_id comes after all others; an empty table
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -117,10 +124,18 @@ def _packed(prints: DataFrame) -> DataFrame:
     return prints.select("node", *PRINT).mapInArrow(each, "anchor int, nodes binary, prints binary")
 
 
-def forest(nodes: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates among near fingerprints, as few as join the same groups."""
+def forest(nodes: np.ndarray, prints: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Candidates among near fingerprints, as few as join the same groups; and
+    (node, nearest node, bits) of those that have one."""
     group = list(range(len(nodes)))
     links = []
+    bits, nearest = np.full(len(nodes), 1 << 14, np.int16), np.zeros(len(nodes), np.int64)
+
+    def keep(at: int, far: np.ndarray, other: np.ndarray) -> None:
+        mine = slice(at, at + len(far))
+        better = far < bits[mine]
+        nearest[mine][better] = other[better]
+        bits[mine][better] = far[better]
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -134,6 +149,10 @@ def forest(nodes: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
             apart = np.zeros((len(left), len(right)), np.int16)
             for w in range(4):
                 apart += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
+            if a == b:
+                np.fill_diagonal(apart, 1 << 14)
+            keep(a, apart.min(axis=1), b + apart.argmin(axis=1))
+            keep(b, apart.min(axis=0), a + apart.argmin(axis=0))
             near = apart <= MOST_BITS
             if a == b:
                 near = np.triu(near, 1)
@@ -142,20 +161,24 @@ def forest(nodes: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
                 if x != y:
                     group[max(x, y)] = min(x, y)
                     links.append((int(nodes[a + i]), int(nodes[b + j])))
-    return links
+    has = np.flatnonzero(bits <= MOST_BITS)
+    return links, list(zip(nodes[has].tolist(), nodes[nearest[has]].tolist(), bits[has].tolist(), strict=True))
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """(a, b): nodes of (node, f0..f3) to compare, as few as join the same groups."""
+    """(a, b, bits) of nodes of (node, f0..f3): candidates, as few as join the
+    same groups, without bits; and the nearest ones of each node at an anchor."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, parts = None, []
 
         def settle() -> Iterator[pa.RecordBatch]:
             nodes = np.frombuffer(b"".join(n for n, _ in parts), np.int64)
             if len(nodes) > 1:
-                found = forest(nodes, np.frombuffer(b"".join(p for _, p in parts), np.uint64).reshape(-1, 4))
+                links, nearest = forest(nodes, np.frombuffer(b"".join(p for _, p in parts), np.uint64).reshape(-1, 4))
+                found = [*((a, b, None) for a, b in links), *nearest]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)],
+                                                     ["a", "b", "bits"])
 
         for batch in batches:
             for anchor, nodes, prints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -166,7 +189,7 @@ def candidates(prints: DataFrame) -> DataFrame:
         yield from settle()
 
     dealt = _packed(prints).repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(each, "a long, b long")
+    return dealt.mapInArrow(each, "a long, b long, bits int")
 
 
 def alike(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -192,18 +215,46 @@ def alike(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def _in_parts(groups: DataFrame) -> DataFrame:
-    """(node, component, left, right): the pairs of parts a node stands in."""
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64(F.lit(SEED), "node"), "parts").cast("int")
-    pair = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return groups.join(sizes, "component").select("node", "component", own.alias("own"), pair.alias("other")).select(
-        "node", "component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
-
-
-def near_links(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): linked nodes of (node, text), of those in one group of (node,
-    component)."""
+def _part(n: Column, seed: int) -> Column:
+    """Which of ``n`` parts a node is in."""
+    return F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
+
+
+def stars(found: DataFrame) -> DataFrame:
+    """(node, group, left, right): each node with its nearest one, and with
+    others that have the same."""
+    nearest = found.where("bits is not null").groupBy(F.col("a").alias("node")).agg(F.min(F.struct("bits", "b"))["b"].alias("group"))
+    sizes = nearest.groupBy("group").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    arms = nearest.join(sizes, "group").select("node", "group", _part(F.col("parts"), SEED).alias("left"), F.lit(0).alias("right"))
+    hubs = sizes.select(F.col("group").alias("node"), "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("left"), F.lit(0).alias("right"))
+    return arms.unionByName(hubs)
+
+
+def rest(loose: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, group, left, right): the pairs of parts of groups of (node,
+    component) that may hold more links, given those of ``linked``.
+
+    Of each group what is linked most is its bulk. Nodes beside it, in parts
+    0 to ``l`` - 1, meet one another and all parts of the bulk, ``l`` to
+    ``l`` + ``k`` - 1; the bulk's own pairs are left out.
+    """
+    named = loose.join(linked.withColumnRenamed("component", "own"), "node", "left").select(
+        "node", F.col("component").alias("group"), F.coalesce("own", "node").alias("own"))
+    sizes = named.groupBy("group", "own").agg(F.count("*").alias("n"))
+    bulk = sizes.groupBy("group").agg(F.max(F.struct("n", "own")).alias("bulk"), (F.sum("n") - F.max("n")).alias("beside")).where("beside > 0")
+    parts = bulk.select("group", F.col("bulk.own").alias("bulk"), F.ceil(F.col("bulk.n") / PART).cast("int").alias("k"),
+                        F.ceil(F.col("beside") / PART).cast("int").alias("l"))
+    placed = named.join(parts, "group")
+    inside = F.col("own") == F.col("bulk")
+    at = F.when(inside, F.col("l") + _part(F.col("k"), SEED)).otherwise(_part(F.col("l"), SEED))
+    met = F.when(inside, F.sequence(F.lit(0), F.col("l") - 1)).otherwise(F.sequence(F.lit(0), F.col("l") + F.col("k") - 1))
+    return placed.select("node", "group", at.alias("at"), F.explode(met).alias("other")).select(
+        "node", "group", F.least("at", "other").alias("left"), F.greatest("at", "other").alias("right"))
+
+
+def near_links(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b): linked nodes of (node, text), of those in one place of (node,
+    group, left, right)."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, nodes, sets = None, [], []
 
@@ -213,21 +264,31 @@ def near_links(texts: DataFrame, groups: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
         for batch in batches:
-            for component, left, right, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (component, left, right) != own:
+            for group, left, right, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, left, right) != own:
                     yield from settle()
-                    own, nodes, sets = (component, left, right), [], []
+                    own, nodes, sets = (group, left, right), [], []
                 found = shingle_set(text)
                 if len(found):  # a text without words is like no other
                     nodes.append(node)
                     sets.append(found)
         yield from settle()
 
-    place = ["component", "left", "right"]
-    dealt = _in_parts(groups).join(texts, "node").select(*place, "node", "text").repartition(*place).sortWithinPartitions(*place)
+    place = ["group", "left", "right"]
+    dealt = placed.join(texts, "node").select(*place, "node", "text").repartition(*place).sortWithinPartitions(*place)
     return dealt.mapInArrow(each, "a long, b long")
 
 
+def groups(texts: DataFrame, found: DataFrame, loose: DataFrame) -> DataFrame:
+    """(node, component) of linked nodes, of those in one loose group."""
+    first = cut(near_links(texts, stars(found)), "near-first")
+    linked = components(first)
+    more = cut(near_links(texts, rest(loose, linked)), "near-more")
+    if more.isEmpty():
+        return linked
+    return components(first.unionByName(more))
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """``df`` with __doc and __print, by which its rows are told apart."""
     return df.withColumns({"__doc": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)),
@@ -241,16 +302,16 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                                       F.col(text).cast("string").alias("text"))), "near-prints")
     nodes = cut(own.groupBy("own", *PRINT).agg(F.min(F.struct("doc", "print")).alias("first")).withColumn(
         "node", F.xxhash64("own", *PRINT)), "near-nodes")
-    loose = cut(components(candidates(nodes)), "near-loose")
+    found = cut(candidates(nodes), "near-candidates")
+    loose = cut(components(found.where("bits is null").select("a", "b")), "near-loose")
     first = nodes.join(loose, "node", "left_semi").select("node", F.col("first.doc").alias("__doc"), F.col("first.print").alias("__print"))
     # Rows that repeat a text are one; they go no further than their task.
     texts = cut(rows.select("__doc", "__print", F.col(text).cast("string").alias("text")).join(first, ["__doc", "__print"]).groupBy("node").agg(
         F.first("text").alias("text")), "near-texts")
-    groups = components(near_links(texts, loose))
-    named = nodes.select("node", "first").join(groups, "node", "left")
+    named = nodes.select("node", "first").join(groups(texts, found, loose), "node", "left")
     kept = named.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first")).select(
         F.col("first.doc").alias("__doc"), F.col("first.print").alias("__print"))
-    # Of rows that repeat a kept one, one is kept; they lie together already.
-    others = [c for c in df.columns]
-    return rows.join(kept, ["__doc", "__print"]).groupBy("__doc", "__print").agg(
-        F.first(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row")).select("row.*")
+    # Of rows that repeat a kept one, the least is kept, whatever their order.
+    return rows.join(kept, ["__doc", "__print"]).withColumn("__place", F.row_number().over(
+        Window.partitionBy("__doc", "__print").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))).where("__place = 1").select(
+        *[F.col(f"`{c}`") for c in df.columns])

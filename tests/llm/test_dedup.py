@@ -231,8 +231,42 @@ def test_forest_joins_the_same_groups_with_few_links():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, (3, 4)).astype(np.uint64)
     prints = np.concatenate([np.repeat(base[:1], 50, 0), base[1:]])
-    links = near.forest(np.arange(52), prints)
+    links, nearest = near.forest(np.arange(52), prints)
     assert len(links) == 49 and {x for p in links for x in p} == set(range(50))
+    assert {a for a, _, _ in nearest} == set(range(50)) and all(a != b and bits == 0 for a, b, bits in nearest)
+
+
+def test_nearest_of_several_tiles(monkeypatch):
+    monkeypatch.setattr(near, "TILE", 7)
+    rng = np.random.default_rng(6)
+    prints = np.repeat(rng.integers(0, 1 << 62, (1, 4)).astype(np.uint64), 40, 0)
+    prints[:, 0] ^= rng.integers(0, 1 << 12, 40).astype(np.uint64)
+    apart = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2).astype(int) + 1000 * np.eye(40, dtype=int)
+    links, nearest = near.forest(np.arange(40), prints)
+    assert {a: bits for a, _, bits in nearest} == dict(enumerate(apart.min(axis=1).tolist())) and all(apart[a, b] == bits for a, b, bits in nearest)
+    assert len(links) == 39
+
+
+def test_a_large_group_is_linked_through_its_hub(spark, no_docs, monkeypatch):
+    """Copies that are near the first text only, and a few that hang on another."""
+    monkeypatch.setattr(near, "PART", 16)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(200)]
+    texts = {1: base}
+    for k in range(2, 150):
+        at = rng.randrange(0, 160)
+        texts[k] = base[:at] + [word() for _ in range(14)] + base[at + 14:]
+    texts[200] = texts[7][:180] + [word() for _ in range(20)]
+    joined = {i: " ".join(t) for i, t in texts.items()}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in joined.items()], no_docs.schema)
+    group = {i: i for i in joined}
+    for i in joined:
+        for j in joined:
+            if group[i] != group[j] and jaccard(joined[i], joined[j]) >= 0.8:
+                low, high = sorted((group[i], group[j]))
+                group = {x: low if g == high else g for x, g in group.items()}
+    assert {r.doc_id for r in near.keep_one(docs).collect()} == set(group.values())
 
 
 def test_empty_tables(spark, no_docs, as_table):
