@@ -18,8 +18,8 @@ empty ledger, and an ablation that counts nothing.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,17 +88,21 @@ def mask(policy: str) -> int:
 def repeated_words(tokens: Column) -> Column:
     """Words inside a window of eight that its text holds more than once.
 
-    Windows are compared by the 64-bit hash of their word hashes. A text
+    Windows are compared by 64-bit hashes, made of those of two halves, which
+    are made of those of two quarters, and so on. A text
     without a repeated window, the usual case, needs only the hashes; in
     others the windows are sorted so that equal ones are neighbours, and the
     words under them are counted along their positions.
     """
     size = REPEAT_WINDOW
 
+    def joined(hashes: Column, by: int) -> Column:
+        """Each hash with the one ``by`` places on."""
+        n = F.size(hashes) - by
+        return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
+
     def windows(hashed: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(hashed) - (size - 1)),
-            lambda i: F.xxhash64(F.slice(hashed, i, F.lit(size))))
+        return _let(_let(joined(hashed, 1), lambda h: joined(h, 2)), lambda h: joined(h, 4))
 
     def count(found: Column) -> Column:
         return F.when(
@@ -147,38 +151,52 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 def _occurrences(text: Column, characters: str) -> Column:
     """How many of the characters a text has."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    left = text
+    for c in characters:
+        left = F.replace(left, F.lit(c))
+    return F.length(text) - F.length(left)
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measurements of each text to its row."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    tokens, whole, trimmed = F.col("__words"), F.col("__lines"), F.col("__trimmed")
+def measured(text: Column) -> Column:
+    """All measurements of a text as one value, for which its words and lines
+    are worked out once."""
+    body = F.coalesce(text.cast("string"), F.lit(""))
     count_if = lambda values, test: F.size(F.filter(values, test))
-    found = {
-        "n_words": F.size(tokens), "word_chars": F.length(F.array_join(tokens, "")), "n_symbols": _occurrences(body, SYMBOLS),
-        "n_lines": F.size(whole), "n_dup_lines": F.size(whole) - F.size(F.array_distinct(whole)), "n_repeat_words": repeated_words(tokens),
-        "n_stutter_words": count_if(tokens, lambda w, i: (i > 0) & (w == F.get(tokens, i - 1))),
-        "n_letter_words": count_if(tokens, lambda w: w.rlike("\\p{L}")),
-        "n_stop_words": F.size(F.array_intersect(F.transform(tokens, F.lower), F.array(*[F.lit(w) for w in STOP_WORDS]))),
-        "n_bullet_lines": count_if(trimmed, lambda x: x.rlike("^[-*\\x{2022}]")),
-        "n_ellipsis_lines": count_if(trimmed, lambda x: x.endswith("...") | x.endswith("\u2026")),
-        "n_closed_lines": count_if(trimmed, lambda x: x.rlike(CLOSED)), "n_short_lines": count_if(trimmed, lambda x: F.length(x) < SHORT_LINE),
-        "n_braces": _occurrences(body, BRACES), "n_placeholders": F.contains(F.lower(body), F.lit("lorem ipsum")).cast("long")}
-    return (
-        df.withColumn("__words", words(F.col(text))).withColumn("__lines", lines)
-        .withColumn("__trimmed", F.transform("__lines", lambda x: F.btrim(x, F.lit(SPACES))))
-        .withColumns({name: found[name].cast("long") for name in MEASURES})
-        .drop("__words", "__lines", "__trimmed"))
+
+    def found(tokens: Column, whole: Column, trimmed: Column) -> Column:
+        values = {
+            "n_words": F.size(tokens), "word_chars": F.length(F.array_join(tokens, "")), "n_symbols": _occurrences(body, SYMBOLS),
+            "n_lines": F.size(whole), "n_dup_lines": F.size(whole) - F.size(F.array_distinct(whole)), "n_repeat_words": repeated_words(tokens),
+            "n_stutter_words": count_if(tokens, lambda w, i: (i > 0) & (w == F.get(tokens, i - 1))),
+            "n_letter_words": count_if(tokens, lambda w: w.rlike("\\p{L}")),
+            "n_stop_words": F.size(F.array_intersect(F.transform(tokens, F.lower), F.array(*[F.lit(w) for w in STOP_WORDS]))),
+            "n_bullet_lines": count_if(trimmed, lambda x: x.rlike("^[-*\\x{2022}]")),
+            "n_ellipsis_lines": count_if(trimmed, lambda x: x.endswith("...") | x.endswith("\u2026")),
+            "n_closed_lines": count_if(trimmed, lambda x: x.rlike(CLOSED)), "n_short_lines": count_if(trimmed, lambda x: F.length(x) < SHORT_LINE),
+            "n_braces": _occurrences(body, BRACES), "n_placeholders": F.contains(F.lower(body), F.lit("lorem ipsum")).cast("long")}
+        return F.struct(*[values[name].cast("long").alias(name) for name in MEASURES])
+
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    return _let(words(text), lambda tokens: _let(lines, lambda whole: _let(
+        F.transform(whole, lambda x: F.btrim(x, F.lit(SPACES))), lambda trimmed: found(tokens, whole, trimmed))))
+
+
+def _of_m(condition: str) -> str:
+    return re.sub(r"\b(n_\w+|word_chars)\b", r"m.\1", condition)
+
+
+#: The bits of the rules that a value ``m`` of measurements fails.
+_BITS = " + ".join(f"CASE WHEN {_of_m(rule.fails)} THEN {1 << i}L ELSE 0L END" for i, rule in enumerate(RULES))
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """Measurements plus ``failures``, the bits of the rules that failed."""
-    bits = [F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-            for i, rule in enumerate(RULES)]
-    return measure(df, text).withColumn(
-        "failures", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    """Measurements plus ``failures``, the bits of the rules that failed.
+
+    The bits refer to the measurements once, so that a filter on them, which
+    Spark moves below, measures each text once as well.
+    """
+    book = df.withColumn("__measured", measured(F.col(text)))
+    return book.withColumns({"failures": F.expr(f"transform(array(__measured), m -> {_BITS})[0]"), **{n: F.col(f"__measured.{n}") for n in MEASURES}}).drop("__measured")
 
 
 def store(book: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,10 +7,14 @@ shares of the table to within one slot, and when a shard joins or leaves
 most slots keep their shard.
 
 The table has ``SLOTS`` entries whatever the data, and is broadcast; a row's
-slot is the hash of its key, and finding its shard is one lookup.
+slot comes from a digest of its key, and finding its shard is one lookup.
 
-Defined results: a null key has a hash like any other and all such rows share
-a shard; rows that repeat a key share a shard; a column named ``slot`` or
+``lay_out`` writes rows by shard, each shard in a bounded number of files that
+its rows are dealt to by all they hold, so that neither a key that very many
+rows share nor a large shard is written by one task.
+
+Defined results: a null key counts as an empty one and all such rows share a
+shard; rows that repeat a key share a shard; a column named ``slot`` or
 ``shard`` is replaced; an empty table gives an empty result.
 """
 
@@ -61,15 +65,31 @@ def place(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None, s
     spark = df.sparkSession
     entries = spark.createDataFrame(list(enumerate(owners)), "slot int, shard int")
     slotted = df.drop("slot", "shard").withColumn(
-        "slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
+        "slot", (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % slots).cast("int"))
     return slotted.join(F.broadcast(entries), "slot").select(*[F.col(f"`{c}`") for c in slotted.columns], "shard")
 
 
+def lay_out(df: DataFrame, path: str, key: str = "doc_id", shards: list[str] | None = None, files: int = 4) -> None:
+    """Write the rows to a folder for each shard, in up to ``files`` files."""
+    placed = place(df, key, shards).drop("slot")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]), F.lit(files))
+    count = len(shards or names(SHARDS)) * files
+    placed.repartition(count, "shard", part).write.partitionBy("shard").parquet(path)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slot and shard of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    return place(docs)
+    """All documents, whole, with their slot and shard."""
+    return place(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """The lookup table is written out by its rule."""
+    owners = ",".join(map(str, lookup(names(SHARDS))))
+    return f"""
+WITH s AS (SELECT *, CAST(CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) % {SLOTS} AS INTEGER) AS slot FROM documents)
+SELECT *, CAST(list_extract(string_split('{owners}', ','), slot + 1) AS INTEGER) AS shard FROM s
+"""
 
 
 QUERIES = {"op1_sharding": op1_sharding}
-ORACLES: dict = {}
+ORACLES = {"op1_sharding": _oracle()}

@@ -142,14 +142,44 @@ def test_lookup_is_even_and_stable():
             sharding.lookup(bad, 2)
 
 
-def test_place_equals_brute_force(spark, odd_docs, no_docs):
-    got = sharding.place(odd_docs.withColumn("shard", F.lit("clash")), shards=sharding.names(5), slots=101)
-    owner = sharding.lookup(sharding.names(5), 101)
-    hashed = got.withColumn("h", F.xxhash64("doc_id")).collect()
-    assert all(r.slot == r.h % 101 and r.shard == owner[r.slot] for r in hashed) and len(hashed) == odd_docs.count()
+def claimed(shards: list[str], slots: int) -> list[int]:
+    """Brute force: whole preference lists, and turns over them."""
+    number = lambda name, salt: int(hashlib.sha256(f"{salt}:{name}".encode()).hexdigest()[:16], 16)
+    lists = [[(number(s, "offset") % slots + j * (number(s, "skip") % (slots - 1) + 1)) % slots for j in range(slots)] for s in shards]
+    assert all(sorted(x) == list(range(slots)) for x in lists)
+    owner: dict[int, int] = {}
+    turn = 0
+    while len(owner) < slots:
+        owner[next(x for x in lists[turn % len(shards)] if x not in owner)] = turn % len(shards)
+        turn += 1
+    return [owner[i] for i in range(slots)]
+
+
+def test_lookup_equals_brute_force():
+    for n, slots in ((1, 7), (3, 101), (7, 211), (101, 101)):
+        assert sharding.lookup(sharding.names(n), slots) == claimed(sharding.names(n), slots)
+
+
+def test_place_equals_brute_force(spark, odd_docs, no_docs, as_table):
+    got = sharding.place(odd_docs.withColumn("shard", F.lit("clash")), shards=sharding.names(5), slots=101).collect()
+    owner = claimed(sharding.names(5), 101)
+    slot = lambda i: int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:8], 16) % 101
+    assert all(r.slot == slot(r.doc_id) and r.shard == owner[r.slot] for r in got) and len(got) == odd_docs.count()
     assert sharding.place(no_docs).count() == 0
-    plan = sharding.place(odd_docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan
+    query = sharding.op1_sharding(spark, as_table(odd_docs))
+    assert query.count() == odd_docs.count() and query.columns == [*odd_docs.columns, "slot", "shard"]
+    assert "Exchange hashpartitioning" not in query._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_laid_out_by_shard(spark, odd_docs, no_docs, tmp_path):
+    hot = odd_docs.unionByName(spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("en").alias("lang"),
+                                                       F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars")))
+    sharding.lay_out(hot.withColumn("slot", F.lit("clash")), str(tmp_path / "out"), shards=sharding.names(5))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    want = sharding.place(hot, shards=sharding.names(5))
+    assert sorted((str(r.doc_id), str(r.text), r.shard) for r in back.collect()) == sorted((str(r.doc_id), str(r.text), r.shard) for r in want.collect())
+    assert all(1 <= len(list(d.glob("*.parquet"))) <= 4 for d in (tmp_path / "out").glob("shard=*"))
+    sharding.lay_out(no_docs, str(tmp_path / "none"))
 
 
 # --- decontamination -----------------------------------------------------------
