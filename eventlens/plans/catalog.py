@@ -42,8 +42,8 @@ def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = facts.session_facts(ordered)
     summary = metrics.run_summary(ordered, sessions).first().asDict()
     warehouse.store_run(spark, folder, "run", {"standard_events": ordered, "session_facts": sessions}, summary, ["events"])
-    found = warehouse.snapshot(spark, folder, "run")["validation"]
-    figures = found["computed_summary"]
+    stored = warehouse.snapshot(spark, folder, "run")
+    found, figures = stored["validation"], stored["computed_summary"]
     return spark.createDataFrame([(found["status"], len(found["differences"]), figures["events"], figures["sessions"], figures["revenue"])],
                                  "status string, differences long, events long, sessions long, revenue double")
 
