@@ -124,7 +124,8 @@ def revenue_concentration(ordered: DataFrame, share: float = 0.05, at_once: int
     """Shares of revenue of the first payer and of the first few per cent.
 
     Of very many payers those well above the cut are only summed; a quantile
-    that is right to a ten-thousandth leaves a thin band around it to sort.
+    that is right to a ten-thousandth leaves a thin band around it. Payers of
+    one sum count together there, so what is put in order is different sums.
     """
     paid = revenue_by_user(ordered)
     edges = F.percentile_approx("revenue", F.array(F.lit(1 - share - 0.0005), F.lit(1 - share + 0.0005)), F.lit(10_000))
@@ -136,7 +137,10 @@ def revenue_concentration(ordered: DataFrame, share: float = 0.05, at_once: int
     if payers > at_once:
         above, spent = paid.agg(F.count_if(F.col("revenue") > high), F.sum(F.when(F.col("revenue") > high, F.col("revenue")))).first()
         paid = paid.where(F.col("revenue").between(low, high))
-    rest = paid.orderBy(F.col("revenue").desc(), "uid").limit(top - above).agg(F.sum("revenue").alias("rest"))
+    sums = paid.groupBy("revenue").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy(F.col("revenue").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(top - above) - F.col("ahead")))
+    rest = sums.withColumn("ahead", ahead).agg(F.sum(taken * F.col("revenue")).alias("rest"))
     return rest.select(F.round(F.lit(most / total), 4).alias("top_1_user_share"),
                        F.round((F.coalesce("rest", F.lit(0.0)) + F.lit(spent or 0.0)) / F.lit(total), 4).alias("top_5pct_share"))
 
@@ -165,8 +169,9 @@ def content_risk(content: DataFrame) -> DataFrame:
     """Risk of each content group from failures, waits and lacking retries."""
     risk = (F.col("failure_rate") * 0.5 + F.least(F.coalesce("avg_wait_sec", F.lit(0.0)) / 60, F.lit(1.0)) * 0.32
             + (1 - F.col("retry_after_failure_rate")) * 0.18)
-    most = F.max("revenue_after_content").over(Window.partitionBy())
-    return content.where("group <> '상품'").select(
+    shown = content.where("group <> '상품'")
+    most = F.col("most")
+    return shown.crossJoin(F.broadcast(shown.agg(F.max("revenue_after_content").alias("most")))).select(
         "group", F.round(risk, 4).alias("risk"),
         F.when(risk >= 0.62, "danger").when(risk >= 0.4, "warning").otherwise("normal").alias("level"),
         F.round(F.when(most > 0, F.col("revenue_after_content") / most).otherwise(0.0), 4).alias("revenue_scale"))
