@@ -8,8 +8,8 @@ Defined results, for every stage: columns beyond those of ``documents`` pass
 through, whatever their names; an empty table gives an empty one. Null, empty
 and blank texts have no words, so the quality rules reject them; the stages
 after them, on such rows: near-duplicates keep one row of all of them,
-decontamination keeps them, mixing takes none of them (their size is 0) and
-sharding places them. Rows that repeat: quality rules judge each, one is kept
+decontamination keeps them, mixing takes them as often as others of their
+source (they add nothing to its words) and sharding places them. Rows that repeat: quality rules judge each, one is kept
 of near-duplicates, decontamination judges each, mixing may take each, sharding
 gives them one shard. A null doc_id comes after all others among
 near-duplicates and counts as an empty key when placed; a null source is a
