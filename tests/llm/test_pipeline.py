@@ -19,11 +19,25 @@ def test_stages_are_in_order():
 
 
 def test_every_stage_takes_odd_and_empty_tables(spark, odd_docs, no_docs):
-    for k, (_, stage) in enumerate(pipeline.STAGES):
-        for docs in (odd_docs, no_docs, odd_docs.withColumn("target", F.lit("own"))):
+    words = {None: 0} | {r.text: len(r.text.encode().split()) for r in odd_docs.where("text is not null").collect()}
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        assert stage(spark, no_docs, DATA).count() == 0
+        got = []
+        for docs in (odd_docs, odd_docs.withColumns({"target": F.lit("own"), "__words": F.lit(1), "failures": F.lit("x")})):
             out = stage(spark, docs, DATA)
             assert out.columns[: len(docs.columns)] == docs.columns and (k == 4 or out.columns == docs.columns)
-            assert out.count() >= 0
+            got.append(sorted((str(r.doc_id), r.text or "", str(r.source)) for r in out.collect()))
+        assert got[0] == got[1]
+        all_rows = sorted((str(r.doc_id), r.text or "", str(r.source)) for r in odd_docs.collect())
+        blank = [r for r in got[0] if not words[r[1] if r[1] else None]]
+        if name in ("benchmark decontamination", "sharding"):
+            assert got[0] == all_rows
+        elif name == "SimHash near-dedup":
+            assert len(blank) == 1 and len(got[0]) == len(set(got[0]))
+        elif name == "quality rules":
+            assert not blank and set(got[0]) < set(all_rows)
+        else:
+            assert set(got[0]) <= set(all_rows)
 
 
 def test_quality_stage_keeps_what_its_policy_keeps(spark, odd_docs):
