@@ -8,7 +8,7 @@ from helpers import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from eventlens.llm import decontaminate, mixing, quality
+from eventlens.llm import decontaminate, mixing, quality, simhash
 
 BY_NAME = dict(pipeline.STAGES)
 
@@ -51,6 +51,23 @@ def test_near_stage_drops_copies_and_keeps_the_first(spark, odd_docs):
     assert 1 in kept and not {2, 7, None} & set(kept) and {15, 16, 20, 21, 22} <= set(kept) and kept.count(1) == 1
 
 
+def test_near_stage_equals_brute_force_on_documents(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    first: dict = {}
+    for i, t in sorted((r.doc_id, r.text) for r in docs.collect()):
+        first.setdefault(frozenset(simhash.shingles(t, 5)), i)
+    sets, group = list(first), dict(zip(first, first, strict=True))
+    places: dict = {}
+    for s in sets:
+        for shingle in s:
+            places.setdefault(shingle, []).append(s)
+    for a, b in {(a, b) for found in places.values() for k, a in enumerate(found) for b in found[k + 1:]}:
+        if 10 * len(a & b) >= 8 * len(a | b) and group[a] != group[b]:
+            group = {s: group[a] if g == group[b] else g for s, g in group.items()}
+    want = {min(first[s] for s in sets if group[s] == g) for g in set(group.values())}
+    assert len(want) < len(sets) and {r.doc_id for r in BY_NAME["SimHash near-dedup"](spark, docs, DATA).collect()} == want
+
+
 def test_decontamination_stage_drops_leaks_alone(spark, odd_docs, duck):
     items = [t for (t,) in duck.sql("SELECT text FROM benchmark ORDER BY item_id LIMIT 5").fetchall()]
     rng = random.Random(8)
