@@ -84,6 +84,17 @@ def pieces(lengths: list[int], chunk: int, window: int) -> Iterator[list[tuple[i
         yield group
 
 
+#: Rows of a batch whose words are held at a time.
+ROWS = 256
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that few texts are taken apart at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -92,7 +103,7 @@ def word_runs(docs: DataFrame) -> DataFrame:
     """The runs of all texts of (doc, print, text), with their neighbours."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             ids, prints, texts = (batch.column(i) for i in range(3))
             found = [split(t.as_py()) for t in texts]
             for group in pieces(list(map(len, found)), CHUNK, WINDOW):
@@ -158,7 +169,7 @@ def windows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .windows import Spans
         known = _WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             for doc, mark, text, rows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 found = split(text)
                 spans = Spans(np.fromiter((known[w] for w in found), np.uint64, len(found)))
@@ -220,7 +231,7 @@ def source_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
         F.collect_list(F.struct(F.col("source.start").alias("start"), "count")).alias("spans"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for doc, mark, text, rows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = split(text)
                 for at in range(0, len(rows), 1000):
@@ -245,7 +256,7 @@ def remove_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     listed = spans.join(sources, ["source", "count"]).groupBy(*KEY).agg(F.collect_list(F.struct("start", "count", "words")).alias("runs"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out: list[tuple] = []
             for body, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = split(body)
