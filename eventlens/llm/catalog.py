@@ -1,5 +1,6 @@
 """The query modules of this subpackage."""
 
-from . import chat, decontaminate, licences, mixing, pages, passages, quality, sharding, simhash, substrings
+from . import chat, clusters, decontaminate, exact, licences, mixing, pages, passages, phrases, quality, sharding, simhash, substrings
 
-MODULES = [sharding, simhash, substrings, pages, decontaminate, licences, passages, quality, mixing, chat]
+MODULES = [sharding, simhash, substrings, pages, decontaminate, licences, passages, phrases, quality, mixing, chat,
+           clusters, phrases, exact]
