@@ -3,11 +3,14 @@
 Conversations arrive in many layouts: a table with a row for each turn, a
 prompt with its completion, an instruction with an optional input, or a list
 of messages, under various names, as columns or as JSON. A layout is
-recognised by the hash of its nested field paths, those that any mapping
-knows; a field that no mapping knows changes nothing. Each known fingerprint
-selects a declarative mapping, and the mapping alone says which paths make
-canonical turns (role, text); there is no code per layout. Paths of a table
-come from its schema, those of a JSON record from the record itself.
+recognised by the hash of its nested field paths: those of the largest layout
+that it holds whole, so other fields change nothing, whether other layouts
+know them or not; of layouts with equally many paths the one listed first
+counts. Each known fingerprint selects a declarative mapping, and the mapping
+alone says which paths make canonical turns (role, text); there is no code per
+layout. Paths of a table come from its schema, those of a JSON record from the
+record itself. Lists of messages without any text count only where no other
+layout is held.
 
 Canonical turns are then written in one template. Control strings inside
 roles and texts are escaped so that they can neither open nor close a turn,
@@ -16,10 +19,11 @@ and the escape can be undone. Loss spans point at the texts of the assistant.
 Defined results: a null text or role is empty; turns of a table of rows come
 in the order of their number, nulls first, then role, then text; repeated rows
 stay repeated turns; a null conversation id is a conversation of its own; a
-record whose fingerprint is unknown, that is null or isn't a JSON object has
-null turns and keeps its fingerprint, so it can be counted and mapped later;
-an empty list of messages has no turns; columns beyond the mapped ones are
-ignored; a table whose fingerprint is unknown raises an error; an empty table
+record that holds no layout has null turns and the fingerprint of the paths it
+has of any, so it can be counted and mapped later; one that is null or isn't a
+JSON object has neither; an empty list of messages has no turns; columns and
+fields beyond the mapped ones are ignored, also where they are paths of
+another layout; a table that holds no layout raises an error; an empty table
 gives an empty result. Work grows with the length of a conversation, however
 many turns it has; one conversation is one value, and has to fit in a task.
 """
@@ -109,6 +113,12 @@ MAPPINGS = (
 
 KNOWN_PATHS = {p for m in MAPPINGS for p in m.paths()}
 BY_FINGERPRINT = {fingerprint(paths): m for m in MAPPINGS for paths in m.variants()}
+#: The path sets of all layouts, those with the most paths first; lists
+#: without texts count only where nothing else is held.
+LAYOUTS = [sorted(paths) for _, _, paths in sorted(
+    ((bool(m.items) and paths != m.paths(), -len(paths), paths) for m in MAPPINGS for paths in m.variants()), key=lambda x: x[:2])]
+#: Those of single records.
+RECORD_LAYOUTS = [paths for paths in LAYOUTS if not BY_FINGERPRINT[fingerprint(paths)].rows]
 
 
 def _role(role: Column) -> Column:
@@ -152,7 +162,10 @@ def turns_of_records(df: DataFrame, record: str = "record") -> DataFrame:
     json = F.when(F.schema_of_variant("__json").startswith("OBJECT"), F.col("__json"))
     parsed = parsed.withColumn("__json", json)
     found = F.array_compact(F.array(*[F.when(_present(F.col("__json"), p), F.lit(p)) for p in sorted(KNOWN_PATHS)]))
-    marked = parsed.withColumn("layout_fingerprint", F.when(F.col("__json").isNotNull(), F.xxhash64(F.array_join(found, "\n"))))
+    parsed = parsed.withColumn("__paths", found)
+    whole = [F.when(F.size(F.array_intersect("__paths", F.lit(paths))) == len(paths), F.lit(paths)) for paths in RECORD_LAYOUTS]
+    marked = parsed.withColumn("layout_fingerprint", F.when(
+        F.col("__json").isNotNull(), F.xxhash64(F.array_join(F.coalesce(*whole, F.col("__paths")), "\n"))))
     names = F.create_map(*[F.lit(x) for k, m in BY_FINGERPRINT.items() if not m.rows for x in (k, m.name)])
 
     def items(m: Mapping) -> Column:
@@ -162,15 +175,16 @@ def turns_of_records(df: DataFrame, record: str = "record") -> DataFrame:
     named = marked.withColumn("layout", F.try_element_at(names, F.col("layout_fingerprint")))
     turns = F.coalesce(*[F.when(F.col("layout") == m.name, _applied(
         m, lambda p: F.try_variant_get("__json", f"$.{p}", "string"), items)) for m in MAPPINGS if not m.rows])
-    return named.withColumn("turns", turns).drop("__json")
+    return named.withColumn("turns", turns).drop("__json", "__paths")
 
 
 def mapping_of(df: DataFrame) -> Mapping:
-    """The mapping that the fingerprint of a table's whole schema selects."""
-    found = BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
+    """The mapping of the largest layout that a table's whole schema holds."""
+    there = set(schema_paths(df.schema))
+    found = next((paths for paths in LAYOUTS if there.issuperset(paths)), None)
     if found is None:
         raise ValueError(f"no mapping for the columns {df.columns}")
-    return found
+    return BY_FINGERPRINT[fingerprint(found)]
 
 
 def turns_of_table(df: DataFrame, key: str = "conv_id") -> DataFrame:

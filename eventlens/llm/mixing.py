@@ -9,13 +9,14 @@ crosses a whole number once for each copy the mix takes.
 Documents of like size stand together in that order, so the words taken stay
 near the target. The running sum is a rank times a constant, and the rank is
 found in two steps: documents are dealt into slices (source, size class, hash
-of the row's key), slices are counted and their counts summed, and rows are
-numbered within their slice. A source with a third of all rows is spread over
+of the row), slices are counted and their counts summed, and rows are numbered
+within their slice by size, key and hash of the whole row. A source with a third of all rows is spread over
 all its slices; only slice counts meet in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; repeated rows are numbered one after another and each may be
-taken; a source without words has target 0 and rate 0; an empty table gives an
+taken; of rows with equal size and key, null keys too, the order goes by the
+hash of all their columns, so reruns agree on the rows however the table lies; a source without words has target 0 and rate 0; an empty table gives an
 empty result. Other columns pass through; ones that carry the names of added
 columns are replaced.
 """
@@ -77,19 +78,30 @@ def size_class(size: Column) -> Column:
     return length * 16 + F.call_function("shiftright", size, low).cast("int")
 
 
-def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Add source_size, target and copies, the times the mix takes each row."""
-    spread = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 4), 16, 10)
+def row_hash(df: DataFrame) -> Column:
+    """128 bits of all columns of a row, whatever their types."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), {"ignoreNullFields": "false"})
+    return F.md5(whole.cast("binary"))
+
+
+def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", row: Column | None = None) -> DataFrame:
+    """Add source_size, target and copies, the times the mix takes each row.
+
+    ``row`` is a hash that tells rows of one key and size apart; without it
+    the hash of all columns is taken.
+    """
+    own = row_hash(df) if row is None else row
+    # Keys spread evenly; rows that have none are spread by what they hold.
+    spread = F.conv(F.substring(F.coalesce(F.md5(F.col(key).cast("string").cast("binary")), own), 1, 4), 16, 10)
     df = df.drop("source_size", "target", "copies")
     goals = cut(targets(df.select(F.col(source).alias("source"), F.col(size).alias("size"))), "mix-targets")
-    kept = df.withColumn("__class", size_class(F.col(size))).withColumn(
-        "__slice", (spread.cast("int") % SLICES))
+    kept = df.withColumns({"__class": size_class(F.col(size)), "__slice": spread.cast("int") % SLICES, "__row": own})
     counts = kept.groupBy(
         F.col(source).alias("__of"), F.col("__class").alias("__at"), F.col("__slice").alias("__in")).count()
     ahead = Window.partitionBy("__of").orderBy("__at", "__in").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn(
         "__before", F.coalesce(F.sum("count").over(ahead), F.lit(0).cast("long"))).drop("count")
-    within = Window.partitionBy(source, "__class", "__slice").orderBy(F.col(size), F.col(key).asc_nulls_first())
+    within = Window.partitionBy(source, "__class", "__slice").orderBy(F.col(size), F.col(key).asc_nulls_first(), "__row")
     named = goals.select(F.col("source").alias("__source"), "source_size", "target",
                          F.col("rate").alias("__rate"), F.col("offset").alias("__offset"))
     if goals.count() <= BROADCAST_SOURCES:
@@ -105,7 +117,7 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
     return (
         placed.join(named, F.col(source).eqNullSafe(F.col("__source")))
         .withColumn("copies", F.least(copies.cast("long"), F.lit(CAP).cast("long")))
-        .drop("__source", "__class", "__slice", "__before", "__place", "__rate", "__offset"))
+        .drop("__source", "__class", "__slice", "__row", "__before", "__place", "__rate", "__offset"))
 
 
 def take(df: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id") -> DataFrame:

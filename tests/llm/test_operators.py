@@ -122,6 +122,16 @@ def test_mix_takes_what_it_should(spark):
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in mixing.mix(df).collect())
 
 
+def test_mix_agrees_on_rows_without_ids(spark):
+    """Equal sizes and no ids: the rows themselves decide, however they lie."""
+    rows = [(None, f"text {i} of it", "ab"[i % 2], 4, {"k": i}) for i in range(3000)] + [(7, f"same id {i}", "a", 4, None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, extra map<string,int>")
+    first, again = (sorted(r.text for r in mixing.take(d).collect()) for d in (df.repartition(2), df.repartition(5).orderBy(F.desc("text"))))
+    assert first == again and 0 < len(set(first)) and len(first) > 1500
+    slices = mixing.mix(df.repartition(3)).where("doc_id is null").count()
+    assert slices == 3000
+
+
 def test_mix_of_nothing(spark, no_docs, as_table):
     assert mixing.op9_mixing(spark, as_table(no_docs)).count() == 0
 
@@ -448,6 +458,62 @@ def test_tables_of_all_layouts_give_the_same_turns(spark):
             chat.turns_of_table(bad)
 
 
+def nested(paths, leaf="v") -> dict:
+    """A record with the given paths, lists with one element."""
+    out: dict = {}
+    for path in sorted(paths):
+        at, parts = out, path.split(".")
+        for i, part in enumerate(parts):
+            name, last = part.removesuffix("[]"), i == len(parts) - 1
+            if part.endswith("[]"):
+                at = at.setdefault(name, [{}])[0]
+            elif last:
+                at[name] = leaf
+            else:
+                at = at.setdefault(name, {})
+    return out
+
+
+def foreign_pairs():
+    """(mapping, path of another mapping) where both can stand in a record."""
+    for m in chat.MAPPINGS:
+        for p in sorted(chat.KNOWN_PATHS - m.paths()):
+            heads = {x.split(".")[0].removesuffix("[]") for x in m.paths()}
+            if p.split(".")[0].removesuffix("[]") not in heads:
+                yield m, p
+
+
+def largest(paths) -> str | None:
+    """The mapping with the most paths among those held whole, by a plain search."""
+    there = {p[: i + 2] for p in paths for i in range(len(p)) if p[i: i + 2] == "[]"} | set(paths)
+    held = [(bool(m.items) and v != m.paths(), -len(v), i, m.name) for i, m in enumerate(chat.MAPPINGS) for v in m.variants() if v <= there]
+    return min(held)[3] if held else None
+
+
+def test_foreign_paths_neither_crash_nor_lose_records(spark):
+    pairs = list(foreign_pairs())
+    assert len(pairs) > 150
+    for m, p in pairs:
+        columns = {x: "string" for x in (*m.paths(), p) if "[]" not in x and "." not in x}
+        if m.rows and not any("." in x for x in m.paths()) and p in columns:
+            table = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+            assert chat.mapping_of(table).name == m.name, (m.name, p)
+    records = [(m.name, p, json.dumps(nested([*m.paths(), p]))) for m, p in pairs if not m.rows]
+    df = spark.createDataFrame(records, "name string, path string, record string")
+    for r in chat.turns_of_records(df).collect():
+        known = next(m for m in chat.MAPPINGS if m.name == r.name)
+        assert r.turns and r.layout == largest([*known.paths(), r.path]), (r.name, r.path, r.layout)
+
+
+def test_conversations_with_columns_of_other_layouts(spark):
+    flat = spark.createDataFrame([("c", 0, "user", "u"), ("c", 1, "assistant", "a")], "conv_id string, turn int, role string, text string")
+    plain = chat.turns_of_table(flat).collect()
+    for name in ("prompt", "system", "input", "completion", "question", "value", "from", "body", "messages"):
+        assert chat.turns_of_table(flat.withColumn(name, F.lit("x"))).collect() == plain
+    two = flat.withColumns({"prompt": F.lit("p"), "completion": F.lit("c")})
+    assert chat.turns_of_table(two).collect() == plain and chat.mapping_of(two.drop("turn")).name == "prompt_completion"
+
+
 def test_no_conversations(spark, as_table):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     (row,) = chat.op10_chat_formatting(spark, as_table(df, "conversations")).collect()
