@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard
@@ -18,22 +18,27 @@ def _least(links: DataFrame) -> DataFrame:
 
 
 def _star(links: DataFrame, larger: bool) -> DataFrame:
-    """Hang the larger (or smaller) neighbours of each node on its least one."""
+    """Hang the larger (or smaller) neighbours of each node on its least one.
+
+    The least neighbours are a table of their own, so that both sides of the
+    join are dealt out and a hub's links can be split over tasks.
+    """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = _least(links)
+    low = cut(_least(links), "least")
     side = both.where(F.col("b") > F.col("a") if larger else F.col("b") < F.col("a"))
     hung = side.join(low, side["a"] == low["node"]).select(F.col("b").alias("x"), F.col("low").alias("y"))
     if not larger:
         hung = hung.unionByName(low.where("low < node").select(F.col("node").alias("x"), F.col("low").alias("y")))
-    return (hung.where("x <> y")
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    stars = (hung.where("x <> y")
+             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    done = cut(stars, "stars")
+    discard(low)
+    return done
 
 
-def _settled(links: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """The links as a table, and what tells them from others."""
-    seen = Observation()
-    table = cut(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), name)
-    return table, (seen.get["n"], seen.get["sum"])
+def _state(links: DataFrame) -> tuple:
+    """What tells a table of links from others."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -45,11 +50,14 @@ def components(links: DataFrame) -> DataFrame:
     neighbours are ever gathered in one place. The table of a round is removed
     when the next one is written.
     """
-    links, before = _settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = _state(links)
     for _ in range(MAX_ROUNDS):
-        after, state = _settled(_star(_star(links, larger=True), larger=False), "stars")
+        half = _star(links, larger=True)
+        after = _star(half, larger=False)
         discard(links)
-        links = after
+        discard(half)
+        links, state = after, _state(after)
         if state == before:
             break
         before = state
