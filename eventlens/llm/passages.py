@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, table
 from .windows import covered, runs
 
 WINDOW = 50
@@ -133,14 +133,18 @@ def classes(found: DataFrame) -> DataFrame:
     """
     agreed = lambda c: F.when(
         (F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
-    one = found.groupBy("gram", "run").agg(
+    one = cut(found.groupBy("gram", "run").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("times"),
         F.min(F.struct("doc", "print", "start")).alias("source"), F.min("count").alias("count"),
-        agreed("prior").alias("prior"), agreed("next").alias("next"))
+        agreed("prior").alias("prior"), agreed("next").alias("next")), "passage-one")
     by_gram = one.groupBy("gram").agg(
         F.min("first").alias("gram_first"), F.max("last").alias("gram_last"), F.count("*").alias("kinds"))
-    shared = by_gram.where("gram_first < gram_last").select("gram", (F.col("kinds") > 1).alias("mixed"))
-    return one.join(shared, "gram")
+    # Two tables, so that a gram that very many runs share can be split.
+    shared = cut(by_gram.where("gram_first < gram_last").select("gram", (F.col("kinds") > 1).alias("mixed")), "passage-grams")
+    known = cut(one.join(shared, "gram"), "passage-classes")
+    discard(one)
+    discard(shared)
+    return known
 
 
 def paths(repeated: DataFrame) -> DataFrame:
@@ -197,7 +201,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, print, start, count, source): windows that an earlier document
     seems to have, and where; ``source`` is (doc, print, start)."""
     found = cut(word_runs(docs), "passage-runs")
-    known = cut(classes(found), "passage-classes")
+    known = classes(found)
     # Small tables of their own, so that the joins below are dealt out on both
     # sides and a run or window that very many documents share can be split.
     compact = cut(paths(known.where("first < last")), "passage-paths")
