@@ -46,6 +46,8 @@ _SETTINGS = {
     _STORE + "rocksdb.boundedMemoryUsage": "true",
     _STORE + "rocksdb.maxMemoryUsageMB": str(STATE_MB),
     _STORE + "rocksdb.writeBufferSizeMB": "8",
+    # Else each store takes 4 MB of disk in advance, whatever it holds.
+    _STORE + "rocksdb.allowFAllocate": "false",
 }
 
 
