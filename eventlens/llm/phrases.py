@@ -40,7 +40,7 @@ FREQUENT = 100
 #: Phrases reported for each language.
 REPORTED = 2000
 #: Words that a task holds before it closes a block.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 UNKNOWN = "und"
 
 #: Between pieces; all ends of pieces become one character.
@@ -125,14 +125,14 @@ def adjacent(counts: np.ndarray, positions: np.ndarray, which: np.ndarray, numbe
     numbers. Two of their occurrences, one position apart, are all words but
     the last and all but the first of a longer phrase.
     """
-    numbers = np.full(len(counts), -1, np.int64)
-    numbers[which] = np.arange(len(which))
+    numbers = np.full(len(counts), -1, np.int32)
+    numbers[which] = np.arange(len(which), dtype=np.int32)
     owner = np.repeat(numbers, counts)
     at, owner = positions[owner >= 0], owner[owner >= 0]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
     meets = np.flatnonzero(at[1:] == at[:-1] + 1)
-    pairs = owner[meets] * max(len(which), 1) + owner[meets + 1]
+    pairs = owner[meets].astype(np.int64) * max(len(which), 1) + owner[meets + 1]
     order = np.argsort(pairs, kind="stable")
     pairs = pairs[order]
     starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
