@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text(c: Column) -> Column:
     """Trimmed text, blank as null."""
     return F.nullif(F.trim(c.cast("string")), F.lit(""))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,23 +10,18 @@ from pyspark.sql import functions as F
 from ..config import Language
 from ..operators import facts, metrics
 from ..sources import exports, files, warehouse
+from ..sources.scratch import new_folder
 from ..streaming.sessions import session_stream
-from . import events, pipeline, synthetic
+from . import events, pipeline, scale, synthetic
 from .standardize import with_user
 from .testbed import ordered_events, std_events
 
-QUERIES, ORACLES = dict(events.Q), dict(events.O)
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/eventlens-{uuid.uuid4().hex}"
+QUERIES, ORACLES = events.Q | scale.QUERIES, events.O | scale.ORACLES
 
 
 def warehouse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each table of a stored run, read back."""
-    ordered, folder = ordered_events(spark, sf_dir), _folder(spark)
+    ordered, folder = ordered_events(spark, sf_dir), new_folder(spark)
     sessions = facts.session_facts(ordered)
     tables = {"standard_events": ordered, "session_facts": sessions, "user_journeys": facts.user_journeys(ordered)}
     summary = metrics.run_summary(ordered, sessions).first().asDict()
@@ -38,7 +32,7 @@ def warehouse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a stored summary matches one worked out from the stored rows."""
-    ordered, folder = ordered_events(spark, sf_dir), _folder(spark)
+    ordered, folder = ordered_events(spark, sf_dir), new_folder(spark)
     sessions = facts.session_facts(ordered)
     summary = metrics.run_summary(ordered, sessions).first().asDict()
     warehouse.store_run(spark, folder, "run", {"standard_events": ordered, "session_facts": sessions}, summary, ["events"])
@@ -70,7 +64,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> str:
         F.when(kind == "purchase", "starter_pack").otherwise("").alias("product_id"),
         F.when(kind == "purchase", F.col("value").cast("string")).otherwise("").alias("amount"),
         F.when(lost, "45").otherwise("").alias("wait_time_sec"), F.when(lost, "timeout").otherwise("").alias("result"))
-    folder = _folder(spark)
+    folder = new_folder(spark)
     raw.coalesce(2).write.csv(folder, header=True, emptyValue="")
     return folder
 
@@ -93,7 +87,7 @@ def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files without event names, under other columns: types by shape."""
     log = spark.read.csv(raw_log(spark, sf_dir), header=True)
-    folder = _folder(spark)
+    folder = new_folder(spark)
     log.select(F.col("uid").alias("acct"), F.col("event_time").alias("log_at"), F.col("content_id").alias("content"), F.col("product_id").alias("sku"),
                F.col("amount").alias("krw"), F.col("wait_time_sec").alias("queue_seconds"), F.col("result").alias("state")).coalesce(2).write.csv(folder, header=True, emptyValue="")
     found, _ = pipeline.standard_events(spark, [folder], Language())
@@ -103,7 +97,7 @@ def raw_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as CSV and read back as text, counted by type."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     std_events(spark, sf_dir).select("uid", "event_raw", "event_type", "amount").coalesce(2).write.csv(folder, header=True)
     back = reduce(DataFrame.unionByName, files.ingest(spark, [folder]))
     return back.groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.sum(F.col("amount").cast("double")), 2).alias("amount"))
@@ -118,7 +112,7 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export of standard events, read back from its files."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     exports.write_events_csv(ordered_events(spark, sf_dir), folder)
     return spark.read.csv(folder, header=True).select("uid", F.col("user_event_index").cast("long").alias("user_event_index"), "session_id", "event_raw",
                                                       "event_type", F.col("group").alias("content_group"))
