@@ -11,11 +11,14 @@ the level before it and starts from the lists of frequent phrases alone.
 
 Frequent phrases are numbered within their level, so a longer phrase is named
 exactly by two numbers: that of all its words but the last and that of all but
-the first. Only these numbers and counts are shuffled to be added up, and the
-numbers of frequent phrases go back to the blocks that hold them. Position
-lists go to the next level's tasks once. Every block is of bounded size,
-unless one text alone is larger; nothing that grows with the input is
-broadcast or gathered.
+the first. Most pairs of numbers are rare, and are ruled out before they are
+counted one by one: the lengths of lists are first added up in hash buckets,
+twice as many as there are words, which travel as three bytes for each list. A
+phrase in a bucket that doesn't reach the least frequency can't reach it
+either. Of the others the numbers and counts are shuffled and added up exactly,
+and the numbers of frequent phrases go back to the blocks that hold them. Every
+block is of bounded size, unless one text alone is larger; nothing that grows
+with the input is broadcast or gathered.
 
 Defined results: a null text has no words; a null language counts as ``und``,
 together with texts of that name; every row counts, repeated ones too; of equal
@@ -33,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, table
+from .windows import scramble
 
 #: Phrases have up to so many words, and occur so often at least.
 LONGEST = 5
@@ -49,6 +53,12 @@ _ONE_END = bytes.maketrans(_ENDS, b"\n" * len(_ENDS))
 
 BLOCK = "block long, lang string, words array<string>, counts array<int>, positions array<int>"
 LISTS = "block long, heads array<long>, tails array<long>, counts array<int>, positions array<int>"
+SURE = "block long, numbers array<long>, counts array<int>, positions array<int>, packets array<struct<range: long, entries: binary>>"
+HEAVY = "block long, range long, offsets binary"
+#: Buckets of a range, which one task adds up at a time: places of 16 bits.
+RANGE_BITS = 16
+#: A list in a packet: its bucket within the range, and its length or 255 if it is longer.
+ENTRY = np.dtype([("offset", "<u2"), ("count", "u1")])
 
 
 class _Numbers(dict):
@@ -118,56 +128,129 @@ def blocks(df: DataFrame, text: str = "text", lang: str = "lang", block_words: i
     return rows.mapInArrow(each, BLOCK)
 
 
-def adjacent(counts: np.ndarray, positions: np.ndarray, which: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+def kept(counts: np.ndarray, positions: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, positions) of the lists at ``which``, in that order."""
+    starts = np.cumsum(counts) - counts
+    chosen = counts[which]
+    at = np.arange(chosen.sum()) - np.repeat(np.cumsum(chosen) - chosen, chosen) + np.repeat(starts[which], chosen)
+    return chosen, positions[at]
+
+
+def adjacent(numbers: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, ...]:
     """(heads, tails, counts, positions) of phrases one word longer.
 
-    ``which`` are the lists whose phrases are frequent, ``number`` their
-    numbers. Two of their occurrences, one position apart, are all words but
-    the last and all but the first of a longer phrase.
+    Lists are merged by position: two occurrences one position apart are all
+    words but the last and all but the first of a longer phrase.
     """
-    numbers = np.full(len(counts), -1, np.int32)
-    numbers[which] = np.arange(len(which), dtype=np.int32)
-    owner = np.repeat(numbers, counts)
-    at, owner = positions[owner >= 0], owner[owner >= 0]
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
+    owner = np.repeat(np.arange(len(numbers), dtype=np.int32), counts)
+    order = np.argsort(positions, kind="stable")
+    at, owner = positions[order], owner[order]
     meets = np.flatnonzero(at[1:] == at[:-1] + 1)
-    pairs = owner[meets].astype(np.int64) * max(len(which), 1) + owner[meets + 1]
+    pairs = owner[meets].astype(np.int64) * max(len(numbers), 1) + owner[meets + 1]
     order = np.argsort(pairs, kind="stable")
     pairs = pairs[order]
     starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
-    head, tail = np.divmod(pairs[starts], max(len(which), 1))
-    return number[head], number[tail], np.diff(np.append(starts, len(pairs))).astype(np.int32), at[meets[order]]
+    head, tail = np.divmod(pairs[starts], max(len(numbers), 1))
+    return numbers[head], numbers[tail], np.diff(np.append(starts, len(pairs))).astype(np.int32), at[meets[order]]
+
+
+def buckets(heads: np.ndarray, tails: np.ndarray, bits: int) -> np.ndarray:
+    mixed = scramble(heads.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ scramble(tails.astype(np.uint64)))
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _lists(*columns: tuple[np.ndarray, pa.DataType]) -> list[pa.Array]:
+    return [pa.array([x], pa.list_(kind)) for x, kind in columns]
+
+
+def _arrays(batch: pa.RecordBatch, row: int, columns: range) -> list[np.ndarray]:
+    return [batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in columns]
 
 
-def extended(lists: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The lists of the next level from lists and (block, which, number)."""
+def sure(lists: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
+    """The lists of frequent phrases, from (block, which, number), and packets
+    of the lengths of the lists that adjacent ones would make."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                own = [batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(1, 5)]
-                longer = adjacent(*own)
-                if len(longer[3]):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, 1), *(pa.array([x], pa.list_(kind)) for x, kind in zip(
-                            longer, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))],
-                        ["block", "heads", "tails", "counts", "positions"])
+                counts, positions, which, numbers = _arrays(batch, i, range(1, 5))
+                own = kept(counts, positions, which)
+                heads, tails, found, _ = adjacent(numbers, *own)
+                at = buckets(heads, tails, bits)
+                order = np.argsort(at, kind="stable")
+                ranges, entries = at[order] >> RANGE_BITS, np.zeros(len(at), ENTRY)
+                entries["offset"], entries["count"] = at[order] & ((1 << RANGE_BITS) - 1), np.minimum(found[order], 255)
+                starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(at) else np.zeros(0, np.int64)
+                ends = np.append(starts, len(at)).astype(np.int32) * ENTRY.itemsize
+                packets = pa.StructArray.from_arrays(
+                    [pa.array(ranges[starts]), pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entries.tobytes())])],
+                    ["range", "entries"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), *_lists((numbers, pa.int64()), (own[0], pa.int32()), (own[1], pa.int32())),
+                     pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), packets)],
+                    ["block", "numbers", "counts", "positions", "packets"])
 
     known = frequent.groupBy("block").agg(F.collect_list(F.struct("which", "number")).alias("known"))
     return lists.select("block", "counts", "positions").join(known, "block").select(
-        "block", "counts", "positions", F.col("known.which").alias("which"), F.col("known.number").alias("number")).mapInArrow(each, LISTS)
-
-
-def _numbered(counted: DataFrame, least: int, name: str) -> DataFrame:
-    """Frequent phrases, numbered; the numbers are written with them."""
-    return cut(counted.where(F.col("f") >= least).withColumn("number", F.monotonically_increasing_id()), name)
-
-
-def _found(entries: DataFrame, phrases: DataFrame, by: list[str]) -> DataFrame:
-    """(block, which, number) of a level's entries that are frequent."""
-    named = phrases.select(*[F.col(c).alias(f"its_{c}") for c in by], "number")
-    same = [F.col(c) == F.col(f"its_{c}") for c in by]
-    return entries.join(named, same).select("block", "which", "number")
+        "block", "counts", "positions", F.col("known.which").alias("which"), F.col("known.number").alias("number")).mapInArrow(each, SURE)
+
+
+def heavy(packets: DataFrame, frequent: int) -> DataFrame:
+    """(block, range, offsets): the buckets of each block that may hold a
+    frequent phrase, from (block, range, entries)."""
+    least = min(frequent, 255)
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        entries = table.column("entries").chunk(0) if len(table) else pa.array([], pa.binary())
+        lengths = np.diff(np.frombuffer(entries.buffers()[1], np.int32)[entries.offset: entries.offset + len(entries) + 1]) // ENTRY.itemsize
+        first = np.frombuffer(entries.buffers()[1], np.int32)[entries.offset]
+        flat = np.frombuffer(entries.buffers()[2], np.uint8)[first: first + lengths.sum() * ENTRY.itemsize].view(ENTRY)
+        # A list of 255 or more reaches any bound that is held against it.
+        reached = np.bincount(flat["offset"], flat["count"], 1 << RANGE_BITS) >= least
+        mask = reached[flat["offset"]]
+        rows = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[mask], minlength=len(lengths))
+        some = np.flatnonzero(rows)
+        ends = np.append(0, np.cumsum(rows[some])).astype(np.int32) * 2
+        offsets = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat["offset"][mask].tobytes())])
+        chosen = table.select(["block", "range"]).take(pa.array(some))
+        return chosen.append_column("offsets", offsets)
+
+    return packets.groupBy("range").applyInArrow(each, HEAVY)
+
+
+def extended(own: DataFrame, allowed: DataFrame, bits: int) -> DataFrame:
+    """The lists of the next level: of adjacent ones, those in heavy buckets."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                heads, tails, counts, positions = adjacent(*_arrays(batch, i, range(1, 4)))
+                ranges = batch.column(4)[i].values.to_numpy(zero_copy_only=False)
+                inside = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(5)[i].values]
+                there = np.concatenate([(r << RANGE_BITS) + x.astype(np.int64) for r, x in zip(ranges.tolist(), inside, strict=True)])
+                which = np.flatnonzero(np.isin(buckets(heads, tails, bits), there))
+                counts, positions = kept(counts, positions, which)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), *_lists((heads[which], pa.int64()), (tails[which], pa.int64()), (counts, pa.int32()), (positions, pa.int32()))],
+                    ["block", "heads", "tails", "counts", "positions"])
+
+    known = allowed.groupBy("block").agg(F.collect_list(F.struct("range", "offsets")).alias("known"))
+    return own.select("block", "numbers", "counts", "positions").join(known, "block").select(
+        "block", "numbers", "counts", "positions", F.col("known.range").alias("range"), F.col("known.offsets").alias("offsets")).mapInArrow(each, LISTS)
+
+
+def frequent_entries(entries: DataFrame, by: list[str], least: int) -> DataFrame:
+    """A level's entries (block, which, c) whose phrase, named by ``by``, is
+    frequent, with its frequency ``f`` and its number; the first entry of a
+    phrase has ``first``.
+
+    A phrase has an entry in a block at most, so no phrase holds many of them,
+    and one dealing out by phrase gives both its sum and its number.
+    """
+    same = Window.partitionBy(*by)
+    each = entries.withColumn("entry", F.monotonically_increasing_id())
+    found = each.withColumns({"f": F.sum("c").over(same), "number": F.min("entry").over(same)}).where(F.col("f") >= least)
+    return cut(found.withColumn("first", F.col("entry") == F.col("number")).drop("entry", "c"), "phrase-entries")
 
 
 def levels(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, frequent: int = FREQUENT,
@@ -175,29 +258,31 @@ def levels(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     """(lang, n) with all words counted, and for each number of words a table
     (lang, phrase, last, f, number, head, tail) of the frequent phrases."""
     lists = cut(blocks(df, text, lang, block_words), "phrase-blocks")
-    # A word's place in its block is all that goes back to it.
-    entries = lists.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("which", "x")).select(
-        "block", "lang", "which", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c"))
-    counted = cut(entries.groupBy("lang", "phrase").agg(F.sum("c").alias("f")), "phrase-words")
-    total = cut(counted.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
+    in_block = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
+    total = cut(lists.select("lang", in_block.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "phrase-totals")
+    words = total.agg(F.sum("n")).first()[0] or 0
+    bits = max(RANGE_BITS, (2 * words).bit_length())
+    entries = frequent_entries(lists.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("which", "x")).select(
+        "block", "lang", "which", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c")), ["lang", "phrase"], frequent)
     nobody = F.lit(None).cast("long")
-    found = [_numbered(counted.select("lang", "phrase", F.col("phrase").alias("last"), "f", nobody.alias("head"), nobody.alias("tail")),
-                       frequent, "phrase-level")]
-    by = ["lang", "phrase"]
+    found = [cut(entries.where("first").select(
+        "lang", "phrase", F.col("phrase").alias("last"), "f", "number", nobody.alias("head"), nobody.alias("tail")), "phrase-level")]
     for _ in range(longest - 1):
-        before = lists
-        lists = cut(extended(before, _found(entries, found[-1], by)), "phrase-lists")
+        before, known = lists, entries
+        own = cut(sure(before, known.select("block", "which", "number"), bits), "phrase-sure")
         discard(before)
-        entries = lists.select("block", F.posexplode(F.arrays_zip("heads", "tails", "counts")).alias("which", "x")).select(
-            "block", "which", F.col("x.heads").alias("head"), F.col("x.tails").alias("tail"), F.col("x.counts").alias("c"))
-        pairs = entries.groupBy("head", "tail").agg(F.sum("c").alias("f")).where(F.col("f") >= frequent)
+        discard(known)
+        allowed = heavy(own.select("block", F.explode("packets").alias("p")).select("block", "p.range", "p.entries"), frequent)
+        lists = cut(extended(own, allowed, bits), "phrase-lists")
+        discard(own)
+        entries = frequent_entries(lists.select("block", F.posexplode(F.arrays_zip("heads", "tails", "counts")).alias("which", "x")).select(
+            "block", "which", F.col("x.heads").alias("head"), F.col("x.tails").alias("tail"), F.col("x.counts").alias("c")), ["head", "tail"], frequent)
         heads = found[-1].select(F.col("number").alias("of_head"), "lang", F.col("phrase").alias("start"))
         tails = found[-1].select(F.col("number").alias("of_tail"), "last")
-        spelt = (pairs.join(heads, F.col("head") == F.col("of_head")).join(tails, F.col("tail") == F.col("of_tail"))
-                 .select("lang", F.concat_ws(" ", "start", "last").alias("phrase"), "last", "f", "head", "tail"))
-        found.append(_numbered(spelt, frequent, "phrase-level"))
-        by = ["head", "tail"]
+        spelt = entries.where("first").join(heads, F.col("head") == F.col("of_head")).join(tails, F.col("tail") == F.col("of_tail"))
+        found.append(cut(spelt.select("lang", F.concat_ws(" ", "start", "last").alias("phrase"), "last", "f", "number", "head", "tail"), "phrase-level"))
     discard(lists)
+    discard(entries)
     return total, found
 
 

@@ -112,9 +112,9 @@ def texts(seed: int, n: int) -> list[tuple]:
                                                            for _ in range(rng.randint(0, 40)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("block_words", [50, 1000, 4_000_000])
-def test_phrases_equal_counting_everything(spark, block_words):
-    rows = [*texts(block_words, 120), (None, None), ("en", ""), ("", "one two " * 9)]
+@pytest.mark.parametrize(("block_words", "many"), [(50, 120), (1000, 120), (4_000_000, 120), (9000, 2500)])
+def test_phrases_equal_counting_everything(spark, block_words, many):
+    rows = [*texts(block_words, many), (None, None), ("en", ""), ("", "one two " * 9)]
     df = spark.createDataFrame(rows, "lang string, text string").withColumns({"block": F.lit(1), "phrase": F.lit("x"), "words": F.lit("y")}).repartition(3)
     found = phrases.scored(*phrases.levels(df, frequent=5, block_words=block_words)).collect()
     got = {(r.lang, r.phrase): (r.a, r.l, r.r, r.n, r.score) for r in found}
@@ -124,11 +124,29 @@ def test_phrases_equal_counting_everything(spark, block_words):
 def test_a_level_is_a_join_of_lists_by_position():
     # a b c at 0..2, b c at 4, 5; words a, b, c.
     counts, positions = np.array([1, 2, 2], np.int32), np.array([0, 1, 4, 2, 5], np.int32)
-    heads, tails, many, at = phrases.adjacent(counts, positions, np.array([0, 1, 2]), np.array([70, 71, 72]))
+    heads, tails, many, at = phrases.adjacent(np.array([70, 71, 72]), counts, positions)
     assert (heads.tolist(), tails.tolist(), many.tolist(), at.tolist()) == ([70, 71], [71, 72], [1, 2], [0, 1, 4])
-    heads, *_, at = phrases.adjacent(counts, positions, np.array([1, 2]), np.array([71, 72]))
+    heads, *_, at = phrases.adjacent(np.array([71, 72]), *phrases.kept(counts, positions, np.array([1, 2])))
     assert heads.tolist() == [71] and at.tolist() == [1, 4]
-    assert all(not len(x) for x in phrases.adjacent(counts, positions, np.zeros(0, int), np.zeros(0, int)))
+    assert [x.tolist() for x in phrases.kept(counts, positions, np.array([2, 0]))] == [[2, 1], [2, 5, 0]]
+    assert all(not len(x) for x in phrases.adjacent(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)))
+
+
+@pytest.mark.parametrize("frequent", [3, 255, 256, 700])
+def test_buckets_rule_out_rare_phrases_only(spark, frequent):
+    """Of lists dealt over blocks, each that is frequent is in a heavy bucket."""
+    rng = np.random.default_rng(frequent)
+    rows, totals = [], Counter()
+    for block in range(40):
+        offsets = np.unique(rng.integers(0, 60, 30)).astype("<u2")
+        entries = np.zeros(len(offsets), phrases.ENTRY)
+        counts = rng.choice([1, 2, 20, 400], len(offsets))
+        entries["offset"], entries["count"] = offsets, np.minimum(counts, 255)
+        totals.update(dict(zip(((block % 3, o) for o in offsets.tolist()), counts.tolist(), strict=True)))
+        rows.append((block, block % 3, bytearray(entries.tobytes())))
+    got = phrases.heavy(spark.createDataFrame(rows, "block long, range long, entries binary"), frequent).collect()
+    kept = {(r.range, o) for r in got for o in np.frombuffer(r.offsets, "<u2").tolist()}
+    assert kept >= {k for k, n in totals.items() if n >= frequent} and (frequent > 256 or kept < set(totals) or frequent == 3)
 
 
 def test_no_phrases_of_no_texts(spark, no_docs):
