@@ -116,6 +116,19 @@ def described_revenue(ordered: DataFrame, prior: DataFrame) -> DataFrame:
     return missing.unionByName(whales).unionByName(products).unionByName(contexts)
 
 
+def found_issues(content: DataFrame, ordered: DataFrame, prior: DataFrame, quality: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """All issues of a run; ``part`` says which of three came first: codes to
+    be mapped (0), content (1), revenue (2)."""
+    parts = mapping_issues(quality, suggestions), described_content(content), described_revenue(ordered, prior)
+    mapped, used, paid = (p.withColumn("part", F.lit(i)) for i, p in enumerate(parts))
+    return mapped.unionByName(used).unionByName(paid)
+
+
+def as_found() -> list[Column]:
+    """The order in which issues are found: part by part, the surest first."""
+    return [F.col("part"), F.col("confidence").desc(), F.col("issue_type"), F.col("subject")]
+
+
 def content_issues(content: DataFrame) -> DataFrame:
     return described_content(content).select(*ISSUE)
 
@@ -137,11 +150,14 @@ def told_alerts(issues: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def sorted_issues(issues: DataFrame, by: str = "impact", dangers_only: bool = False) -> DataFrame:
-    """Issues as a board lists them: by impact, by severity, or latest first."""
-    recent = [F.col("found_at").desc()] if "found_at" in issues.columns else []
-    orders = {"impact": [F.col("impact").desc()], "severity": [severity_rank(F.col("severity")), F.col("impact").desc()], "recent": recent or [F.col("confidence").desc()]}
-    shown = issues.where(F.col("severity") == DANGER) if dangers_only else issues
-    return shown.orderBy(*orders[by], F.col("confidence").desc(), "issue_type", "subject")
+    """Issues as a board lists them: by impact, by severity, or the last found
+    first. Issues without a ``part`` are all of one."""
+    found = issues if "part" in issues.columns else issues.withColumn("part", F.lit(1))
+    recent = [F.col("part").desc(), F.col("confidence"), F.col("issue_type").desc(), F.col("subject").desc()]
+    orders = {"impact": [F.col("impact").desc(), F.col("confidence").desc(), *as_found()],
+              "severity": [severity_rank(F.col("severity")), F.col("impact").desc(), *as_found()], "recent": recent}
+    shown = found.where(F.col("severity") == DANGER) if dangers_only else found
+    return shown.orderBy(*orders[by]).select(*issues.columns)
 
 
 def language_order() -> list[Column]:
@@ -171,8 +187,10 @@ def severity_rank(severity: Column) -> Column:
 
 
 def alerts(issues: DataFrame, limit: int = 5) -> DataFrame:
-    """The most severe and then most certain issues."""
-    return issues.orderBy(severity_rank(F.col("severity")), F.col("confidence").desc(), "issue_type", "subject").limit(limit)
+    """The most severe and then most certain issues; of equal ones the first
+    found."""
+    found = issues if "part" in issues.columns else issues.withColumn("part", F.lit(1))
+    return found.orderBy(severity_rank(F.col("severity")), F.col("confidence").desc(), *as_found()).limit(limit).select(*issues.columns)
 
 
 def confidence_label(score: Column) -> Column:

@@ -7,16 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Language
 from ..operators import facts, metrics
 from ..sources import exports, files, warehouse
 from ..sources.scratch import new_folder
 from ..streaming.sessions import session_stream
-from . import events, pipeline, scale, synthetic
-from .standardize import with_user
+from . import events, rawlogs, scale, synthetic
 from .testbed import ordered_events, std_events
 
-QUERIES, ORACLES = events.Q | scale.QUERIES, events.O | scale.ORACLES
+QUERIES, ORACLES = events.Q | scale.QUERIES | rawlogs.QUERIES, events.O | scale.ORACLES | rawlogs.ORACLES
 
 
 def warehouse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,59 +40,6 @@ def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "status string, differences long, events long, sessions long, revenue double")
 
 
-#: What the raw log's dictionary says.
-RAW_WORDS = Language({
-    "event_labels": {"login": {"label": "접속", "event_type": "session_start", "group": None}},
-    "content_labels": {"arena": {"label": "투기장", "type": "pvp"}},
-    "product_labels": {"starter_pack": {"label": "초보자 패키지", "category": "pack"}}})
-
-
-def raw_log(spark: SparkSession, sf_dir: str) -> str:
-    """The table of events as raw CSV files, under codes of a game's log."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
-    code = (F.when(kind == "signup", "login").when(kind == "view", "shop_view").when(kind == "purchase", "pkg_starter_buy")
-            .when(kind == "click", F.when(k % 2 == 0, "arena_enter").otherwise("raid_clear"))
-            .otherwise(F.when(k % 4 == 1, "mystery_signal").otherwise("raid_clear_fail")))
-    content = F.when(code == "arena_enter", "arena").when(code.isin("raid_clear", "mystery_signal", "raid_clear_fail"), "raid").otherwise("")
-    lost = code == "mystery_signal"
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.when(k == 7, "").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("uid"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_time"), code.alias("event_name"), content.alias("content_id"),
-        F.when(kind == "purchase", "starter_pack").otherwise("").alias("product_id"),
-        F.when(kind == "purchase", F.col("value").cast("string")).otherwise("").alias("amount"),
-        F.when(lost, "45").otherwise("").alias("wait_time_sec"), F.when(lost, "timeout").otherwise("").alias("result"))
-    folder = new_folder(spark)
-    raw.coalesce(2).write.csv(folder, header=True, emptyValue="")
-    return folder
-
-
-def raw_standard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw files read, understood and brought to standard events."""
-    found, _ = pipeline.standard_events(spark, [raw_log(spark, sf_dir)], RAW_WORDS)
-    return with_user(found).select(
-        "uid", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_raw", "event_label", "event_type", "group", "content_label",
-        "product_label", "amount", "wait_time_sec", "language_source")
-
-
-def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the raw files lack, and how much of them was inferred."""
-    found, _ = pipeline.standard_events(spark, [raw_log(spark, sf_dir)], RAW_WORDS)
-    return found.agg(F.count("*").alias("input_rows"), F.count_if(F.trim("uid") == "").alias("missing_uid_rows"),
-                     F.count_if((F.trim("uid") != "") & (F.col("language_source") == "inferred")).alias("inferred_rows"))
-
-
-def raw_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw files without event names, under other columns: types by shape."""
-    log = spark.read.csv(raw_log(spark, sf_dir), header=True)
-    folder = new_folder(spark)
-    log.select(F.col("uid").alias("acct"), F.col("event_time").alias("log_at"), F.col("content_id").alias("content"), F.col("product_id").alias("sku"),
-               F.col("amount").alias("krw"), F.col("wait_time_sec").alias("queue_seconds"), F.col("result").alias("state")).coalesce(2).write.csv(folder, header=True, emptyValue="")
-    found, _ = pipeline.standard_events(spark, [folder], Language())
-    return with_user(found).groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("uid").alias("users"),
-                                                      F.round(F.sum("amount"), 2).alias("amount"))
-
-
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as CSV and read back as text, counted by type."""
     folder = new_folder(spark)
@@ -104,9 +49,12 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested JSON as dotted columns, counted by one of them."""
-    parsed = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.from_json("props", "k long").alias("props"))
-    flat = parsed.select(*files.flat(parsed.schema))
+    """Nested JSON lines read as dotted columns, counted by one of them."""
+    folder = new_folder(spark)
+    parsed = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.from_json("props", "k long").alias("props"))
+    parsed.select(F.to_json(F.struct("event_id", "props")).alias("value")).write.text(folder)
+    rawlogs.renamed(spark, folder, ".txt", ".jsonl")
+    (flat,) = files.ingest(spark, [folder])
     return flat.groupBy(F.col("`props.k`").cast("long").alias("k")).agg(F.count("*").alias("events"))
 
 
@@ -138,32 +86,15 @@ def customer_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.revenue_concentration(orders)
 
 
-for _query in (warehouse_roundtrip, summary_validation, raw_standard_events, raw_quality, raw_shapes, csv_roundtrip, json_flatten, normalized_export, synthetic_events, stream_sessions, customer_concentration):
+for _query in (warehouse_roundtrip, summary_validation, csv_roundtrip, json_flatten, normalized_export, synthetic_events, stream_sessions, customer_concentration):
     QUERIES[_query.__name__] = _query
 
 W = events.WITH
-RAW = """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
-r AS (SELECT CASE WHEN k = 7 THEN '' ELSE 'u' || user_id END AS uid, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value, CASE event_type WHEN 'signup' THEN 'login'
-  WHEN 'view' THEN 'shop_view' WHEN 'purchase' THEN 'pkg_starter_buy' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'arena_enter' ELSE 'raid_clear' END
-  ELSE CASE WHEN k % 4 = 1 THEN 'mystery_signal' ELSE 'raid_clear_fail' END END AS raw FROM e),
-m(raw, label, type, grp, content) AS (VALUES ('login', '접속', 'session_start', NULL, NULL), ('shop_view', '상점 노출', 'product_view', '상점', '상점'),
-  ('pkg_starter_buy', '패키지 초보자 구매', 'purchase', '상품', '상품'), ('arena_enter', '아레나 입장', 'content_enter', '투기장', '투기장'),
-  ('raid_clear', '레이드 클리어', 'content_success', '레이드', '레이드'), ('mystery_signal', 'mystery signal', 'match_issue', 'raid', 'raid'),
-  ('raid_clear_fail', '레이드 클리어 실패', 'content_fail', '레이드', '레이드'))
-"""
 ORACLES |= {
     "warehouse_roundtrip": W + """ SELECT 'standard_events' AS table_name, count(*) AS row_count FROM ev UNION ALL SELECT 'session_facts', count(*) FROM ses
 UNION ALL SELECT 'user_journeys', count(DISTINCT uid) FROM ev""",
     "summary_validation": W + """ SELECT 'match' AS status, CAST(0 AS BIGINT) AS differences, count(*) AS events, (SELECT count(*) FROM ses) AS sessions,
   round(round(sum(amount), 6), 2) AS revenue FROM ev""",
-    "raw_standard_events": RAW + """SELECT uid, ts, raw AS event_raw, m.label AS event_label, m.type AS event_type, m.grp AS "group", m.content AS content_label,
-  CASE WHEN raw = 'pkg_starter_buy' THEN '초보자 패키지' END AS product_label, CASE WHEN raw = 'pkg_starter_buy' THEN value ELSE 0 END AS amount,
-  CASE WHEN raw = 'mystery_signal' THEN 45.0::DOUBLE ELSE 0 END AS wait_time_sec, CASE WHEN raw = 'login' THEN 'dictionary' ELSE 'inferred' END AS language_source
-FROM r JOIN m USING (raw) WHERE uid <> ''""",
-    "raw_quality": RAW + "SELECT count(*) AS input_rows, count(*) FILTER (WHERE uid = '') AS missing_uid_rows, count(*) FILTER (WHERE uid <> '' AND raw <> 'login') AS inferred_rows FROM r",
-    "raw_shapes": RAW + """SELECT CASE WHEN raw = 'pkg_starter_buy' AND value > 0 THEN 'purchase' WHEN raw = 'pkg_starter_buy' THEN 'product_view'
-  WHEN raw = 'mystery_signal' THEN 'match_issue' WHEN raw IN ('login', 'shop_view') THEN 'event' ELSE 'content_enter' END AS event_type,
-  count(*) AS events, count(DISTINCT uid) AS users, round(sum(CASE WHEN raw = 'pkg_starter_buy' THEN value ELSE 0 END), 2) AS amount FROM r WHERE uid <> '' GROUP BY 1""",
     "csv_roundtrip": f"WITH {events.STD} SELECT event_type, count(*) AS events, round(sum(amount), 2) AS amount FROM std GROUP BY event_type",
     "json_flatten": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS events FROM events GROUP BY 1",
     "normalized_export": W + " SELECT uid, ix AS user_event_index, session_id, event_raw, event_type, grp AS content_group FROM ev",

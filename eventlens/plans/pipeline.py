@@ -12,17 +12,22 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Language
+from ..functions.values import named
 from ..operators import diagnosis, facts, flow, metrics
 from ..operators.sessions import sessionize
 from ..sources import exports, files, roles, warehouse
-from .standardize import standardize, with_user
+from .standardize import meant, raw_rows, with_user
 
-SPLIT = ("summary", "issues", "journeys_sample", "sessions_sample", "behavior_flow", "content_health", "product_performance", "purchase_contexts")
+SPLIT = ("summary", "language", "issues", "journeys_sample", "sessions_sample", "behavior_flow", "content_health", "product_performance", "purchase_contexts")
+ENGINE_VERSION = "0.1.0"
+#: Bytes of raw rows to a bucket of events by user.
+BUCKET_BYTES = 256 << 20
 #: Rows of a list that the JSON document holds; the whole list is beside it.
 LISTED = 1000
 
@@ -35,30 +40,64 @@ def load_language(spark: SparkSession, path: object | None) -> Language:
     return Language(json.loads(text.removeprefix("\ufeff")))
 
 
-def standard_events(spark: SparkSession, inputs: Iterable[object], language: Language) -> tuple[DataFrame, list[dict]]:
-    """Standard events of all inputs, and how each was understood."""
-    whole, reports = None, []
-    for place, table in enumerate(files.ingest(spark, inputs)):
-        columns = [c for c in table.columns if c not in ("_src", "_source_file", "_source_sheet")]
-        first = table.select(*[F.col(f"`{c}`") for c in columns], *[c for c in ("_source_file", "_source_sheet") if c in table.columns]).limit(
-            roles.SAMPLE_ROWS).toPandas()
-        found = roles.infer(first[columns], language)
-        part = standardize(table, found, language).withColumn("table_place", F.lit(place))
+@dataclass
+class Understood:
+    """Raw rows of all inputs by role, and how each table was understood."""
+
+    rows: DataFrame
+    tables: list[dict]
+
+    def reports(self) -> list[dict]:
+        """How each file was understood, with its rows; from the raw rows as
+        they are written, in one grouping."""
+        counts = self.rows.groupBy("table", "place").agg(
+            F.min("source_file").alias("file"), F.count("*").alias("rows"), F.count_if(F.trim("uid") == "").alias("missing")).orderBy("place", "table").collect()
+        return [{"source_file": r.file, "source_sheet": self.tables[r.table]["sheet"], "columns": self.tables[r.table]["columns"],
+                 "fields": self.tables[r.table]["fields"], "execution_engine": "spark", "rows": r.rows, "missing_uid_rows": r.missing} for r in counts]
+
+
+def understand(spark: SparkSession, inputs: Iterable[object], language: Language, work: str | None = None) -> Understood:
+    """Read raw logs once: their rows by role are a table that all else reads.
+
+    There is a plan branch for each layout, not for each file; without
+    ``work``, a folder for the table, the rows aren't written.
+    """
+    whole, tables = None, []
+    for number, table in enumerate(files.ingest(spark, inputs)):
+        columns = [c for c in table.columns if c not in files.OWN]
+        found = roles.infer(roles.profile(table.select(*[named(c) for c in columns])), language)
+        part = raw_rows(table, found, F.lit(number).alias("table"), F.col("_source_place").alias("place"))
+        sheet = table.select("_source_sheet").first() if "_source_sheet" in table.columns else None
         whole = part if whole is None else whole.unionByName(part)
-        at = lambda c: str(first[c].iloc[0]) if c in first and len(first) else None  # noqa: E731, B023
-        reports.append({"source_file": at("_source_file"), "source_sheet": at("_source_sheet"), "columns": columns, "fields": found.whole(),
-                        "execution_engine": "spark"})
-    return whole, reports
+        tables.append({"columns": columns, "fields": found.whole(), "sheet": sheet[0] if sheet else None})
+    if whole is None:
+        raise ValueError("the inputs hold no table")
+    if work:
+        whole.write.parquet(f"{work}/raw_rows")
+        whole = spark.read.schema(whole.schema).parquet(f"{work}/raw_rows")
+    return Understood(whole, tables)
 
 
-def by_user(ordered: DataFrame, folder: str) -> tuple[DataFrame, str]:
+def standard_events(spark: SparkSession, inputs: Iterable[object], language: Language) -> DataFrame:
+    """Standard events of all inputs; rows without a user are left in."""
+    return meant(understand(spark, inputs, language).rows, language)
+
+
+def by_user(ordered: DataFrame, folder: str, buckets: int) -> tuple[DataFrame, str]:
     """The events written once, in buckets by user; and the table's name."""
     spark, name = ordered.sparkSession, f"eventlens_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid", "user_event_index").option("path", f"{folder}/{name}").saveAsTable(name)
+    ordered.repartition(buckets, "uid").write.bucketBy(buckets, "uid").sortBy("uid", "user_event_index").option("path", f"{folder}/{name}").saveAsTable(name)
     return spark.table(name), name
 
 
+def buckets_for(spark: SparkSession, folder: str) -> int:
+    """Buckets for the events of a table, by its bytes, and no fewer than the
+    session's partitions."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def analyse(spark: SparkSession, inputs: Iterable[object], work: str, dictionary: object | None = None, sample: int = 20,
             progress: Callable[[float, str, str], None] | None = None) -> tuple[dict, dict[str, DataFrame], str]:
     """The analysis as a nested result, its tables and lists, and the name of
@@ -67,42 +106,49 @@ def analyse(spark: SparkSession, inputs: Iterable[object], work: str, dictionary
     say(0.08, "config", "reading the dictionary")
     language = load_language(spark, dictionary)
     say(0.28, "normalize", "standardising events")
-    every, reports = standard_events(spark, inputs, language)
-    counts = {r.table_place: r for r in every.groupBy("table_place").agg(
-        F.count("*").alias("rows"), F.count_if(F.trim("uid") == "").alias("missing")).collect()}
-    for place, report in enumerate(reports):
-        found = counts.get(place)
-        report |= {"rows": found.rows if found else 0, "missing_uid_rows": found.missing if found else 0}
-    events, name = by_user(sessionize(with_user(every.drop("table_place")), language.session_gap_minutes), work)
-    return *_analysed(spark, events, reports, sample, say), name
+    raw = understand(spark, inputs, language, work)
+    reports = raw.reports()
+    ordered = sessionize(with_user(meant(raw.rows, language)), language.session_gap_minutes)
+    events, name = by_user(ordered, work, buckets_for(spark, f"{work}/raw_rows"))
+    return *_analysed(spark, events, reports, sample, say, work), name
+
 
+def _analysed(spark: SparkSession, ordered: DataFrame, reports: list[dict], sample: int, say, work: str) -> tuple[dict, dict]:
+    def once(name: str, df: DataFrame) -> DataFrame:
+        """A result that several others read, worked out once."""
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-def _analysed(spark: SparkSession, ordered: DataFrame, reports: list[dict], sample: int, say) -> tuple[dict, dict]:
     input_rows, missing_uid = (sum(r[k] for r in reports) for k in ("rows", "missing_uid_rows"))
-    sessions, journeys = facts.session_facts(ordered), facts.user_journeys(ordered)
-    failures, prior = facts.failure_contexts(ordered), facts.prior_events(ordered)
-    content, products = metrics.content_facts(ordered), metrics.product_performance(ordered, prior)
-    moved, daily = flow.coded(ordered), metrics.daily_summary(ordered, sessions)
-    quality, suggestions = metrics.data_quality(input_rows, missing_uid, ordered), diagnosis.language_suggestions(ordered)
     say(0.6, "facts", "working out facts")
+    sessions, journeys = once("sessions", facts.session_facts(ordered)), once("journeys", facts.user_journeys(ordered))
+    failures, prior = once("failures", facts.failure_contexts(ordered)), once("prior", facts.prior_events(ordered))
+    content, products = once("content", metrics.content_facts(ordered)), once("products", metrics.product_performance(ordered, prior))
+    moved, daily = flow.coded(ordered), once("daily", metrics.daily_summary(ordered, sessions))
+    quality = once("quality", metrics.data_quality(input_rows, missing_uid, ordered))
+    suggestions = once("suggestions", diagnosis.language_suggestions(ordered))
+    contexts = once("contexts", facts.product_contexts(prior))
     rows, totals = exports.records, {}
 
     def listed(name: str, df: DataFrame, *order) -> list[dict]:
         totals[name] = df.count()
         return rows(df.orderBy(*order).limit(LISTED))
 
+    found_quality = rows(quality)[0]
     payload: dict = {
+        "engine_version": ENGINE_VERSION,
         "run_id": uuid.uuid4().hex,
         "summary": rows(metrics.run_summary(ordered, sessions))[0],
         "summary_by_date": {"dates": listed("dates", daily, F.col("date").desc())[::-1], "unknown_timestamp_events": ordered.where("ts is null").count()},
-        "data_quality": rows(quality)[0] | {"files": reports},
-        "language_suggestions": listed("language_suggestions", suggestions, *diagnosis.language_order()),
+        "data_quality": found_quality | {"files": reports},
+        "language": {"suggestions": listed("language_suggestions", suggestions, *diagnosis.language_order()),
+                     "needs_confirmation_count": found_quality["inferred_rows"]},
         "content_health": listed("content_health", content, "participant_rate", F.col("revenue_after_content").desc(), "group"),
         "product_performance": listed("product_performance", products, F.col("revenue").desc(), "product"),
         "failure_contexts": listed("failure_contexts", failures, F.col("failure_events").desc(), "group"),
         "purchase_contexts": {
             "top_preceding_events": rows(facts.top_prior(prior, "event_label")), "top_preceding_groups": rows(facts.top_prior(prior, "content_group")),
-            "product_contexts": listed("product_contexts", facts.product_contexts(prior), F.col("count").desc(), "product", "place"),
+            "product_contexts": listed("product_contexts", contexts, F.col("count").desc(), "product", "place"),
             "examples": rows(facts.purchase_examples(ordered))},
         "segments": {"sizes": rows(metrics.segment_sizes(ordered)), "group_rates": rows(metrics.segment_group_rates(ordered).orderBy("segment", "place"))},
         "revenue_concentration": rows(metrics.revenue_concentration(ordered))[0] | {"top_users": rows(metrics.top_spenders(ordered))},
@@ -115,19 +161,18 @@ def _analysed(spark: SparkSession, ordered: DataFrame, reports: list[dict], samp
         "journeys_sample": {"total": journeys.count(), "rows": rows(journeys.orderBy("uid").limit(sample))},
         "sessions_sample": {"total": sessions.count(), "rows": rows(sessions.orderBy("session_id").limit(sample))},
     }
+    payload["language_suggestions"] = payload["language"]["suggestions"]
     say(0.78, "diagnosis", "looking for issues")
-    content_issues, revenue_issues = diagnosis.described_content(content), diagnosis.described_revenue(ordered, prior)
-    issues = content_issues.unionByName(revenue_issues)
-    by_confidence = [F.col("confidence").desc(), "type", "title"]
-    payload["issues"] = {
-        "content": [*rows(diagnosis.as_told(diagnosis.mapping_issues(quality, suggestions))), *listed("issues", diagnosis.as_told(content_issues), *by_confidence)],
-        "revenue": rows(diagnosis.as_told(revenue_issues).orderBy(*by_confidence))}
+    issues = once("issues", diagnosis.found_issues(content, ordered, prior, quality, suggestions))
+    told = diagnosis.as_told(issues)
+    payload["issues"] = {"content": listed("issues", diagnosis.as_told(issues.where("part < 2")), *diagnosis.as_found()),
+                         "revenue": rows(diagnosis.as_told(issues.where("part = 2")).orderBy(*diagnosis.as_found()))}
     payload["alerts"] = rows(diagnosis.told_alerts(issues))
     payload["ai_context"] = {"briefing_rules": list(diagnosis.BRIEFING_RULES), "top_alerts": payload["alerts"]}
     payload["totals"] = totals
     tables = {"standard_events": ordered.drop("src"), "session_facts": sessions, "user_journeys": journeys, "failure_contexts": failures,
               "purchase_prior_events": prior, "content_facts": content, "product_facts": products, "daily_summaries": daily,
-              "language_suggestions": suggestions, "product_contexts": facts.product_contexts(prior), "issues": diagnosis.as_told(issues)}
+              "language_suggestions": suggestions, "product_contexts": contexts, "issues": told}
     return payload, tables
 
 

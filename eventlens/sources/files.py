@@ -1,23 +1,35 @@
 """Raw log files as DataFrames of text columns.
 
-Inputs are paths of any file system that Spark reads. Every frame has ``_src``,
-a row's place in the order of files and within its file, and ``_source_file``.
+Inputs are paths of any file system that Spark reads. Files of one layout, that
+is of one header and separator, or of the same JSON fields, are one scan, so
+jobs and plans grow with the layouts and not with the files.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import json
+import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..functions.values import named
+from . import scratch
+
+#: Columns that a raw table has beside those of its files.
+OWN = ("_src", "_source_file", "_source_sheet", "_source_place")
+#: Files whose names travel to every task; more are joined by shuffle.
+BROADCAST_FILES = 200_000
 SUFFIXES = (".csv", ".tsv", ".txt", ".json", ".jsonl", ".xlsx", ".xls")
 
 
@@ -53,10 +65,47 @@ def discover(spark: SparkSession, inputs: Iterable[object]) -> list[str]:
     return found
 
 
-def _lines(spark: SparkSession, path: str, n: int = 50) -> list[str]:
-    """The first lines of a file."""
-    lines = [r.value for r in spark.read.text(path).limit(n).collect()]
-    return [lines[0].removeprefix("\ufeff"), *lines[1:]] if lines else []
+#: Bytes of a file's head that its layout is read off.
+HEAD_BYTES = 1 << 16
+#: Heads that are fetched at a time.
+AT_ONCE = 32
+
+
+@dataclass(frozen=True)
+class Head:
+    """How a file begins, and its size."""
+
+    path: str
+    size: int
+    text: str
+
+    def lines(self, n: int = 50) -> list[str]:
+        found = re.split("\r\n|\n|\r", self.text)
+        # The last line of a longer file's head may be cut off.
+        return (found[:-1] if self.size > HEAD_BYTES and len(found) > 1 else found)[:n]
+
+
+def heads(spark: SparkSession, paths: list[str]) -> list[Head]:
+    """The heads of files, without a job: each is one short read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def head(path: str) -> Head:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        stream = fs.open(at)
+        try:
+            text = bytes(stream.readNBytes(HEAD_BYTES)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+        return Head(path, fs.getFileStatus(at).getLen(), text.removeprefix("\ufeff"))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(head, paths))
+
+
+def split_size(spark: SparkSession) -> int:
+    """Bytes up to which Spark reads a file in one piece anyway."""
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
 
 
 def separator(path: str, lines: list[str]) -> str:
@@ -68,32 +117,47 @@ def separator(path: str, lines: list[str]) -> str:
         return ","
 
 
-def quotes_span_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any line has an odd number of quotes, by a plain scan."""
+def comparable(path: Column) -> Column:
+    """A path as URI with one slash after its scheme."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def quotes_span_lines(spark: SparkSession, paths: list[str]) -> set[str]:
+    """The files in which a line has an odd number of quotes, by one scan."""
+    if not paths:
+        return set()
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
-    return bool(spark.read.text(path).where(odd).take(1))
+    lines = spark.read.text(paths)
+    found = lines.where(odd).select(comparable(lines.metadataColumn("_metadata")["file_path"]).alias("path")).distinct().collect()
+    own = {_uri(spark, p): p for p in paths}
+    return {own[r.path] for r in found}
 
 
-def read_delimited(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """A delimited file; the header's names are kept as they are written.
+def _uri(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", whole)
 
-    A file is split over tasks unless quoted fields span lines, for then it
-    has to be read from its start; whether they do is found by a scan of the
-    lines, or said by ``multiline``. Names that repeat but for case are
-    numbered.
-    """
-    lines = _lines(spark, path)
-    sep = separator(path, lines)
+
+def header_of(lines: list[str], sep: str) -> tuple[str, ...]:
+    """Column names as they are written; ones that repeat but for case are
+    numbered."""
     header = next(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep), [])
     names, seen = [], {}
     for name in (h.strip() or f"column{i}" for i, h in enumerate(header)):
         n = seen[name.lower()] = seen.get(name.lower(), -1) + 1
         names.append(name if not n else f"{name}_{n}")
+    return tuple(names)
+
+
+def read_delimited(spark: SparkSession, paths: list[str], names: tuple[str, ...], sep: str, multiline: bool) -> DataFrame:
+    """Delimited files of one layout, as one scan.
+
+    Files are split over tasks unless ``multiline`` says that quoted fields
+    span lines, for then a file has to be read from its start.
+    """
     schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    if not names:
-        return spark.createDataFrame([], "empty string")
-    whole = quotes_span_lines(spark, path) if multiline is None else multiline
-    return spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=whole,
+    return spark.read.csv(paths, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=multiline,
                           enforceSchema=True, mode="PERMISSIVE", encoding="UTF-8")
 
 
@@ -110,13 +174,65 @@ def flat(schema: StructType, at: tuple[str, ...] = ()) -> list[Column]:
     return out
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, or one JSON document; nested objects become dotted columns.
+def keys_of(lines: list[str]) -> tuple[str, ...]:
+    """The top-level fields of the JSON lines of a head."""
+    found: set[str] = set()
+    for line in lines:
+        try:
+            record = json.loads(line)
+        except ValueError:
+            continue
+        found |= set(record) if isinstance(record, dict) else set()
+    return tuple(sorted(found))
+
 
-    One document is read by one task; large logs should be JSON lines.
+def array_as_lines(spark: SparkSession, path: str, folder: str) -> None:
+    """A JSON array of objects rewritten as JSON lines, in many tasks.
+
+    The file is read in pieces that end at closing braces, wherever a task
+    begins. Running sums over the pieces, of quotes first and then of
+    brackets outside strings, say which braces close an element; what lies
+    between two of them is a record. Sums of the blocks, a row each, are all
+    that meet in one task. Parts are written in the order of the records.
     """
-    found = spark.read.option("multiLine", suffix(path) == ".json").json(path)
-    return found.select(*flat(found.schema))
+    text = spark.read.text(path, lineSep="}")
+    pieces = scratch.written(text.select("value", text.metadataColumn("_metadata")["file_block_start"].alias("block"),
+                                         F.monotonically_increasing_id().alias("row")), "json-pieces")
+    count = lambda c, what: F.length(c) - F.length(F.replace(c, F.lit(what)))
+    plain = F.regexp_replace("value", r"\\[\s\S]", "")
+    quoted = pieces.withColumns({"plain": plain, "quotes": count(plain, '"')})
+    begun = _running(quoted, "quotes", "quotes_before")
+    inside = (F.col("quotes_before") - F.col("quotes")) % 2 == 1
+    rest = F.when(inside, F.regexp_replace("plain", '^[^"]*("|$)', "")).otherwise(F.col("plain"))
+    outside = F.regexp_replace(rest, '"[^"]*("|$)', "")
+    closes = (F.col("quotes_before") % 2 == 0).cast("int")
+    depths = begun.withColumns({"closes": closes, "delta": count(outside, "{") + count(outside, "[") - count(outside, "]") - closes})
+    deep = _running(depths, "delta", "depth").withColumn("ends", ((F.col("closes") == 1) & (F.col("depth") == 1)).cast("int"))
+    numbered = _running(deep, "ends", "ended").withColumn("record", F.col("ended") - F.col("ends"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "row", "value")))
+    whole = numbered.groupBy("record").agg(parts.alias("parts")).select(
+        "record", F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}")).alias("text"))
+    # Line ends can only stand between values; what leads a record joins it to the last.
+    line = F.regexp_replace(F.regexp_replace("text", "^[\\s,\\[\ufeff]+", ""), "[\r\n]+", " ")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (whole.select("record", line.alias("value")).where(F.col("value").startswith("{")).repartitionByRange(n, "record").sortWithinPartitions("record")
+     .select("value").write.text(folder))
+
+
+def _running(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` up to each row, in order of block and row."""
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(F.col("block").alias("of")).agg(F.sum(value).alias("in_block")).select(
+        "of", F.coalesce(F.sum("in_block").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("block").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.join(F.broadcast(starts), F.col("block") == F.col("of")).withColumn(
+        name, F.col("start") + F.sum(value).over(within)).drop("of", "start")
+
+
+def read_json(spark: SparkSession, paths: list[str], lines: bool) -> DataFrame:
+    """JSON lines, or one JSON document; nested objects become dotted columns."""
+    found = spark.read.option("multiLine", not lines).json(paths)
+    return found.select(*flat(found.schema), *_place(found))
 
 
 _XML = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -188,25 +304,74 @@ def read_workbook(spark: SparkSession, path: str) -> list[DataFrame]:
     return out
 
 
-def read_tables(spark: SparkSession, path: str) -> list[DataFrame]:
-    kind = suffix(path)
-    if kind in (".xlsx", ".xls"):
-        return read_workbook(spark, path)
-    return [read_json(spark, path) if kind in (".json", ".jsonl") else read_delimited(spark, path)]
+def _place(df: DataFrame) -> list[Column]:
+    at = df.metadataColumn("_metadata")
+    return [comparable(at["file_path"]).alias("__path"), at["file_name"].alias("__part"), at["file_block_start"].alias("__block"),
+            F.monotonically_increasing_id().alias("__row")]
+
+
+def _layouts(spark: SparkSession, paths: list[str]) -> dict[tuple, list[int]]:
+    """The places of files among ``paths`` by what one scan can read."""
+    found: dict[tuple, list[int]] = {}
+    whole = split_size(spark)
+    known = heads(spark, paths)
+    delimited = [h for h in known if suffix(h.path) in (".csv", ".tsv", ".txt")]
+    # A file of one piece loses nothing by being read from its start.
+    spanning = quotes_span_lines(spark, [h.path for h in delimited if h.size > whole])
+    for place, head in enumerate(known):
+        kind, lines = suffix(head.path), head.lines()
+        if kind in (".csv", ".tsv", ".txt"):
+            sep = separator(head.path, lines)
+            key = ("delimited", sep, header_of(lines, sep), head.size <= whole or head.path in spanning)
+        elif kind == ".jsonl":
+            key = ("lines", keys_of(lines))
+        elif kind == ".json":
+            key = ("array" if head.size > whole and head.text.lstrip().startswith("[") else "document", place)
+        else:
+            key = ("workbook", place)
+        found.setdefault(key, []).append(place)
+    return found
 
 
 def ingest(spark: SparkSession, inputs: Iterable[object]) -> list[DataFrame]:
-    """The raw tables of all inputs, with their order and source."""
+    """The raw tables of all inputs: one for each layout, however many files
+    have it, and one for each sheet of a workbook.
+
+    Rows carry their place (``_src``: file, part, block and row) and the name
+    of their file. Files are told apart by a table of paths, a row each.
+    """
+    paths = discover(spark, inputs)
+    known = [(_uri(spark, p), i, name_of(p)) for i, p in enumerate(paths)]
     out = []
-    for path in discover(spark, inputs):
-        for table in read_tables(spark, path):
-            # Ids rise with a file's blocks and rows; the ordinal is the file's.
-            place = F.monotonically_increasing_id()
-            out.append(table.withColumn("_src", F.struct(F.lit(len(out)).alias("file"), place.alias("row"))).withColumn(
-                "_source_file", F.lit(name_of(path))))
+    for key, places in _layouts(spark, paths).items():
+        files = [paths[i] for i in places]
+        if key[0] == "workbook":
+            for sheet in read_workbook(spark, files[0]):
+                out.append(sheet.withColumns({"_src": _src(F.lit(places[0]), F.lit(""), F.lit(0), F.monotonically_increasing_id()),
+                                              "_source_file": F.lit(name_of(files[0])), "_source_place": F.lit(places[0])}))
+            continue
+        if key[0] == "delimited":
+            if not key[2]:
+                continue
+            raw = read_delimited(spark, files, key[2], key[1], key[3])
+            # The columns as they are; of what Spark knows of a row only its place.
+            rows = raw.select(*[named(c) for c in raw.columns], *_place(raw))
+        elif key[0] == "array":
+            folder = scratch.new_folder(spark, "json-lines")
+            array_as_lines(spark, files[0], folder)
+            rows = read_json(spark, [folder], lines=True).withColumn("__path", F.lit(known[places[0]][0]))
+        else:
+            rows = read_json(spark, files, lines=key[0] == "lines")
+        if len(files) == 1:
+            told = rows.withColumns({"_source_place": F.lit(places[0]), "_source_file": F.lit(name_of(files[0]))})
+        else:
+            order = spark.createDataFrame([known[i] for i in places], "__of string, _source_place int, _source_file string")
+            told = rows.join(F.broadcast(order) if len(files) <= BROADCAST_FILES else order, F.col("__path") == F.col("__of")).drop("__of")
+        part = F.col("__part") if key[0] == "array" else F.lit("")
+        out.append(told.withColumn("_src", _src(F.col("_source_place"), part, F.col("__block"), F.col("__row")))
+                   .drop("__path", "__part", "__block", "__row"))
     return out
 
 
-def described(table: DataFrame) -> dict:
-    columns = [c for c in table.columns if c not in ("_src", "_source_file", "_source_sheet")]
-    return {"rows": table.count(), "columns": columns}
+def _src(file: Column, part: Column, block: Column, row: Column) -> Column:
+    return F.struct(file.cast("int").alias("file"), part.alias("part"), block.cast("long").alias("block"), row.alias("row"))

@@ -1,22 +1,39 @@
-"""Which column plays which role, from names and a sample of values."""
+"""Which column plays which role, from names and from what values look like."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
-import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 from ..config import FAIL_RESULTS, OTHER_RESULTS, ROLE_NAMES, SUCCESS_RESULTS, TIMEOUT_RESULTS, Language, Roles
+from ..functions.values import named
 
 SAMPLE_ROWS = 1000
-#: Least score for a role to be given by values, in the order they are tried.
-LEAST = {"timestamp": 0.7, "result": 0.45, "uid": 0.55, "event": 0.45, "amount": 0.25}
 
-# Names of columns that hold parts of dates, or name something, and so hold no amounts.
+# --- fixed values -------------------------------------------------------------
+# Least score for a role to be given by values, in the order they are tried.
+LEAST = {"timestamp": 0.7, "result": 0.45, "uid": 0.55, "event": 0.45, "amount": 0.25}
+# Names of columns that hold parts of dates, or name something, and so hold no amounts.
 DATE_PARTS = ("year", "yyyy", "yy", "month", "mm", "day", "dd", "dt", "date")
 DATE_WORDS = ("date", "time")
 NAMING = ("game", "logtype")
 NAMING_ENDS = ("id", "code", "type")
+# What texts with words and with dates look like, and how many have to for a column of dates.
+WORDS = "[A-Za-z가-힣_]"
+DATED = r"\d{4}[-/년]|\d{1,2}:\d{2}"
+DATED_LEAST = 0.4
+# Shares beyond which a column holds no users or events, and the uniqueness an event column has at best.
+USER_MOST = {"numeric": 0.95, "dated": 0.2}
+EVENT_MOST = {"numeric": 0.8, "dated": 0.2, "distinct": 0.55}
+EVENT_DISTINCT = 0.08
+# ------------------------------------------------------------------------------
+
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Forms of dates and times beside those that a cast reads.
+DATE_FORMS = ("y/M/d[ H:m[:s]]", "M/d/y[ H:m[:s]]", "d.M.y[ H:m[:s]]", "y.M.d[ H:m[:s]]", "y년 M월 d일[ H:m[:s]]", "H:m[:s]")
 
 
 def simple(name: object) -> str:
@@ -31,70 +48,72 @@ def by_name(columns: list[str], names: tuple[str, ...]) -> str | None:
     return exact or next((c for c in columns if any(w in simple(c) for w in wanted)), None)
 
 
-class Sample:
-    """What the values of one column look like."""
-
-    def __init__(self, name: str, values: pd.Series) -> None:
-        texts = values.dropna().astype(str).str.strip()
-        self.name, self.texts = simple(name), texts[texts != ""].head(SAMPLE_ROWS)
-        self.numbers = pd.to_numeric(self.texts, errors="coerce")
-
-    def share(self, hits: pd.Series) -> float:
-        return float(hits.mean()) if len(self.texts) else 0.0
-
-    @property
-    def numeric(self) -> float:
-        return self.share(self.numbers.notna())
-
-    @property
-    def unique(self) -> float:
-        return self.texts.nunique() / len(self.texts) if len(self.texts) else 0.0
-
-    @property
-    def wordy(self) -> float:
-        return self.share(self.texts.str.contains(r"[A-Za-z가-힣_]", regex=True))
-
-    @property
-    def dated(self) -> float:
-        looks = self.share(self.texts.str.contains(r"\d{4}[-/년]|\d{1,2}:\d{2}", regex=True))
-        return 0.0 if looks < 0.4 else self.share(pd.to_datetime(self.texts, errors="coerce", format="mixed").notna())
-
-    def score(self, role: str) -> float:
-        if not len(self.texts):
-            return 0.0
-        if role == "timestamp":
-            return self.dated
-        if role == "result":
-            known = {*FAIL_RESULTS, *SUCCESS_RESULTS, *TIMEOUT_RESULTS, *OTHER_RESULTS}
-            return self.share(self.texts.map(simple).isin(known))
-        if role == "uid":
-            return 0.0 if self.numeric > 0.95 or self.dated > 0.2 else self.unique * self.wordy
-        if role == "event":
-            if self.numeric > 0.8 or self.dated > 0.2 or self.texts.nunique() < 2 or self.unique > 0.55:
-                return 0.0
-            return self.wordy * (1 - abs(self.unique - 0.08))
-        date_part = self.name in DATE_PARTS or any(p in self.name for p in DATE_WORDS)
-        names_something = self.name in NAMING or self.name.endswith(NAMING_ENDS)
-        found = self.numbers.dropna()
-        return 0.0 if date_part or names_something or not len(found) else self.numeric * float((found > 0).mean())
-
-
-def infer(sample: pd.DataFrame, language: Language | None = None) -> Roles:
-    """Roles by configuration, then by name, then by value.
+def profile(df: DataFrame, rows: int | None = SAMPLE_ROWS) -> DataFrame:
+    """What the values of each column look like, as shares of its filled ones.
+
+    All columns of the first ``rows`` rows (all rows if None) become pairs of
+    column and text; equal texts are counted first, so that each different
+    text is looked at once, and one aggregation gives a row for each column:
+    place, name, filled, distinct, numeric, positive, worded, dated, result.
+    """
+    first = df if rows is None else df.limit(rows)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.trim(named(c).cast("string")).alias("text")) for i, c in enumerate(df.columns)]))
+    counted = first.select(pairs.alias("p")).select("p.*").where("text <> ''").groupBy("place", "text").agg(F.count("*").alias("n"))
+    number = F.when(F.col("text").rlike(NUMBER), F.col("text").try_cast("double"))
+    key = F.regexp_replace(F.lower("text"), "[^a-z0-9가-힣]+", "")
+    known = key.isin(*FAIL_RESULTS, *SUCCESS_RESULTS, *TIMEOUT_RESULTS, *OTHER_RESULTS)
+    when = F.coalesce(F.col("text").try_cast("timestamp"), *[F.try_to_timestamp("text", F.lit(f)) for f in DATE_FORMS])
+    looks = F.col("text").rlike(DATED)
+
+    def share(hit: Column) -> Column:
+        return F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")
+
+    found = counted.groupBy("place").agg(
+        F.sum("n").alias("filled"), (F.count("*") / F.sum("n")).alias("distinct"), share(number.isNotNull()).alias("numeric"),
+        F.coalesce(F.sum(F.when(number > 0, F.col("n"))) / F.sum(F.when(number.isNotNull(), F.col("n"))), F.lit(0.0)).alias("positive"),
+        share(F.col("text").rlike(WORDS)).alias("worded"), share(looks).alias("looks_dated"), share(when.isNotNull()).alias("is_dated"),
+        share(known).alias("result"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "at int, name string")
+    nothing = {c: F.coalesce(c, F.lit(0.0)) for c in ("distinct", "numeric", "positive", "worded", "result")}
+    dated = F.when(F.col("looks_dated") >= DATED_LEAST, F.col("is_dated")).otherwise(0.0)
+    return names.join(found, F.col("at") == F.col("place"), "left").select(
+        F.col("at").alias("place"), "name", F.coalesce("filled", F.lit(0)).alias("filled"), *[c.alias(k) for k, c in nothing.items()],
+        F.coalesce(dated, F.lit(0.0)).alias("dated"))
+
+
+def score(column: Row, role: str) -> float:
+    """How well a column's profile fits a role."""
+    if role == "timestamp":
+        return column.dated
+    if role == "result":
+        return column.result
+    if role == "uid":
+        ruled_out = column.numeric > USER_MOST["numeric"] or column.dated > USER_MOST["dated"]
+        return 0.0 if ruled_out else column["distinct"] * column.worded
+    if role == "event":
+        single = column["distinct"] * column.filled < 1.5
+        ruled_out = single or any(column[k] > most for k, most in EVENT_MOST.items())
+        return 0.0 if ruled_out else column.worded * (1 - abs(column["distinct"] - EVENT_DISTINCT))
+    name = simple(column.name)
+    if name in DATE_PARTS or any(w in name for w in DATE_WORDS) or name in NAMING or name.endswith(NAMING_ENDS):
+        return 0.0
+    return column.numeric * column.positive
+
+
+def infer(columns: DataFrame | Iterable[Row], language: Language | None = None) -> Roles:
+    """Roles by configuration, then by name, then by the profile of values.
 
     One column may have several roles by name. By value only columns without
-    a role are considered; of equal scores the greater column name wins.
+    a role are considered, role by role; of equal scores the greater column
+    name wins.
     """
-    columns = [str(c) for c in sample.columns]
+    found = sorted(columns.collect() if isinstance(columns, DataFrame) else columns, key=lambda r: r.place)
+    names = [r.name for r in found]
     set_by_hand = (language or Language()).roles
-    roles = Roles({role: set_by_hand[role] if set_by_hand.get(role) in columns else by_name(columns, names)
-                   for role, names in ROLE_NAMES.items()})
-    if not len(sample):
-        return roles
+    roles = Roles({role: set_by_hand[role] if set_by_hand.get(role) in names else by_name(names, known) for role, known in ROLE_NAMES.items()})
     for role, least in LEAST.items():
         if role not in roles:
-            free = [c for c in columns if c not in roles.values()]
-            scored = [(s, c) for c in free if (s := Sample(c, sample[c]).score(role)) >= least]
-            if scored:
-                roles[role] = max(scored)[1]
+            fitting = [(s, r.name) for r in found if r.name not in roles.values() and r.filled and (s := score(r, role)) >= least]
+            if fitting:
+                roles[role] = max(fitting)[1]
     return roles

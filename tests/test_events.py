@@ -69,6 +69,16 @@ def test_bursts_count_each_start_once(spark):
     assert [(x.code, x.user_count, x.max_events_in_window, x.shortest_window_seconds, x.burst_window_count, x.window_seconds) for x in r] == [("ping", 1, 3, 20, 1, 60)]
 
 
+def test_recent_issues_are_the_last_found(spark):
+    from eventlens.operators import diagnosis
+
+    kinds = "part int, issue_type string, subject string, severity string, impact double, evidence double, sufficiency double, confidence double"
+    rows = [(1, "content_failure", "a", "주의", 0.5, 0.5, 0.5, 0.7), (0, "log_mapping_needed", "log", "주의", 1.0, 0.8, 0.7, 0.86), (2, "revenue_missing", "r", "위험", 0.8, 0.8, 0.5, 0.74),
+            (1, "content_friction", "b", "위험", 0.5, 0.5, 0.5, 0.9)]
+    board = lambda by: [r.subject for r in diagnosis.sorted_issues(spark.createDataFrame(rows, kinds), by).collect()]
+    assert board("recent") == ["r", "a", "b", "log"] and board("severity") == ["r", "b", "log", "a"] and board("impact") == ["log", "r", "b", "a"]
+
+
 def test_paths_are_over_runs(spark):
     e = events(spark, *[("u", f"10:00:{i:02d}", c, None, None, 0) for i, c in enumerate("aabbc")])
     got = {(r.path_text, r.occurrence_count) for r in flow.common_paths(flow.coded(sessionize(e))).collect()}

@@ -37,7 +37,8 @@ def test_delimited_files(spark, tmp_path):
 def test_logs_are_split_unless_quotes_span_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text("uid,n\n" + "\n".join(f'u{i},"{i}, of it"' for i in range(20_000)))
     (tmp_path / "b.csv").write_text('uid,n\nu,"one\ntwo"\nv,2\n')
-    assert not files.quotes_span_lines(spark, str(tmp_path / "a.csv")) and files.quotes_span_lines(spark, str(tmp_path / "b.csv"))
+    both = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    assert files.quotes_span_lines(spark, both) == {both[1]}
     small = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
@@ -50,9 +51,58 @@ def test_logs_are_split_unless_quotes_span_lines(spark, tmp_path):
     assert [(r.uid, r.n) for r in b.orderBy("_src").collect()] == [("u", "one\ntwo"), ("v", "2")]
 
 
+def _jobs(spark, work) -> int:
+    """Jobs that some work starts."""
+    group = f"jobs-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "")
+    work()
+    spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("many", [12, 1000])
+def test_files_of_one_layout_are_one_scan(spark, tmp_path, many):
+    heads = ["uid,event_time,event_name\n{0},2026-05-28 10:00:00,login\n", "acct\tlog_at\tcode\n{0}\t2026-05-28 10:00:00\tlogin\n",
+             "n;uid;behavior;log_dt\n1;{0};login;2026-05-28 10:00:00\n2;;login;2026-05-28 10:00:00\n"]
+    for i in range(many):
+        (tmp_path / f"{i:04d} a.{('csv', 'tsv', 'txt')[i % 3]}").write_text(heads[i % 3].format(f"u{i}"))
+    tables = files.ingest(spark, [tmp_path])
+    assert len(tables) == 3 and all(t._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1 for t in tables)
+    found = []
+    assert _jobs(spark, lambda: found.append(pipeline.understand(spark, [tmp_path], Language(), str(tmp_path / "work")))) <= 20
+    reports = found[0].reports()
+    assert len(reports) == many and [r["source_file"] for r in reports] == [f"{i:04d} a.{('csv', 'tsv', 'txt')[i % 3]}" for i in range(many)]
+    assert [(r["rows"], r["missing_uid_rows"]) for r in reports[:3]] == [(1, 0), (1, 0), (2, 1)]
+    # Rows stand in the order of files, whatever their layout.
+    rows = found[0].rows.where("uid <> ''").orderBy("src").select("uid").collect()
+    assert [r.uid for r in rows] == [f"u{i}" for i in range(many)]
+
+
+def test_json_array_is_read_in_many_tasks(spark, tmp_path):
+    rows = [{"i": i, "t": ['a } b', 'q " q', 'back \\', '{[', ""][i % 5], "x": {"y": [{"z": "}"}, {"z": str(i)}]}} for i in range(4000)]
+    for name, text in (("a", json.dumps(rows)), ("b", json.dumps(rows, indent=1))):
+        (tmp_path / f"{name}.json").write_text(text)
+        session = spark.newSession()
+        session.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+        (table,) = files.ingest(session, [tmp_path / f"{name}.json"])
+        got = table.orderBy("_src").select("i", "t", "`x.y`").collect()
+        assert [(int(r.i), r.t) for r in got] == [(r["i"], r["t"]) for r in rows] and json.loads(got[7]["x.y"]) == [{"z": "}"}, {"z": "7"}]
+        assert session.read.text(str(tmp_path / f"{name}.json"), lineSep="}").rdd.getNumPartitions() > 4
+
+
+def test_json_lines_of_other_fields_are_other_tables(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"uid": "u", "x": {"y": 1}}\n{"uid": "v"}\n')
+    (tmp_path / "b.jsonl").write_text('{"uid": "w", "x": {"y": 2}}\n')
+    (tmp_path / "c.jsonl").write_text('{"account_id": "z"}\n')
+    one, two = files.ingest(spark, [tmp_path])
+    assert [(r.uid, r["x.y"], r._source_file) for r in one.orderBy("_src").collect()] == [("u", "1", "a.jsonl"), ("v", None, "a.jsonl"), ("w", "2", "b.jsonl")]
+    assert two.first().account_id == "z"
+
+
 def test_json_is_flattened(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"uid": "u", "x": {"y": {"z": 1}}, "l": [1, 2]}]')
-    r = files.read_json(spark, str(tmp_path / "a.json")).first().asDict()
+    (table,) = files.ingest(spark, [tmp_path / "a.json"])
+    r = {k: v for k, v in table.first().asDict().items() if k not in files.OWN}
     assert r == {"uid": "u", "x.y.z": "1", "l": "[1,2]"}
 
 
@@ -68,22 +118,33 @@ def _workbook(path, rows):
 
 def test_workbook(spark, tmp_path):
     _workbook(tmp_path / "log.xlsx", [["e_code", "user_id"], ["a", "1"], ["b", "2"]])
-    (table,) = files.read_tables(spark, str(tmp_path / "log.xlsx"))
+    (table,) = files.ingest(spark, [tmp_path / "log.xlsx"])
     assert [(r.e_code, r.user_id, r._source_sheet) for r in table.collect()] == [("a", "1", "log"), ("b", "2", "log")]
     with pytest.raises(ValueError, match="xls"):
-        files.read_tables(spark, str(tmp_path / "old.xls"))
+        files.read_workbook(spark, str(tmp_path / "old.xls"))
 
 
-def test_roles_by_name_and_value():
-    found = roles.infer(pd.DataFrame({c: ["x"] for c in ("acct", "log_at", "content", "sku", "krw", "queue_seconds", "state")}))
+def test_roles_by_name_and_value(spark):
+    columns = ("acct", "log_at", "content", "sku", "krw", "queue_seconds", "state")
+    found = roles.infer(roles.profile(spark.createDataFrame([("x",) * 7], ", ".join(f"{c} string" for c in columns))))
     assert tuple(found.whole()[r] for r in ("uid", "timestamp", "content_id", "product_id", "amount", "result", "event")) == (
         "acct", "log_at", "content", "sku", "krw", "state", None)
-    n = 40
-    by_value = roles.infer(pd.DataFrame({
-        "c1": [f"user-{i}" for i in range(n)], "c2": ["2026-05-28 10:00:00"] * n, "c3": ["go_in", "go_out"] * (n // 2), "c4": ["fail", "success"] * (n // 2), "c5": [str(i) for i in range(n)]}))
+    rows = [(f"user-{i}", "2026-05-28 10:00:00", ("go_in", "go_out")[i % 2], ("fail", "success")[i % 2], str(i), None) for i in range(40)]
+    by_value = roles.infer(roles.profile(spark.createDataFrame(rows, "c1 string, c2 string, c3 string, c4 string, c5 string, c6 string")))
     assert tuple(by_value[r] for r in ("uid", "timestamp", "event", "result", "amount")) == ("c1", "c2", "c3", "c4", "c5")
 
 
+def test_profile_of_columns(spark):
+    rows = [(" 7 ", "2026/5/28 10:00", "a", None), ("-1.5e3", "28.5.2026", "a", ""), ("7", "10:30", "b_1", " "), ("12d", "no date", "가", None), ("", "1/2/2026", None, None)]
+    got = {r.name: r for r in roles.profile(spark.createDataFrame(rows, "n string, `d``t` string, w string, e string")).collect()}
+    n, d, w, e = (got[c] for c in ("n", "d`t", "w", "e"))
+    assert (n.filled, n["distinct"], n.numeric, round(n.positive, 4), n.worded) == (4, 0.75, 0.75, 0.6667, 0.5)
+    assert (d.filled, d.dated, d.numeric) == (5, 0.8, 0.0)
+    assert (w.filled, w["distinct"], w.worded, w.dated) == (4, 0.75, 1.0, 0.0)
+    assert (e.filled, e["distinct"], e.numeric, e.worded, e.dated, e.result) == (0, 0, 0, 0, 0, 0)
+    assert roles.infer(roles.profile(spark.createDataFrame([], "uid string, x string"))) == {"uid": "uid"}
+
+
 def test_pipeline_end_to_end(spark, tmp_path):
     log = tmp_path / "log.csv"
     log.write_text(HEAD + "u1,2026-05-28 10:00:00,login,,,,,,\nu1,2026-05-28 10:00:00,login,,,,,,\nu1,2026-05-28 10:05:00,pkg_starter_buy,,starter_pack,9900,,,\n"
@@ -111,6 +172,8 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert (report["source_file"], report["rows"], report["missing_uid_rows"], report["fields"]["uid"]) == ("log.csv", 7, 1, "uid")
     issue = next(i for i in got["issues"]["content"] if i["type"] == "content_friction")
     assert issue["title"] == "아레나 대기/매칭 지연 의심" and issue["evidence"][0] == "평균 대기시간 45.0초" and issue["confidence_label"] == "유력"
+    mapped = got["issues"]["content"][0]
+    assert got["engine_version"] and got["language"]["needs_confirmation_count"] == q["inferred_rows"] == 3 and mapped["type"] != "log_mapping_needed"
     assert got["alerts"][0]["top_evidence"] and got["totals"]["content_health"] == len(got["content_health"])
     assert got["behavior_flow"]["user_samples"][0]["top_codes"][0] == {"code": "login", "label": "접속", "count": 2}
     assert spark.read.json(str(tmp_path / "out/lists/language_suggestions")).count() == got["totals"]["language_suggestions"]
@@ -120,6 +183,15 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert warehouse.snapshot(spark, str(tmp_path / "store"), "none")["status"] == "missing"
 
 
+def test_codes_to_map_lead_the_issues_and_are_among_the_alerts(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("uid,event_time,event_name\nu1,2026-05-28 10:00:00,510101\nu1,2026-05-28 10:01:00,570202\n")
+    got = pipeline.run_pipeline(spark, [tmp_path / "log.csv"], tmp_path / "out")
+    assert [i["type"] for i in got["issues"]["content"]] == ["log_mapping_needed"]
+    assert [a["title"] for a in got["alerts"]] == ["로그 코드 매핑 필요", "결제 데이터 없음"] and got["ai_context"]["top_alerts"] == got["alerts"]
+    stored = [json.loads(x) for f in (tmp_path / "out/lists/issues").glob("*.json") for x in f.read_text().splitlines()]
+    assert {i["type"] for i in stored} == {"log_mapping_needed", "revenue_missing"}
+
+
 def test_compare_and_plain():
     assert warehouse.compare({}, {"events": 1})["status"] == "missing"
     assert warehouse.compare({"revenue": 1.005}, {"revenue": 1.0})["status"] == "match"
