@@ -169,11 +169,18 @@ def language_rows(suggestions: DataFrame, limit: int = 40) -> DataFrame:
     return suggestions.orderBy(*language_order(), "event_type", "group").limit(limit)
 
 
-def codes_in(text: Column, known: Column, limit: int = 12) -> Column:
-    """Known event codes that a text names, in order of appearance."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_:-]{3,}"), F.lit(0)))
-    code = lambda t: ((F.length(t) >= 4) | F.contains(t, F.lit("_"))) & t.rlike("[0-9_]") & ~t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
-    return F.slice(F.filter(found, lambda t: code(t) & F.array_contains(known, t)), 1, limit)
+def codes_in(texts: DataFrame, codes: DataFrame, limit: int = 12) -> DataFrame:
+    """(id, codes): the known codes that each text of (id, said) names, in
+    order of appearance, from a table of different codes (code).
+
+    Words that may be codes meet the table by a join; it need not be small.
+    """
+    words = F.array_distinct(F.regexp_extract_all("said", F.lit("[A-Za-z0-9_:-]{3,}"), F.lit(0)))
+    named = texts.select("id", F.posexplode(words).alias("at", "word")).where(
+        ((F.length("word") >= 4) | F.contains("word", F.lit("_"))) & F.col("word").rlike("[0-9_]") & ~F.col("word").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
+    found = named.join(codes.select(F.col("code").alias("word")), "word", "left_semi").groupBy("id").agg(
+        F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), 1, limit).alias("codes"))
+    return texts.select("id").join(found, "id", "left").select("id", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
 
 
 def duration_label(seconds: Column) -> Column:

@@ -35,13 +35,17 @@ def _money() -> list[Column]:
 
 
 def session_facts(ordered: DataFrame) -> DataFrame:
-    """One row per session; content_groups by their first appearance."""
-    seen = F.collect_list(F.when(F.col("group") != "", F.struct(F.col(AT), F.col("group"))))
+    """One row per session; content_groups by their first appearance.
+
+    A session's groups are reduced to the place where each began before they
+    are gathered; both aggregations and their join share one partitioning.
+    """
+    groups = _session_groups(ordered).select("uid", "session_index", F.transform(F.array_sort("groups"), lambda g: g["group"]).alias("content_groups"))
     found = ordered.groupBy("uid", "session_index", "session_id").agg(
         first_of("ts").alias("start"), last_of("ts").alias("end"), F.count("*").alias("event_count"),
         first_of("event_label").alias("first_event"), last_of("event_label").alias("last_event"),
-        last_of("event_type").alias("last_event_type"),
-        F.array_distinct(F.transform(F.array_sort(seen), lambda x: x["group"])).alias("content_groups"), *_money())
+        last_of("event_type").alias("last_event_type"), *_money()).join(groups, ["uid", "session_index"], "left").withColumn(
+        "content_groups", F.coalesce("content_groups", F.array().cast("array<string>")))
     passed = F.greatest(F.lit(0), seconds(F.col("end")) - seconds(F.col("start")))
     return found.select(
         "session_id", "uid", "start", "end", F.coalesce(passed, F.lit(0)).cast("long").alias("duration_sec"), "event_count",
@@ -49,6 +53,12 @@ def session_facts(ordered: DataFrame) -> DataFrame:
         F.coalesce(F.col("last_event_type").isin(*FAILURE_TYPES), F.lit(False)).alias("ended_after_failure"))
 
 
+def _session_groups(ordered: DataFrame) -> DataFrame:
+    """(uid, session_index, groups): each group once, with its first place."""
+    return ordered.where(F.col("group") != "").groupBy("uid", "session_index", "group").agg(F.min(AT).alias("first")).groupBy(
+        "uid", "session_index").agg(F.collect_list(F.struct("first", "group")).alias("groups"))
+
+
 def user_journeys(ordered: DataFrame) -> DataFrame:
     """One row per user, in one aggregation."""
     entered = F.col("group").isNotNull() & F.col("event_type").isin(*ENTER_TYPES)
@@ -120,8 +130,7 @@ def revenue_after_content(ordered: DataFrame) -> DataFrame:
     A session's groups are gathered once, with the place where each began;
     purchases meet them on the partitioning by user that both have already.
     """
-    groups = ordered.where(F.col("group") != "").groupBy("uid", "session_index", "group").agg(F.min(AT).alias("first")).groupBy(
-        "uid", "session_index").agg(F.collect_list(F.struct("first", "group")).alias("groups"))
+    groups = _session_groups(ordered)
     bought = ordered.where(is_purchase()).select("uid", "session_index", AT, "amount")
     seen = F.filter("groups", lambda g: g["first"] <= F.col(AT))
     return (

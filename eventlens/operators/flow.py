@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BURST_EVENTS, BURST_SECONDS
@@ -26,24 +26,33 @@ def _users(flow: DataFrame) -> DataFrame:
     return flow.agg(F.count_distinct("uid").alias("total_users"))
 
 
+def _participation(flow: DataFrame, by: str, *least: str) -> DataFrame:
+    """Events, users and sessions of each code or group, and when it was seen.
+
+    Sessions are counted within users and users within codes, step by step, so
+    that events aren't repeated for each thing that is counted.
+    """
+    least_of = [F.min(c).alias(c) for c in (*least, "first_seen")]
+    sums = lambda **counts: [*(e.alias(n) for n, e in counts.items()), *least_of, F.max("last_seen").alias("last_seen")]
+    by_session = flow.withColumns({"first_seen": F.col("ts"), "last_seen": F.col("ts")}).groupBy(by, "uid", "session_id").agg(*sums(count=F.count("*")))
+    by_user = by_session.groupBy(by, "uid").agg(*sums(count=F.sum("count"), session_count=F.count("session_id")))
+    found = by_user.groupBy(by).agg(*sums(count=F.sum("count"), user_count=F.count("uid"), session_count=F.sum("session_count"))).crossJoin(_users(flow))
+    return found.withColumn("user_rate", ratio(F.col("user_count"), F.col("total_users"), 4)).withColumn(
+        "events_per_user", ratio(F.col("count"), F.col("user_count"), 2)).drop("total_users")
+
+
 def code_participation(flow: DataFrame, limit: int | None = 20) -> DataFrame:
     """Who takes part in each code, and how often."""
-    found = flow.groupBy("code").agg(
-        F.min("label").alias("label"), F.min("event_type").alias("event_type"), F.min("group").alias("group"),
-        F.count("*").alias("count"), F.count_distinct("uid").alias("user_count"), F.count_distinct("session_id").alias("session_count"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).crossJoin(_users(flow))
-    found = found.withColumn("user_rate", ratio(F.col("user_count"), F.col("total_users"), 4)).withColumn(
-        "events_per_user", ratio(F.col("count"), F.col("user_count"), 2)).drop("total_users")
+    found = _participation(flow, "code", "label", "event_type", "group")
     return found if limit is None else found.orderBy(F.col("count").desc(), F.col("user_count").desc(), "code").limit(limit)
 
 
 def content_participation(flow: DataFrame, limit: int | None = 12) -> DataFrame:
-    """The same by content group."""
-    found = flow.where("group <> ''").groupBy("group").agg(
-        F.count("*").alias("count"), F.count_distinct("uid").alias("user_count"), F.count_distinct("session_id").alias("session_count"),
-        F.count_distinct("code").alias("code_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).crossJoin(_users(flow))
-    found = found.withColumn("user_rate", ratio(F.col("user_count"), F.col("total_users"), 4)).withColumn(
-        "events_per_user", ratio(F.col("count"), F.col("user_count"), 2)).drop("total_users")
+    """The same by content group, with the different codes of each."""
+    grouped = flow.where("group <> ''")
+    codes = grouped.select("group", "code").distinct().groupBy("group").agg(F.count("*").alias("code_count"))
+    found = _participation(grouped, "group").drop("user_rate").crossJoin(_users(flow)).withColumn(
+        "user_rate", ratio(F.col("user_count"), F.col("total_users"), 4)).drop("total_users").join(codes, "group")
     return found if limit is None else found.orderBy(F.col("count").desc(), F.col("user_count").desc(), "group").limit(limit)
 
 
@@ -100,18 +109,58 @@ def collapsed_runs(flow: DataFrame, key: str = "uid") -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def common_paths(flow: DataFrame, limit: int | None = 12) -> DataFrame:
-    """Paths of two to four different steps, by how many users take them."""
-    runs = collapsed_runs(flow)
+def _steps_ahead(flow: DataFrame) -> DataFrame:
+    """(uid, run, c0 to c3): each run's code and those of the next three."""
     order = Window.partitionBy("uid").orderBy("run")
-    steps = [F.col("code"), *[F.lead("code", i).over(order) for i in (1, 2, 3)]]
-    ahead = runs.select("uid", *[c.alias(f"c{i}") for i, c in enumerate(steps)])
-    grams = F.array_compact(F.array(*[F.when(F.col(f"c{n - 1}").isNotNull(), F.array(*[F.col(f"c{i}") for i in range(n)])) for n in (2, 3, 4)]))
-    found = ahead.select("uid", F.explode(grams).alias("path")).groupBy("path").agg(
-        F.count("*").alias("occurrence_count"), F.count_distinct("uid").alias("user_count")).crossJoin(_users(flow))
-    result = found.select(F.array_join("path", " -> ").alias("path_text"), F.size("path").cast("long").alias("length"), "occurrence_count",
-                          "user_count", ratio(F.col("user_count"), F.col("total_users"), 4).alias("user_rate"))
-    return result if limit is None else result.orderBy(F.col("user_count").desc(), F.col("length").desc(), F.col("occurrence_count").desc(), "path_text").limit(limit)
+    return collapsed_runs(flow).select("uid", "run", F.col("code").alias("c0"), *[F.lead("code", i).over(order).alias(f"c{i}") for i in (1, 2, 3)])
+
+
+def _leading(counted: DataFrame) -> list[Column]:
+    return [F.col("user_count").desc(), F.size("path").desc(), F.col("occurrence_count").desc(), F.array_join("path", " -> ")]
+
+
+def _counted(paths: DataFrame) -> DataFrame:
+    """Occurrences and users of each path of (uid, path); users before paths."""
+    return paths.groupBy("path", "uid").agg(F.count("*").alias("n")).groupBy("path").agg(
+        F.sum("n").alias("occurrence_count"), F.count("uid").alias("user_count"))
+
+
+def longer_paths(ahead: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(uid, path) of three and four steps; if ``pairs`` are given, only of
+    those whose every two steps are among them."""
+    there = [F.col(f"c{i}").isNotNull() for i in range(4)]
+    if pairs is not None:
+        good = pairs.select(F.get("path", F.lit(0)).alias("p0"), F.get("path", F.lit(1)).alias("p1"), F.lit(True).alias("good"))
+        order = Window.partitionBy("uid").orderBy("run")
+        marked = ahead.join(good, (F.col("c0") == F.col("p0")) & (F.col("c1") == F.col("p1")), "left")
+        ahead = marked.withColumns({f"g{i}": F.coalesce(F.lead("good", i).over(order), F.lit(False)) for i in (0, 1, 2)})
+        there[2] &= F.col("g0") & F.col("g1")
+        there[3] &= F.col("g0") & F.col("g1") & F.col("g2")
+    paths = F.array_compact(F.array(*[F.when(there[n - 1], F.array(*[F.col(f"c{i}") for i in range(n)])) for n in (3, 4)]))
+    return ahead.where(there[2]).select("uid", F.explode(paths).alias("path"))
+
+
+def common_paths(flow: DataFrame, limit: int | None = 12) -> DataFrame:
+    """Paths of two to four different steps, by how many users take them.
+
+    A path has no more users than any two of its steps. Pairs are counted
+    first; the last place in demand among them is a bound, and longer paths are
+    only counted where all their pairs reach it.
+    """
+    ahead = _steps_ahead(flow)
+    pairs = _counted(ahead.where("c1 is not null").select("uid", F.array("c0", "c1").alias("path")))
+    if limit is None:
+        leading = None
+    else:
+        bound = pairs.orderBy(*_leading(pairs)).limit(limit).agg(F.when(F.count("*") == limit, F.min("user_count")).otherwise(0).alias("bound"))
+        leading = pairs.crossJoin(F.broadcast(bound)).where("user_count >= bound")
+    found = pairs.unionByName(_counted(longer_paths(ahead, leading)))
+    if limit is not None:
+        found = found.orderBy(*_leading(found)).limit(limit)
+    result = found.crossJoin(_users(flow)).select(
+        F.array_join("path", " -> ").alias("path_text"), F.size("path").cast("long").alias("length"), "occurrence_count", "user_count",
+        ratio(F.col("user_count"), F.col("total_users"), 4).alias("user_rate"))
+    return result if limit is None else result.orderBy(F.col("user_count").desc(), F.col("length").desc(), F.col("occurrence_count").desc(), "path_text")
 
 
 def end_codes(flow: DataFrame, last: bool, limit: int | None = 8) -> DataFrame:
@@ -128,16 +177,18 @@ def sequences(flow: DataFrame, key: str = "uid", users: int = 8, steps: int = 24
     top = flow.groupBy(key).agg(F.count("*").alias("event_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).orderBy(
         F.col("event_count").desc(), key).limit(users)
     runs = collapsed_runs(flow.join(F.broadcast(top.select(key)), key, "left_semi"), key)
-    listed = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("run", "label", "count"))).alias("runs"))
-    words = F.transform(F.slice("runs", 1, steps), lambda r: F.when(
+    # The busiest have the most runs; only those that are told are gathered.
+    told = F.when(F.col("run") < steps, F.struct("run", "label", "count"))
+    listed = runs.groupBy(key).agg((F.max("run") + 1).alias("run_count"), F.array_sort(F.collect_list(told)).alias("runs"))
+    words = F.transform("runs", lambda r: F.when(
         r["count"] > 1, F.concat(r["label"], F.lit(" x"), r["count"].cast("string"))).otherwise(r["label"]))
-    more = F.when(F.size("runs") > steps, F.concat(F.lit(" -> ... +"), (F.size("runs") - steps).cast("string"), F.lit(" more"))).otherwise("")
+    more = F.when(F.col("run_count") > steps, F.concat(F.lit(" -> ... +"), (F.col("run_count") - steps).cast("string"), F.lit(" more"))).otherwise("")
     kinds = flow.join(F.broadcast(top.select(key)), key, "left_semi").groupBy(key, "code").agg(F.min("label").alias("label"), F.count("*").alias("count"))
     codes = kinds.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "code", "label", "count"))), 1, TOP_CODES),
                                                lambda x: F.struct(x["code"].alias("code"), x["label"].alias("label"), x["count"].alias("count"))).alias("top_codes"))
     return top.join(listed, key).join(codes, key).select(
         key, "event_count", F.coalesce(seconds(F.col("last_ts")) - seconds(F.col("first_ts")), F.lit(0)).alias("duration_sec"),
-        F.size("runs").cast("long").alias("run_count"), F.concat(F.array_join(words, " -> "), more).alias("sequence"), "top_codes").orderBy(F.col("event_count").desc(), key)
+        "run_count", F.concat(F.array_join(words, " -> "), more).alias("sequence"), "top_codes").orderBy(F.col("event_count").desc(), key)
 
 
 def outliers(flow: DataFrame, limit: int = 12, **burst: int) -> DataFrame:

@@ -553,10 +553,9 @@ SELECT event_id, array_to_string(list_filter(regexp_extract_all(said, '[A-Za-z0-
 def codes_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     code = F.concat_ws("_", "event_type", (F.get_json_object("props", "$.k").cast("int") % 4).cast("string"))
-    known = events.agg(F.collect_set(code).alias("known"))
     said = F.concat("event_type", F.lit("_1 then view_2, seen 2024-01-02 by "), "event_type", F.lit("_3 and u_9"))
-    return events.select("event_id", said.alias("said")).crossJoin(F.broadcast(known)).select(
-        "event_id", F.array_join(diagnosis.codes_in(F.col("said"), F.col("known")), ",").alias("codes"))
+    found = diagnosis.codes_in(events.select(F.col("event_id").alias("id"), said.alias("said")), events.select(code.alias("code")).distinct())
+    return found.select(F.col("id").alias("event_id"), F.array_join("codes", ",").alias("codes"))
 
 
 @query("content_risk", _CONTENT + """, rk AS (SELECT "group", failure_rate * 0.5::DOUBLE + least(coalesce(avg_wait_sec, 0) / 60, 1.0::DOUBLE) * 0.32::DOUBLE

@@ -86,6 +86,23 @@ def test_paths_are_over_runs(spark):
     assert flow.sequences(flow.coded(sessionize(e)), steps=2).first().sequence == "a x2 -> b x2 -> ... +1 more"
 
 
+def test_common_paths_by_levels_equal_all_paths(spark):
+    import random
+
+    rng = random.Random(4)
+    codes = [f"c{i}" for i in range(12)]
+    rows = [(f"u{u}", f"{10 + i // 60:02d}:{i % 60:02d}:00", rng.choice(codes[:3] if rng.random() < 0.6 else codes), None, None, 0) for u in range(40) for i in range(60)]
+    coded = flow.coded(sessionize(events(spark, *rows)))
+    columns = ("user_count", "length", "occurrence_count", "path_text")
+    every = sorted((tuple(r[c] for c in columns) for r in flow.common_paths(coded, limit=None).collect()), key=lambda r: (-r[0], -r[1], -r[2], r[3]))
+    for limit in (1, 5, 12, 100_000):
+        assert [tuple(r[c] for c in columns) for r in flow.common_paths(coded, limit).collect()] == every[:limit]
+    ahead = flow._steps_ahead(coded)
+    pairs = flow._counted(ahead.where("c1 is not null").select("uid", F.array("c0", "c1").alias("path")))
+    best = pairs.orderBy(F.desc("user_count")).limit(12).agg(F.min("user_count")).first()[0]
+    assert flow.longer_paths(ahead, pairs.where(F.col("user_count") >= best)).count() * 3 < flow.longer_paths(ahead, None).count()
+
+
 def test_empty_events_give_zeros(spark):
     e = sessionize(events(spark, ("u", "10:00:00", "a", None, None, 0)).where("false"))
     r = metrics.run_summary(e, facts.session_facts(e)).first()

@@ -173,7 +173,7 @@ def test_pipeline_end_to_end(spark, tmp_path):
     issue = next(i for i in got["issues"]["content"] if i["type"] == "content_friction")
     assert issue["title"] == "아레나 대기/매칭 지연 의심" and issue["evidence"][0] == "평균 대기시간 45.0초" and issue["confidence_label"] == "유력"
     mapped = got["issues"]["content"][0]
-    assert got["engine_version"] and got["language"]["needs_confirmation_count"] == q["inferred_rows"] == 3 and mapped["type"] != "log_mapping_needed"
+    assert got["engine_version"] and got["language"]["needs_confirmation_count"] == q["inferred_rows"] == 3 and mapped["type"] == "log_mapping_needed"
     assert got["alerts"][0]["top_evidence"] and got["totals"]["content_health"] == len(got["content_health"])
     assert got["behavior_flow"]["user_samples"][0]["top_codes"][0] == {"code": "login", "label": "접속", "count": 2}
     assert spark.read.json(str(tmp_path / "out/lists/language_suggestions")).count() == got["totals"]["language_suggestions"]
