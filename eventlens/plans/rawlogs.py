@@ -110,7 +110,7 @@ def raw_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (sep, kind, names) in enumerate(layouts):
         part = in_order(log.where(F.col("event_id") % 3 == i), 12).withColumnsRenamed(names)
         # Columns in another order, so that only names tell them.
-        part.select(*(part.columns[:0:-1] if i else part.columns[1:])).write.option("extension", kind).csv(f"{folder}/{kind}", header=True, sep=sep)
+        part.select(*(part.columns[:0:-1] if i else part.columns[1:])).write.option("extension", kind).csv(f"{folder}/{kind}", header=True, sep=sep, escape='"')
     found = pipeline.understand(spark, [folder], Language())
     return found.rows.groupBy(F.col("table").alias("layout"), "event_raw").agg(
         F.count("*").alias("events"), F.count_distinct("uid").alias("users"),

@@ -55,8 +55,8 @@ def write_events_csv(ordered: DataFrame, folder: str) -> None:
     """Standard events in order, as a folder of CSV parts with headers.
 
     The parts are ranges of the order, written in parallel; read by name they
-    give the whole in order.
+    give the whole in order. Quotes inside values are doubled.
     """
     columns = [c for c in ordered.columns if c not in ("src", "session_index")]
     ordered.orderBy("uid", "user_event_index").select(*[F.col(f"`{c}`") for c in columns]).write.mode("overwrite").option(
-        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(folder, header=True)
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(folder, header=True, escape='"')

@@ -157,3 +157,46 @@ def test_stream_and_table_agree_below_a_second(spark):
     table = {r.uid: r.n for r in sessionize(e).groupBy("uid").agg(F.count_distinct("session_id").alias("n")).collect()}
     stream = {r.uid: r.n for r in session_stream(e).groupBy("uid").agg(F.count("*").alias("n")).collect()}
     assert stream == table == {"u": 1, "v": 2, "w": 1}
+
+
+def test_stream_of_bursts_equals_windows_of_the_table(spark, tmp_path):
+    """Files one at a time, a restart between them, rows within the delay and
+    one behind it; a late heartbeat closes what is open."""
+    import random
+
+    from pyspark.sql.window import Window
+
+    from eventlens.streaming.bursts import burst_stream
+
+    rng = random.Random(8)
+    kinds, session = "uid string, code string, ts timestamp_ntz", spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = sorted((at(f"10:{rng.randint(0, 29):02d}:{rng.randint(0, 59):02d}.{rng.randint(0, 9)}"), f"u{rng.randint(0, 3)}", f"c{rng.randint(0, 2)}") for _ in range(400))
+    rows = [(u, c, t) for t, u, c in rows]
+    swapped = [*rows[:90], *rows[110:200], *rows[90:110], *rows[200:], (None, "c1", at("10:00:00"))]
+    dropped = ("u1", "c1", at("09:00:00"))
+
+    def put(part: list) -> None:
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run() -> None:
+        stream = session.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        burst_stream(stream, 60, 3, "15 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(300)
+
+    put(swapped[:200])
+    run()
+    put(swapped[200:])
+    put([("beat", "beat", at("12:00:00"))])
+    run()
+    put([dropped])
+    put([("beat", "beat", at("14:00:00"))])
+    run()
+    table = spark.createDataFrame(swapped, kinds).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    frame = Window.partitionBy("uid", "code").orderBy("us").rangeBetween(0, 60_000_000)
+    want = table.withColumns({"n": F.count("*").over(frame), "last": F.max("us").over(frame)}).where("n >= 3").select(
+        "uid", "code", "us", "n", ((F.col("last") - F.col("us")) / 1_000_000).alias("span")).distinct()
+    got = spark.read.parquet(str(tmp_path / "out")).select("uid", "code", F.unix_micros("start"), "events", "span_seconds")
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and got.count() > 50
