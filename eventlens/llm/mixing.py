@@ -79,9 +79,10 @@ def size_class(size: Column) -> Column:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """128 bits of all columns of a row, whatever their types."""
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), {"ignoreNullFields": "false"})
-    return F.md5(whole.cast("binary"))
+    """A hash of all columns of a row; what Spark can't hash counts as JSON."""
+    plain = lambda kind: not any(x in kind for x in ("map<", "variant"))
+    parts = [F.col(f"`{c}`") if plain(kind) else F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) for c, kind in df.dtypes]
+    return F.hex(F.xxhash64(*parts))
 
 
 def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", row: Column | None = None) -> DataFrame:
@@ -92,7 +93,7 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
     """
     own = row_hash(df) if row is None else row
     # Keys spread evenly; rows that have none are spread by what they hold.
-    spread = F.conv(F.substring(F.coalesce(F.md5(F.col(key).cast("string").cast("binary")), own), 1, 4), 16, 10)
+    spread = F.conv(F.substring(F.coalesce(F.md5(F.col(key).cast("string").cast("binary")), F.lpad(own, 16, "0")), 1, 4), 16, 10)
     df = df.drop("source_size", "target", "copies")
     goals = cut(targets(df.select(F.col(source).alias("source"), F.col(size).alias("size"))), "mix-targets")
     kept = df.withColumns({"__class": size_class(F.col(size)), "__slice": spread.cast("int") % SLICES, "__row": own})
