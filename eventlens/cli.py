@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
-import tempfile
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from .plans import pipeline, synthetic
+from .sources import files, scratch
 
 
 def session() -> SparkSession:
@@ -35,13 +34,15 @@ def main(args: list[str] | None = None) -> int:
         found = pipeline.run_pipeline(spark, given.inputs, given.out, given.dictionary, given.run_id, given.warehouse, given.sample)
         print(json.dumps(found["summary"], ensure_ascii=False))
         return 0
-    with tempfile.TemporaryDirectory(prefix="spark-") as folder:
-        made = synthetic.timed(lambda: synthetic.synthetic_log(spark, given.rows, given.users).drop("_src").coalesce(1).write.csv(
-            f"{folder}/log", header=True))
-        log = next(Path(folder, "log").glob("*.csv"))
-        spent = synthetic.timed(lambda: pipeline.run_pipeline(spark, [log.as_uri()], f"{folder}/out", store=f"{folder}/store"))
-        print(json.dumps({"rows": given.rows, "input_size_mb": round(log.stat().st_size / 1e6, 3), "generate_sec": made,
-                          "pipeline_sec": spent, "total_sec": round(made + spent, 3)}))
+    folder = scratch.new_folder(spark, "benchmark")
+    try:
+        made = synthetic.timed(lambda: synthetic.synthetic_log(spark, given.rows, given.users).drop("_src").write.csv(f"{folder}/log", header=True))
+        size = sum(h.size for h in files.heads(spark, files.discover(spark, [f"{folder}/log"])))
+        spent = synthetic.timed(lambda: pipeline.run_pipeline(spark, [f"{folder}/log"], f"{folder}/out", store=f"{folder}/store"))
+    finally:
+        scratch.remove(spark, folder)
+    print(json.dumps({"rows": given.rows, "input_size_mb": round(size / 1e6, 3), "generate_sec": made,
+                      "pipeline_sec": spent, "total_sec": round(made + spent, 3)}))
     return 0
 
 

@@ -35,11 +35,28 @@ def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = metrics.run_summary(ordered, sessions).first().asDict()
     warehouse.store_run(spark, folder, "run", {"standard_events": ordered, "session_facts": sessions}, summary, ["events"])
     stored = warehouse.snapshot(spark, folder, "run")
-    found, figures = stored["validation"], stored["computed_summary"]
+    found, figures = stored["summary_validation"], stored["sql_summary"]
     return spark.createDataFrame([(found["status"], len(found["differences"]), figures["events"], figures["sessions"], figures["revenue"])],
                                  "status string, differences long, events long, sessions long, revenue double")
 
 
+def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored run as its snapshot tells it, after it was replaced once."""
+    ordered, folder = ordered_events(spark, sf_dir), new_folder(spark)
+    sessions = facts.session_facts(ordered)
+    summary = metrics.run_summary(ordered, sessions).first().asDict()
+    tables = {"standard_events": ordered, "session_facts": sessions, "daily_summaries": metrics.daily_summary(ordered, sessions),
+              "raw_files": warehouse.raw_files(spark, [{"source_file": "events", "source_sheet": None, "rows": summary["events"], "columns": ordered.columns}]),
+              "run_artifacts": warehouse.artifacts(spark, {"summary": summary, "alerts": []})}
+    warehouse.store_run(spark, folder, "run", {t: df.limit(0) for t, df in tables.items()}, {}, ["events"])
+    warehouse.store_run(spark, folder, "run", tables, summary, ["events"])
+    told = warehouse.snapshot(spark, folder, "run")
+    rows = [("table", t, float(n)) for t, n in told["table_counts"].items() if n] + [("day", d["date"], d["revenue"]) for d in told["summary_by_date"]["dates"]]
+    rows += [("file", f["source_file"], float(f["row_count"])) for f in told["source_files"]] + [("artifact", a, 0.0) for a in told["artifact_types"]]
+    rows += [("status", told["status"], float(told["commit"])), ("validation", told["summary_validation"]["status"], 0.0)]
+    return spark.createDataFrame(rows, "part string, name string, figure double")
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as CSV and read back as text, counted by type."""
     folder = new_folder(spark)
@@ -86,7 +103,7 @@ def customer_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.revenue_concentration(orders)
 
 
-for _query in (warehouse_roundtrip, summary_validation, csv_roundtrip, json_flatten, normalized_export, synthetic_events, stream_sessions, customer_concentration):
+for _query in (warehouse_roundtrip, summary_validation, run_snapshot, csv_roundtrip, json_flatten, normalized_export, synthetic_events, stream_sessions, customer_concentration):
     QUERIES[_query.__name__] = _query
 
 W = events.WITH
@@ -95,6 +112,11 @@ ORACLES |= {
 UNION ALL SELECT 'user_journeys', count(DISTINCT uid) FROM ev""",
     "summary_validation": W + """ SELECT 'match' AS status, CAST(0 AS BIGINT) AS differences, count(*) AS events, (SELECT count(*) FROM ses) AS sessions,
   round(round(sum(amount), 6), 2) AS revenue FROM ev""",
+    "run_snapshot": W + """, d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(round(sum(amount), 6), 2) AS revenue FROM ev GROUP BY 1)
+SELECT 'table' AS part, 'standard_events' AS name, count(*)::DOUBLE AS figure FROM ev UNION ALL SELECT 'table', 'session_facts', count(*) FROM ses
+UNION ALL SELECT 'table', 'daily_summaries', count(*) FROM d UNION ALL SELECT 'table', 'raw_files', 1 UNION ALL SELECT 'table', 'run_artifacts', 2
+UNION ALL SELECT 'day', date, revenue FROM d UNION ALL SELECT 'file', 'events', count(*) FROM ev UNION ALL SELECT 'artifact', 'alerts', 0 UNION ALL SELECT 'artifact', 'summary', 0
+UNION ALL SELECT 'status', 'found', 2 UNION ALL SELECT 'validation', 'match', 0""",
     "csv_roundtrip": f"WITH {events.STD} SELECT event_type, count(*) AS events, round(sum(amount), 2) AS amount FROM std GROUP BY event_type",
     "json_flatten": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS events FROM events GROUP BY 1",
     "normalized_export": W + " SELECT uid, ix AS user_event_index, session_id, event_raw, event_type, grp AS content_group FROM ev",

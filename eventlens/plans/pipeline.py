@@ -21,7 +21,7 @@ from ..config import Language
 from ..functions.values import named
 from ..operators import diagnosis, facts, flow, metrics
 from ..operators.sessions import sessionize
-from ..sources import exports, files, roles, warehouse
+from ..sources import exports, files, roles, scratch, warehouse
 from .standardize import meant, raw_rows, with_user
 
 SPLIT = ("summary", "language", "issues", "journeys_sample", "sessions_sample", "behavior_flow", "content_health", "product_performance", "purchase_contexts")
@@ -207,5 +207,5 @@ def run_pipeline(spark: SparkSession, inputs: Iterable[object], out: object, dic
             exports.write_json(spark, f"{folder}/{part}.json", payload[part])
     finally:
         spark.sql(f"DROP TABLE {name}")
-        exports.remove(spark, f"{folder}/work")
+        scratch.remove(spark, f"{folder}/work")
     return payload

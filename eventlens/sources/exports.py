@@ -40,12 +40,6 @@ def write_json(spark: SparkSession, path: str, payload: object) -> None:
         out.close()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Remove a folder of one's own."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def write_list(df: DataFrame, folder: str) -> None:
     """A list of any length as JSON lines, written in parallel."""
     df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").json(folder)

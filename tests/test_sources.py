@@ -7,6 +7,7 @@ import zipfile
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from eventlens.config import Language
 from eventlens.plans import pipeline, synthetic
@@ -162,7 +163,7 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert [c["group"] for c in got["content_health"]] == ["아레나", "상품"] or {c["group"] for c in got["content_health"]} == {"아레나", "상품"}
     assert got["summary_by_date"]["unknown_timestamp_events"] == 1 and steps == sorted(steps)
     assert json.loads((tmp_path / "out/summary.json").read_text())["revenue"] == 9900.0
-    assert warehouse.snapshot(spark, str(tmp_path / "store"), "r1")["validation"] == {"status": "match", "differences": []}
+    assert warehouse.snapshot(spark, str(tmp_path / "store"), "r1")["summary_validation"] == {"status": "match", "differences": []}
     store = str(tmp_path / "store")
     assert warehouse.count_rows(spark, store, "r1", "raw_files") == 1 and warehouse.count_rows(spark, store, "none", "raw_files") == 0
     assert warehouse.read_run(spark, store, "r1", "daily_summaries").count() == 2
@@ -183,6 +184,33 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert warehouse.snapshot(spark, str(tmp_path / "store"), "none")["status"] == "missing"
 
 
+def test_writers_of_one_run_and_what_readers_see(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    one, two, three = (spark.range(n).withColumn("uid", F.lit("u")) for n in (1, 2, 3))
+    assert warehouse.snapshot(spark, store, "r")["status"] == "empty" and warehouse.count_rows(spark, store, "r", "a") == 0
+    put = lambda df, run="r": warehouse.store_run(spark, store, run, {"a": df, "b": df}, {}, [])
+    put(one)
+    assert warehouse.snapshot(spark, store, "other")["status"] == "missing"
+    # Both writers have seen the same last commit; the slower one takes the next number.
+    seen = warehouse.last_commit(spark, store)
+    put(two)
+    with monkeypatch.context() as m:
+        m.setattr(warehouse, "last_commit", lambda *_: seen)
+        put(three)
+    assert warehouse.last_commit(spark, store) == 3
+    sizes = lambda at=None: [warehouse.read_run(spark, store, "r", t, at).count() for t in ("a", "b")]
+    assert sizes() == [3, 3] and sizes(1) == [1, 1] and sizes(2) == [2, 2]
+    # A failure between two tables leaves the run as it was, and an orphan.
+    with pytest.raises(Exception, match="no_such_column"):
+        warehouse.store_run(spark, store, "r", {"a": two, "b": two.withColumn("x", F.expr("raise_error('no_such_column')"))}, {}, [])
+    assert sizes() == [3, 3] and warehouse.last_commit(spark, store) == 3
+    assert warehouse.remove_orphans(spark, store) == []
+    gone = warehouse.remove_orphans(spark, store, older_than_hours=-1, keep_from=2)
+    assert len(gone) == 4 and sizes() == [3, 3] and sizes(2) == [2, 2]
+    put(two)
+    assert sizes() == [2, 2] and warehouse.last_commit(spark, store) == 4
+
+
 def test_codes_to_map_lead_the_issues_and_are_among_the_alerts(spark, tmp_path):
     (tmp_path / "log.csv").write_text("uid,event_time,event_name\nu1,2026-05-28 10:00:00,510101\nu1,2026-05-28 10:01:00,570202\n")
     got = pipeline.run_pipeline(spark, [tmp_path / "log.csv"], tmp_path / "out")
