@@ -13,7 +13,7 @@ Frequent phrases are numbered within their level, so a longer phrase is named
 exactly by two numbers: that of all its words but the last and that of all but
 the first. Most pairs of numbers are rare, and are ruled out before they are
 counted one by one: the lengths of lists are first added up in hash buckets,
-twice as many as there are words, which travel as three bytes for each list. A
+twice as many as there are words, which travel as some three bytes for each list. A
 phrase in a bucket that doesn't reach the least frequency can't reach it
 either. Of the others the numbers and counts are shuffled and added up exactly,
 and the numbers of frequent phrases go back to the blocks that hold them. Every
@@ -51,14 +51,56 @@ UNKNOWN = "und"
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _ONE_END = bytes.maketrans(_ENDS, b"\n" * len(_ENDS))
 
-BLOCK = "block long, lang string, words array<string>, counts array<int>, positions array<int>"
-LISTS = "block long, heads array<long>, tails array<long>, counts array<int>, positions array<int>"
-SURE = "block long, numbers array<long>, counts array<int>, positions array<int>, packets array<struct<range: long, entries: binary>>"
+#: Lists of a packet of lengths, at least, in a block of the usual size. Ranges of
+#: buckets are as few as that asks for, so larger inputs want larger blocks.
+PACKET = 512
+#: Buckets of a range that one task adds up at a time, where there are few.
+RANGE_BITS = 20
+
+# Position lists of a block, one after another, as differences in few bytes.
+BLOCK = "block long, lang string, words array<string>, counts array<int>, positions binary"
+LISTS = "block long, heads array<long>, tails array<long>, counts array<int>, positions binary"
+SURE = "block long, numbers array<long>, counts array<int>, positions binary, packets array<struct<range: long, offsets: binary, lengths: binary>>"
 HEAVY = "block long, range long, offsets binary"
-#: Buckets of a range, which one task adds up at a time: places of 16 bits.
-RANGE_BITS = 16
-#: A list in a packet: its bucket within the range, and its length or 255 if it is longer.
-ENTRY = np.dtype([("offset", "<u2"), ("count", "u1")])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in 7 bits to a byte; the last byte of each is below 128."""
+    x = x.astype(np.uint64)
+    size = np.ones(len(x), np.int64)
+    for bits in range(7, 64, 7):
+        size += x >= np.uint64(1 << bits)
+    out, starts = np.empty(size.sum(), np.uint8), np.cumsum(size) - size
+    for k in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > k)
+        out[starts[some] + k] = (x[some] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | np.where(size[some] > k + 1, 128, 0).astype(np.uint8)
+    return out.tobytes()
+
+
+def unpacked(data: bytes | np.ndarray) -> np.ndarray:
+    data = np.frombuffer(data, np.uint8) if isinstance(data, (bytes, bytearray, memoryview)) else data
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else ends
+    out = np.zeros(len(ends), np.int64)
+    for k in range(int((ends - starts).max(initial=-1)) + 1):
+        some = np.flatnonzero(ends - starts >= k)
+        out[some] |= (data[starts[some] + k] & np.uint8(127)).astype(np.int64) << (7 * k)
+    return out
+
+
+def steps(lists: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ascending lists, one after another, as differences within each."""
+    out = np.diff(lists, prepend=0)
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    out[starts] = lists[starts]
+    return out
+
+
+def summed(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What ``steps`` made differences of."""
+    whole = np.cumsum(found)
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    return whole - np.repeat(whole[starts] - found[starts], counts[counts > 0])
 
 
 class _Numbers(dict):
@@ -109,7 +151,7 @@ def blocks(df: DataFrame, text: str = "text", lang: str = "lang", block_words: i
             made += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([first + made - 1]), pa.array([of]), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                 pa.array([counts], pa.list_(pa.int32())), pa.array([positions], pa.list_(pa.int32()))],
+                 pa.array([counts], pa.list_(pa.int32())), pa.array([packed(steps(positions, counts))], pa.binary())],
                 ["block", "lang", "words", "counts", "positions"])
 
         for batch in batches:
@@ -163,30 +205,56 @@ def _lists(*columns: tuple[np.ndarray, pa.DataType]) -> list[pa.Array]:
     return [pa.array([x], pa.list_(kind)) for x, kind in columns]
 
 
-def _arrays(batch: pa.RecordBatch, row: int, columns: range) -> list[np.ndarray]:
+def _arrays(batch: pa.RecordBatch, row: int, *columns: int) -> list[np.ndarray]:
     return [batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in columns]
 
 
-def sure(lists: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
+def _binaries(parts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes cut at ``ends``."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(parts.tobytes())])
+
+
+def _grouped(x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, counts) of equal ``keys`` that stand together."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(x)))
+
+
+def _packed_lists(lists: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Each ascending list as packed differences; no list is empty."""
+    data = np.frombuffer(packed(steps(lists, counts)), np.uint8)
+    return _binaries(data, (np.flatnonzero(data < 128) + 1)[np.cumsum(counts) - 1] if len(counts) else counts)
+
+
+def _unpacked_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, counts) of packed differences."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0]: at[-1]]
+    counts = np.add.reduceat((data < 128).astype(np.int64), at[:-1] - at[0])
+    return summed(unpacked(data), counts), counts
+
+
+def sure(lists: DataFrame, frequent: DataFrame, bits: int, range_bits: int) -> DataFrame:
     """The lists of frequent phrases, from (block, which, number), and packets
     of the lengths of the lists that adjacent ones would make."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                counts, positions, which, numbers = _arrays(batch, i, range(1, 5))
-                own = kept(counts, positions, which)
+                counts, which, numbers = _arrays(batch, i, 1, 3, 4)
+                own = kept(counts, summed(unpacked(batch.column(2)[i].as_py()), counts), which)
                 heads, tails, found, _ = adjacent(numbers, *own)
                 at = buckets(heads, tails, bits)
                 order = np.argsort(at, kind="stable")
-                ranges, entries = at[order] >> RANGE_BITS, np.zeros(len(at), ENTRY)
-                entries["offset"], entries["count"] = at[order] & ((1 << RANGE_BITS) - 1), np.minimum(found[order], 255)
-                starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(at) else np.zeros(0, np.int64)
-                ends = np.append(starts, len(at)).astype(np.int32) * ENTRY.itemsize
+                at, found = at[order], found[order]
+                starts, size = _grouped(at, at >> range_bits)
+                lengths = np.minimum(found, 255).astype(np.uint8)
                 packets = pa.StructArray.from_arrays(
-                    [pa.array(ranges[starts]), pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entries.tobytes())])],
-                    ["range", "entries"])
+                    [pa.array(at[starts] >> range_bits), _packed_lists(at & ((1 << range_bits) - 1), size), _binaries(lengths, np.cumsum(size))],
+                    ["range", "offsets", "lengths"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), *_lists((numbers, pa.int64()), (own[0], pa.int32()), (own[1], pa.int32())),
+                    [batch.column(0).slice(i, 1), *_lists((numbers, pa.int64()), (own[0], pa.int32())), pa.array([packed(steps(own[1], own[0]))], pa.binary()),
                      pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), packets)],
                     ["block", "numbers", "counts", "positions", "packets"])
 
@@ -197,42 +265,38 @@ def sure(lists: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
 
 def heavy(packets: DataFrame, frequent: int) -> DataFrame:
     """(block, range, offsets): the buckets of each block that may hold a
-    frequent phrase, from (block, range, entries)."""
+    frequent phrase, from (block, range, offsets, lengths)."""
+    # A list of 255 or more reaches any bound that is held against it.
     least = min(frequent, 255)
 
     def each(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        entries = table.column("entries").chunk(0) if len(table) else pa.array([], pa.binary())
-        lengths = np.diff(np.frombuffer(entries.buffers()[1], np.int32)[entries.offset: entries.offset + len(entries) + 1]) // ENTRY.itemsize
-        first = np.frombuffer(entries.buffers()[1], np.int32)[entries.offset]
-        flat = np.frombuffer(entries.buffers()[2], np.uint8)[first: first + lengths.sum() * ENTRY.itemsize].view(ENTRY)
-        # A list of 255 or more reaches any bound that is held against it.
-        reached = np.bincount(flat["offset"], flat["count"], 1 << RANGE_BITS) >= least
-        mask = reached[flat["offset"]]
-        rows = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[mask], minlength=len(lengths))
+        found, counts = _unpacked_lists(table.column("offsets").chunk(0))
+        lengths = np.frombuffer(b"".join(table.column("lengths").to_pylist()), np.uint8)
+        order = np.argsort(found, kind="stable")
+        starts, size = _grouped(found, found[order])
+        reached = np.zeros(len(found), bool)
+        reached[order] = np.repeat(np.add.reduceat(lengths[order].astype(np.int64), starts) >= least, size)
+        rows = np.bincount(np.repeat(np.arange(len(counts)), counts)[reached], minlength=len(counts))
         some = np.flatnonzero(rows)
-        ends = np.append(0, np.cumsum(rows[some])).astype(np.int32) * 2
-        offsets = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat["offset"][mask].tobytes())])
-        chosen = table.select(["block", "range"]).take(pa.array(some))
-        return chosen.append_column("offsets", offsets)
+        return table.select(["block", "range"]).take(pa.array(some)).append_column("offsets", _packed_lists(found[reached], rows[some]))
 
     return packets.groupBy("range").applyInArrow(each, HEAVY)
 
 
-def extended(own: DataFrame, allowed: DataFrame, bits: int) -> DataFrame:
+def extended(own: DataFrame, allowed: DataFrame, bits: int, range_bits: int) -> DataFrame:
     """The lists of the next level: of adjacent ones, those in heavy buckets."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                heads, tails, counts, positions = adjacent(*_arrays(batch, i, range(1, 4)))
-                ranges = batch.column(4)[i].values.to_numpy(zero_copy_only=False)
-                inside = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(5)[i].values]
-                there = np.concatenate([(r << RANGE_BITS) + x.astype(np.int64) for r, x in zip(ranges.tolist(), inside, strict=True)])
-                which = np.flatnonzero(np.isin(buckets(heads, tails, bits), there))
-                counts, positions = kept(counts, positions, which)
+                numbers, counts, ranges = _arrays(batch, i, 1, 2, 4)
+                heads, tails, found, positions = adjacent(numbers, counts, summed(unpacked(batch.column(3)[i].as_py()), counts))
+                offsets, size = _unpacked_lists(batch.column(5)[i].values)
+                which = np.flatnonzero(np.isin(buckets(heads, tails, bits), (np.repeat(ranges, size) << range_bits) + offsets))
+                found, positions = kept(found, positions, which)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), *_lists((heads[which], pa.int64()), (tails[which], pa.int64()), (counts, pa.int32()), (positions, pa.int32()))],
-                    ["block", "heads", "tails", "counts", "positions"])
+                    [batch.column(0).slice(i, 1), *_lists((heads[which], pa.int64()), (tails[which], pa.int64()), (found, pa.int32())),
+                     pa.array([packed(steps(positions, found))], pa.binary())], ["block", "heads", "tails", "counts", "positions"])
 
     known = allowed.groupBy("block").agg(F.collect_list(F.struct("range", "offsets")).alias("known"))
     return own.select("block", "numbers", "counts", "positions").join(known, "block").select(
@@ -262,6 +326,7 @@ def levels(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     total = cut(lists.select("lang", in_block.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "phrase-totals")
     words = total.agg(F.sum("n")).first()[0] or 0
     bits = max(RANGE_BITS, (2 * words).bit_length())
+    range_bits = max(RANGE_BITS, bits - (max(block_words // PACKET, 1)).bit_length())
     entries = frequent_entries(lists.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("which", "x")).select(
         "block", "lang", "which", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c")), ["lang", "phrase"], frequent)
     nobody = F.lit(None).cast("long")
@@ -269,11 +334,11 @@ def levels(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
         "lang", "phrase", F.col("phrase").alias("last"), "f", "number", nobody.alias("head"), nobody.alias("tail")), "phrase-level")]
     for _ in range(longest - 1):
         before, known = lists, entries
-        own = cut(sure(before, known.select("block", "which", "number"), bits), "phrase-sure")
+        own = cut(sure(before, known.select("block", "which", "number"), bits, range_bits), "phrase-sure")
         discard(before)
         discard(known)
-        allowed = heavy(own.select("block", F.explode("packets").alias("p")).select("block", "p.range", "p.entries"), frequent)
-        lists = cut(extended(own, allowed, bits), "phrase-lists")
+        allowed = heavy(own.select("block", F.explode("packets").alias("p")).select("block", "p.range", "p.offsets", "p.lengths"), frequent)
+        lists = cut(extended(own, allowed, bits, range_bits), "phrase-lists")
         discard(own)
         entries = frequent_entries(lists.select("block", F.posexplode(F.arrays_zip("heads", "tails", "counts")).alias("which", "x")).select(
             "block", "which", F.col("x.heads").alias("head"), F.col("x.tails").alias("tail"), F.col("x.counts").alias("c")), ["head", "tail"], frequent)
