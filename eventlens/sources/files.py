@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import re
 import zipfile
@@ -140,11 +141,14 @@ def _uri(spark: SparkSession, path: str) -> str:
 
 
 def header_of(lines: list[str], sep: str) -> tuple[str, ...]:
+    return header_of_cells(next(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep), []))
+
+
+def header_of_cells(header: list[str | None]) -> tuple[str, ...]:
     """Column names as they are written; ones that repeat but for case are
     numbered."""
-    header = next(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep), [])
     names, seen = [], {}
-    for name in (h.strip() or f"column{i}" for i, h in enumerate(header)):
+    for name in ((h or "").strip() or f"column{i}" for i, h in enumerate(header)):
         n = seen[name.lower()] = seen.get(name.lower(), -1) + 1
         names.append(name if not n else f"{name}_{n}")
     return tuple(names)
@@ -247,60 +251,96 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheets(content: bytes) -> dict[str, list[list[str | None]]]:
-    """Rows of every sheet of an .xlsx workbook, as text."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in s.iterfind(".//m:t", _XML)) for s in root.iterfind("m:si", _XML)]
-        dated: set[int] = set()
+class Workbook:
+    """An .xlsx workbook whose sheets are read row by row.
+
+    Only its shared strings and styles are held; a sheet's XML is read as it is
+    unpacked, and each row is let go once it is told.
+    """
+
+    def __init__(self, content: bytes) -> None:
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        names = self.zip.namelist()
+        self.shared = list(self._shared()) if "xl/sharedStrings.xml" in names else []
+        self.dated: set[int] = set()
         if "xl/styles.xml" in names:
-            styles = ElementTree.fromstring(z.read("xl/styles.xml"))
+            styles = ElementTree.fromstring(self.zip.read("xl/styles.xml"))
             own = {int(f.get("numFmtId")) for f in styles.iterfind(".//m:numFmt", _XML) if any(c in (f.get("formatCode") or "").lower() for c in ("yy", "hh", "dd"))}
             kinds = [int(x.get("numFmtId", 0)) for x in styles.iterfind("m:cellXfs/m:xf", _XML)]
-            dated = {i for i, k in enumerate(kinds) if 14 <= k <= 22 or k in own}
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = {}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", _XML):
-            target = targets[sheet.get(_REL)].lstrip("/")
-            rows = []
-            for row in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iterfind(".//m:row", _XML):
-                cells: dict[int, str | None] = {}
-                for i, c in enumerate(row.iterfind("m:c", _XML)):
-                    value, kind = c.findtext("m:v", None, _XML), c.get("t")
-                    if kind == "s" and value is not None:
-                        value = shared[int(value)]
-                    elif kind == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iterfind(".//m:t", _XML))
-                    elif value is not None and kind in (None, "n") and int(c.get("s", 0)) in dated:
-                        value = (datetime(1899, 12, 30) + timedelta(days=float(value))).isoformat(sep=" ", timespec="seconds")
-                    cells[_column(c.get("r")) if c.get("r") else i] = value
-                rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-            out[sheet.get("name")] = rows
-        return out
-
-
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for content in batch["content"]:
-            for order, (sheet, rows) in enumerate(sheets(content).items()):
-                yield pd.DataFrame({"place": order, "sheet": sheet, "row": range(len(rows)), "cells": rows})
+            self.dated = {i for i, k in enumerate(kinds) if 14 <= k <= 22 or k in own}
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
+        listed = ElementTree.fromstring(self.zip.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", _XML)
+        self.sheets = [(s.get("name"), self._inside(targets[s.get(_REL)].lstrip("/"))) for s in listed]
+
+    @staticmethod
+    def _inside(target: str) -> str:
+        return target if target.startswith("xl/") else f"xl/{target}"
+
+    def _elements(self, name: str, tag: str) -> Iterator[ElementTree.Element]:
+        with self.zip.open(name) as stream:
+            path: list[ElementTree.Element] = []
+            for event, element in ElementTree.iterparse(stream, ("start", "end")):
+                if event == "start":
+                    path.append(element)
+                    continue
+                path.pop()
+                if element.tag == f"{{{_XML['m']}}}{tag}":
+                    yield element
+                    if path:
+                        path[-1].clear()
+
+    def _shared(self) -> Iterator[str]:
+        for entry in self._elements("xl/sharedStrings.xml", "si"):
+            yield "".join(t.text or "" for t in entry.iterfind(".//m:t", _XML))
+
+    def _value(self, cell: ElementTree.Element) -> str | None:
+        value, kind = cell.findtext("m:v", None, _XML), cell.get("t")
+        if kind == "s" and value is not None:
+            return self.shared[int(value)]
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in cell.iterfind(".//m:t", _XML))
+        if value is not None and kind in (None, "n") and int(cell.get("s", 0)) in self.dated:
+            return (datetime(1899, 12, 30) + timedelta(days=float(value))).isoformat(sep=" ", timespec="seconds")
+        return value
+
+    def rows(self, place: int) -> Iterator[list[str | None]]:
+        """The rows of the sheet at ``place``, as text."""
+        for row in self._elements(self.sheets[place][1], "row"):
+            cells = {_column(c.get("r")) if c.get("r") else i: self._value(c) for i, c in enumerate(row.iterfind("m:c", _XML))}
+            yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+
+
+#: Rows of a sheet that a task hands on at a time.
+SHEET_BATCH = 5000
 
 
 def read_workbook(spark: SparkSession, path: str) -> list[DataFrame]:
-    """A frame for every sheet. The workbook is opened in a task, and only the
-    headers of its sheets come to the driver."""
+    """A frame for every sheet, each read by a task of its own. Only the names
+    and headers of sheets come to the driver."""
     if suffix(path) == ".xls":
         raise ValueError(f"the old .xls format isn't supported: {path}")
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(
-        _cells, "place int, sheet string, row long, cells array<string>")
+    content = spark.read.format("binaryFile").load(path).select("content")
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                book = Workbook(data)
+                yield pd.DataFrame([(i, name, next(book.rows(i), None)) for i, (name, _) in enumerate(book.sheets)], columns=["place", "sheet", "cells"])
+
+    def body_of(place: int):
+        def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for data in batch["content"]:
+                    rows = itertools.islice(Workbook(data).rows(place), 1, None)
+                    while part := list(itertools.islice(rows, SHEET_BATCH)):
+                        yield pd.DataFrame({"cells": part})
+        return body
+
     out = []
-    for head in rows.where("row = 0").orderBy("place").collect():
-        names = [h or f"column{i}" for i, h in enumerate(head.cells)]
-        body = rows.where((F.col("place") == head.place) & (F.col("row") > 0))
-        out.append(body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], F.col("sheet").alias("_source_sheet")))
+    for head in content.mapInPandas(heads, "place int, sheet string, cells array<string>").where("cells is not null").orderBy("place").collect():
+        names = header_of_cells(head.cells)
+        rows = content.mapInPandas(body_of(head.place), "cells array<string>")
+        out.append(rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], F.lit(head.sheet).alias("_source_sheet")))
     return out
 
 

@@ -125,6 +125,19 @@ def test_workbook(spark, tmp_path):
         files.read_workbook(spark, str(tmp_path / "old.xls"))
 
 
+def test_sheets_are_read_row_by_row(tmp_path):
+    """A large sheet takes little more memory than a small one."""
+    import tracemalloc
+
+    _workbook(tmp_path / "log.xlsx", [["e_code", "user_id"], *([f"code {i}", str(i)] for i in range(60_000))])
+    book, n = files.Workbook((tmp_path / "log.xlsx").read_bytes()), 0
+    tracemalloc.start()
+    for n, row in enumerate(book.rows(0)):
+        assert row == (["e_code", "user_id"] if n == 0 else [f"code {n - 1}", str(n - 1)])
+    assert n == 60_000 and tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+
+
 def test_roles_by_name_and_value(spark):
     columns = ("acct", "log_at", "content", "sku", "krw", "queue_seconds", "state")
     found = roles.infer(roles.profile(spark.createDataFrame([("x",) * 7], ", ".join(f"{c} string" for c in columns))))
