@@ -5,7 +5,8 @@ length and commas and pass the points to their ancestors, less to each further
 one; a container's points are discounted by the share of its text that is
 links, and weighed by what its tag, name and class say. The best container is
 kept, with those of its siblings that score like it, its other prose and the
-text that lies beside it. Where the best container lies in an ``article`` or
+text that lies beside it; of equal scores the container that begins first is
+best. A short sibling that says what notices say isn't kept. Where the best container lies in an ``article`` or
 ``main`` element, that element is the container, since an article may be laid
 out in sections; further articles beside it are kept too.
 
@@ -52,6 +53,9 @@ _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s
 _NAMING = re.compile(r"\b(?:class|id|role|itemprop|aria-hidden|style|hidden)\b", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 
+#: What notices say, whatever their elements are called.
+NOTICES = re.compile(r"\b(?:(?:we|site|page|website) uses? cookies|cookie (?:policy|settings|consent)|accept (?:all )?cookies|privacy policy|subscribe (?:to|now)|"
+                     r"(?:our|the|a) newsletter|sign up (?:for|to|now)|sponsored (?:by|content)|advertisement)\b", re.I)
 # Tags by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
@@ -260,6 +264,13 @@ def _is_prose(text: str) -> bool:
     return len(text) >= 40 or text.endswith((".", "!", "?"))
 
 
+def _is_notice(node: Node) -> bool:
+    """Whether a container beside the article, of a few short blocks and
+    without a good name, says what notices of sites say."""
+    short = node.chars < 300 and node.scored <= 2 and not node.words & GOOD_WORDS
+    return short and bool(NOTICES.search(_text([node])))
+
+
 def _kept(nodes: list[Node]) -> list[Node | str]:
     """The best container and what lies beside it and belongs with it."""
     best, most = nodes[0], _score(nodes[0]) / 2
@@ -287,7 +298,7 @@ def _kept(nodes: list[Node]) -> list[Node | str]:
             alike = other.points and _score(other) >= 0.2 * most
             prose = other.tag in (HEADINGS if page and article else SIBLINGS) and other.density < 0.25
             also = article and other.tag == best.tag and other.density < 0.5
-            take = other is best or alike or prose or also
+            take = other is best or (prose or ((alike or also) and not (other.tag in CONTAINERS and _is_notice(other))))
         if take:
             kept.append(other)
     return kept

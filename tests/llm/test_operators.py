@@ -381,6 +381,40 @@ def test_articles_of_all_pages_are_found(duck):
     assert all(pages.main_text(page) == want for page, want in articles(duck))
 
 
+@pytest.mark.parametrize("notice", [
+    "<div class='x1'><p>We use cookies, and so on, to make this site better, for you, and for others.</p></div>",
+    "<section><p>Sign up for our newsletter, it is free, short, and fun to read.</p></section>", "<div><div><p>Read our privacy policy, please, now.</p></div></div>"])
+def test_notices_without_a_name_are_left_out(notice):
+    article = "<div id='b7'><p>One, two, three, and more of the text of it.</p><p>Four, five, and six of it, too.</p></div>"
+    want = "One, two, three, and more of the text of it. Four, five, and six of it, too."
+    assert pages.main_text(notice + article) == pages.main_text(article + notice) == want
+    inside = "<div id='b7'><p>We use cookies, one, two, three, in the kitchen, for tea.</p><p>Four, five, and six of it, too.</p></div>"
+    assert pages.main_text(inside).startswith("We use cookies, one")
+
+
+def test_points_equal_a_sum_over_all_blocks(spark):
+    """Each container's points, worked out block by block from the rule."""
+    checked = 0
+    for (page,) in spark.read.parquet(f"{DATA}/pages.parquet").select("html").limit(40).collect():
+        nodes = pages.parse(page)
+        pages._measure(nodes, names=False)
+        for node in nodes:
+            if node.out or node.tag not in pages.CONTAINERS:
+                continue
+            points = 0.0
+            for block in nodes:
+                if block.out or not (block.tag in pages.PARAGRAPHS or (block.own > 0 and block.tag in pages.CONTAINERS)):
+                    continue
+                at, steps = block if block.tag in pages.CONTAINERS else block.parent, 0
+                while at is not None and at is not node:
+                    at, steps = at.parent, steps + 1
+                if at is node and 0.5 ** steps > 0.1:
+                    points += (1 + block.commas + min(block.own / 100, 3)) * 0.5 ** steps
+            assert node.points == pytest.approx(points)
+            checked += 1
+    assert checked > 100
+
+
 @pytest.mark.parametrize("tag", ["div", "div class=content", "section id=story", "div class='post has-sidebar'"])
 def test_the_score_finds_them_without_their_tags(duck, tag):
     for page, want in articles(duck):
