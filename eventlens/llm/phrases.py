@@ -15,8 +15,9 @@ the first. Most pairs of numbers are rare, and are ruled out before they are
 counted one by one: the lengths of lists are first added up in hash buckets,
 twice as many as there are words, which travel as some three bytes for each list. A
 phrase in a bucket that doesn't reach the least frequency can't reach it
-either. Of the others the numbers and counts are shuffled and added up exactly,
-and the numbers of frequent phrases go back to the blocks that hold them. Every
+either. Of the others the numbers and counts travel, packed alike, and are added
+up exactly, and the numbers of frequent phrases go back to the blocks that hold
+them. Every
 block is of bounded size, unless one text alone is larger; nothing that grows
 with the input is broadcast or gathered.
 
@@ -59,7 +60,10 @@ RANGE_BITS = 20
 
 # Position lists of a block, one after another, as differences in few bytes.
 BLOCK = "block long, lang string, words array<string>, counts array<int>, positions binary"
-LISTS = "block long, heads array<long>, tails array<long>, counts array<int>, positions binary"
+LISTS = ("block long, counts array<int>, positions binary, "
+         "packets array<struct<range: long, which: binary, heads: binary, tails: binary, counts: binary>>")
+#: Of a range: what a block has of its frequent phrases, or, without a block, the phrases themselves.
+COUNTED = "block long, which binary, numbers binary, heads binary, tails binary, f binary"
 SURE = "block long, numbers array<long>, counts array<int>, positions binary, packets array<struct<range: long, offsets: binary, lengths: binary>>"
 HEAVY = "block long, range long, offsets binary"
 
@@ -226,6 +230,12 @@ def _packed_lists(lists: np.ndarray, counts: np.ndarray) -> pa.Array:
     return _binaries(data, (np.flatnonzero(data < 128) + 1)[np.cumsum(counts) - 1] if len(counts) else counts)
 
 
+def _packed_each(x: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Whole numbers as they are, ``counts`` to a row; no row is empty."""
+    data = np.frombuffer(packed(x), np.uint8)
+    return _binaries(data, (np.flatnonzero(data < 128) + 1)[np.cumsum(counts) - 1] if len(counts) else counts)
+
+
 def _unpacked_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(lists, counts) of packed differences."""
     if not len(column):
@@ -237,12 +247,13 @@ def _unpacked_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sure(lists: DataFrame, frequent: DataFrame, bits: int, range_bits: int) -> DataFrame:
-    """The lists of frequent phrases, from (block, which, number), and packets
+    """The lists of frequent phrases, from (block, which, numbers), and packets
     of the lengths of the lists that adjacent ones would make."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                counts, which, numbers = _arrays(batch, i, 1, 3, 4)
+                (counts,) = _arrays(batch, i, 1)
+                which, numbers = (np.concatenate([unpacked(x) for x in batch.column(k)[i].as_py()]) for k in (3, 4))
                 own = kept(counts, summed(unpacked(batch.column(2)[i].as_py()), counts), which)
                 heads, tails, found, _ = adjacent(numbers, *own)
                 at = buckets(heads, tails, bits)
@@ -258,9 +269,9 @@ def sure(lists: DataFrame, frequent: DataFrame, bits: int, range_bits: int) -> D
                      pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), packets)],
                     ["block", "numbers", "counts", "positions", "packets"])
 
-    known = frequent.groupBy("block").agg(F.collect_list(F.struct("which", "number")).alias("known"))
+    known = frequent.groupBy("block").agg(F.collect_list(F.struct("which", "numbers")).alias("known"))
     return lists.select("block", "counts", "positions").join(known, "block").select(
-        "block", "counts", "positions", F.col("known.which").alias("which"), F.col("known.number").alias("number")).mapInArrow(each, SURE)
+        "block", "counts", "positions", F.col("known.which").alias("which"), F.col("known.numbers").alias("numbers")).mapInArrow(each, SURE)
 
 
 def heavy(packets: DataFrame, frequent: int) -> DataFrame:
@@ -294,27 +305,88 @@ def extended(own: DataFrame, allowed: DataFrame, bits: int, range_bits: int) ->
                 offsets, size = _unpacked_lists(batch.column(5)[i].values)
                 which = np.flatnonzero(np.isin(buckets(heads, tails, bits), (np.repeat(ranges, size) << range_bits) + offsets))
                 found, positions = kept(found, positions, which)
+                heads, tails = heads[which], tails[which]
+                ranges = buckets(heads, tails, bits) >> range_bits
+                order = np.argsort(ranges, kind="stable")
+                starts, size = _grouped(order, ranges[order])
+                packets = pa.StructArray.from_arrays(
+                    [pa.array(ranges[order][starts]), _packed_lists(order, size), *(_packed_each(x[order], size) for x in (heads, tails, found))],
+                    ["range", "which", "heads", "tails", "counts"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), *_lists((heads[which], pa.int64()), (tails[which], pa.int64()), (found, pa.int32())),
-                     pa.array([packed(steps(positions, found))], pa.binary())], ["block", "heads", "tails", "counts", "positions"])
+                    [batch.column(0).slice(i, 1), *_lists((found, pa.int32())), pa.array([packed(steps(positions, found))], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), packets)], ["block", "counts", "positions", "packets"])
 
     known = allowed.groupBy("block").agg(F.collect_list(F.struct("range", "offsets")).alias("known"))
     return own.select("block", "numbers", "counts", "positions").join(known, "block").select(
         "block", "numbers", "counts", "positions", F.col("known.range").alias("range"), F.col("known.offsets").alias("offsets")).mapInArrow(each, LISTS)
 
 
-def frequent_entries(entries: DataFrame, by: list[str], least: int) -> DataFrame:
-    """A level's entries (block, which, c) whose phrase, named by ``by``, is
-    frequent, with its frequency ``f`` and its number; the first entry of a
-    phrase has ``first``.
+def counted(packets: DataFrame, frequent: int) -> DataFrame:
+    """Phrases of (block, range, which, heads, tails, counts) added up exactly:
+    the frequent ones of each block with their numbers, and the phrases."""
+    def each(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        flat = {name: unpacked(b"".join(table.column(name).to_pylist())) for name in ("heads", "tails", "counts")}
+        which, rows = _unpacked_lists(table.column("which").chunk(0))
+        order = np.lexsort((flat["tails"], flat["heads"]))
+        heads, tails = flat["heads"][order], flat["tails"][order]
+        opens = np.concatenate([[True], (heads[1:] != heads[:-1]) | (tails[1:] != tails[:-1])])
+        starts = np.flatnonzero(opens)
+        f = np.add.reduceat(flat["counts"][order], starts)
+        some = f >= frequent
+        # Numbers of a range begin where no other range's do.
+        number = (np.int64(table.column("range")[0].as_py()) << 32) + np.cumsum(some) - 1
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(opens) - 1
+        mask = some[place]
+        own = np.bincount(np.repeat(np.arange(len(rows)), rows)[mask], minlength=len(rows))
+        there = np.flatnonzero(own)
+        parts = [table.column("block").take(pa.array(there)).combine_chunks(), _packed_each(which[mask], own[there]), _packed_each(number[place[mask]], own[there])]
+        nothing = pa.nulls(len(there), pa.binary())
+        blocks_of = pa.table([*parts, nothing, nothing, nothing], names=["block", "which", "numbers", "heads", "tails", "f"])
+        told = pa.table([pa.array([None], pa.int64()), pa.array([None], pa.binary()), *(pa.array([packed(x[some])], pa.binary()) for x in (
+            number, heads[starts], tails[starts], f))], names=blocks_of.column_names)
+        return pa.concat_tables([blocks_of, told] if some.any() else [blocks_of])
+
+    return packets.groupBy("range").applyInArrow(each, COUNTED)
+
+
+def _phrases(found: DataFrame) -> DataFrame:
+    """(head, tail, f, number) of what ``counted`` tells of phrases."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(c[i].as_py())) for c in batch.columns], ["head", "tail", "f", "number"])
+
+    return found.where("block is null").select("heads", "tails", "f", "numbers").mapInArrow(each, "head long, tail long, f long, number long")
+
+
+def _packed_rows(rows: DataFrame) -> DataFrame:
+    """(block, which, numbers), packed, of rows of (block, which, number)."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, which, number = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.lexsort((which, block))
+            starts, size = _grouped(order, block[order])
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][starts]), _packed_each(which[order], size), _packed_each(number[order], size)],
+                                             ["block", "which", "numbers"])
+
+    return rows.select("block", "which", "number").mapInArrow(each, "block long, which binary, numbers binary")
+
+
+def frequent_words(lists: DataFrame, frequent: int) -> DataFrame:
+    """(block, which, number) of each block's words that are frequent in all;
+    the first of a word also has lang, phrase and its frequency ``f``.
 
-    A phrase has an entry in a block at most, so no phrase holds many of them,
-    and one dealing out by phrase gives both its sum and its number.
+    A word has one entry in a block, so no word holds many of them, and one
+    dealing out by word gives both its sum and its number.
     """
-    same = Window.partitionBy(*by)
-    each = entries.withColumn("entry", F.monotonically_increasing_id())
-    found = each.withColumns({"f": F.sum("c").over(same), "number": F.min("entry").over(same)}).where(F.col("f") >= least)
-    return cut(found.withColumn("first", F.col("entry") == F.col("number")).drop("entry", "c"), "phrase-entries")
+    entries = lists.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("which", "x")).select(
+        "block", "lang", "which", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c"), F.monotonically_increasing_id().alias("entry"))
+    same = Window.partitionBy("lang", "phrase")
+    found = entries.withColumns({"f": F.sum("c").over(same), "number": F.min("entry").over(same)}).where(F.col("f") >= frequent)
+    first = F.col("entry") == F.col("number")
+    return cut(found.select("block", "which", "number", *[F.when(first, F.col(c)).alias(c) for c in ("lang", "phrase", "f")]), "phrase-words")
 
 
 def levels(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, frequent: int = FREQUENT,
@@ -327,24 +399,24 @@ def levels(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     words = total.agg(F.sum("n")).first()[0] or 0
     bits = max(RANGE_BITS, (2 * words).bit_length())
     range_bits = max(RANGE_BITS, bits - (max(block_words // PACKET, 1)).bit_length())
-    entries = frequent_entries(lists.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("which", "x")).select(
-        "block", "lang", "which", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c")), ["lang", "phrase"], frequent)
+    entries = frequent_words(lists, frequent)
     nobody = F.lit(None).cast("long")
-    found = [cut(entries.where("first").select(
+    found = [cut(entries.where("f is not null").select(
         "lang", "phrase", F.col("phrase").alias("last"), "f", "number", nobody.alias("head"), nobody.alias("tail")), "phrase-level")]
+    known = _packed_rows(entries)
     for _ in range(longest - 1):
-        before, known = lists, entries
-        own = cut(sure(before, known.select("block", "which", "number"), bits, range_bits), "phrase-sure")
+        before, old = lists, entries
+        own = cut(sure(before, known, bits, range_bits), "phrase-sure")
         discard(before)
-        discard(known)
+        discard(old)
         allowed = heavy(own.select("block", F.explode("packets").alias("p")).select("block", "p.range", "p.offsets", "p.lengths"), frequent)
         lists = cut(extended(own, allowed, bits, range_bits), "phrase-lists")
         discard(own)
-        entries = frequent_entries(lists.select("block", F.posexplode(F.arrays_zip("heads", "tails", "counts")).alias("which", "x")).select(
-            "block", "which", F.col("x.heads").alias("head"), F.col("x.tails").alias("tail"), F.col("x.counts").alias("c")), ["head", "tail"], frequent)
+        entries = cut(counted(lists.select("block", F.explode("packets").alias("p")).select("block", "p.*"), frequent), "phrase-counted")
+        known = entries.where("block is not null").select("block", "which", "numbers")
         heads = found[-1].select(F.col("number").alias("of_head"), "lang", F.col("phrase").alias("start"))
         tails = found[-1].select(F.col("number").alias("of_tail"), "last")
-        spelt = entries.where("first").join(heads, F.col("head") == F.col("of_head")).join(tails, F.col("tail") == F.col("of_tail"))
+        spelt = _phrases(entries).join(heads, F.col("head") == F.col("of_head")).join(tails, F.col("tail") == F.col("of_tail"))
         found.append(cut(spelt.select("lang", F.concat_ws(" ", "start", "last").alias("phrase"), "last", "f", "number", "head", "tail"), "phrase-level"))
     discard(lists)
     discard(entries)
