@@ -72,7 +72,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Remove the files of a table of ``cut`` that nobody reads any more."""
-    spark = table.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table.sparkSession, folder)
+
+
+def _at(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, found = _at(spark, path)
+    return fs.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of one's own, if it is there."""
+    fs, found = _at(spark, path)
+    fs.delete(found, True)

@@ -447,10 +447,11 @@ def blocks(benchmark: DataFrame, most: int | None = None) -> list[DataFrame]:
     twice as many.
     """
     most = most or BLOCK_CHARS
-    laid = cut(_laid_out(benchmark), "benchmark")
+    # A row's number is written with it, so that every pass deals it alike.
+    laid = cut(_laid_out(benchmark).withColumn("row", F.monotonically_increasing_id()), "benchmark")
     n = 1
     while True:
-        placed = laid.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
+        placed = laid.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)))
         largest = placed.groupBy("block").agg(F.sum(F.length("body")).alias("n")).agg(F.max("n"), F.max("block")).first()
         if (largest[0] or 0) <= max(most, SEGMENT + PIECE):
             return [placed.where(F.col("block") == i).select("item_id", "body") for i in range(n)] if largest[0] else []

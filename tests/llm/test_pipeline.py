@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from eventlens.llm import decontaminate, mixing, quality, simhash
+from eventlens.llm import common, decontaminate, mixing, quality, simhash
 
 BY_NAME = dict(pipeline.STAGES)
 
@@ -88,7 +89,33 @@ def test_mixing_stage_repeats_rows_as_the_mix_says(spark, odd_docs):
     assert out.count() == mixing.mix(sized).agg(F.sum("copies")).first()[0]
 
 
-def test_run_equals_its_stages(spark):
-    got = pipeline.run(spark, DATA)
-    assert got.columns[-2:] == ["slot", "shard"] and got.count() > 0
+def test_run_equals_its_stages_and_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    docs, seen = spark.read.parquet(f"{DATA}/documents.parquet"), []
+    for i, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    want = sorted(map(tuple, docs.collect()))
+
+    def watched(i, stage, broken=()):
+        def run(*given):
+            seen.append(i)
+            if i in broken:
+                raise RuntimeError("lost")
+            return stage(*given)
+        return run
+
+    def staged(*broken):
+        monkeypatch.setattr(pipeline, "STAGES", [(n, watched(i, f, broken)) for i, (n, f) in enumerate(stages)])
+
+    stages, run_id = pipeline.STAGES, tmp_path.name
+    staged(3)
+    with pytest.raises(RuntimeError, match="lost"):
+        pipeline.run(spark, DATA, run_id)
+    staged()
+    got = pipeline.run(spark, DATA, run_id)
+    assert seen == [0, 1, 2, 3, 3, 4] and sorted(map(tuple, got.collect())) == want
+    assert got.columns[-2:] == ["slot", "shard"] and len(want) > 0
     assert decontaminate.leaks(got, spark.read.parquet(f"{DATA}/benchmark.parquet")).count() == 0
+    folder = f"{common.shared_dir(spark)}/eventlens/pipeline-{run_id}"
+    assert [common.exists(spark, f"{folder}/{i}") for i in range(4)] == [False, False, False, True]
+
