@@ -63,13 +63,24 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written as Parquet and read by the next."""
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """All stages in order, each written as Parquet and read by the next.
+
+    A stage's table is removed once the next one is written; the last one is
+    what the result reads. A run with a ``run_id`` that was broken off goes on
+    behind the last stage that it had written.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_dir(spark)}/eventlens/pipeline-{uuid.uuid4().hex}"
+    folder = f"{common.shared_dir(spark)}/eventlens/pipeline-{run_id or uuid.uuid4().hex}"
+    written = [i for i in range(len(STAGES) - 1) if common.exists(spark, f"{folder}/{i}/_SUCCESS")]
+    if written:
+        docs = spark.read.parquet(f"{folder}/{written[-1]}")
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        if written and i <= written[-1]:
+            continue
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        common.remove(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
