@@ -84,8 +84,9 @@ def normalized_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The synthetic log by event, with its first and last times."""
-    log = synthetic.synthetic_log(spark, 120_000)
+    """A synthetic row in place of each event, counted by event name."""
+    given = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"))
+    log = synthetic.patterned(given, synthetic.users_for(given.count()))
     return log.groupBy("event_name").agg(F.count("*").alias("events"), F.count_distinct("uid").alias("users"),
                                          F.sum("amount").cast("long").alias("amount"), F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"))
 
@@ -121,8 +122,9 @@ UNION ALL SELECT 'status', 'found', 2 UNION ALL SELECT 'validation', 'match', 0"
     "json_flatten": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS events FROM events GROUP BY 1",
     "normalized_export": W + " SELECT uid, ix AS user_event_index, session_id, event_raw, event_type, grp AS content_group FROM ev",
     "synthetic_events": "WITH p(i, event_name, amount) AS (VALUES " + ", ".join(f"({i}, '{p[0]}', {p[3]})" for i, p in enumerate(synthetic.PATTERNS)) + """),
-r AS (SELECT range AS id, TIMESTAMP '2026-05-28 00:00:00' + INTERVAL 1 SECOND * ((range // 10000) * 7 + (range % 10000) % 5) AS t FROM range(120000))
-SELECT event_name, count(*) AS events, count(DISTINCT id % 10000) AS users, CAST(sum(amount) AS BIGINT) AS amount,
+u AS (SELECT least(greatest(count(*) // 12, 10), 50000) AS users FROM events),
+r AS (SELECT event_id AS id, users, TIMESTAMP '2026-05-28 00:00:00' + INTERVAL 1 SECOND * ((event_id // users) * 7 + (event_id % users) % 5) AS t FROM events, u)
+SELECT event_name, count(*) AS events, count(DISTINCT id % users) AS users, CAST(sum(amount) AS BIGINT) AS amount,
   strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first_time, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last_time FROM r JOIN p ON p.i = r.id % 11 GROUP BY event_name""",
     "stream_sessions": f"""WITH {events.STD}, l AS (SELECT *, lag(ts) OVER (PARTITION BY uid ORDER BY ts, src) AS before FROM std),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR date_diff('second', before, ts) > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY ts, src) AS n FROM l)

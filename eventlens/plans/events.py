@@ -85,6 +85,15 @@ def session_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.session_facts(EV(spark, sf_dir)).withColumns(shown | {"revenue": F.round("revenue", 4)}).drop("content_groups")
 
 
+@query("session_durations", f"""WITH {ordered_sql(DAY // 2)} SELECT duration, count(*) AS sessions, CAST(sum(event_count) AS BIGINT) AS events FROM (SELECT event_count,
+  CASE WHEN duration_sec >= 3600 THEN (duration_sec // 3600) || 'h ' || (duration_sec % 3600 // 60) || 'm'
+    WHEN duration_sec >= 60 THEN (duration_sec // 60) || 'm ' || (duration_sec % 60) || 's' ELSE duration_sec || 's' END AS duration FROM ses) GROUP BY duration""")
+def session_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by their length, as a board tells it."""
+    found = facts.session_facts(EV(spark, sf_dir, DAY // 2))
+    return found.groupBy(diagnosis.duration_label(F.col("duration_sec")).alias("duration")).agg(F.count("*").alias("sessions"), F.sum("event_count").alias("events"))
+
+
 @query("session_content_path", f"""WITH {ordered_sql(DAY // 2)}, g AS (SELECT session_id, grp, min(ix) AS first FROM ev WHERE grp <> '' GROUP BY ALL)
 SELECT session_id, coalesce(p.path, '') AS path FROM (SELECT DISTINCT session_id FROM ev)
 LEFT JOIN (SELECT session_id, string_agg(grp, ' > ' ORDER BY first) AS path FROM g GROUP BY session_id) p USING (session_id)""")

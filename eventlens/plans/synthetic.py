@@ -23,19 +23,27 @@ PATTERNS = (
 )
 
 
-def synthetic_log(spark: SparkSession, rows: int, users: int | None = None) -> DataFrame:
-    """Raw rows by formula, made in parallel."""
-    users = users or min(max(rows // 12, 10), 50_000)
+def users_for(rows: int) -> int:
+    return min(max(rows // 12, 10), 50_000)
+
+
+def patterned(ids: DataFrame, users: int) -> DataFrame:
+    """A raw row by formula for each ``id``, counted from 0."""
     row = F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(
         ("event_name", "content_id", "product_id", "amount", "duration_sec", "wait_time_sec", "result"), p, strict=True)])
         for p in PATTERNS]), (F.col("id") % len(PATTERNS) + 1).cast("int"))
     user, turn = F.col("id") % users, F.floor(F.col("id") / users)
     at = F.timestamp_seconds(F.lit(1_779_926_400) + turn * 7 + user % 5)
-    return spark.range(rows).select(
+    return ids.select(
         F.col("id").alias("_src"), F.format_string("u%06d", user).alias("uid"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("event_time"),
         row.alias("r")).select("_src", "uid", "event_time", "r.*")
 
 
+def synthetic_log(spark: SparkSession, rows: int, users: int | None = None) -> DataFrame:
+    """Raw rows by formula, made in parallel."""
+    return patterned(spark.range(rows), users or users_for(rows))
+
+
 def timed(build) -> float:
     start = time.perf_counter()
     build()
