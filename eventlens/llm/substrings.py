@@ -53,8 +53,14 @@ GATHER = 1 << 18
 #: Buckets for each shuffle partition, and bytes of text for a bucket at most.
 BUCKETS = 4
 BUCKET_BYTES = 1 << 24
-#: Different suffixes of one gram in a gather from which they are split up.
-HOT = 1 << 10
+#: Different suffixes of one gram in a gather from which they are split up, at
+#: most and at least: the more gathers there are, the fewer, so that what they
+#: leave of a gram is about what a task holds.
+HOT, LEAST_HOT = 1 << 10, 4
+#: Suffixes of a bucket that a task holds before it settles what it can.
+HELD = 1 << 21
+#: Bytes of text to a suffix, about.
+BYTES_TO_SUFFIX = 20
 
 _TOKENS = scramble(np.arange(1, 257, dtype=np.uint64))
 #: Bucket identifiers travel as 48 bits.
@@ -170,10 +176,7 @@ def _send(parts: list[Suffixes], buckets: int, hot_from: int | None) -> Iterator
         if hot.any():
             split = rest.take(hot)
             yield _pack(split, _spread(split, buckets), SPLIT)
-            told = split.take(np.flatnonzero(_opens(split.bucket)))
-            none = np.zeros(len(told.doc), np.int64)
-            told = told._replace(doc=none + _NOBODY, print=none, start=none, count=none)
-            rest = _together([rest.take(~hot), told])
+            rest = _together([rest.take(~hot), _mark(split)])
     yield _pack(rest, _dealt(rest, hot_from is not None) % buckets, OPEN)
 
 
@@ -222,10 +225,34 @@ def _settle(parts: list[Suffixes], descend: bool) -> Iterator[pa.RecordBatch]:
         yield _found(rest.take(split), mixed=True)
 
 
-def _deal(packed: DataFrame, descend: bool) -> DataFrame:
+def _ease(parts: list[Suffixes], hot_from: int | None) -> tuple[list[pa.RecordBatch], Suffixes]:
+    """What can be told of a large bucket before all of it has come, and what
+    has to be kept: of each string its first document, and of grams with many
+    strings only a mark, for these are told apart as single strings."""
+    x, first = _refine(_together(parts))
+    later = (x.doc > first) & (x.count > 0)
+    out, rest = [_found(x.take(later), mixed=False)] if later.any() else [], x.take(~later)
+    if hot_from is not None:
+        which = np.cumsum(_opens(rest.bucket)) - 1
+        hot = (np.bincount(which) > hot_from)[which]
+        if hot.any():
+            split = rest.take(hot & (rest.count > 0))
+            out.append(_found(split, mixed=True))
+            rest = _together([rest.take(~hot), _mark(split)])
+    return out, rest
+
+
+def _mark(split: Suffixes) -> Suffixes:
+    """A row for each bucket of ``split`` that says it was split elsewhere."""
+    told = split.take(np.flatnonzero(_opens(split.bucket)))
+    none = np.zeros(len(told.doc), np.int64)
+    return told._replace(doc=none + _NOBODY, print=none, start=none, count=none)
+
+
+def _deal(packed: DataFrame, descend: bool, hot_from: int = HOT, held: int = HELD) -> DataFrame:
     """Bring the rows of each bucket together and settle them."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = None, []
+        own, parts, size, most = None, [], 0, held
         for batch in batches:
             for row in batch.to_pylist():
                 if row["state"] != OPEN:
@@ -233,8 +260,14 @@ def _deal(packed: DataFrame, descend: bool) -> DataFrame:
                     continue
                 if row["bucket"] != own:
                     yield from _settle(parts, descend)
-                    own, parts = row["bucket"], []
+                    own, parts, size, most = row["bucket"], [], 0, held
                 parts.append(_unpack(row))
+                size += len(parts[-1].doc)
+                if size > most:
+                    out, rest = _ease(parts, hot_from if descend else None)
+                    yield from out
+                    parts, size = [rest], len(rest.doc)
+                    most = max(held, 2 * size)
         yield from _settle(parts, descend)
 
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, FOUND)
@@ -325,19 +358,21 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body"))
 
 
-def repeated_strings(docs: DataFrame, gather: int = GATHER, hot_from: int = HOT) -> DataFrame:
+def repeated_strings(docs: DataFrame, gather: int = GATHER, hot_from: int | None = None, held: int = HELD) -> DataFrame:
     """(doc, print, starts, counts): strings that start in an earlier document."""
     size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    level = cut(_deal(suffixes(docs, buckets, gather, hot_from), descend=True), "suffix-runs")
-    strings = cut(_deal(single_strings(docs, level.where("buckets is not null"), buckets, gather), descend=False), "suffix-strings")
+    hot_from = hot_from or min(HOT, max(LEAST_HOT, held * gather * BYTES_TO_SUFFIX // max(size, 1)))
+    level = cut(_deal(suffixes(docs, buckets, gather, hot_from), True, hot_from, held), "suffix-runs")
+    strings = cut(_deal(single_strings(docs, level.where("buckets is not null"), buckets, gather), False, hot_from, held), "suffix-strings")
     return level.where("buckets is null").unionByName(strings).select("doc", "print", "starts", "counts")
 
 
-def remove_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", gather: int = GATHER, hot_from: int = HOT) -> DataFrame:
+def remove_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", gather: int = GATHER, hot_from: int | None = None,
+                      held: int = HELD) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): removed byte ranges and the bytes kept."""
     docs = keyed(df, key, text)
-    listed = repeated_strings(docs, gather, hot_from).groupBy("doc", "print").agg(
+    listed = repeated_strings(docs, gather, hot_from, held).groupBy("doc", "print").agg(
         *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "counts")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,8 +74,9 @@ def test_a_hot_gram_is_split_up_without_loss(spark, monkeypatch):
     want = sorted((str(i), bytes(b for b, x in zip(s, g, strict=True) if not x)) for (i, *_), (s, g) in zip(
         rows, spans_removed(rows, lambda t: t.encode(), 50), strict=True))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for gather, hot in ((40, 3), (400, 8), (1 << 18, 1 << 10)):
-        done = substrings.remove_substrings(df, gather=gather, hot_from=hot)
+    # In the last ones no gather sees a hot gram, and the task that has its bucket does.
+    for gather, hot, held in ((40, 3, 1 << 21), (400, 8, 1 << 21), (1 << 18, None, 1 << 21), (30, 12, 50), (60, 20, 200), (1 << 18, 5, 1)):
+        done = substrings.remove_substrings(df, gather=gather, hot_from=hot, held=held)
         assert sorted((str(r.doc_id), bytes(r.kept)) for r in done.collect()) == want
     docs = substrings.keyed(df)
     states = {r.state for r in substrings.suffixes(docs, 16, 400, 8).select("state").distinct().collect()}
