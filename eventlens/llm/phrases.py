@@ -52,11 +52,9 @@ UNKNOWN = "und"
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _ONE_END = bytes.maketrans(_ENDS, b"\n" * len(_ENDS))
 
-#: Lists of a packet of lengths, at least, in a block of the usual size. Ranges of
-#: buckets are as few as that asks for, so larger inputs want larger blocks.
-PACKET = 512
-#: Buckets of a range that one task adds up at a time, where there are few.
-RANGE_BITS = 20
+#: Buckets of an input without words, and how buckets are dealt out: in so many
+#: ranges, or in more where a range would have too many for one task.
+LEAST_BITS, RANGES_BITS, RANGE_BITS = 20, 9, 24
 
 # Position lists of a block, one after another, as differences in few bytes.
 BLOCK = "block long, lang string, words array<string>, counts array<int>, positions binary"
@@ -397,8 +395,8 @@ def levels(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     in_block = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
     total = cut(lists.select("lang", in_block.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "phrase-totals")
     words = total.agg(F.sum("n")).first()[0] or 0
-    bits = max(RANGE_BITS, (2 * words).bit_length())
-    range_bits = max(RANGE_BITS, bits - (max(block_words // PACKET, 1)).bit_length())
+    bits = max(LEAST_BITS, (2 * words).bit_length())
+    range_bits = min(bits - RANGES_BITS, RANGE_BITS)
     entries = frequent_words(lists, frequent)
     nobody = F.lit(None).cast("long")
     found = [cut(entries.where("f is not null").select(
