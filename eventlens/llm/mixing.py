@@ -78,11 +78,16 @@ def size_class(size: Column) -> Column:
     return length * 16 + F.call_function("shiftright", size, low).cast("int")
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns of a row; what Spark can't hash counts as JSON."""
+def row_hash(df: DataFrame, first: tuple[str, ...] = ()) -> Column:
+    """A hash of the columns ``first`` of a row, and then one of all columns;
+    what Spark can't hash counts as JSON."""
     plain = lambda kind: not any(x in kind for x in ("map<", "variant"))
-    parts = [F.col(f"`{c}`") if plain(kind) else F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) for c, kind in df.dtypes]
-    return F.hex(F.xxhash64(*parts))
+
+    def of(names: list[tuple[str, str]]) -> Column:
+        return F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") if plain(kind) else F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) for c, kind in names])), 16, "0")
+
+    named = [(c, kind) for c, kind in df.dtypes if c in first]
+    return F.concat(of(named), of(df.dtypes)) if named else of(df.dtypes)
 
 
 def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", row: Column | None = None) -> DataFrame:
@@ -93,7 +98,7 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
     """
     own = row_hash(df) if row is None else row
     # Keys spread evenly; rows that have none are spread by what they hold.
-    spread = F.conv(F.substring(F.coalesce(F.md5(F.col(key).cast("string").cast("binary")), F.lpad(own, 16, "0")), 1, 4), 16, 10)
+    spread = F.conv(F.substring(F.coalesce(F.md5(F.col(key).cast("string").cast("binary")), own), 1, 4), 16, 10)
     df = df.drop("source_size", "target", "copies")
     goals = cut(targets(df.select(F.col(source).alias("source"), F.col(size).alias("size"))), "mix-targets")
     kept = df.withColumns({"__class": size_class(F.col(size)), "__slice": spread.cast("int") % SLICES, "__row": own})
@@ -121,11 +126,15 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
         .drop("__source", "__class", "__slice", "__row", "__before", "__place", "__rate", "__offset"))
 
 
-def take(df: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its own columns."""
+def take(df: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with its own columns.
+
+    ``ties`` are the columns that tell rows of one key and size apart before
+    all others do, so that columns beyond them change nothing.
+    """
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(own.alias("row"), *[F.col(c).alias(n) for c, n in ((size, "n"), (source, "origin"), (key, "id"))])
-    taken = mix(rows, "n", "origin", "id").where("copies > 0")
+    rows = df.select(own.alias("row"), *[F.col(c).alias(n) for c, n in ((size, "n"), (source, "origin"), (key, "id"))], row_hash(df, ties).alias("tie"))
+    taken = mix(rows, "n", "origin", "id", F.col("tie")).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
