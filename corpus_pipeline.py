@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources; a document stands in it as often as it is taken."""
     sized = docs.withColumn("__size", common.word_count(F.col("text")))
-    return mixing.take(sized, size="__size").select(*docs.columns)
+    return mixing.take(sized, size="__size", ties=("doc_id", "text", "lang", "source", "n_chars")).select(*docs.columns)
 
 
 def shard_placement(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
