@@ -71,7 +71,7 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.from_json("props", "k long").alias("props"))
     parsed.select(F.to_json(F.struct("event_id", "props")).alias("value")).write.text(folder)
     rawlogs.renamed(spark, folder, ".txt", ".jsonl")
-    (flat,) = files.ingest(spark, [folder])
+    flat = files.fields(spark, files.ingest(spark, [folder]), ["props.k"])
     return flat.groupBy(F.col("`props.k`").cast("long").alias("k")).agg(F.count("*").alias("events"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from helpers import DATA, same
+from pyspark.sql import functions as F
 
 from eventlens.plans import catalog
 
@@ -18,6 +20,22 @@ def test_query_without_sql_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
+def uneven(spark, folder: str, name: str) -> None:
+    """A table of events whose first tasks have no rows, or none with values."""
+    spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 300").withColumn("props", F.expr("if(event_id < 100, null, props)")).coalesce(1).write.parquet(
+        f"{folder}/events.parquet")
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    same(catalog.QUERIES[name](session, folder), con, catalog.ORACLES[name])
+
+
+def test_json_flatten_where_tasks_have_no_rows(spark, tmp_path):
+    uneven(spark, str(tmp_path), "json_flatten")
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys

@@ -100,6 +100,16 @@ def test_json_lines_of_other_fields_are_other_tables(spark, tmp_path):
     assert two.first().account_id == "z"
 
 
+def test_files_without_rows_have_no_layout(spark, tmp_path):
+    """As a task without rows writes them."""
+    (tmp_path / "a.jsonl").write_text("")
+    (tmp_path / "b.jsonl").write_text('{"uid": "u"}\n')
+    (tmp_path / "c.jsonl").write_text("\n")
+    (table,) = files.ingest(spark, [tmp_path])
+    assert [(r.uid, r._source_file) for r in table.collect()] == [("u", "b.jsonl")]
+    assert files.fields(spark, [table], ["uid", "x.y"]).collect() == [("u", None)]
+
+
 def test_json_is_flattened(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"uid": "u", "x": {"y": {"z": 1}}, "l": [1, 2]}]')
     (table,) = files.ingest(spark, [tmp_path / "a.json"])
