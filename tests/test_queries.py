@@ -22,7 +22,8 @@ def test_query_without_sql_gives_rows(spark, name):
 
 def uneven(spark, folder: str, name: str) -> None:
     """A table of events whose first tasks have no rows, or none with values."""
-    spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 300").withColumn("props", F.expr("if(event_id < 100, null, props)")).coalesce(1).write.parquet(
+    spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 300").withColumns(
+        {c: F.expr(f"if(event_id < 100, null, {c})") for c in ("event_type", "props")}).repartitionByRange(3, "event_id").write.parquet(
         f"{folder}/events.parquet")
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
@@ -36,6 +37,10 @@ def test_json_flatten_where_tasks_have_no_rows(spark, tmp_path):
     uneven(spark, str(tmp_path), "json_flatten")
 
 
+def test_json_lines_where_tasks_have_no_rows(spark, tmp_path):
+    uneven(spark, str(tmp_path), "json_lines")
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
