@@ -7,7 +7,7 @@ import pytest
 from helpers import DATA, same
 from pyspark.sql import functions as F
 
-from eventlens.plans import catalog
+from eventlens.plans import catalog, rawlogs
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
@@ -41,6 +41,15 @@ def test_json_lines_where_tasks_have_no_rows(spark, tmp_path):
     uneven(spark, str(tmp_path), "json_lines")
 
 
+def test_json_array_in_documents_of_bounded_size(spark, duck, monkeypatch):
+    """No task sorts or writes more than a document's events."""
+    monkeypatch.setattr(rawlogs, "DOCUMENT_ROWS", 300)
+    paths = []
+    monkeypatch.setattr(rawlogs.files, "ingest", lambda s, inputs, read=rawlogs.files.ingest: (paths.extend(rawlogs.files.discover(s, inputs)), read(s, inputs))[1])
+    same(catalog.QUERIES["json_array"](spark, DATA), duck, catalog.ORACLES["json_array"])
+    assert len(paths) == 4
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys

@@ -91,6 +91,21 @@ def test_json_array_is_read_in_many_tasks(spark, tmp_path):
         assert session.read.text(str(tmp_path / f"{name}.json"), lineSep="}").rdd.getNumPartitions() > 4
 
 
+def test_arrays_of_one_layout_are_one_table(spark, tmp_path):
+    """Records longer than a block, strings with brackets and escapes, files of
+    other fields, and an end that is cut off."""
+    rows = [{"i": i, "t": ("]}" * 30_000 if i % 700 == 5 else 'q "{ \\ é')} for i in range(2000)]
+    (tmp_path / "a.json").write_text(json.dumps(rows[:900], ensure_ascii=False))
+    (tmp_path / "b.json").write_text(json.dumps(rows[900:], indent=1))
+    (tmp_path / "c.json").write_text(json.dumps([{"uid": f"u{i}"} for i in range(2000)]) + "\n")
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    one, two = files.ingest(session, [tmp_path])
+    got = one.orderBy("_src").select("i", "t", "_source_file").collect()
+    assert [(int(r.i), r.t) for r in got] == [(r["i"], r["t"]) for r in rows] and [got[i]._source_file for i in (0, 899, 900)] == ["a.json", "a.json", "b.json"]
+    assert two.count() == 2000 and "uid" in two.columns
+
+
 def test_json_lines_of_other_fields_are_other_tables(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"uid": "u", "x": {"y": 1}}\n{"uid": "v"}\n')
     (tmp_path / "b.jsonl").write_text('{"uid": "w", "x": {"y": 2}}\n')
