@@ -50,6 +50,15 @@ def test_json_array_in_documents_of_bounded_size(spark, duck, monkeypatch):
     assert len(paths) == 4
 
 
+def test_raw_alerts_read_the_raw_files_once(spark, duck, monkeypatch):
+    """In files of bounded size, and nothing goes back to them."""
+    monkeypatch.setattr(rawlogs, "FILE_ROWS", 300)
+    assert spark.read.csv(rawlogs.raw_log(spark, DATA), header=True).select("_metadata.file_name").distinct().count() == 4
+    found = catalog.QUERIES["raw_alerts"](spark, DATA)
+    assert "FileScan csv" not in found._jdf.queryExecution().executedPlan().toString()
+    same(found, duck, catalog.ORACLES["raw_alerts"])
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
