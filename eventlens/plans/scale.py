@@ -11,6 +11,8 @@ from ..streaming.bursts import burst_stream
 from .testbed import STD, ordered_sql, std_events
 
 QUERIES, ORACLES = {}, {}
+#: Events to a slice of a stream's state.
+SLICE_ROWS = 5000
 
 
 def query(sql: str | None = None):
@@ -61,7 +63,8 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.conf.set("spark.sql.session.timeZone", "UTC")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    found = burst_stream(session.readStream.schema(rows.schema).parquet(f"{folder}/in"), 86_400, 3, f"{days + 2} days")
+    slices = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SLICE_ROWS))
+    found = burst_stream(session.readStream.schema(rows.schema).parquet(f"{folder}/in"), 86_400, 3, f"{days + 2} days", slices)
     (found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
      .start().awaitTermination())
     return spark.read.schema(found.schema).parquet(f"{folder}/out").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

@@ -200,3 +200,22 @@ def test_stream_of_bursts_equals_windows_of_the_table(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("uid", "code", F.unix_micros("start"), "events", "span_seconds")
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and got.count() > 50
+
+
+def test_users_of_one_slice_have_their_own_windows(spark, tmp_path):
+    """State is kept by slices of users, here one for all."""
+    from eventlens.streaming.bursts import burst_stream
+
+    kinds, session = "uid string, code string, ts timestamp_ntz", spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    parts = [[("u", "a", "10:00:00"), ("v", "a", "10:00:01"), ("u", "b", "10:00:02"), (None, "a", "10:00:05")],
+             [("u", "a", "10:00:10"), ("u", "a", "10:01:00"), ("v", "a", "10:01:02"), (None, "a", "10:00:06"), (None, "a", "10:00:06")],
+             [("beat", "beat", "12:00:00")], [("v", "a", "12:30:00"), ("v", "a", "12:30:01"), ("v", "a", "12:30:01")], [("beat", "beat", "14:00:00")]]
+    for part in parts:
+        spark.createDataFrame([(u, c, at(t)) for u, c, t in part], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = session.readStream.schema(kinds).parquet(str(tmp_path / "in"))
+        burst_stream(stream, 60, 3, "15 minutes", slices=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(300)
+    got = spark.read.parquet(str(tmp_path / "out")).select("uid", "code", F.date_format("start", "HH:mm:ss"), "events", "span_seconds")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("u", "a", "10:00:00", 3, 60.0), (None, "a", "10:00:05", 3, 1.0), ("v", "a", "12:30:00", 3, 1.0)], key=str)
